@@ -98,7 +98,7 @@ def exact_duplicates(docs: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame
 
     # bytes decide: a group is one text, and its digest stands for it only while no other text has it
     ids = suspects.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("sha")).distinct()
-    hit = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), sha.alias("sha"), "text").join(ids, ["id", "sha"], "left_semi")
+    hit = texts.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), sha.alias("sha"), "text").join(ids.hint("merge"), ["id", "sha"], "left_semi")
     equal = hit.groupBy("sha", "text").agg(F.count("*").alias("n")).groupBy("sha").agg(F.count("*").alias("texts"))
     best = rows.groupBy("sha").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n"))
     checked = equal.join(best, "sha").select("sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.col("best")).alias("best"), "n")
@@ -120,7 +120,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
         digest, mark = digest + "_", mark + "_"
     kept = found.filter("kept").select(F.coalesce("doc_id", F.lit(-1)).alias(mark), F.unhex("text_sha256").alias(digest))
     named = docs.withColumn(mark, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))).withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    return named.join(kept, [mark, digest], "left_semi").dropDuplicates([mark, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return named.join(kept.hint("merge"), [mark, digest], "left_semi").dropDuplicates([mark, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
