@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
 
     # full sets of the classes in them
     wanted = shared.select("cid", "set_key").distinct()
-    found = texts.join(wanted.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi").mapInArrow(
+    found = texts.join(wanted.select(F.col("cid").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(
         _profiles(size, hashing, sketching), "cid bigint, set_key binary, bands binary, sketch binary, members binary"
     )
     profiles = scratch.keep(found.join(wanted, ["cid", "set_key"], "left_semi").dropDuplicates(["cid"]).drop("set_key"))
