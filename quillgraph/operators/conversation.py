@@ -21,7 +21,7 @@ def filter_conversation(messages: DataFrame) -> DataFrame:
     """User turns and final assistant turns without upload blocks; a user turn of uploads alone goes with the next assistant reply."""
     calls = F.coalesce(F.col("has_calls"), F.lit(False)) if "has_calls" in messages.columns else F.lit(False)
     kept = messages.filter((F.col("role") == "user") | ((F.col("role") == "assistant") & ~calls))
-    text = F.when(F.col("role") == "user", F.trim(F.regexp_replace("content", UPLOADS, ""))).otherwise(F.col("content"))
+    text = F.when(F.col("role") == "user", F.regexp_replace(F.regexp_replace("content", UPLOADS, ""), r"^\s+|\s+$", "")).otherwise(F.col("content"))
     blank = (F.col("role") == "user") & F.col("content").rlike("(?i)<uploaded_files>") & (text == "")
     marked = kept.withColumn("blank", blank).withColumn("content", text)
     w = Window.partitionBy("thread_id").orderBy("turn")

@@ -6,7 +6,7 @@ from ..operators import conversation as conv
 from ..operators import text
 from .registry import query
 
-FILTERED = r"""f0 AS (SELECT thread_id, turn, role, CASE WHEN role = 'user' THEN trim(regexp_replace(content, '<uploaded_files>[\s\S]*?</uploaded_files>\n*', '', 'gi')) ELSE content END AS content, role = 'user' AND contains(content, '<uploaded_files>') AS up FROM messages WHERE role IN ('user', 'assistant')),
+FILTERED = r"""f0 AS (SELECT thread_id, turn, role, CASE WHEN role = 'user' THEN regexp_replace(regexp_replace(content, '<uploaded_files>[\s\S]*?</uploaded_files>\n*', '', 'gi'), '^\s+|\s+$', '', 'g') ELSE content END AS content, role = 'user' AND contains(content, '<uploaded_files>') AS up FROM messages WHERE role IN ('user', 'assistant')),
 f1 AS (SELECT *, up AND content = '' AS blank FROM f0), f2 AS (SELECT *, lag(blank) OVER (PARTITION BY thread_id ORDER BY turn) AS after_blank FROM f1),
 f AS (SELECT thread_id, turn, role, content FROM f2 WHERE NOT blank AND NOT (role = 'assistant' AND coalesce(after_blank, false)))"""
 
