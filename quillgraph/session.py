@@ -29,9 +29,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     return spark
 
 
+#: Rows that go to a Python worker at once; texts can be long, and workers share an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone and let Python workers import this package."""
+    """Pin the time zone, bound what Python workers hold at once, and let them import this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
