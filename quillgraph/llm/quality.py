@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import Scratch, prepare
 from .words import NOT_SPACE, slices
@@ -165,6 +166,17 @@ def _with_score(model: Model, raw: bool):
     return run
 
 
+def _score_texts(model: Model, at: int):
+    """Rows as they come and the score of their text, column number `at`."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.array(list(statistics(batch.column(at)))).reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], [*batch.schema.names, "score"])
+
+    return run
+
+
 def _total(parts: DataFrame, size: int) -> np.ndarray:
     """Sum of one vector a partition; at most SUM_PARTS of them reach the driver."""
     out = np.zeros(size)
@@ -234,11 +246,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, train_on: Column, least: float
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "quality")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = scratch.keep(described(docs, F.col("doc_id").cast("bigint").alias("doc_id")))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
     model = train(rows.join(known, "doc_id").filter(train_on), scratch)
-    scored = score(described(plain.withColumn("text", F.col(at["text"])), *plain.columns), model)
+    scored = plain.mapInArrow(_score_texts(model, docs.columns.index("text")), T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.filter(F.col("score") >= least).select(*plain.columns).toDF(*docs.columns)
 
 
