@@ -108,15 +108,21 @@ class Model:
         self.lexicon, self.chain = lexicon, chain
 
 
-def train(labelled: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most about `rows` distinct texts (text, y), a third of them toxic if there are enough."""
-    texts = labelled.dropna().filter("text <> ''").groupBy("text").agg(F.max("y").cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Model:
+    """Fit on at most about `rows` labelled documents, a third of them toxic if there are enough.
+
+    docs: doc_id and text; labels: doc_id and y. Labels are sampled by a hash of doc_id before the
+    join, so the sample's bound holds for what is broadcast, and only the sample's texts move.
+    """
+    known = labels.dropna(subset=["doc_id", "y"]).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts.get(1) or not counts.get(0):
         return Model(Lexicon(np.zeros(0, np.uint64)), Chain(1))
     part = {1: rows / 3 / counts[1], 0: rows * 2 / 3 / counts[0]}
     share = F.when(F.col("y") == 1, F.lit(part[1])).otherwise(F.lit(part[0]))
-    sample = scratch.keep(texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000))
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text <> ''")
+    sample = scratch.keep(texts.groupBy("text").agg(F.max("y").alias("y")))
     toxic, clean = sample.filter("y = 1").count(), sample.filter("y = 0").count()
     if not toxic or not clean:
         return Model(Lexicon(np.zeros(0, np.uint64)), Chain(1))
@@ -212,8 +218,7 @@ def held_out() -> Column:
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("toxic").alias("y"))
-    prepare(spark)
-    model = train(docs.join(labels, "doc_id").select("text", "y"), Scratch(spark, "toxic"))
+    model = train(docs, labels, Scratch(prepare(spark), "toxic"))
     found = tag(docs, model)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("spans"))
