@@ -19,7 +19,7 @@ from ..session import prepare
 from .fm_index import FMIndex
 from .words import LETTER_OR_DIGIT, slices
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 4 << 20
 
 SPAN = "struct<first_word:bigint,end_word:bigint,first_char:bigint,end_char:bigint>"

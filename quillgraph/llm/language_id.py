@@ -130,16 +130,16 @@ def _predict(model: OutputCode):
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
-    """Fit on at most about `rows` rows (text, lang), the same share of each language, chosen by a hash of the text."""
+    """Fit on at most about `rows` rows (doc_id, text, lang), the same share of each language, chosen by a hash of doc_id and text."""
     counts = {r["lang"]: r["count"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").count().collect()}
     languages = sorted(counts)
     each = rows // max(1, len(languages))
     chosen = F.lit(False)
     for lang in languages:
         part = min(1.0, each / counts[lang])
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000))
+        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(part * 1_000_000))
     found = labelled.filter(chosen).select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
-    # copies of one text share a hash: more of them than asked for are cut in a fixed order
+    # rows that repeat a doc_id and text share a hash: more than asked for are thinned in a fixed order
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True))
     pairs = pairs[:: max(1, -(-len(pairs) // rows))]
     x = np.array([np.frombuffer(b, np.float16) for _, b in pairs], dtype=np.float64).reshape(len(pairs), BINS)
@@ -162,5 +162,5 @@ def identify(docs: DataFrame, model: OutputCode) -> DataFrame:
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    model = train(docs.filter(~held_out).select("text", "lang"))
+    model = train(docs.filter(~held_out).select("doc_id", "text", "lang"))
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")

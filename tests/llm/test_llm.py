@@ -54,7 +54,7 @@ def test_edges(spark):
         model = toxicity.train(docs, labels.select("doc_id", F.col("toxic").alias("y")), Scratch(spark, "t"))
         for df in (
             near, exact, leaks, mixing.curriculum(docs), mixing.mix(docs), secrets.find_secrets(docs), token_counts.token_prefixes(docs, path, stored=True), quality.quality_scores(docs, labels, everything),
-            toxicity.tag(docs, model), language_id.identify(docs, language_id.train(docs.select("text", "lang"))),
+            toxicity.tag(docs, model), language_id.identify(docs, language_id.train(docs.select("doc_id", "text", "lang"))),
         ):
             assert df.count() == n
         assert licenses.scan(docs).agg(F.sum("copies")).first()[0] == (n or None)
@@ -76,7 +76,7 @@ def test_edges(spark):
         assert hit[4] == [(0, 2)] and hit[7] == [] and hit[1] == []
         lic = {r["doc_id"]: [s["first_word"] for s in r["spans"] if s["whole"]] for r in licenses.scan(docs).collect()}
         assert lic[8] == [0, 3] and lic[1] == []
-        lang = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs.select("text", "lang"))).collect()}
+        lang = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs.select("doc_id", "text", "lang"))).collect()}
         assert lang[1] == lang[2] == lang[9] == "und" and lang[4] in ("de", "en", "fr")
         mixed = mixing.curriculum(docs).collect()
         assert all(r["taken"] <= 2 * r["size"] for r in mixed) and sum(r["size"] for r in mixed if r["doc_id"] == 5) == 60_000
