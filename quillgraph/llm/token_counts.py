@@ -10,6 +10,7 @@ the counts inside a word are kept in a bounded cache.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,7 @@ LONG = 100
 #: The splitting pattern of byte-level vocabularies (fixed value), with white space by its Unicode property.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CONTRACTIONS = ("'re", "'ve", "'ll")
+_TWO_SPACES = re.compile(r"\s\s")
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -45,54 +47,67 @@ class PrefixCounter:
         to_byte = _byte_of_char()
         raw = lambda token: bytes(to_byte[c] for c in token)
         special = {t["content"] for t in spec.get("added_tokens", ())}
-        self.vocabulary = {raw(t) for t in spec["model"]["vocab"] if t not in special}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.vocabulary))
+        # numbers follow the order of merges: single bytes, then each merge's token
+        self.number = {bytes([b]): b for b in range(256)}
+        self.left, self.right = list(range(256)), list(range(256))
+        self.joined: dict[tuple[int, int], int] = {}
+        for first, second in (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
+            pair = (self.number[raw(first)], self.number[raw(second)])
+            self.joined[pair] = self.number[raw(first) + raw(second)] = len(self.left)
+            self.left.append(pair[0])
+            self.right.append(pair[1])
+        self.longest = max(map(len, self.number))
         self.special = sorted(special, key=len, reverse=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if special else None
         self.pattern = regex.compile(SPLIT)
         self.spaces = regex.compile(r"\p{White_Space}{2,}")
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
 
-    def _merge(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _may_follow(self, first: bytes, second: bytes) -> bool:
-        key = (first, second)
-        known = self.pairs.get(key)
+    def _stay(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side stay as they are.
+
+        Both are undone along the border, the later made one first. If the pieces at the border
+        would have merged before the pieces grew on, the two tokens never come about together.
+        """
+        joined, left, right = self.joined, self.left, self.right
+        limit = 1 << 60
+        while True:
+            if joined.get((a, b), limit) < limit:
+                return False
+            if a > b and a >= 256:
+                limit, a = a, right[a]
+            elif b >= 256:
+                limit, b = b + 1, left[b]
+            else:
+                return True
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) > 4 * CACHE_WORDS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._merge(first + second) == [first, second]
+            known = self.pairs[a, b] = self._stay(a, b)
         return known
 
     def _word(self, word: str) -> np.ndarray:
         """Tokens at each prefix of a word, by characters."""
         data = word.encode("utf-8")
         n = len(data)
-        last: list[bytes] = [b""] * (n + 1)
-        count = np.zeros(n + 1, dtype=np.int32)
-        vocabulary = self.vocabulary
+        last, count = [0] * (n + 1), [0] * (n + 1)
+        number, may_follow, longest = self.number.get, self._may_follow, self.longest
         for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                token = data[begin:end]
-                if token in vocabulary and (not begin or self._may_follow(last[begin], token)):
+            for begin in range(max(0, end - longest), end):
+                token = number(data[begin:end])
+                if token is not None and (not begin or may_follow(last[begin], token)):
                     last[end], count[end] = token, count[begin] + 1
                     break
         if word in CONTRACTIONS:
             count[2] = 2  # a quote and a letter are two words until the second letter comes
         if len(word) == n:
-            return count[1:]
+            return np.array(count[1:], dtype=np.int32)
         ends = np.flatnonzero((np.frombuffer(data + b"a", np.uint8)[1:] & 0xC0) != 0x80) + 1
-        return count[ends]
+        return np.array(count, dtype=np.int32)[ends]
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts at the prefixes of a text without special tokens, from the empty one on."""
@@ -118,7 +133,7 @@ class PrefixCounter:
             lengths = np.fromiter(map(len, words), np.int64, len(words))
             whole = inside[np.cumsum(lengths) - 1].astype(np.int32)
             out[1:] = inside + np.repeat(np.cumsum(whole) - whole, lengths)
-        for run in self.spaces.finditer(text):
+        for run in self.spaces.finditer(text) if _TWO_SPACES.search(text) else ():
             # a prefix that ends with white space has all of it as one word
             out[run.end()] = out[run.start()] + self._word(run.group())[-1]
         return out
