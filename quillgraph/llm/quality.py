@@ -190,7 +190,7 @@ def train(rows: DataFrame, scratch: Scratch, max_rows: int = TRAIN_ROWS) -> Mode
     n = rows.count()
     if n > max_rows:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    rows = rows.select("y", "x").repartition(SUM_PARTS, F.xxhash64("x"))
+    rows = rows.select("doc_id", "y", "x").repartition(SUM_PARTS, "doc_id")
     d = len(STATISTICS)
     moments = _total(rows.select("x").mapInArrow(_sum_moments, "sums binary"), 2 * d + 1)
     seen = max(1.0, moments[0])
