@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 LONG = 100
 
 #: The splitting pattern of byte-level vocabularies (fixed value), with white space by its Unicode property.
@@ -62,7 +62,9 @@ class PrefixCounter:
         self.pattern = regex.compile(SPLIT)
         self.spaces = regex.compile(r"\p{White_Space}{2,}")
         self.pairs: dict[tuple[int, int], bool] = {}
+        #: Two generations: when the newer is full it becomes the older, so frequent words stay.
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _stay(self, a: int, b: int) -> bool:
         """Whether two tokens side by side stay as they are.
@@ -90,7 +92,7 @@ class PrefixCounter:
             known = self.pairs[a, b] = self._stay(a, b)
         return known
 
-    def _word(self, word: str) -> np.ndarray:
+    def _word(self, word: str) -> list[int]:
         """Tokens at each prefix of a word, by characters."""
         data = word.encode("utf-8")
         n = len(data)
@@ -105,25 +107,32 @@ class PrefixCounter:
         if word in CONTRACTIONS:
             count[2] = 2  # a quote and a letter are two words until the second letter comes
         if len(word) == n:
-            return np.array(count[1:], dtype=np.int32)
-        ends = np.flatnonzero((np.frombuffer(data + b"a", np.uint8)[1:] & 0xC0) != 0x80) + 1
-        return np.array(count, dtype=np.int32)[ends]
+            return count[1:]
+        return [count[i] for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80]
+
+    def _counted(self, word: str) -> bytes | np.ndarray:
+        """Counts at the prefixes of a word: a byte each from the cache, or an array for a long word."""
+        counts = self.words.get(word) or self.older.get(word)
+        if counts is None:
+            found = self._word(word)
+            if len(word) > LONG or max(found) > 255:
+                return np.array(found, dtype=np.int32)
+            counts = bytes(found)
+        if len(self.words) >= CACHE_WORDS:
+            self.words, self.older = {}, self.words
+        self.words[word] = counts
+        return counts
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts at the prefixes of a text without special tokens, from the empty one on."""
         words = self.pattern.findall(text)
-        cache, parts, long = self.words, [], False
-        for w in words:
-            counts = cache.get(w)
-            if counts is None:
-                found = self._word(w)
-                if len(w) > LONG:
-                    counts, long = found, True
-                else:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    counts = cache[w] = found.astype(np.uint8).tobytes()
-            parts.append(counts)
+        parts = list(map(self.words.get, words))
+        long = False
+        if None in parts:
+            for i, counts in enumerate(parts):
+                if counts is None:
+                    parts[i] = counts = self._counted(words[i])
+                    long |= isinstance(counts, np.ndarray)
         out = np.zeros(len(text) + 1, dtype=np.int32)
         if words:
             if long:

@@ -326,7 +326,7 @@ def test_prefix_counts_equal_library(spark, sf_dir):
     counter = token_counts.counter(path)
     rng = random.Random(10)
     odd = [
-        "", "don't we're  they'll 've", "a\n\nb \n c\t\td   ", "x<|endoftext|>y <|endo<|endoftext|><|endoftext|> z", "日本語 テキスト émoji 😀😀!!", "====----    ####" * 3, "ſ K \x1c\x85c\xa0d ​ f",
+        "", "don't we're  they'll 've", "a\n\nb \n c\t\td   ", "x<|endoftext|>y <|endo<|endoftext|><|endoftext|> z", "日本語 テキスト émoji 😀😀!!", "====----    ####" * 3, "\U00013000" * 95 + " end", "z" * 150, "ſ K \x1c\x85c\xa0d ​ f",
         *("".join(rng.choice("ab 'tsrevl\n\t.,1é<|>") for _ in range(40)) for _ in range(40)),
     ]
     for t in odd:
