@@ -63,22 +63,24 @@ def ngram_features(column, bins: int = BINS) -> Iterator[tuple[np.ndarray, bool]
 
 
 class OutputCode:
+    """The fitted code; x, the training rows, is centred in place to spare the driver a copy."""
+
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
         self.languages = languages
         self.code = codewords(len(languages))
-        self.mean = x.mean(axis=0) if len(x) else np.zeros(BINS)
+        self.mean = x.mean(axis=0, dtype=np.float64).astype(np.float32) if len(x) else np.zeros(BINS, np.float32)
         if not len(x):
             self.weights = np.zeros((BINS, self.code.shape[1]))
             return
         share = 1.0 / np.bincount(y, minlength=len(languages))[y]
         share /= share.mean()
         targets = self.code[y]
-        centred = x - self.mean
+        x -= self.mean
         # ridge by its dual: as many unknowns as training rows
-        gram = centred @ centred.T
+        gram = (x @ x.T).astype(np.float64)
         gram[np.diag_indices_from(gram)] += ridge * len(x) / 100 / share
-        self.weights = centred.T @ np.linalg.solve(gram, targets)
-        fits = np.exp(-np.maximum(0, 1 - targets * (centred @ self.weights))).T @ share / len(x)
+        self.weights = x.T @ np.linalg.solve(gram, targets)
+        fits = np.exp(-np.maximum(0, 1 - targets * (x @ self.weights))).T @ share / len(x)
         self.trust = fits / fits.sum()
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,9 +144,13 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
     # rows that repeat a doc_id and text share a hash: more than asked for are thinned in a fixed order
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True))
     pairs = pairs[:: max(1, -(-len(pairs) // rows))]
-    x = np.array([np.frombuffer(b, np.float16) for _, b in pairs], dtype=np.float64).reshape(len(pairs), BINS)
     index = {lang: i for i, lang in enumerate(languages)}
-    return OutputCode(languages, x, np.array([index[lang] for lang, _ in pairs], dtype=int))
+    y = np.array([index[lang] for lang, _ in pairs], dtype=int)
+    x = np.empty((len(pairs), BINS), dtype=np.float32)
+    for i, (_, row) in enumerate(pairs):
+        x[i] = np.frombuffer(row, np.float16)
+    del found, pairs
+    return OutputCode(languages, x, y)
 
 
 def identify(docs: DataFrame, model: OutputCode) -> DataFrame:
