@@ -118,6 +118,11 @@ def _(t):
     return graph.connected(t.issues, graph.edges_of(t.deps.filter(THIN)))
 
 
+@query("G14_components_all_edges")
+def _(t):
+    return graph.connected(t.issues, graph.edges_of(t.deps))
+
+
 @query("G19_version_chain", """WITH RECURSIVE c AS (SELECT parent_memory_id AS src, arg_min(id, length(id) * 1000000 + CAST(id AS INT)) AS dst FROM memories WHERE parent_memory_id IN (SELECT id FROM memories) GROUP BY 1),
 r AS (SELECT id AS root, id, 0 AS place FROM memories WHERE parent_memory_id IS NULL OR parent_memory_id NOT IN (SELECT id FROM memories) UNION SELECT r.root, c.dst, r.place + 1 FROM r JOIN c ON r.id = c.src)
 SELECT id, root, place FROM r WHERE root IN (SELECT root FROM r WHERE place > 0)""")

@@ -19,3 +19,29 @@ def test_entry_points():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_components_over_all_edges(spark, sf_dir, duck):
+    from quillgraph.plans.registry import with_views
+
+    root = {i: i for (i,) in duck.sql(with_views("SELECT id FROM issues")).fetchall()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in duck.sql(with_views("SELECT issue_id, depends_on_id FROM deps")).fetchall():
+        if a in root and b in root:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = catalog.QUERIES["G14_components_all_edges"](spark, sf_dir).collect()
+    assert len(got) == len(root) and {r["id"]: r["component"] for r in got} == {i: find(i) for i in root}
+
+
+def test_extractions_of_all_rows(spark, sf_dir, duck, same):
+    part = "WHERE l_orderkey % 50 = 0"
+    sql = catalog.SQL["M11_clean_extractions"]
+    assert sql.count(part) == 1
+    same(catalog.QUERIES["M11_clean_extractions_all"](spark, sf_dir), sql.replace(part, ""), duck)
