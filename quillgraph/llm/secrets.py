@@ -88,10 +88,10 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         grade = F.when(F.expr(test), value) if grade is None else grade.when(F.expr(test), value)
     parts = scratch.keep(placed.withColumn("g", grade).filter("g IS NOT NULL").select("row", "start", "end", "g.*"))
 
-    # interval join within bins: a candidate looks into its own and the neighbouring bins
-    bins = F.floor(F.col("start") / BIN)
-    held = parts.select("row", bins.alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r"))
-    weak = parts.filter("NOT strong").withColumn("reach", F.sequence(F.floor((F.col("start") - scope) / BIN) - 1, F.floor((F.col("end") + scope) / BIN)))
+    # interval join within bins: a part is held in all bins that it covers, a candidate looks into those within its scope
+    bins = F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))
+    held = parts.select("row", F.explode(bins).alias("bin"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r"))
+    weak = parts.filter("NOT strong").withColumn("reach", F.sequence(F.floor((F.col("start") - scope) / BIN), F.floor((F.col("end") + scope) / BIN)))
     near = (F.col("s") <= F.col("end") + scope) & (F.col("e") + scope >= F.col("start")) & (F.col("r") != F.col("role")) & ((F.col("e") <= F.col("start")) | (F.col("s") >= F.col("end")))
     linked = weak.withColumn("bin", F.explode("reach")).drop("reach").join(held.withColumnRenamed("row", "row2").withColumnRenamed("bin", "bin2"), (F.col("row") == F.col("row2")) & (F.col("bin") == F.col("bin2")) & near, "left_semi")
     spans = parts.filter("strong").unionByName(linked.drop("bin").distinct())

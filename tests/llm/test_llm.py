@@ -381,3 +381,12 @@ def test_linked_secrets(spark):
     assert [(k, rows[5][1][a:b]) for k, a, b in got[6]] == [("assign", 'SECRET="0123456789abcdef01'), ("hex", "0123456789abcdef01")]
     for i, spans in got.items():
         assert all(rows[i - 1][1][a:b].strip() for _, a, b in spans)
+
+
+@pytest.mark.parametrize("length", [60, 376, 631, 1000, 5000])
+def test_secret_after_a_long_part(spark, length):
+    long, gap = "aB3" * (length // 3 + 1), " " + "- " * 40
+    rows = [(i, "x " * i + long + gap + "AKIAABCDEFGHIJ") for i in range(0, 256, 17)] + [(1000, "AKIAABCDEFGHIJ" + gap + long), (1001, long + " -" * 70 + " AKIAABCDEFGHIJ")]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got.pop(1001) == [] and got.pop(1000) == ["partial", "key"]
+    assert len(got) == 16 and all(kinds == ["key", "partial"] for kinds in got.values())
