@@ -42,11 +42,14 @@ def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of near copies (five words, 0.8)."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias(_free("gone", docs)))
-    mark = gone.columns[0]
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(mark), "left_anti").select(*_columns(docs))
+    """The document with the least doc_id of each component of near copies (five words, 0.8).
+
+    Rows go by doc_id and text: null and repeated ids lose their own near copies and nothing else.
+    """
+    gone_id, gone_text = _free("gone", docs), _free("gone_text", docs)
+    gone = near_dedup.gone_rows(docs).toDF(gone_id, gone_text)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id)) & (F.md5("text") == F.col(gone_text))
+    return docs.join(gone.hint("merge"), same, "left_anti").select(*_columns(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, verification on full sets, connected components.
 
 1.  Each text becomes its set of hashed five-word shingles. Texts with the same set form a class,
-    which its least doc_id represents; from here on only classes are compared.
+    which its least row by doc_id and text represents (null ids last). A class has a written number
+    of its own; from here on only classes are compared.
 2.  A signature of many universal hash minima is cut into bands. Classes that share a band key
     share a bucket.
 3.  Every member of a bucket is verified against the bucket's least member on full sets, and the
@@ -37,7 +38,7 @@ def _key(shingles: np.ndarray) -> bytes:
 
 
 def _describe(size: int, hashing: MinHash):
-    """(doc_id, n_shingles, set_key, bands) of each text."""
+    """(doc_id, text_key, n_shingles, set_key, bands) of each text."""
 
     def run(batches):
         for batch in batches:
@@ -47,15 +48,15 @@ def _describe(size: int, hashing: MinHash):
                 keys.append(_key(s) if len(s) else None)
                 bands.append(hashing.band_keys(hashing.signature(s)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
     return run
 
 
 def _profiles(size: int, hashing: MinHash, sketching: MinHash):
-    """(cid, set_key, bands, sketch, members) of each candidate; sketch has one byte a hash function."""
+    """(cid, bands, sketch, members) of each candidate; sketch has one byte a hash function."""
 
     def run(batches):
         for batch in batches:
@@ -63,9 +64,9 @@ def _profiles(size: int, hashing: MinHash, sketching: MinHash):
             for s in shingle_sets(batch.column("text"), size):
                 bands = hashing.band_keys(hashing.signature(s)).tobytes() if len(s) else b""
                 sketch = (sketching.signature(s) >> np.uint32(7)).astype(np.uint8).tobytes() if len(s) else b""
-                rows.append((_key(s) if len(s) else None, bands, sketch, s.tobytes()))
-            columns = [batch.column("doc_id"), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(columns, ["cid", "set_key", "bands", "sketch", "members"])
+                rows.append((bands, sketch, s.tobytes()))
+            columns = [batch.column("cid"), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "bands", "sketch", "members"])
 
     return run
 
@@ -111,37 +112,31 @@ def _likely(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 26, rows: int = 5, block: int = BLOCK) -> DataFrame:
-    """Classes of near-duplicate documents: (doc_id, n_shingles, class_id, component_id, kept).
-
-    docs: doc_id and text; other columns are ignored. Two documents are linked when the Jaccard
-    similarity of their shingle sets is at least percent / 100. class_id is the least doc_id with
-    the same set, component_id the least one reachable; kept marks that row.
+def _found(docs: DataFrame, percent: int, size: int, bands: int, rows: int, block: int) -> DataFrame:
+    """near_duplicates with text_key, a digest of the text: doc_id and text_key name a row, repeated rows apart."""
 
-    Null or blank texts have an empty set and are linked with nothing. A row with a null doc_id can
-    be a copy of others but never represents them; alone it stays. Rows that repeat a doc_id and
-    text share their result. An empty table gives an empty table.
-    """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "near")
     hashing, sketching = MinHash(bands, rows), MinHash(SKETCH, 1, seed=11)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = scratch.keep(texts.mapInArrow(_describe(size, hashing), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"))
-    classes = scratch.keep(base.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("cid"), F.max("n_shingles").alias("n_shingles")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_key"), "text")
+    base = scratch.keep(texts.mapInArrow(_describe(size, hashing), "doc_id bigint, text_key string, n_shingles bigint, set_key binary, bands array<bigint>"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    sets = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    classes = scratch.keep(sets.withColumn("cid", F.monotonically_increasing_id()))
 
     # buckets of more than one class
-    reps = classes.select("set_key", F.col("cid").alias("doc_id")).join(base.select("set_key", "doc_id", "bands"), ["set_key", "doc_id"]).dropDuplicates(["set_key"])
-    placed = scratch.keep(reps.select(F.col("doc_id").alias("cid"), "set_key", F.posexplode("bands").alias("band", "bucket")))
+    named = classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key"))
+    reps = named.join(base.filter("n_shingles > 0"), is_rep).dropDuplicates(["cid"])
+    placed = scratch.keep(reps.select("cid", F.posexplode("bands").alias("band", "bucket")))
     buckets = placed.groupBy("band", "bucket").agg(F.min("cid").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.keep(placed.join(buckets, ["band", "bucket"]).select("cid", "set_key", "band", "bucket", "center"))
+    shared = scratch.keep(placed.join(buckets, ["band", "bucket"]).select("cid", "band", "bucket", "center"))
     scratch.drop(placed)
 
     # full sets of the classes in them
-    wanted = shared.select("cid", "set_key").distinct()
-    found = texts.join(wanted.select(F.col("cid").alias("doc_id")).hint("merge"), "doc_id", "left_semi").mapInArrow(
-        _profiles(size, hashing, sketching), "cid bigint, set_key binary, bands binary, sketch binary, members binary"
-    )
-    profiles = scratch.keep(found.join(wanted, ["cid", "set_key"], "left_semi").dropDuplicates(["cid"]).drop("set_key"))
+    wanted = named.join(shared.select("cid").distinct(), "cid", "left_semi")
+    found = texts.join(wanted.hint("merge"), is_rep).select("cid", "text")
+    profiles = scratch.keep(found.mapInArrow(_profiles(size, hashing, sketching), "cid bigint, bands binary, sketch binary, members binary").dropDuplicates(["cid"]))
 
     def links(pairs: DataFrame) -> DataFrame:
         sets = profiles.select("cid", "members")
@@ -175,15 +170,39 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     more = links(likely)
     joined = components(edges.union(more), scratch)
 
-    by_class = classes.filter("cid is not null").join(joined.withColumnRenamed("id", "cid"), "cid", "left").select("set_key", "cid", F.coalesce("component", "cid").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
+    # a component's row is the least of its classes' rows
+    linked = joined.withColumnRenamed("id", "cid")
+    heads = classes.join(linked, "cid").groupBy("component").agg(F.min("rep").alias("head"))
+    by_class = classes.join(linked.join(heads, "component"), "cid", "left").select("set_key", "rep", F.coalesce("head", "rep").alias("head"))
+    out = base.select("doc_id", "text_key", "n_shingles", "set_key").join(by_class, "set_key", "left")
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("text_key").eqNullSafe(F.col("head.text_key"))
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("cid", "doc_id").alias("class_id"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("component").isNull()).alias("kept"),
+        "doc_id", "text_key", "n_shingles", F.coalesce("rep.doc_id", "doc_id").alias("class_id"), F.coalesce("head.doc_id", "doc_id").alias("component_id"),
+        (F.col("head").isNull() | is_head).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 26, rows: int = 5, block: int = BLOCK) -> DataFrame:
+    """Classes of near-duplicate documents: (doc_id, n_shingles, class_id, component_id, kept).
+
+    docs: doc_id and text; other columns are ignored. Two documents are linked when the Jaccard
+    similarity of their shingle sets is at least percent / 100. class_id is the least doc_id with
+    the same set, component_id the least one reachable; kept marks that row.
+
+    Null or blank texts have an empty set and are linked with nothing. Rows are told apart by doc_id
+    and text, so rows with a null doc_id and rows that share a doc_id but not a text are linked as
+    any others. A null doc_id stands last: such a row is kept only where no row with a doc_id is in
+    its component, and then the one of the least text digest. Rows that repeat a doc_id and text
+    share their result. An empty table gives an empty table.
+    """
+    return _found(docs, percent, size, bands, rows, block).drop("text_key")
+
+
+def gone_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, text_key) of the rows that are not kept; text_key is the MD5 of the text."""
+    return _found(docs, percent, 5, 26, 5, BLOCK).filter("NOT kept").select("doc_id", "text_key").distinct()
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")

@@ -52,3 +52,26 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position"] and out.count() > 0
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    def text(name, n=60, **changed):
+        return " ".join(changed.get(f"w{i}", f"{name}{i}") for i in range(n))
+
+    near = {"w30": "other"}
+    rows = [
+        (None, text("a")), (None, text("a", **near)), (None, text("a", w59="end")),  # near copies without ids: one stays
+        (None, text("b")), (9, text("b", **near)),  # the row with an id stays
+        (1, text("c")), (2, text("c", **near)), (2, text("d")),  # id 2 is a near copy once, and a text of its own
+        (3, text("e")), (3, text("f")), (4, text("e", **near)), (4, text("f", **near)), (4, text("g")),  # both rows of id 3 stay
+        (5, text("h")), (5, text("h", **near)),  # near copies of one id: one stays
+        (None, None), (None, " "), (6, None), (None, text("i")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("gone", F.lit("clash"))
+    out = corpus_pipeline.keep_one_near(spark, docs.repartition(3), "")
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert out.columns == docs.columns
+    several = [r for r in got if r in rows[:3]], [r for r in got if r in rows[13:15]]
+    assert [len(s) for s in several] == [1, 1]
+    rest = [r for r in got if r not in rows[:3] + rows[13:15]]
+    assert sorted(rest, key=str) == sorted([rows[i] for i in (4, 5, 7, 8, 9, 12, 15, 16, 17, 18)], key=str)
