@@ -69,8 +69,8 @@ class Chain:
         ratio = forward * backward
         return ratio / (1 + ratio)
 
-    def fit(self, features: np.ndarray, starts: np.ndarray, states: np.ndarray, rounds: int = 60, decay: float = 0.02) -> None:
-        """Climb the conditional likelihood of labelled words; step sizes follow the gradient's sign."""
+    def gradient(self, features: np.ndarray, starts: np.ndarray, states: np.ndarray) -> np.ndarray:
+        """Of the log likelihood of whole sequences, by weights, edges 01, 10 and 11, and first."""
         size = len(self.weights)
         flat, word = features.ravel(), np.repeat(np.arange(len(features)), features.shape[1])
         word, flat = word[flat > 0], flat[flat > 0]
@@ -80,23 +80,34 @@ class Chain:
         np.add.at(moves, (states[:-1][inner[1:]], states[1:][inner[1:]]), 1)
         seen = np.bincount(flat, weights=states[word], minlength=size)
         seen[0] = states.sum()
+        odds = self.odds(features)
+        forward, backward = self.passes(odds, starts)
+        p = forward * backward / (1 + forward * backward)
+        f, o, b, e = forward[:-1][inner[1:]], odds[1:][inner[1:]], backward[1:][inner[1:]], np.exp(self.edges)
+        joint = np.stack([np.full(len(f), e[0, 0]), e[0, 1] * o * b, f * e[1, 0], f * e[1, 1] * o * b])
+        expected = (joint / joint.sum(axis=0)).sum(axis=1)
+        gradient = np.zeros(size + 4)
+        gradient[:size] = seen - np.bincount(flat, weights=p[word], minlength=size)
+        gradient[0] = seen[0] - p.sum()
+        gradient[size : size + 3] = np.array([moves[0, 1], moves[1, 0], moves[1, 1]]) - expected[1:]
+        gradient[-1] = states[starts].sum() - p[starts].sum()
+        return gradient
+
+    def fit(self, features: np.ndarray, starts: np.ndarray, states: np.ndarray, rounds: int = 60, decay: float = 0.02) -> None:
+        self.fit_blocks(lambda: [(features, starts, states)], rounds, decay)
+
+    def fit_blocks(self, blocks, rounds: int = 60, decay: float = 0.02) -> None:
+        """Climb the conditional likelihood of labelled words; step sizes follow the gradient's sign.
+
+        blocks() gives (features, starts, states) of whole sequences, one block after the other, in each round.
+        """
+        size = len(self.weights)
         values = np.r_[self.weights, self.edges[0, 1], self.edges[1, 0], self.edges[1, 1], self.first]
         step, before = np.full(len(values), 0.3), np.zeros(len(values))
         for _ in range(rounds):
             self.weights, self.first = values[:size], values[-1]
             self.edges = np.array([[0.0, values[size]], [values[size + 1], values[size + 2]]])
-            odds = self.odds(features)
-            forward, backward = self.passes(odds, starts)
-            p = forward * backward / (1 + forward * backward)
-            f, o, b, e = forward[:-1][inner[1:]], odds[1:][inner[1:]], backward[1:][inner[1:]], np.exp(self.edges)
-            joint = np.stack([np.full(len(f), e[0, 0]), e[0, 1] * o * b, f * e[1, 0], f * e[1, 1] * o * b])
-            expected = (joint / joint.sum(axis=0)).sum(axis=1)
-            gradient = np.zeros(len(values))
-            gradient[:size] = seen - np.bincount(flat, weights=p[word], minlength=size)
-            gradient[0] = seen[0] - p.sum()
-            gradient[size : size + 3] = np.array([moves[0, 1], moves[1, 0], moves[1, 1]]) - expected[1:]
-            gradient[-1] = states[starts].sum() - p[starts].sum()
-            gradient -= decay * values
+            gradient = sum(self.gradient(*block) for block in blocks()) - decay * values
             turn = np.sign(gradient) * np.sign(before)
             step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-4, 1.0)
             before = np.where(turn < 0, 0.0, gradient)

@@ -18,7 +18,7 @@ from .crf import Chain
 from .words import LETTER_OR_DIGIT, Words, mix, slices
 
 TRAIN_ROWS = 12_000
-CHAIN_WORDS = 400_000
+BLOCK_WORDS = 200_000
 FEATURES = 4000
 PREFIXES = (4, 5, 6)
 KINDS = 1 + len(PREFIXES)
@@ -103,6 +103,25 @@ def _explain(documents: list[tuple[np.ndarray, np.ndarray]], least: int) -> set[
     return chosen
 
 
+def _blocks(found: list[tuple[int, int, np.ndarray, np.ndarray]], chosen: np.ndarray):
+    """(features, starts, states) of all documents, in blocks of at most BLOCK_WORDS words or one longer document."""
+    at = 0
+    while at < len(found):
+        upto, total = at, 0
+        while upto < len(found) and (upto == at or total + found[upto][1] <= BLOCK_WORDS):
+            total += found[upto][1]
+            upto += 1
+        features, states, starts = np.zeros((total, KINDS), dtype=np.int64), np.zeros(total, dtype=np.int64), np.zeros(total, dtype=bool)
+        first = 0
+        for y, n, places, own in found[at:upto]:
+            features[first + places] = own
+            states[first + places] = np.isin(own, chosen).any(axis=1) & (y == 1)
+            starts[first] = True
+            first += n
+        yield features, starts, states
+        at = upto
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, chain: Chain):
         self.lexicon, self.chain = lexicon, chain
@@ -111,6 +130,8 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about `rows` labelled documents, a third of them toxic if there are enough.
 
+    The chain is fitted on every word of all of these; the driver holds only the words with a feature.
+
     docs: doc_id and text; labels: doc_id and y. Labels are sampled by a hash of doc_id before the
     join, so the sample's bound holds for what is broadcast, and only the sample's texts move.
     """
@@ -141,23 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAI
     found.sort(key=lambda r: (r[1], r[2].tobytes(), r[3].tobytes()))
     chosen = np.array(sorted(_explain([(p, f) for y, _, p, f in found if y == 1], least)), dtype=np.int64)
     chain = Chain(len(lexicon.sorted) + 1)
-    features, starts, states, total = [], [], [], 0
-    budget = {0: CHAIN_WORDS // 2, 1: CHAIN_WORDS // 2}
-    for y, n, places, own in found:
-        if n and n <= budget[y]:
-            budget[y] -= n
-            dense = np.zeros((n, KINDS), dtype=np.int64)
-            dense[places] = own
-            features.append(dense)
-            state = np.zeros(n, dtype=np.int64)
-            state[places] = np.isin(own, chosen).any(axis=1) & (y == 1)
-            states.append(state)
-            first = np.zeros(n, dtype=bool)
-            first[0] = True
-            starts.append(first)
-            total += n
-    if total:
-        chain.fit(np.concatenate(features), np.concatenate(starts), np.concatenate(states))
+    found = [r for r in found if r[1]]
+    if found:
+        chain.fit_blocks(lambda: _blocks(found, chosen))
     return Model(lexicon, chain)
 
 

@@ -390,3 +390,23 @@ def test_secret_after_a_long_part(spark, length):
     got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got.pop(1001) == [] and got.pop(1000) == ["partial", "key"]
     assert len(got) == 16 and all(kinds == ["key", "partial"] for kinds in got.values())
+
+
+def test_toxicity_learns_from_long_documents(spark):
+    short = [(i, f"{i} " + ("calm words here badshort again " * 3 if i % 2 else "calm words here again today " * 3), i % 2) for i in range(40)]
+    long = [(100 + i, f"{i} " + "calm words here badlong again " * 42_000, 1) for i in range(3)]
+    docs = spark.createDataFrame([r[:2] for r in short + long], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in short + long], "doc_id bigint, y int")
+    model = toxicity.train(docs, labels, Scratch(spark, "t"))
+    probe = spark.createDataFrame([(1, "calm badlong again"), (2, "calm badshort again"), (3, "calm words again")], "doc_id bigint, text string")
+    spans = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in toxicity.tag(probe, model).collect()}
+    assert spans == {1: [(5, 12)], 2: [(5, 13)], 3: []}
+
+
+def test_crf_blocks_equal_one_block():
+    rng = np.random.default_rng(3)
+    features, starts, states = rng.integers(0, 4, (600, 2)), np.arange(600) % 50 == 0, rng.integers(0, 2, 600)
+    one = crf.Chain(4)
+    whole = one.gradient(features, starts, states)
+    parts = sum(one.gradient(features[i : i + 150], starts[i : i + 150], states[i : i + 150]) for i in range(0, 600, 150))
+    assert np.allclose(whole, parts)
