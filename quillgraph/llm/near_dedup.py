@@ -5,14 +5,18 @@
     of its own; from here on only classes are compared.
 2.  A signature of many universal hash minima is cut into bands. Classes that share a band key
     share a bucket.
-3.  Every member of a bucket is verified against the bucket's least member on full sets, and the
-    links found are joined into components by large-star and small-star rounds.
-4.  Pairs of a bucket that are still in different components are compared by a longer signature,
-    inside tasks, in blocks of bounded size; those whose similarity may reach the threshold
-    (within four standard deviations) are verified on full sets, and components are joined again.
-
-So a group of n copies costs n verifications, not n squared, and no pair is skipped for its bucket's
-size: a bucket of any size is split into pairs of blocks. Nothing but counts reaches the driver.
+3.  Every member of a bucket is verified on full sets against the bucket's center, the member with
+    most neighbours over all its buckets, and the links found are joined into components by
+    large-star and small-star rounds.
+4.  Buckets with members of several components are cut into pairs of blocks of bounded size. A task
+    compares a pair of blocks by a longer signature, verifies on full sets what may reach the
+    threshold (within four standard deviations), most alike first, and skips pairs that are joined
+    already. So it gives less links than the blocks have components, never all pairs of a group.
+    Blocks of one component alone are not paired. Components are then joined again.
+
+So a group of n copies costs about n verifications, and no pair is skipped for its bucket's size: a
+bucket of any size is split into pairs of blocks. Only the texts of classes in shared buckets are
+shuffled, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,15 +26,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
 from .components import components
 from .shingles import MinHash, jaccard, shingle_sets
+from .sieve import Sieve
 
 SKETCH = 1024
-BLOCK = 1500
+BLOCK = 512
+#: Shingles of a block, beyond which it is split further; a single longer set is a block of its own size.
+BLOCK_SHINGLES = 2_000_000
 
 
 def _key(shingles: np.ndarray) -> bytes:
@@ -83,35 +90,63 @@ def _verify(percent: int):
     return run
 
 
-def _likely(percent: int):
-    """Pairs of a block, in different components, that may be linked; each only in the first band the two share."""
+def _merging(percent: int):
+    """Links of a pair of blocks, as pairs of components, that join components not yet joined here.
+
+    A pair of classes is looked at in the first band that the two share.
+    """
     chance = 1 / 256
     share = percent / 100
     lowest = share - 4 * math.sqrt(share * (1 - share) / SKETCH)
     least_equal = math.floor(SKETCH * (lowest + (1 - lowest) * chance))
 
     def run(table: pa.Table) -> pa.Table:
-        cid, comp, n = (table.column(c).to_numpy() for c in ("cid", "component", "n_shingles"))
-        side, band = table.column("side").to_numpy(), table.column("band").to_numpy()
+        cid, comp, n, side, band = (table.column(c).to_numpy() for c in ("cid", "component", "n_shingles", "side", "band"))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1)
         keys = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint64).reshape(len(cid), -1)
         left, right = np.flatnonzero(side <= 1), np.flatnonzero(side != 1)
-        a, b = [], []
+        alike, a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             j = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if side[i] == 0:
                 j = j[cid[j] > cid[i]]
-            if len(j):
-                j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least_equal]
             if len(j):
                 j = j[(keys[j] == keys[i]).argmax(axis=1) == band[i]]
-                a += [cid[i]] * len(j)
-                b += cid[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if len(j):
+                equal = (sketch[j] == sketch[i]).sum(axis=1)
+                j, equal = j[equal >= least_equal], equal[equal >= least_equal]
+                alike.append(equal)
+                a.append(np.full(len(j), i))
+                b.append(j)
+        alike, a, b = np.concatenate(alike), np.concatenate(a), np.concatenate(b)
+        order = np.argsort(-alike, kind="stable")
+        members = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        links = []
+        for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                common, union = jaccard(members[i], members[j])
+                if 100 * common >= percent * union:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(comp[i]), int(comp[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
+def row_key(doc_id: str | Column, text_key: str | Column) -> Column:
+    """A hash that stands for a row in a Sieve."""
+    return F.xxhash64(doc_id, text_key)
+
+
 def _found(docs: DataFrame, percent: int, size: int, bands: int, rows: int, block: int) -> DataFrame:
     """near_duplicates with text_key, a digest of the text: doc_id and text_key name a row, repeated rows apart."""
 
@@ -121,59 +156,62 @@ def _found(docs: DataFrame, percent: int, size: int, bands: int, rows: int, bloc
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("text_key"), "text")
     base = scratch.keep(texts.mapInArrow(_describe(size, hashing), "doc_id bigint, text_key string, n_shingles bigint, set_key binary, bands array<bigint>"))
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    sets = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("rep"), F.max("n_shingles").alias("n_shingles"))
+    sets = base.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"))
     classes = scratch.keep(sets.withColumn("cid", F.monotonically_increasing_id()))
 
     # buckets of more than one class
-    named = classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
-    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key"))
-    reps = named.join(base.filter("n_shingles > 0"), is_rep).dropDuplicates(["cid"])
-    placed = scratch.keep(reps.select("cid", F.posexplode("bands").alias("band", "bucket")))
-    buckets = placed.groupBy("band", "bucket").agg(F.min("cid").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.keep(placed.join(buckets, ["band", "bucket"]).select("cid", "band", "bucket", "center"))
+    placed = scratch.keep(classes.select("cid", "n_shingles", F.posexplode("bands").alias("band", "bucket")))
+    counts = placed.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.keep(placed.join(counts, ["band", "bucket"]))
     scratch.drop(placed)
+    weights = shared.groupBy("cid").agg(F.sum("n").alias("weight"))
+    centers = shared.join(weights, "cid").groupBy("band", "bucket").agg(F.max(F.struct("weight", (-F.col("cid")).alias("turned"))).alias("best"))
+    centers = centers.select("band", "bucket", (-F.col("best.turned")).alias("center"))
 
-    # full sets of the classes in them
-    wanted = named.join(shared.select("cid").distinct(), "cid", "left_semi")
-    found = texts.join(wanted.hint("merge"), is_rep).select("cid", "text")
+    # full sets of the classes in them: only their texts are shuffled
+    named = classes.select("cid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+    wanted = scratch.keep(named.join(weights.select("cid"), "cid", "left_semi"))
+    _, near = Sieve(wanted.select(row_key("rep_id", "rep_key"))).split(texts, row_key("doc_id", "text_key"))
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key"))
+    found = near.join(wanted.hint("merge"), is_rep).select("cid", "text")
     profiles = scratch.keep(found.mapInArrow(_profiles(size, hashing, sketching), "cid bigint, bands binary, sketch binary, members binary").dropDuplicates(["cid"]))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        sets = profiles.select("cid", "members")
-        with_b = pairs.join(sets.toDF("b", "members_b"), "b")
-        with_a = with_b.join(sets.toDF("a", "members_a"), "a")
-        return scratch.keep(with_a.select("a", "b", "members_a", "members_b").mapInArrow(_verify(percent), "a bigint, b bigint"))
-
-    stars = shared.filter("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
-    edges = links(stars)
-    joined = components(edges, scratch)
-
-    # what is left between components
-    members = scratch.keep(
-        shared.select("cid", "band", "bucket").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    )
-    mixed = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("cid"), "parts").cast("int")
+    stars = shared.join(centers, ["band", "bucket"]).filter("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
+    sets = profiles.select("cid", "members")
+    pairs = stars.join(sets.toDF("b", "members_b"), "b").join(sets.toDF("a", "members_a"), "a").select("a", "b", "members_a", "members_b")
+    joined = scratch.keep(components(scratch.keep(pairs.mapInArrow(_verify(percent), "a bigint, b bigint")), scratch))
+
+    # buckets that still hold several components, in pairs of blocks
+    members = scratch.keep(shared.drop("n").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    groups = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+    mixed = groups.groupBy("band", "bucket").agg(F.max(F.struct("m", "s", "component")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
+
+    def parts(m: Column, s: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(m / block), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+
+    top = F.col("top")
+    cuts = mixed.select("band", "bucket", top["component"].alias("main"), parts(top["m"], top["s"]).alias("p"), parts(F.col("m") - top["m"], F.col("s") - top["s"]).alias("q"))
+    # blocks of the largest component come first, and meet only the others
+    main = F.col("component") == F.col("main")
+    own = F.when(main, F.pmod(F.xxhash64("cid"), "p")).otherwise(F.col("p") + F.pmod(F.xxhash64("cid"), "q")).cast("int")
     spread = (
-        members.join(mixed.select("band", "bucket", parts.alias("parts")), ["band", "bucket"])
+        members.join(cuts, ["band", "bucket"])
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("other", F.explode(F.sequence(F.when(main, F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
         .select(
-            "cid", "component", "band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+            "cid", "component", "n_shingles", "band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
         )
     )
-    sized = classes.select("cid", "n_shingles")
-    compared = spread.join(profiles.select("cid", "bands", "sketch"), "cid").join(sized, "cid")
-    likely = scratch.keep(compared.groupBy("band", "bucket", "i", "j").applyInArrow(_likely(percent), "a bigint, b bigint"))
-    more = links(likely)
-    joined = components(edges.union(more), scratch)
+    more = scratch.keep(spread.join(profiles, "cid").groupBy("band", "bucket", "i", "j").applyInArrow(_merging(percent), "a bigint, b bigint"))
+    again = components(more, scratch).toDF("component", "joint")
+    alone = classes.join(joined, F.col("cid") == F.col("id"), "left").select("cid", "set_key", "rep", F.coalesce("component", "cid").alias("component"))
+    linked = alone.join(again, "component", "left").withColumn("component", F.coalesce("joint", "component")).drop("joint")
 
     # a component's row is the least of its classes' rows
-    linked = joined.withColumnRenamed("id", "cid")
-    heads = classes.join(linked, "cid").groupBy("component").agg(F.min("rep").alias("head"))
-    by_class = classes.join(linked.join(heads, "component"), "cid", "left").select("set_key", "rep", F.coalesce("head", "rep").alias("head"))
+    linked = scratch.keep(linked)
+    heads = linked.groupBy("component").agg(F.min("rep").alias("head"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    by_class = linked.join(heads, "component", "left").select("set_key", "rep", F.coalesce("head", "rep").alias("head"))
     out = base.select("doc_id", "text_key", "n_shingles", "set_key").join(by_class, "set_key", "left")
     is_head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & F.col("text_key").eqNullSafe(F.col("head.text_key"))
     return out.select(
@@ -189,7 +227,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     similarity of their shingle sets is at least percent / 100. class_id is the least doc_id with
     the same set, component_id the least one reachable; kept marks that row.
 
-    Null or blank texts have an empty set and are linked with nothing. Rows are told apart by doc_id
+    Null or blank texts have an empty set and are linked with nothing. A text of any length is taken
+    whole; its set is held by one task. Rows are told apart by doc_id
     and text, so rows with a null doc_id and rows that share a doc_id but not a text are linked as
     any others. A null doc_id stands last: such a row is kept only where no row with a doc_id is in
     its component, and then the one of the least text digest. Rows that repeat a doc_id and text
@@ -198,12 +237,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, bands: in
     return _found(docs, percent, size, bands, rows, block).drop("text_key")
 
 
-def gone_rows(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, text_key) of the rows that are not kept; text_key is the MD5 of the text."""
-    return _found(docs, percent, 5, 26, 5, BLOCK).filter("NOT kept").select("doc_id", "text_key").distinct()
+def without_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The documents that near_duplicates keeps, columns as given; nulls, ties and repeats as there.
+
+    Rows go by doc_id and text: null and repeated ids lose their own near copies and nothing else.
+    Rows that repeat a doc_id and text stay or go together. Only rows that may go are shuffled.
+    """
+    scratch = Scratch(prepare(docs.sparkSession), "gone")
+    found = _found(docs, percent, 5, 26, 5, BLOCK).filter("NOT kept").select("doc_id", "text_key").distinct()
+    gone_id, gone_text = "gone", "gone_text"
+    while gone_id in docs.columns or gone_text in docs.columns:
+        gone_id, gone_text = gone_id + "_", gone_text + "_"
+    gone = scratch.keep(found.toDF(gone_id, gone_text))
+    own_id, own_text = F.col("doc_id").cast("bigint"), F.md5("text")
+    stay, may_go = Sieve(gone.select(row_key(gone_id, gone_text))).split(docs, row_key(own_id, own_text))
+    same = own_id.eqNullSafe(F.col(gone_id)) & (own_text == F.col(gone_text))
+    return stay.union(may_go.join(gone.hint("merge"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents at 0.85: a row a document. Nulls, ties, repeats and empty tables as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
