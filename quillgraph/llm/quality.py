@@ -1,9 +1,9 @@
 """Quality classifier: random Fourier features over document statistics, ridge, isotonic calibration.
 
-Statistics of every whole text are computed once. Their mean and spread, and the normal equations
-of the ridge fit, are sums over partitions of the labelled rows; random Fourier features stand for
+The statistics of a sample of labelled texts are written once. Their mean and spread, and the normal
+equations of the ridge fit, are sums over partitions of these rows; random Fourier features stand for
 a Gaussian kernel. Scores become probabilities by isotonic regression over bins of the training
-scores.
+scores. Then one pass over all whole texts describes and scores them; no text is shuffled.
 """
 
 from __future__ import annotations
@@ -155,13 +155,13 @@ class Model:
         return np.clip(0.9998 * level + 1e-4 * (1 + np.tanh(raw - 0.5)), 0.0, 1.0)
 
 
-def _with_score(model: Model, raw: bool):
+def _with_score(model: Model):
+    """(y, raw score) of rows (y, x)."""
+
     def run(batches):
         for batch in batches:
-            x = _stack(batch.column("x")) if len(batch) else np.zeros((0, len(STATISTICS)))
-            value = model.raw(x) if raw else model.score(x)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value, pa.float64())], [*batch.schema.names[:-1], "score"])
+            raw = model.raw(_stack(batch.column("x"))) if len(batch) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(raw, pa.float64())], ["y", "score"])
 
     return run
 
@@ -185,19 +185,30 @@ def _total(parts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def train(rows: DataFrame, scratch: Scratch, max_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on labelled rows (doc_id, y, x); beyond max_rows a share of them chosen by a hash of doc_id."""
-    n = rows.count()
+def sample(docs: DataFrame, labels: DataFrame, train_on: Column, scratch: Scratch, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, y, x) of labelled documents, written in SUM_PARTS parts.
+
+    Beyond max_rows labels, a share of them is chosen by a hash of doc_id before the join, so what
+    is broadcast has that bound and only labelled texts are described.
+    """
+    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna().filter(train_on)
+    n = known.count()
     if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    rows = rows.select("doc_id", "y", "x").repartition(SUM_PARTS, "doc_id")
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_describe, "doc_id bigint, y double, x binary")
+    return scratch.keep(found.repartition(SUM_PARTS, "doc_id"))
+
+
+def train(rows: DataFrame) -> Model:
+    """Fit on rows (y, x); repeated rows count as often as they stand. Without rows every score is 0.5."""
     d = len(STATISTICS)
     moments = _total(rows.select("x").mapInArrow(_sum_moments, "sums binary"), 2 * d + 1)
     seen = max(1.0, moments[0])
     mean = moments[1 : d + 1] / seen
     fourier = Fourier(mean, np.sqrt(np.maximum(0, moments[d + 1 :] / seen - mean**2)))
     size = len(fourier.b) + d + 1
-    if not n:
+    if not moments[0]:
         return Model(fourier, np.zeros(size))
     balance = rows.agg(F.avg("y")).first()[0]
     heavy = F.when(F.col("y") > 0, F.lit(0.5 / max(balance, 1e-6))).otherwise(F.lit(0.5 / max(1 - balance, 1e-6)))
@@ -206,58 +217,46 @@ def train(rows: DataFrame, scratch: Scratch, max_rows: int = TRAIN_ROWS) -> Mode
     gram = sums[: size * size].reshape(size, size)
     gram[np.diag_indices(size)] += RIDGE * seen
     model = Model(fourier, np.linalg.solve(gram, sums[size * size :]))
-    scored = rows.select("y", "x").mapInArrow(_with_score(model, True), "y double, score double")
+    scored = rows.select("y", "x").mapInArrow(_with_score(model), "y double, score double")
     bins = scored.groupBy(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), "score")) * (BINS / 3)).alias("bin")).agg(F.avg("y").alias("y"), F.count("*").alias("n"), F.avg("score").alias("at")).orderBy("bin").collect()
     levels = isotonic(np.array([b["y"] for b in bins]), np.array([float(b["n"]) for b in bins]))
     model.at, model.levels = np.array([b["at"] for b in bins]), levels
     return model
 
 
-def described(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """Given columns and x, the statistics of text as bytes."""
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = rows.drop("text").schema.add("x", "binary")
-    return rows.mapInArrow(_describe, schema)
-
-
-def score(rows: DataFrame, model: Model) -> DataFrame:
-    """rows with x replaced by score; x must be the last column."""
-    return rows.mapInArrow(_with_score(model, False), rows.drop("x").schema.add("score", "double"))
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, score) for each row of docs: how likely its label is 1, from 0 to 1.
+def scored(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs with their columns as c0, c1 and so on, and `score`: how likely the label is 1, from 0 to 1.
 
     docs: doc_id and text; labels: doc_id and quality; train_on: which labelled doc_ids to learn
-    from. Other columns are ignored. Null and empty texts have all statistics 0 and are scored
-    like any other; rows with a null doc_id are scored but not learned from; null labels are not
-    learned from. Without labelled rows every score is 0.5. Repeated rows count as often as they
-    stand. An empty table gives an empty table.
+    from. Null and empty texts have all statistics 0 and are scored like any other; rows with a null
+    doc_id are scored but not learned from; null labels are not learned from. Without labelled rows
+    every score is 0.5. Repeated rows count as often as they stand, and get equal scores. Texts are
+    described whole, however long. An empty table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "quality")
-    rows = scratch.keep(described(docs, F.col("doc_id").cast("bigint").alias("doc_id")))
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
-    return score(rows, train(rows.join(known, "doc_id").filter(train_on), scratch, max_rows))
+    model = train(sample(docs, labels, train_on, Scratch(spark, "quality"), max_rows))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(_score_texts(model, docs.columns.index("text")), T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column, max_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(doc_id, score) for each row of docs; other columns are ignored. Edge cases as in scored."""
+    return scored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), labels, train_on, max_rows).select(F.col("c0").alias("doc_id"), "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_on: Column, least: float) -> DataFrame:
-    """Rows of docs with a score of at least `least`, columns as given. Nulls and repeats as in quality_scores."""
-    spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "quality")
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    rows = scratch.keep(described(docs, F.col("doc_id").cast("bigint").alias("doc_id")))
-    known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
-    model = train(rows.join(known, "doc_id").filter(train_on), scratch)
-    scored = plain.mapInArrow(_score_texts(model, docs.columns.index("text")), T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
-    return scored.filter(F.col("score") >= least).select(*plain.columns).toDF(*docs.columns)
+    """Rows of docs with a score of at least `least`, columns as given. Edge cases as in scored."""
+    found = scored(docs, labels, train_on)
+    return found.filter(F.col("score") >= least).drop("score").toDF(*docs.columns)
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """Rows that are never learned from; a null doc_id is one of the others, though it has no label to learn."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """quality_scores of documents, learned from labels.quality of rows not held out: a row a document. Edge cases as in scored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out())
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
