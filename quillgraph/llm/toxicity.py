@@ -8,17 +8,18 @@ documents are the toxic words. The chain is fitted to these, and scores every wo
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
-from .crf import Chain
+from .crf import Chain, Runs
 from .words import LETTER_OR_DIGIT, Words, mix, slices
 
 TRAIN_ROWS = 12_000
-BLOCK_WORDS = 200_000
 FEATURES = 4000
 PREFIXES = (4, 5, 6)
 KINDS = 1 + len(PREFIXES)
@@ -87,39 +88,39 @@ def _sequences(lexicon: Lexicon):
 
 
 def _explain(documents: list[tuple[np.ndarray, np.ndarray]], least: int) -> set[int]:
-    """Features that together cover two words of most toxic documents, each new in at least `least` of them."""
+    """Features that together cover two words of most toxic documents, each new in at least `least` of them.
+
+    Gains only fall as features are chosen, so a feature is counted again only when it comes first.
+    """
     where: dict[int, list[int]] = {}
     for i, (_, features) in enumerate(documents):
         for f in np.unique(features[features > 0]).tolist():
             where.setdefault(f, []).append(i)
     need = np.full(len(documents), 2)
+    heap = [(-len(docs), f) for f, docs in where.items()]
+    heapq.heapify(heap)
     chosen: set[int] = set()
-    while where:
-        gain, f = max((int((need[docs] > 0).sum()), -f) for f, docs in where.items())
+    while heap:
+        f = heapq.heappop(heap)[1]
+        gain = int((need[where[f]] > 0).sum())
         if gain < least:
-            break
-        chosen.add(-f)
-        need[where.pop(-f)] -= 1
+            continue
+        if heap and (-gain, f) > heap[0]:
+            heapq.heappush(heap, (-gain, f))
+        else:
+            chosen.add(f)
+            need[where[f]] -= 1
     return chosen
 
 
-def _blocks(found: list[tuple[int, int, np.ndarray, np.ndarray]], chosen: np.ndarray):
-    """(features, starts, states) of all documents, in blocks of at most BLOCK_WORDS words or one longer document."""
-    at = 0
-    while at < len(found):
-        upto, total = at, 0
-        while upto < len(found) and (upto == at or total + found[upto][1] <= BLOCK_WORDS):
-            total += found[upto][1]
-            upto += 1
-        features, states, starts = np.zeros((total, KINDS), dtype=np.int64), np.zeros(total, dtype=np.int64), np.zeros(total, dtype=bool)
-        first = 0
-        for y, n, places, own in found[at:upto]:
-            features[first + places] = own
-            states[first + places] = np.isin(own, chosen).any(axis=1) & (y == 1)
-            starts[first] = True
-            first += n
-        yield features, starts, states
-        at = upto
+def _runs(found: list[tuple[int, int, np.ndarray, np.ndarray]], chosen: np.ndarray) -> Runs:
+    """All documents as runs: their words with a feature, labelled, and how many words stand between."""
+    end = np.zeros((1, KINDS), dtype=np.int16)
+    gaps = np.concatenate([np.diff(np.r_[-1, places, n]) - 1 for _, n, places, _ in found])
+    features = np.concatenate([part for _, _, _, own in found for part in (own, end)]).astype(np.int64)
+    lengths = np.array([len(places) + 1 for _, _, places, _ in found])
+    toxic = np.repeat([y == 1 for y, _, _, _ in found], lengths)
+    return Runs(gaps, features, (np.isin(features, chosen).any(axis=1) & toxic).astype(np.int64), lengths)
 
 
 class Model:
@@ -127,10 +128,12 @@ class Model:
         self.lexicon, self.chain = lexicon, chain
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS, features: int = FEATURES) -> Model:
     """Fit on at most about `rows` labelled documents, a third of them toxic if there are enough.
 
-    The chain is fitted on every word of all of these; the driver holds only the words with a feature.
+    features: how many pure words and word beginnings, the most frequent ones, can get a weight.
+    The chain is fitted on every word of all of these documents; the driver holds only the words
+    with a feature and how many stand between.
 
     docs: doc_id and text; labels: doc_id and y. Labels are sampled by a hash of doc_id before the
     join, so the sample's bound holds for what is broadcast, and only the sample's texts move.
@@ -153,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAI
     mentions = sample.select("y", "text").mapInArrow(_mentions, "feature bigint, y int")
     counted = mentions.groupBy("feature").agg(bad.alias("bad"), good.alias("good")).filter(F.col("bad") >= least)
     pure = counted.filter(F.col("bad") / toxic >= 99 * F.col("good") / clean)
-    top = pure.orderBy(F.desc("bad"), "good", "feature").limit(FEATURES).collect()
+    top = pure.orderBy(F.desc("bad"), "good", "feature").limit(features).collect()
     lexicon = Lexicon(np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64))
     found = [
         (r["y"], r["n"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["features"], np.int16).reshape(-1, KINDS))
@@ -164,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAI
     chain = Chain(len(lexicon.sorted) + 1)
     found = [r for r in found if r[1]]
     if found:
-        chain.fit_blocks(lambda: _blocks(found, chosen))
+        chain.fit(_runs(found, chosen))
     return Model(lexicon, chain)
 
 
@@ -209,8 +212,8 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, spans) for each row of docs; spans: code points of toxic words, neighbours joined.
 
     score is the probability that some word is toxic, of words with a marginal of 0.05 or more.
-    docs: doc_id and text; other columns are ignored. A null or wordless text scores 0 without
-    spans; so does every text when nothing was learned. Equal texts get equal results. An empty
+    docs: doc_id and text; other columns are ignored. Texts are tagged whole, however long, in slices
+    of whole texts. A null or wordless text scores 0 without spans; so does every text when nothing was learned. Equal texts get equal results. An empty
     table gives an empty table.
     """
     prepare(docs.sparkSession)
@@ -219,10 +222,12 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    """Rows that are never learned from; a null doc_id is one of the others, though it has no label to learn."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """tag of documents, learned from labels.toxic of rows not held out: a row a document. Edge cases as in tag and train."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("toxic").alias("y"))
     model = train(docs, labels, Scratch(prepare(spark), "toxic"))

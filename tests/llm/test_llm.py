@@ -223,6 +223,33 @@ def test_quality_held_out(spark):
     assert rows[0] >= 0.95 and 0 <= rows[1] <= rows[2] <= 1
 
 
+def test_quality_against_plain_numpy(spark, sf_dir):
+    """The whole fit over all labelled rows at once: ridge by least squares, calibration by its quadratic program's conditions."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["quality"] for r in labels.filter(~quality.held_out()).dropna(subset=["quality"]).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = [i for i in texts if i in known]
+    x = np.array(list(quality.statistics(pa.array([texts[i] for i in ids]))))
+    y = np.array([float(known[i]) for i in ids])
+    fourier = quality.Fourier(x.mean(axis=0), x.std(axis=0))
+    f, w = fourier(x), np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    root = np.sqrt(w)[:, None]
+    left = np.vstack([f * root, np.sqrt(quality.RIDGE * len(y)) * np.eye(f.shape[1])])
+    weights = np.linalg.lstsq(left, np.r_[y * root[:, 0], np.zeros(f.shape[1])], rcond=None)[0]
+    raw = f @ weights
+    bins = collections.defaultdict(list)
+    for r, v in zip(raw, y, strict=True):
+        bins[round(max(-1.0, min(2.0, r)) * quality.BINS / 3)].append((r, v))
+    keys = sorted(bins)
+    at, mean, n = (np.array([g(bins[k]) for k in keys]) for g in (lambda b: np.mean([r for r, _ in b]), lambda b: np.mean([v for _, v in b]), len))
+    levels = np.array([max(min(np.average(mean[i : k + 1], weights=n[i : k + 1]) for k in range(j, len(keys))) for i in range(j + 1)) for j in range(len(keys))])  # min-max formula of isotonic regression
+    everyone = np.array(list(quality.statistics(pa.array([texts[i] for i in texts]))))
+    z = fourier(everyone) @ weights
+    want = dict(zip(texts, np.clip(0.9998 * np.interp(z, at, levels) + 1e-4 * (1 + np.tanh(z - 0.5)), 0, 1), strict=True))
+    got = {r["doc_id"]: r["score"] for r in queries.QUERIES["op4_quality"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
 def test_toxicity_held_out(spark):
     found, labels = held_out_accuracy(spark, "op5_toxicity", "toxic")
     rows = found.join(labels, "doc_id").filter("held_out").select(F.avg((F.col("predicted") == F.col("toxic")).cast("int")), F.min("score"), F.max("score")).first()
@@ -284,7 +311,7 @@ def test_crf_learns_spans():
     starts = np.zeros(4000, bool)
     starts[::50] = True
     chain = crf.Chain(4)
-    chain.fit(features, starts, states)
+    chain.fit(crf.Runs.of(features, starts, states * features.any(axis=1)))
     assert ((chain.marginals(features, starts) >= 0.5) == states).mean() > 0.99
 
 
@@ -403,10 +430,109 @@ def test_toxicity_learns_from_long_documents(spark):
     assert spans == {1: [(5, 12)], 2: [(5, 13)], 3: []}
 
 
-def test_crf_blocks_equal_one_block():
+def brute_gradient(chain, features, starts, states):
+    """By numerical differences of the log likelihood, summed over all labellings of each sequence."""
+    size = len(chain.weights)
+
+    def likelihood(values):
+        at = crf.Chain(size)
+        at.weights, at.first = values[:size], values[-1]
+        at.edges = np.array([[0.0, values[size]], [values[size + 1], values[size + 2]]])
+        emit = np.log(at.odds(features))
+        heads = [*np.flatnonzero(starts).tolist(), len(starts)]
+        out = 0.0
+        for a, b in zip(heads, heads[1:], strict=False):
+            value = lambda s: at.first * s[0] + emit[a:b] @ np.array(s) + sum(at.edges[x, y] for x, y in zip(s, s[1:], strict=False))  # noqa: B023, E731
+            every = [value([(code >> i) & 1 for i in range(b - a)]) for code in range(2 ** (b - a))]
+            out += value(states[a:b].tolist()) - np.log(np.exp(every).sum())
+        return out
+
+    values = np.r_[chain.weights, chain.edges[0, 1], chain.edges[1, 0], chain.edges[1, 1], chain.first]
+    return np.array([(likelihood(values + d) - likelihood(values - d)) / 2e-5 for d in np.eye(len(values)) * 1e-5])
+
+
+def test_crf_gradient_of_runs():
     rng = np.random.default_rng(3)
-    features, starts, states = rng.integers(0, 4, (600, 2)), np.arange(600) % 50 == 0, rng.integers(0, 2, 600)
-    one = crf.Chain(4)
-    whole = one.gradient(features, starts, states)
-    parts = sum(one.gradient(features[i : i + 150], starts[i : i + 150], states[i : i + 150]) for i in range(0, 600, 150))
-    assert np.allclose(whole, parts)
+    for seed in range(6):
+        features = rng.integers(1, 4, (40, 2)) * (rng.random((40, 1)) < 0.4 + 0.1 * seed)
+        starts = np.zeros(40, bool)
+        starts[[0, 1, 7, 8, 9, 17, 26, 33, 39]] = True
+        states = (rng.random(40) < 0.6).astype(int) * features.any(axis=1)
+        chain = crf.Chain(4)
+        chain.weights, chain.first = rng.normal(size=4), 0.4
+        chain.edges = np.array([[0.0, 0.3], [-0.7, 1.1]])
+        assert np.allclose(crf.Runs.of(features, starts, states).gradient(chain), brute_gradient(chain, features, starts, states), atol=1e-5)
+
+
+def test_toxicity_score_by_enumeration(spark):
+    """Whole-document scores from the fitted weights, over all labellings of short texts."""
+    import itertools
+
+    words_ = ["calm", "again", "badone", "badtwo", "here"]
+    rng = random.Random(4)
+    rows = [(i, f"n{i} " + " ".join(rng.choices(words_[:2] + words_[4:], k=8) + (["badone", "badtwo"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, y int"), Scratch(spark, "t"))
+    probe = [(i, " ".join(rng.choices(words_, k=6))) for i in range(30)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.tag(spark.createDataFrame(probe, "doc_id bigint, text string"), model).collect()}
+    chain = model.chain
+    for i, text in probe:
+        part = next(iter(words.slices(pa.array([text]))))
+        own = part.words(words.LETTER_OR_DIGIT)
+        emit = np.log(chain.odds(model.lexicon.index(toxicity._hashed(own))))
+        mass, total = np.zeros(6), 0.0
+        for s in itertools.product((0, 1), repeat=6):
+            p = np.exp(chain.first * s[0] + emit @ np.array(s) + sum(chain.edges[x, y] for x, y in zip(s, s[1:], strict=False)))
+            total, mass = total + p, mass + p * np.array(s)
+        p = mass / total
+        assert abs(got[i] - (1 - np.prod(1 - p[p >= 0.05]))) < 1e-6
+
+
+def test_near_copies_without_a_common_center(spark):
+    """Copies that are each near the base and not near each other, and a chain where only neighbours are near."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(40):
+        copy = list(base)
+        for i in rng.sample(range(200), 3):
+            copy[i] = f"x{k}.{i}"
+        rows.append((1 + k, " ".join(copy)))
+    chain = [f"c{i}" for i in range(200)]
+    for k in range(30):
+        chain[k * 5] = f"y{k}"
+        rows.append((100 + k, " ".join(chain)))
+    for block in (512, 4):
+        for some in (rows, rows[1:]):
+            got = near_dedup.near_duplicates(spark.createDataFrame(some, "doc_id bigint, text string").repartition(3), percent=85, block=block)
+            assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_components(some, 85)
+
+
+def test_links_of_a_block_only_merge():
+    """A bucket of n like sets, all in components of their own, gives n - 1 links and not n squared."""
+    sets = [np.unique(np.r_[np.arange(400), 1000 + i]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(60)]
+    sketching = near_dedup.MinHash(near_dedup.SKETCH, 1, seed=11)
+    sets = [np.sort(s) for s in sets]
+    table = pa.table({
+        "cid": list(range(60)), "component": list(range(60)), "n_shingles": [len(s) for s in sets], "side": [0] * 60, "band": [0] * 60,
+        "sketch": [(sketching.signature(s) >> np.uint32(7)).astype(np.uint8).tobytes() for s in sets], "bands": [np.zeros(1, np.uint64).tobytes()] * 60, "members": [s.tobytes() for s in sets],
+    })
+    assert near_dedup._merging(85)(table).num_rows == 59
+
+
+def test_sieve_loses_no_key(spark):
+    from quillgraph.llm.sieve import Sieve
+
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("a.b"))
+    keys = rows.filter("id % 50 = 0").select("`a.b`")
+    for bits in (28, 15):
+        out, may = Sieve(keys, bits).split(rows, F.col("`a.b`"))
+        assert out.columns == rows.columns and out.count() + may.count() == 20_000 and may.filter("id % 50 = 0").count() == 400
+        assert bits == 15 or may.count() < 2500
+
+
+def test_without_copies_ranks_and_repeats(spark):
+    rows = [(None, "a", "x"), (-1, "a", "y"), (None, "b", "x"), (None, "b", "w"), (3, "c", "q"), (3, "c", "p"), (2, "c", "o"), (5, None, "m"), (4, "", "m"), (6, "d", "m"), (6, "e", "m")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, extra string").repartition(3)
+    got = sorted((tuple(r) for r in exact_dedup.without_copies(docs).collect()), key=str)
+    assert got == sorted([(-1, "a", "y"), (None, "b", "w"), (3, "c", "p"), (5, None, "m"), (6, "d", "m"), (6, "e", "m")], key=str)
