@@ -10,8 +10,7 @@ its operator's docstring defines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
 from quillgraph.session import Scratch, prepare
@@ -20,16 +19,6 @@ from quillgraph.session import Scratch, prepare
 QUALITY = 0.5
 
 
-def _free(name: str, docs: DataFrame) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
-def _columns(docs: DataFrame) -> list[Column]:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from labels of documents it is given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,12 +33,10 @@ def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each component of near copies (five words, 0.8).
 
-    Rows go by doc_id and text: null and repeated ids lose their own near copies and nothing else.
+    Rows go by doc_id and text; null and repeated ids, null and empty texts, ties and extra columns
+    as near_dedup.without_near_copies defines them.
     """
-    gone_id, gone_text = _free("gone", docs), _free("gone_text", docs)
-    gone = near_dedup.gone_rows(docs).toDF(gone_id, gone_text)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id)) & (F.md5("text") == F.col(gone_text))
-    return docs.join(gone.hint("merge"), same, "left_anti").select(*_columns(docs))
+    return near_dedup.without_near_copies(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
