@@ -65,10 +65,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
