@@ -3,8 +3,11 @@
 A shard is a slice of a partition's texts. Its words that occur in the benchmark get a symbol; runs
 of such words, as long as the shortest window at least, form the indexed text (others cannot hold
 a window). Backward search through wavelet ranks finds the windows that occur, sampled suffix
-positions tell where, and the places merge into spans. Texts are not shuffled and nothing is
-collected but the benchmark, in blocks of at most BLOCK_BYTES; each block is one more pass.
+positions tell where, and the places merge into spans. Texts are not shuffled. Equal benchmark
+texts are one, long ones are cut so that every window is in a piece, and pieces are dealt to blocks
+of about BLOCK_BYTES, each collected and broadcast by itself. A task reads a text once and looks for
+one block after the other; a benchmark of more than PASS_BYTES takes one more pass over the texts
+for each further PASS_BYTES, with what was found so far written between.
 """
 
 from __future__ import annotations
@@ -15,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import prepare
+from ..session import Scratch, prepare
 from .fm_index import FMIndex
 from .words import LETTER_OR_DIGIT, slices
 
 BLOCK_BYTES = 2 << 20
+PASS_BYTES = 64 << 20
+PIECE_WORDS = 50_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARD_BYTES = 4 << 20
 
 SPAN = "struct<first_word:bigint,end_word:bigint,first_char:bigint,end_char:bigint>"
@@ -28,34 +34,48 @@ _SPAN_ARROW = pa.struct([(c, pa.int64()) for c in ("first_word", "end_word", "fi
 _LEAK_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN_ARROW)), ("items", pa.list_(pa.string()))])
 
 
-class Windows:
-    """The windows of a block of benchmark items, by length, over a vocabulary of their words."""
+class Block:
+    """Some benchmark pieces as word hashes, as small as it is broadcast; ids: the items of each piece."""
 
-    def __init__(self, ids: list[str | None], texts: pa.Array, width: int):
-        self.ids = ids
-        hashes, bounds = [], []
+    def __init__(self, ids: list[list[str]], texts: pa.Array, width: int):
+        self.ids, self.width = ids, width
+        hashes, sizes = [np.zeros(0, np.uint64)], []
         for part in slices(texts):
             words = part.words(LETTER_OR_DIGIT)
-            base = sum(map(len, hashes))
             hashes.append(words.hashes())
-            bounds += (words.first[1:] + base).tolist()
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.vocabulary, symbols = np.unique(flat, return_inverse=True)
+            sizes += words.counts().tolist()
+        self.hashes, self.sizes = np.concatenate(hashes), np.array(sizes, dtype=np.int64)
+
+
+class Windows:
+    """The windows of a block by length, over a vocabulary of their words; owners: the pieces that have each."""
+
+    def __init__(self, block: Block):
+        self.ids = block.ids
+        self.vocabulary, symbols = np.unique(block.hashes, return_inverse=True)
         symbols = symbols + 1
-        owners: dict[tuple, set[int]] = {}
-        for item, (lo, hi) in enumerate(zip([0, *bounds], bounds)):  # noqa: B905
-            size = min(width, hi - lo)
-            for i in range(lo, hi - size + 1 if size else lo):
-                owners.setdefault(tuple(symbols[i : i + size].tolist()), set()).add(item)
+        first = np.cumsum(block.sizes) - block.sizes
         self.by_length = []
-        for size in sorted({len(w) for w in owners}):
-            some = [(w, sorted(o)) for w, o in owners.items() if len(w) == size]
-            self.by_length.append((np.array([w for w, _ in some], dtype=np.int64), [o for _, o in some]))
+        for size in np.unique(np.minimum(block.sizes, block.width)):
+            if not size:
+                continue
+            pieces = np.flatnonzero(np.minimum(block.sizes, block.width) == size)
+            several = block.sizes[pieces] - size + 1
+            owner = np.repeat(pieces, several)
+            begin = np.arange(len(owner)) - np.repeat(np.cumsum(several) - several, several) + np.repeat(first[pieces], several)
+            rows, which = np.unique(symbols[begin[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            order = np.argsort(which.ravel(), kind="stable")
+            cuts = np.searchsorted(which.ravel()[order], np.arange(len(rows) + 1))
+            self.by_length.append((rows, (owner[order], cuts)))
         self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
         # a small table of hash prefixes spares most words the search in the vocabulary
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self.vocabulary >> np.uint64(44)] = True
 
+    def items(self, owners: tuple[np.ndarray, np.ndarray], window: int) -> set[str]:
+        owner, cuts = owners
+        return {i for piece in np.unique(owner[cuts[window] : cuts[window + 1]]).tolist() for i in self.ids[piece]}
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """1 and up for words of the benchmark, 0 for others."""
         out = np.zeros(len(hashes), dtype=np.int64)
@@ -66,9 +86,9 @@ class Windows:
         return out
 
 
-def _occurrences(words, windows: Windows) -> list[tuple[np.ndarray, np.ndarray, list]]:
-    """(window index, first word, items by window) and length of all windows in a shard."""
-    symbols = windows.symbols(words.hashes())
+def _occurrences(words, hashes: np.ndarray, windows: Windows) -> list[tuple[np.ndarray, np.ndarray, int, tuple]]:
+    """(window index, first word, length, owners by window) of all windows in a shard."""
+    symbols = windows.symbols(hashes)
     n = len(symbols)
     known = symbols > 0
     starts = np.zeros(n, dtype=bool)
@@ -96,24 +116,36 @@ def _occurrences(words, windows: Windows) -> list[tuple[np.ndarray, np.ndarray,
     return out
 
 
-def _scan(windows: Windows, text_at: int, before_at: int | None):
+def _scan(blocks: list, text_at: int, before_at: int | None):
+    """blocks: broadcast Blocks. A worker holds the windows of the latest few."""
+
     def run(batches):
+        held: dict[int, Windows] = {}
+
+        def windows_of(i: int) -> Windows:
+            if i not in held:
+                while len(held) >= 2:
+                    held.pop(next(iter(held)))
+                held[i] = Windows(blocks[i].value)
+            return held[i]
+
         for batch in batches:
             n_words, spans, items = [], [], []
             before = batch.column(before_at).to_pylist() if before_at is not None else None
             for part in slices(batch.column(text_at), SHARD_BYTES):
                 words = part.words(LETTER_OR_DIGIT)
-                found = _occurrences(words, windows)
+                hashes = words.hashes()
                 n_words += words.counts().tolist()
                 of_doc: dict[int, set[str]] = {}
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
-                for which, start, size, owners in found:
-                    np.add.at(edges, start, 1)
-                    np.add.at(edges, start + size, -1)
-                    doc = np.searchsorted(words.first, start, side="right") - 1
-                    for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
-                        of_doc.setdefault(d, set()).update(windows.ids[i] for i in owners[w] if windows.ids[i] is not None)
-                        of_doc[d] |= set()
+                for at in range(len(blocks)):
+                    windows = windows_of(at)
+                    for which, start, size, owners in _occurrences(words, hashes, windows):
+                        np.add.at(edges, start, 1)
+                        np.add.at(edges, start + size, -1)
+                        doc = np.searchsorted(words.first, start, side="right") - 1
+                        for d, w in set(zip(doc.tolist(), which.tolist(), strict=True)):
+                            of_doc.setdefault(d, set()).update(windows.items(owners, w))
                 covered = np.cumsum(edges)[:-1] > 0
                 for d in range(len(part)):
                     earlier = before[part.lo + d] if before else None
@@ -140,31 +172,44 @@ def _scan(windows: Windows, text_at: int, before_at: int | None):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, into: str = "leak") -> DataFrame:
+def pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """(piece, items): words of equal item texts, in pieces of at most PIECE_WORDS windows each; items: their ids as text."""
+    low = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    same = benchmark.groupBy("text").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    words = same.select("items", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - width + 1), F.lit(PIECE_WORDS))
+    return words.select("items", "w", F.explode(starts).alias("at")).select(F.array_join(F.slice("w", F.col("at"), F.lit(PIECE_WORDS + width - 1)), " ").alias("piece"), "items")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES, into: str = "leak") -> DataFrame:
     """docs and one more column `into`: words counted, merged spans of hit words, and the items that occur.
 
     A window is `width` consecutive words of an item, or the whole of a shorter one. spans hold word
     numbers and code points, ends exclusive; items are item_ids as text, distinct and sorted.
 
     A null or wordless text has 0 words and no spans; a null or wordless item has no window; an item
-    without an id still marks words but is not listed. An empty benchmark marks nothing. Other
-    columns pass through; `into` must not be one of them.
+    without an id still marks words but is not listed. Texts and items are taken whole, however long.
+    An empty benchmark marks nothing. Other columns pass through; `into` must not be one of them.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     if into in docs.columns:
         raise ValueError(f"docs has a column {into}")
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    types = [f.dataType for f in docs.schema.fields]
+    scratch = Scratch(spark, "leaks")
+    found = scratch.keep(pieces(benchmark, width))
+    size = found.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
+    n = max(1, -(-size // block_bytes))
+    each = max(1, pass_bytes // block_bytes)
+    types, at = [f.dataType for f in docs.schema.fields], docs.columns.index("text")
+    schema = T.StructType([*(T.StructField(f"c{i}", t) for i, t in enumerate(types)), T.StructField("leak", T._parse_datatype_string(LEAK))])
     out = docs
-    for block in range(blocks):
-        some = benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).select(F.col("item_id").cast("string"), F.col("text").cast("string")).toArrow()
-        windows = Windows(some["item_id"].to_pylist(), some["text"].combine_chunks(), width)
-        schema = T.StructType([*(T.StructField(f"c{i}", t) for i, t in enumerate(types)), T.StructField("leak", T._parse_datatype_string(LEAK))])
-        at = docs.columns.index("text")
-        found = out.mapInArrow(_scan(windows, at, len(types) if block else None), schema)
-        out = found.toDF(*docs.columns, into)
-    return out
+    for first in range(0, n, each):
+        blocks = []
+        for block in range(first, min(n, first + each)):
+            some = found.filter(F.pmod(F.xxhash64("piece"), F.lit(n)) == block).toArrow()
+            blocks.append(spark.sparkContext.broadcast(Block(some["items"].to_pylist(), some["piece"].combine_chunks(), width)))
+        plain = scratch.keep(out.toDF(*schema.names)) if first else out
+        out = plain.mapInArrow(_scan(blocks, at, len(types) if first else None), schema)
+    return out.toDF(*docs.columns, into)
 
 
 def n_hit(leak: str) -> Column:
@@ -172,7 +217,7 @@ def n_hit(leak: str) -> Column:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents that hold no window of the benchmark, columns as given."""
+    """The documents that hold no window of the benchmark, columns as given. Edge cases as in find_leaks."""
     into = "leak"
     while into in docs.columns:
         into += "_"
@@ -180,6 +225,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """find_leaks of documents, a row a document. Edge cases as in find_leaks."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import prepare
@@ -132,18 +132,20 @@ def _predict(model: OutputCode):
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
-    """Fit on at most about `rows` rows (doc_id, text, lang), the same share of each language, chosen by a hash of doc_id and text."""
+    """Fit on at most about `rows` texts (text, lang), the same number of each language, chosen by a hash of the text.
+
+    Copies of a text in a language count once, and are put together before anything reaches the
+    driver. Null texts and null languages are not learned from; nothing labelled, nothing learned.
+    """
     counts = {r["lang"]: r["count"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").count().collect()}
     languages = sorted(counts)
     each = rows // max(1, len(languages))
     chosen = F.lit(False)
     for lang in languages:
         part = min(1.0, each / counts[lang])
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(part * 1_000_000))
-    found = labelled.filter(chosen).select("lang", "text").mapInArrow(_features, "lang string, x binary").toArrow()
-    # rows that repeat a doc_id and text share a hash: more than asked for are thinned in a fixed order
+        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000))
+    found = labelled.filter(chosen).filter("text IS NOT NULL").select("lang", "text").distinct().mapInArrow(_features, "lang string, x binary").toArrow()
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True))
-    pairs = pairs[:: max(1, -(-len(pairs) // rows))]
     index = {lang: i for i, lang in enumerate(languages)}
     y = np.array([index[lang] for lang, _ in pairs], dtype=int)
     x = np.empty((len(pairs), BINS), dtype=np.float32)
@@ -156,7 +158,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
 def identify(docs: DataFrame, model: OutputCode) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) for each row of docs.
 
-    docs: doc_id and text; other columns are ignored. A text that is null or has no letter is `und`
+    docs: doc_id and text; other columns are ignored. Whole texts count, however long. A text that is null or has no letter is `und`
     with score 0 and ambiguous; so is every text when nothing was learned. Equal texts get equal
     results. An empty table gives an empty table.
     """
@@ -165,8 +167,13 @@ def identify(docs: DataFrame, model: OutputCode) -> DataFrame:
     return rows.mapInArrow(_predict(model), "doc_id bigint, lang_pred string, score double, ambiguous boolean")
 
 
+def held_out() -> Column:
+    """Rows that are never learned from; a null doc_id is one of the others."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """identify of documents, learned from lang of rows not held out: a row a document. Edge cases as in identify and train."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    model = train(docs.filter(~held_out).select("doc_id", "text", "lang"))
-    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+    model = train(docs.filter(~held_out()).select("text", "lang"))
+    return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -3,12 +3,15 @@
 Every rolling two-word hash of every text is joined to the places of the same hash in the license
 templates. A match votes for the diagonal place in the text - place in the template. Base phrases
 must stand whole on one diagonal. Other templates may have words missing or added: neighbouring
-diagonals merge, and a span counts when enough of the template stands in about its length.
-The template table is a constant of a few hundred rows, so the join broadcasts it.
+diagonals merge, and within what they cover each span is verified word by word: its matches must
+follow each other in the text as in the template, hold enough of the template, and stand in about
+its length. Templates can be of any length. The template table is a constant of the caller, one
+row a word, so the join broadcasts it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ STRETCH = 1.3
 
 @dataclass(frozen=True)
 class Template:
-    """base: the words must stand exactly so. At most 60 words."""
+    """base: the words must stand exactly so. At least two words."""
 
     label: str
     text: str
@@ -56,8 +59,8 @@ def _template_rows(templates: Sequence[Template]) -> list[tuple]:
     rows = [(0, -1, 0, 1, 0, True)]
     for i, t in enumerate(templates):
         words = t.text.split(" ")
-        if not 2 <= len(words) <= 60:
-            raise ValueError(f"a template has 2 to 60 words: {t.text}")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words at least: {t.text}")
         grams = rolling(hash_words(words, LETTER_OR_DIGIT), 2).view(np.int64)
         rows += [(int(g), i, p, len(grams), len(words), t.base) for p, g in enumerate(grams)]
     return rows
@@ -79,14 +82,74 @@ def _grams(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(counts, pa.int64()), grams], ["doc_id", "digest", "n_words", "grams"])
 
 
+def in_order(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of matches (place in text, place in template) that rises in both."""
+    tails: list[int] = []
+    last: list[int] = []
+    back = [-1] * len(pairs)
+    for i, (_, place) in enumerate(pairs):
+        # matches of one text place come with falling template places, so at most one of them counts
+        at = bisect_left(tails, place)
+        back[i] = last[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(place)
+            last.append(i)
+        else:
+            tails[at], last[at] = place, i
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(pairs[i])
+        i = back[i]
+    return out[::-1]
+
+
+def verified(pairs: list[tuple[int, int]], grams: int, words: int) -> list[tuple[int, int, float, bool]]:
+    """Spans (first word, end word, coverage, whole) of one template among the matches of merged diagonals.
+
+    From each match on, what stands within the allowed length is put in order; a span is whole when
+    that holds enough of the template. Whole spans don't overlap. Without one, the best try is given.
+    """
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
+    reach = int(STRETCH * words) + 1
+    out, best, i, end = [], None, 0, 0
+    while i < len(pairs):
+        end = max(end, i)
+        while end < len(pairs) and pairs[end][0] + 2 - pairs[i][0] <= reach:
+            end += 1
+        if best is None or min(grams, end - i) / grams > best[2]:
+            run = in_order(pairs[i:end])
+            found = (run[0][0], run[-1][0] + 2, len(run) / grams, len(run) >= COVERAGE * grams)
+            if found[3]:
+                out.append(found)
+                best = None
+                while i < len(pairs) and pairs[i][0] < found[1]:
+                    i += 1
+                continue
+            best = found if best is None or found[2] > best[2] else best
+        i += 1
+    return out or [best]
+
+
+def _verify(batches):
+    kind = pa.struct([("template", pa.int32()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("coverage", pa.float64()), ("whole", pa.bool_())])
+    for batch in batches:
+        spans = []
+        columns = (batch.column(c).to_pylist() for c in ("template", "grams", "words", "base", "low", "high", "pairs"))
+        for template, grams, words, base, low, high, pairs in zip(*columns, strict=True):
+            found = [(low, high + 2, len(pairs) / grams, len(pairs) == grams)] if base else verified([(p["at"], p["place"]) for p in pairs], grams, words)
+            spans.append([dict(zip(("template", "first_word", "end_word", "coverage", "whole"), (template, *f), strict=True)) for f in found])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(spans, pa.list_(kind))], ["doc_id", "digest", "n_words", "template", "n", "spans"])
+
+
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """License spans: (doc_id, n_words, copies, spans), a row for each distinct (doc_id, text).
 
-    spans: array of (template, first_word, end_word, coverage, whole), those merged from diagonals;
-    whole marks those that are verified. copies tells how often the row stands in docs.
+    spans: array of (template, first_word, end_word, coverage, whole); whole marks those that are
+    verified. copies tells how often the row stands in docs.
 
     docs: doc_id and text; other columns are ignored. A null text counts as empty: no words, no
-    spans. An empty table gives an empty table.
+    spans. Whole texts are scanned, however long. An empty table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
     table = spark.createDataFrame(_template_rows(templates), "gram bigint, template int, place int, grams int, words int, base boolean")
@@ -97,24 +160,26 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -> DataFram
     fixed = ["template", "grams", "words", "base"]
     votes = (
         matches.groupBy(*key, *fixed, (F.col("at") - 1 - F.col("place")).alias("diagonal"))
-        .agg(F.expr("bit_or(shiftleft(1L, place))").alias("seen"), F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"))
+        .agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"), F.collect_set("place").alias("places"))
     )
     lined = Window.partitionBy(*key, "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(lined) > F.when(F.col("base"), 0).otherwise(GAP), F.lit(True))
     islands = votes.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(lined))
+    pairs = F.transform("places", lambda p: F.struct((F.col("diagonal") + p).cast("bigint").alias("at"), p.alias("place")))
     spans = islands.groupBy(*key, *fixed, "island").agg(
-        F.min(F.col("diagonal") + F.col("low")).alias("first_word"), F.max(F.col("diagonal") + F.col("high") + 2).alias("end_word"),
-        (F.bit_count(F.expr("bit_or(seen)")) / F.first("grams")).alias("coverage"), F.sum("n").alias("n"),
+        F.min(F.col("diagonal") + F.col("low")).cast("bigint").alias("low"), F.max(F.col("diagonal") + F.col("high")).cast("bigint").alias("high"),
+        F.sum("n").alias("n"), F.flatten(F.collect_list(pairs)).alias("pairs"),
     )
-    length = F.col("end_word") - F.col("first_word")
-    whole = F.when(F.col("base"), F.col("coverage") == 1).otherwise((F.col("coverage") >= COVERAGE) & (length <= STRETCH * F.col("words") + 1))
-    span = F.struct("template", "first_word", "end_word", "coverage", whole.alias("whole"))
-    return spans.groupBy(*key).agg(
-        F.max(F.when(F.col("template") < 0, F.col("n"))).alias("copies"), F.array_sort(F.collect_list(F.when(F.col("template") >= 0, span))).alias("spans")
+    ready = spans.select(*key, "template", "n", "grams", "words", "base", "low", "high", "pairs")
+    span = "struct<template:int,first_word:bigint,end_word:bigint,coverage:double,whole:boolean>"
+    checked = ready.mapInArrow(_verify, f"doc_id bigint, digest bigint, n_words bigint, template int, n bigint, spans array<{span}>")
+    return checked.groupBy(*key).agg(
+        F.max(F.when(F.col("template") < 0, F.col("n"))).alias("copies"), F.array_sort(F.flatten(F.collect_list(F.when(F.col("template") >= 0, F.col("spans"))))).alias("spans")
     ).drop("digest")
 
 
 def op3_licenses(spark, sf_dir: str) -> DataFrame:
+    """scan of documents, a row a document, repeated ones too; score is the best coverage of a template. Edge cases as in scan."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     labels = F.array(*(F.lit(t.label) for t in TEMPLATES))
     is_base = F.array(*(F.lit(t.base) for t in TEMPLATES))

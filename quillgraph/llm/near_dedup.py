@@ -183,8 +183,11 @@ def _found(docs: DataFrame, percent: int, size: int, bands: int, rows: int, bloc
 
     # buckets that still hold several components, in pairs of blocks
     members = scratch.keep(shared.drop("n").join(joined.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    groups = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
-    mixed = groups.groupBy("band", "bucket").agg(F.max(F.struct("m", "s", "component")).alias("top"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count("*").alias("k")).filter("k > 1")
+    groups = members.groupBy("band", "bucket", "component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("cid")).alias("who"))
+    whole = F.sum("m").alias("m"), F.sum("s").alias("s"), F.bit_xor("who").alias("who")
+    mixed = groups.groupBy("band", "bucket").agg(F.max(F.struct("m", "s", "component")).alias("top"), *whole, F.count("*").alias("k")).filter("k > 1")
+    # of buckets with the same members the first one is enough: the first that a pair shares is among these
+    mixed = mixed.groupBy("m", "s", "who").agg(F.min(F.struct("band", "bucket", "top")).alias("b")).select("m", "s", "b.*")
 
     def parts(m: Column, s: Column) -> Column:
         return F.greatest(F.lit(1), F.ceil(m / block), F.ceil(s / BLOCK_SHINGLES)).cast("int")

@@ -68,8 +68,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, spans) for each row of docs; spans: array of (start, rank, kind, end, strong), sorted.
 
     docs: doc_id and text; other columns are ignored. Places are code points, ends exclusive.
-    A null or empty text has no spans. Rows that repeat a doc_id are separate rows. An empty table
-    gives an empty table.
+    A null or empty text has no spans. Whole texts are scanned, however long. Rows that repeat a doc_id
+    are separate rows. An empty table gives an empty table.
     """
     spark = prepare(docs.sparkSession)
     scratch = Scratch(spark, "secrets")
@@ -101,6 +101,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
+    """find_secrets of documents, a row a document. Edge cases as in find_secrets."""
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
     def count(kind: str):

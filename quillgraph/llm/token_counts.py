@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import Scratch, prepare
 
 CACHE_WORDS = 400_000
 LONG = 100
@@ -169,53 +169,71 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def _answers(path: str, limits: tuple[int, ...], stored: bool):
+def _steps(path: str):
+    """(doc_id, n_bytes, n_tokens, n_chars, width, prefix_steps): changes of the count at each code point, of width bytes."""
+
     def run(batches):
         count = counter(path).counts
         for batch in batches:
-            tokens, tables = [], []
-            cuts: list[list[int]] = []
+            rows = []
             for text in batch.column("text").to_pylist():
                 prefix = count(text or "")
-                tokens.append(int(prefix[-1]))
-                cuts.append([int(np.flatnonzero(prefix <= limit)[-1]) for limit in limits])
-                if stored:
-                    tables.append(np.diff(prefix).astype("<i2").tobytes())
-            columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(tokens, pa.int64()), pa.array(cuts, pa.list_(pa.int64()))]
-            names = ["doc_id", "n_bytes", "n_tokens", "cuts"]
-            if stored:
-                columns.append(pa.array(tables, pa.binary()))
-                names.append("prefix_steps")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                steps = np.diff(prefix)
+                width = 1 if not len(steps) or (steps.min() >= -128 and steps.max() <= 127) else 4
+                rows.append((int(prefix[-1]), len(steps), width, steps.astype(f"<i{width}").tobytes()))
+            types = {"n_tokens": pa.int64(), "n_chars": pa.int64(), "width": pa.int32(), "prefix_steps": pa.binary()}
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *types])
 
     return run
 
 
-def token_prefixes(docs: DataFrame, path: str, limits: tuple[int, ...] = (512,), stored: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, cuts[, prefix_steps]) for each row of docs.
+def token_prefixes(docs: DataFrame, path: str) -> DataFrame:
+    """The prefix table: (doc_id, n_bytes, n_tokens, n_chars, width, prefix_steps) for each row of docs.
 
-    cuts: for each limit the longest prefix, in code points, of at most that many tokens. With
-    stored, prefix_steps holds the change of the count at each code point (little-endian 16 bits),
-    from which read_prefixes() gives the count at every prefix.
+    prefix_steps holds the change of the count at each code point, from which read_prefixes gives the
+    count at every prefix. Written once, it answers questions on truncation and budgets (prefix_of).
 
-    docs: doc_id and text; other columns are ignored. A null text counts as empty: 0 tokens. Each
-    row is counted by itself, repeated ones too. An empty table gives an empty table.
+    docs: doc_id and text; other columns are ignored. A null text counts as empty: 0 tokens. Whole
+    texts are counted, however long. Each row is counted by itself, repeated ones too. An empty table
+    gives an empty table.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.octet_length("text").cast("bigint").alias("n_bytes"))
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, cuts array<bigint>" + ", prefix_steps binary" * stored
-    return rows.mapInArrow(_answers(path, tuple(limits), stored), schema)
+    return rows.mapInArrow(_steps(path), "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chars bigint, width int, prefix_steps binary")
 
 
-def read_prefixes(steps: bytes) -> np.ndarray:
+def read_prefixes(steps: bytes, width: int) -> np.ndarray:
     """The count at every prefix from a stored row."""
-    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)])
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, f"<i{width}"), dtype=np.int64)])
+
+
+def _cut(limit: int):
+    def run(batches):
+        for batch in batches:
+            steps, widths = batch.column("prefix_steps").to_pylist(), batch.column("width").to_pylist()
+            cuts = [int(np.flatnonzero(read_prefixes(s, w) <= limit)[-1]) for s, w in zip(steps, widths, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cuts, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "n_chars", "longest_prefix"])
+
+    return run
+
+
+def prefix_of(table: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, n_chars, longest_prefix) from a written prefix table, without its texts.
+
+    longest_prefix: code points of the longest prefix of at most `limit` tokens. The steps are read
+    of texts over the limit only.
+    """
+    under = table.filter(F.col("n_tokens") <= limit).select("doc_id", "n_bytes", "n_tokens", "n_chars", F.col("n_chars").alias("longest_prefix"))
+    over = table.filter(F.col("n_tokens") > limit).select("doc_id", "n_bytes", "n_tokens", "n_chars", "width", "prefix_steps")
+    return under.union(over.mapInArrow(_cut(limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, n_chars bigint, longest_prefix bigint"))
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Writes the prefix table of documents and reads counts and the cut at 512 tokens from it: a row a document. Edge cases as in token_prefixes."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = token_prefixes(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.element_at("cuts", 1).alias("prefix_of_512"))
+    table = Scratch(prepare(spark), "tokens").keep(token_prefixes(docs, public_tokenizers.path("byte_bpe_50k.json")), compression="zstd")
+    return prefix_of(table, 512).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), F.col("longest_prefix").alias("prefix_of_512"))
