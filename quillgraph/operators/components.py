@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds of joins."""
+"""Connected components of any edge table, by alternating large-star and small-star rounds of joins."""
 
 from __future__ import annotations
 

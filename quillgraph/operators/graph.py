@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
+from .components import components
 
 
 def bfs(start: DataFrame, edges: DataFrame, max_depth: int, seed: str | None = None) -> DataFrame:
@@ -63,9 +64,12 @@ def would_create_cycle(candidates: DataFrame, edges: DataFrame, max_depth: int =
 
 def _propagate(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Least label of all that reach a node, itself included: (id, label)."""
+    labels = scratch.keep(labels)
     while True:
         into = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("other"))
+        before = labels
         after = scratch.keep(labels.join(into, "id", "left").select("id", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        scratch.drop(before)
         if after.filter("moved").isEmpty():
             return after.select("id", "label")
         labels = after.select("id", "label")
@@ -117,21 +121,24 @@ def traverse(starts: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataF
 def waves(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(epic, id, wave): wave 0 has no dependency inside its epic, others come after their last; cyclic parts have none.
 
-    members: (epic, id); edges: (src, dst), src depends on dst.
+    members: (epic, id); edges: (src, dst), src depends on dst. A round keeps the edges whose end
+    still has edges of its own, and writes these once; who has edges in the last n rounds is in wave n.
     """
     scratch = Scratch(prepare(members.sparkSession), "waves")
-    left = members.select("epic", "id")
+    left = members.select("epic", "id").distinct()
     inside = left.withColumnRenamed("id", "src").join(edges, "src").join(left.withColumnRenamed("id", "dst"), ["epic", "dst"], "left_semi").select("epic", "src", "dst").distinct()
-    left, inside, wave, out = scratch.keep(left), scratch.keep(inside), 0, None
-    while True:
-        now = scratch.keep(left.join(inside.select("epic", F.col("src").alias("id")), ["epic", "id"], "left_anti").select("epic", "id", F.lit(wave).alias("wave")))
-        if now.isEmpty():
+    inside, rounds, out = scratch.keep(inside), 0, left.select("epic", "id", F.lit(0).alias("wave"))
+    count = inside.count()
+    while count:
+        waiting = inside.select("epic", F.col("src").alias("id")).distinct()
+        rounds += 1
+        out = out.unionByName(waiting.withColumn("wave", F.lit(rounds)))
+        inside = scratch.keep(inside.join(waiting.withColumnRenamed("id", "dst"), ["epic", "dst"], "left_semi").select("epic", "src", "dst"))
+        before, count = count, inside.count()
+        if count == before:
             break
-        out = now if out is None else out.unionByName(now)
-        left = scratch.keep(left.join(now, ["epic", "id"], "left_anti"))
-        inside = scratch.keep(inside.join(now.select("epic", F.col("id").alias("dst")), ["epic", "dst"], "left_anti"))
-        wave += 1
-    return out if out is not None else left.select("epic", "id", F.lit(0).alias("wave"))
+    last = out.groupBy("epic", "id").agg(F.max("wave").alias("wave"))
+    return last.join(inside.select("epic", F.col("src").alias("id")).distinct(), ["epic", "id"], "left_anti") if count else last
 
 
 def layers(nodes: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:
@@ -146,20 +153,12 @@ def layers(nodes: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) by least labels with pointer jumping; edges (src, dst) with both ends in nodes."""
+    """(id, component) of all nodes, component the least id; edges (src, dst) with both ends in nodes count."""
     scratch = Scratch(prepare(nodes.sparkSession), "connected")
     ids = nodes.select("id")
     both = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-    both = scratch.keep(both.union(both.select("dst", "src")).distinct())
-    labels = scratch.keep(ids.select("id", F.col("id").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("other"))
-        lower = labels.join(near, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        after = scratch.keep(lower.join(jump, "label", "left").select("id", F.least("label", "next").alias("label"), (F.least("label", "next") < F.col("old")).alias("moved")))
-        labels = after.select("id", "label")
-        if after.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    found = components(both.toDF("a", "b"), scratch)
+    return ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def message_thread(messages: DataFrame, deps: DataFrame) -> DataFrame:
@@ -170,14 +169,27 @@ def message_thread(messages: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def version_chain(memories: DataFrame) -> DataFrame:
-    """(id, root, place) of chains with more than one entry: from the root forward by the first child (least id)."""
-    child = memories.filter("parent_memory_id IS NOT NULL").groupBy(F.col("parent_memory_id").alias("src")).agg(F.min(F.struct(F.length("id"), F.col("id")))["id"].alias("dst"))
+    """(id, root, place) of chains with more than one entry: from the root forward by the first child (least id).
+
+    Each entry points to its parent, and pointers double each round, so rounds follow the logarithm
+    of the longest chain. Entries on a circle of parents have no root.
+    """
+    scratch = Scratch(prepare(memories.sparkSession), "versions")
+    child = memories.filter("parent_memory_id IS NOT NULL").groupBy(F.col("parent_memory_id").alias("up")).agg(F.min(F.struct(F.length("id"), F.col("id")))["id"].alias("id"))
     known = memories.select("id")
-    child = child.join(known.withColumnRenamed("id", "src"), "src", "left_semi")
-    roots = memories.join(known.withColumnRenamed("id", "parent_memory_id"), "parent_memory_id", "left_anti").select("id")
-    chains = bfs(roots.select(F.col("id").alias("origin"), "id"), child, 1 << 30)
-    long = chains.groupBy("origin").agg(F.max("depth").alias("n")).filter("n > 0")
-    return chains.join(long, "origin", "left_semi").select("id", F.col("origin").alias("root"), F.col("depth").alias("place"))
+    child = child.join(known.withColumnRenamed("id", "up"), "up", "left_semi")
+    roots = memories.join(known.withColumnRenamed("id", "parent_memory_id"), "parent_memory_id", "left_anti").select(F.col("id").alias("root"))
+    links = scratch.keep(child.select("id", "up", F.lit(1).cast("bigint").alias("place")))
+    longest, reach = links.count(), 1
+    while reach < longest:
+        above = links.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
+        after = scratch.keep(links.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"), F.col("next").isNotNull().alias("moved")))
+        scratch.drop(links)
+        links, reach = after.drop("moved"), 2 * reach
+        if after.filter("moved").isEmpty():
+            break
+    chains = links.join(roots, F.col("up") == F.col("root"), "left_semi").select("id", F.col("up").alias("root"), F.col("place").cast("int").alias("place"))
+    return chains.union(chains.select(F.col("root").alias("id"), "root", F.lit(0)).distinct())
 
 
 RELATIONS = ("updates", "extends", "derives")

@@ -232,8 +232,9 @@ def dedupe_memories(static: DataFrame, dynamic: DataFrame, search: DataFrame) ->
     for rank, (name, df) in enumerate((("static", static), ("dynamic", dynamic), ("search", search))):
         rows = df.select(F.lit(rank).alias("rank"), F.lit(name).alias("list"), "pos", F.trim("memory").alias("memory"))
         tagged = rows if tagged is None else tagged.union(rows)
-    w = Window.partitionBy("memory").orderBy("rank", "pos")
-    return tagged.filter("memory <> ''").withColumn("n", F.row_number().over(w)).filter("n = 1 OR rank = 0").select("list", "pos", "memory")
+    # the first of each text, by partial aggregation
+    first = tagged.filter("memory <> ''").groupBy("memory").agg(F.min(F.struct("rank", "pos", "list")).alias("first")).filter("first.rank > 0")
+    return tagged.filter("rank = 0 AND memory <> ''").select("list", "pos", "memory").union(first.select("first.list", "first.pos", "memory"))
 
 
 # extraction

@@ -112,16 +112,20 @@ def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = Non
     return out if limit is None else out.orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
-def regex_log_search(files: DataFrame, pattern: str, literal: bool = False, case: bool = False, most: int = 100, width: int = 200) -> DataFrame:
-    """(path, line_number, line) of lines that match in files (path, text); lines over 10 * width are skipped, others cut to width."""
+def regex_log_search(files: DataFrame, pattern: str, literal: bool = False, case: bool = False, most: int = 100, width: int = 200, most_bytes: int = 1_000_000) -> DataFrame:
+    """(path, line_number, line) of lines that match in files (path, text) of at most most_bytes; lines over 10 * width are skipped, others cut to width."""
     source = re.escape(pattern) if literal else pattern
-    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter((F.length("line") <= 10 * width) & F.col("line").rlike(source if case else f"(?i){source}"))
+    lines = files.filter(F.octet_length("text") <= most_bytes).select("path", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).filter((F.length("line") <= 10 * width) & F.col("line").rlike(source if case else f"(?i){source}"))
     cut = F.when(F.length("line") > width, F.concat(F.substring("line", 1, width - 3), F.lit("..."))).otherwise(F.col("line"))
     return lines.select("path", (F.col("n") + 1).alias("line_number"), cut.alias("line")).orderBy("path", "line_number").limit(most)
 
 
 #: Names that file listings skip (fixed values).
-IGNORED = (".git", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".cache", "*.pyc", "*.min.js", "*.log", "*.tmp", ".DS_Store")
+IGNORED = (
+    ".git", ".svn", ".hg", ".bzr", "node_modules", "__pycache__", ".venv", "venv", ".env", "env", ".tox", ".nox", ".eggs", "*.egg-info", "site-packages", "dist", "build",
+    ".next", ".nuxt", ".output", ".turbo", "target", "out", ".idea", ".vscode", "*.swp", "*.swo", "*~", ".project", ".classpath", ".settings", ".DS_Store", "Thumbs.db", "desktop.ini", "*.lnk",
+    "*.log", "*.tmp", "*.temp", "*.bak", "*.cache", ".cache", "logs", ".coverage", "coverage", ".nyc_output", "htmlcov", ".pytest_cache", ".mypy_cache", ".ruff_cache",
+)
 
 
 def path_glob_filter(paths: DataFrame, pattern: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:

@@ -8,7 +8,10 @@ deps: issue_id, depends_on_id, type, metadata. labels: issue_id, label. `now` is
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -444,10 +447,11 @@ def merge_duplicates(issues: DataFrame, deps: DataFrame, fields: Sequence[str])
     refs = text_reference_counts(issues)
     rows = issues.join(counts, "id", "left").join(refs, "id", "left")
     weight = 3 * F.coalesce("dependents", F.lit(0)) + F.coalesce("dependencies", F.lit(0))
-    # hashing null-safe: fields compare as texts
-    w = Window.partitionBy(*fields)
-    best = w.orderBy(weight.desc(), F.coalesce("refs", F.lit(0)).desc(), "id")
-    return rows.withColumn("n", F.count("*").over(w)).filter("n > 1").withColumn("target", F.first("id").over(best)).filter("id <> target").select("id", "target")
+    # one row a group, by partial aggregation; nulls are equal
+    best = F.min(F.struct((-weight).alias("w"), (-F.coalesce("refs", F.lit(0))).alias("r"), "id"))["id"]
+    groups = rows.groupBy(*(F.col(f).alias(f"_{f}") for f in fields)).agg(best.alias("target"), F.count("*").alias("n")).filter("n > 1")
+    same = reduce(and_, (F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields))
+    return issues.join(groups, same).filter("id <> target").select("id", "target")
 
 
 def text_reference_counts(issues: DataFrame) -> DataFrame:
@@ -506,13 +510,15 @@ def lint_issues(issues: DataFrame) -> DataFrame:
 
 def rapid_creation(issues: DataFrame, least: int = 10) -> DataFrame:
     """Issues of minutes with at least `least` of them: (id, in_minute)."""
-    minute = Window.partitionBy(F.date_trunc("minute", "created_at"))
-    return issues.select("id", F.count("*").over(minute).alias("in_minute")).filter(F.col("in_minute") >= least)
+    minute = F.date_trunc("minute", "created_at").alias("minute")
+    busy = issues.groupBy(minute).agg(F.count("*").alias("in_minute")).filter(F.col("in_minute") >= least)
+    return issues.select("id", minute).join(busy, "minute").select("id", "in_minute")
 
 
 def pollution_score(issues: DataFrame) -> DataFrame:
     """(id, score, reasons) of issues that look like tests, from 0.7 on."""
-    busy = F.count("*").over(Window.partitionBy(F.date_trunc("minute", "created_at")))
+    minute = F.date_trunc("minute", "created_at").alias("minute")
+    busy = issues.groupBy(minute).agg(F.count("*").alias("busy")).filter("busy >= 10")
     title, text = F.lower("title"), F.coalesce(F.col("description"), F.lit(""))
     short = F.octet_length(text) < 20
     signs = [
@@ -525,7 +531,7 @@ def pollution_score(issues: DataFrame) -> DataFrame:
     ]
     score = sum((F.when(t, F.lit(v)).otherwise(0.0) for t, v, _ in signs), F.lit(0.0))
     reasons = F.array_compact(F.array(*(F.when(t, r) for t, _, r in signs)))
-    return issues.withColumn("busy", busy).select("id", F.round(score, 6).alias("score"), reasons.alias("reasons")).filter("score >= 0.7")
+    return issues.withColumn("minute", minute).join(busy, "minute", "left").select("id", F.round(score, 6).alias("score"), reasons.alias("reasons")).filter("score >= 0.7")
 
 
 def content_hash(fields: Sequence[str]) -> Column:
@@ -533,6 +539,11 @@ def content_hash(fields: Sequence[str]) -> Column:
     return F.sha2(F.concat(*(x for f in fields for x in (F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit("\0")))), 256)
 
 
+def adaptive_length(n: int, least: int = 3, most: int = 8, risk: float = 0.25) -> int:
+    """The shortest id length at which two of n ids are equal with a probability of at most risk."""
+    return next((k for k in range(least, most + 1) if -math.expm1(-n * n / (2 * 36.0**k)) <= risk), most)
+
+
 def hash_id(prefix: str, content: Column, length: int) -> Column:
     """prefix-xxx in base 36 from leading bytes of SHA-256."""
     digits = {3: 2, 4: 3, 5: 4, 6: 4, 7: 5, 8: 5}.get(length, 3) * 2

@@ -58,7 +58,7 @@ FROM embeddings
     "memory_hits": """
 SELECT CAST(user_id AS STRING) AS memory_id, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence,
   concat('doc', CAST(event_id % 300 AS STRING)) AS document_id, ts, event_id
-FROM events WHERE event_type IN ('click', 'view') AND event_id % 5 = 0
+FROM events WHERE event_type IN ('click', 'view')
 """,
     "mentions": """
 SELECT concat('Part ', CAST(l_partkey % 300 AS STRING)) AS source, concat('Supplier ', CAST(l_suppkey AS STRING)) AS target,
@@ -93,7 +93,7 @@ SELECT doc_id AS document_id, source AS space_id, concat('sm_project_', source)
 """,
     "comments": """
 SELECT concat('c', CAST(event_id AS STRING)) AS id, concat('bd-', CAST(user_id AS STRING)) AS issue_id, event_type AS text, ts AS created_at
-FROM events WHERE event_id % 3 = 0
+FROM events
 """,
     "issue_events": """
 SELECT event_id AS id, concat('bd-', CAST(user_id AS STRING)) AS issue_id,
@@ -109,7 +109,7 @@ FROM lineitem
 """,
     "commits": """
 SELECT md5(CAST(event_id AS STRING)) AS hash, concat('fix (bd-', CAST(user_id * 3 AS STRING), ') and more') AS message, ts AS committed_at
-FROM events WHERE event_id % 2 = 0
+FROM events
 """,
     "external_issues": """
 SELECT concat('EXT-', CAST(o_orderkey AS STRING)) AS external_ref, concat('bd-', CAST(o_orderkey AS STRING)) AS id,
@@ -148,6 +148,6 @@ SELECT concat('run', CAST(user_id % 3 AS STRING)) AS run, event_type AS provider
   event_id % 5 <> 0 AS correct, value AS latency, event_id % 1000 AS context_tokens FROM events
 """,
     "text_lines": """
-SELECT concat('src/', source, '/', CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '.py' WHEN doc_id % 3 = 1 THEN '.md' ELSE '.min.js' END) AS path, text FROM documents
+SELECT concat('src/', source, '/', CASE WHEN doc_id % 5 = 0 THEN 'target/' WHEN doc_id % 7 = 0 THEN 'a.egg-info/' ELSE 'lib/' END, CAST(doc_id AS STRING), CASE WHEN doc_id % 3 = 0 THEN '.py' WHEN doc_id % 3 = 1 THEN '.md' WHEN doc_id % 11 = 0 THEN '.js.bak' ELSE '.js' END) AS path, text FROM documents
 """,
 }

@@ -108,17 +108,18 @@ def _(t):
     return graph.layers(t.issues, graph.edges_of(t.deps, "blocks"), parents)
 
 
-THIN = "CAST(substring(issue_id, 4) AS INT) % 3 = 0 AND type = 'related'"
+COMPONENTS = """WITH RECURSIVE e AS (SELECT issue_id AS a, depends_on_id AS b FROM deps WHERE issue_id IN (SELECT id FROM issues) AND depends_on_id IN (SELECT id FROM issues)),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, component) USING KEY (id) AS (SELECT id, id FROM issues UNION SELECT s.a, min(x.component) FROM s JOIN recurring.r x ON x.id = s.b JOIN recurring.r o ON o.id = s.a WHERE x.component < o.component GROUP BY s.a)
+SELECT id, component FROM r"""
 
 
-@query("G14_components", f"""WITH RECURSIVE s AS (SELECT issue_id AS a, depends_on_id AS b FROM deps WHERE {THIN} UNION SELECT depends_on_id, issue_id FROM deps WHERE {THIN}),
-r AS (SELECT id AS x, id AS y FROM issues UNION SELECT r.x, s.b FROM r JOIN s ON r.y = s.a)
-SELECT x AS id, min(y) AS component FROM r GROUP BY x""")
+@query("G14_components", COMPONENTS)
 def _(t):
-    return graph.connected(t.issues, graph.edges_of(t.deps.filter(THIN)))
+    return graph.connected(t.issues, graph.edges_of(t.deps))
 
 
-@query("G14_components_all_edges")
+@query("G14_components_all_edges", COMPONENTS)
 def _(t):
     return graph.connected(t.issues, graph.edges_of(t.deps))
 

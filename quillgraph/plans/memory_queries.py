@@ -184,15 +184,25 @@ def _(t):
     return memory.extract_entities(t.documents.select(F.col("doc_id").cast("string").alias("id"), "text"), gazetteer)
 
 
-@query("M11_clean_extractions", """WITH x AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, concat('Part ', CAST(l_partkey % 5 AS VARCHAR)) AS source, concat('Part ', CAST(l_suppkey % 5 AS VARCHAR)) AS target, l_tax * 30 - 1 AS c FROM lineitem WHERE l_orderkey % 50 = 0),
-r AS (SELECT * FROM x WHERE pos <= 3 AND source <> target) SELECT r.id, r.source, r.target, 'ships_with_' AS relation, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)), 6) AS confidence FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.id = r.id AND x.pos <= 3 AND x.source = r.target)""")
+CLEAN = """WITH x AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, concat('Part ', CAST(l_partkey % 5 AS VARCHAR)) AS source, concat('Part ', CAST(l_suppkey % 5 AS VARCHAR)) AS target, l_tax * 30 - 1 AS c FROM lineitem),
+r AS (SELECT * FROM x WHERE pos <= 3 AND source <> target) SELECT r.id, r.source, r.target, 'ships_with_' AS relation, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)), 6) AS confidence FROM r WHERE EXISTS (SELECT 1 FROM x WHERE x.id = r.id AND x.pos <= 3 AND x.source = r.target)"""
+
+
+@query("M11_clean_extractions", CLEAN)
+def _(t):
+    return extractions(t.lineitem)[1]
+
+
+@query("M11_clean_extractions_all", CLEAN)
 def _(t):
-    return extractions(t.lineitem.filter("l_orderkey % 50 = 0"))
+    return extractions(t.lineitem)[1]
 
 
-@query("M11_clean_extractions_all")
+@query("M11_clean_entities", """SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, concat('Part ', CAST(l_partkey % 5 AS VARCHAR)) AS name,
+CASE WHEN l_linenumber % 2 = 0 THEN 'tool' ELSE 'concept' END AS type, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, l_tax * 30 - 1)), 6) AS confidence FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 3""")
 def _(t):
-    return extractions(t.lineitem)
+    return extractions(t.lineitem)[0]
 
 
 def extractions(lineitem):
@@ -200,10 +210,10 @@ def extractions(lineitem):
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     part = lambda c: F.concat(F.lit(" part   "), (F.col(c) % 5).cast("string"))
-    x = lineitem.select(F.col("l_orderkey").alias("id"), F.row_number().over(w).alias("pos"), part("l_partkey").alias("source"), part("l_suppkey").alias("target"), (F.col("l_tax") * 30 - 1).alias("confidence"))
-    ents = x.select("id", "pos", F.col("source").alias("name"), F.lit("Thing").alias("type"), "confidence")
+    x = lineitem.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "TOOL").otherwise("Thing").alias("type"), F.row_number().over(w).alias("pos"), part("l_partkey").alias("source"), part("l_suppkey").alias("target"), (F.col("l_tax") * 30 - 1).alias("confidence"))
+    ents = x.select("id", "pos", F.col("source").alias("name"), "type", "confidence")
     rels = x.select("id", "pos", "source", "target", F.lit(" Ships with !").alias("relation"), "confidence")
-    return memory.clean_extractions(ents, rels, limit=3)[1].withColumn("confidence", F.round("confidence", 6))
+    return tuple(df.withColumn("confidence", F.round("confidence", 6)) for df in memory.clean_extractions(ents, rels, limit=3))
 
 
 @query("M12_strip_upload_mentions", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Likes ' || event_type || '.' ELSE 'Likes ' || event_type || '.Done.' END AS summary FROM events""")

@@ -140,10 +140,10 @@ def _(t):
     return text.regex_log_search(t.text_lines, "licen[sc]e|reserved")
 
 
-@query("F12_path_glob_filter", "SELECT path FROM text_lines WHERE path LIKE 'src/src1%/%' AND regexp_matches(path, '^src/src1[^/]*/[^/]*\\.(py|js)$') AND NOT path LIKE '%.min.js'")
+@query("F12_path_glob_filter", f"SELECT path FROM text_lines WHERE path LIKE 'src/src1%/%' AND regexp_matches(path, '^src/src1[^/]*/[^/]*/[^/]*$') AND len(list_filter(string_split(path, '/'), lambda s: {' OR '.join(f"s GLOB '{g}'" for g in text.IGNORED)})) = 0")
 def _(t):
     paths = t.text_lines.select("path")
-    return text.path_glob_filter(paths, "src/src1*/*.py").union(text.path_glob_filter(paths, "src/src1*/*.js"))
+    return text.path_glob_filter(paths, "src/src1*/*/*")
 
 
 @query("F15_rank_catalog", "SELECT p_partkey AS pos, p_name AS name FROM part WHERE regexp_matches(p_name || ' ' || p_type, '(?i)small|promo') ORDER BY CASE WHEN regexp_matches(p_name, '(?i)small|promo') THEN 2 ELSE 1 END DESC, p_partkey LIMIT 5")

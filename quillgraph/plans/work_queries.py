@@ -391,9 +391,12 @@ def _(t):
     return t.issues.select("id", work.content_hash(["title", "description", "status", "priority"]).alias("content_hash"))
 
 
-@query("T11_hash_id")
+@query("T11_hash_id", """WITH k AS (SELECT coalesce(min(k) FILTER (1 - exp(-(n * n)::DOUBLE / (2 * pow(36, k))) <= 0.25), 8) AS k FROM (SELECT count(*) AS n FROM issues), range(3, 9) AS r(k)),
+h AS (SELECT id, k, CAST('0x' || substr(sha256(concat_ws('|', title, description, assignee)), 1, 2 * CAST([2, 3, 4, 4, 5, 5][CAST(k - 2 AS INT)] AS INT)) AS BIGINT) AS x FROM issues, k)
+SELECT id, 'bd-' || array_to_string(list_transform(range(k - 1, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((x // CAST(pow(36, i) AS BIGINT)) % 36 + 1 AS INT), 1)), '') AS hash_id FROM h""")
 def _(t):
-    return t.issues.select("id", work.hash_id("bd", F.concat_ws("|", "title", "description", "assignee"), 6).alias("hash_id"))
+    length = work.adaptive_length(t.issues.count())
+    return t.issues.select("id", work.hash_id("bd", F.concat_ws("|", "title", "description", "assignee"), length).alias("hash_id"))
 
 
 @query("T12_state_of", "SELECT issue_id AS id, min(substring(label, 7)) AS value FROM issue_labels WHERE label LIKE 'state:%' GROUP BY 1")

@@ -34,7 +34,10 @@ BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone, bound what Python workers hold at once, and let them import this package."""
+    """Pin the time zone, bound what Python workers hold at once, and let them import this package.
+
+    These are settings of the session that is given; a caller with other needs gives spark.newSession().
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -49,21 +52,34 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where it is unset on a local master."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-quillgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_folders: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all scratch tables of this process. Results that still read them must have been written before."""
+    jvm = spark.sparkContext._jvm
+    while _folders:
+        place = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage and to read a result more than once.
 
-    A lost executor costs a re-read of files, never a recomputation of all that went before.
+    A lost executor costs a re-read of files, never a recomputation of all that went before. Loops
+    drop what no later round reads; the rest stays until clean_up(), as results are lazy.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _folders.append(self.base)
 
     def keep(self, df: DataFrame, **options: str) -> DataFrame:
         self.count += 1

@@ -31,11 +31,16 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def ingest(documents: DataFrame, path: str) -> None:
-    """Chunk arriving documents (id, text) and append them under path, a folder for each batch; a batch that runs again overwrites its own."""
+def ingest(documents: DataFrame, path: str, version: str | None = None) -> None:
+    """Chunk arriving documents (id, text) and append them under path, a folder for each batch; a batch that runs again overwrites its own.
+
+    Of documents that repeat an id in a batch, the one with the largest `version` (a column, say the
+    time of the edit) is chunked; without one, or of equal ones, that of the last text in order.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.dropDuplicates(["id"])
+        order = F.struct(*([version] if version else []), "text")
+        newest = batch.groupBy("id").agg(F.max_by("text", order).alias("text"))
         chunk_documents(newest).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
 
     documents.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
@@ -48,6 +53,11 @@ def current_chunks(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(last, ["id", "batch"], "left_semi")
 
 
+def replace_old_chunks(spark: SparkSession, path: str, into: str) -> None:
+    """Write the current chunks under another path, from which ingest can go on: chunks that a later batch replaced go."""
+    current_chunks(spark, path).write.mode("overwrite").partitionBy("batch").parquet(f"{into}/chunks")
+
+
 def debounce(updates: DataFrame, silence: str = "30 seconds", late: str = "1 minute") -> DataFrame:
     """(thread_id, start, end, payload, flag, n): the newest update of each burst of a thread, once it has been silent."""
     return (

@@ -224,3 +224,77 @@ def test_loop_detector_thresholds(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     got = jobs.run_available(jobs.loop_detector(jobs.read_folder(spark, f"{tmp_path}/in", df.schema)), "t").orderBy("event_id").collect()
     assert [r["verdict"] for r in got] == ["ok", "ok", "ok", "warn", "ok", "ok", "stop", "stop", "ok"]
+
+
+def test_adaptive_length_and_ids(spark):
+    import hashlib
+
+    assert [work.adaptive_length(n) for n in (0, 163, 164, 983, 984, 10**9)] == [3, 3, 4, 4, 5, 8]
+    for n in (100, 500, 5_000, 40_000):
+        k = work.adaptive_length(n)
+        risk = lambda k: 1 - math.exp(-n * n / (2 * 36.0**k))  # noqa: B023, E731
+        assert risk(k) <= 0.25 and (k == 3 or risk(k - 1) > 0.25)
+    size = {3: 2, 4: 3, 5: 4, 6: 4, 7: 5, 8: 5}
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(50)], "t string")
+    for k in range(3, 9):
+        for text_, got in rows.select("t", work.hash_id("bd", F.col("t"), k)).collect():
+            x, out = int.from_bytes(hashlib.sha256(text_.encode()).digest()[: size[k]], "big"), ""
+            while x:
+                x, d = divmod(x, 36)
+                out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+            assert got == "bd-" + out.rjust(k, "0")[-k:]
+
+
+def test_extract_memories_brute_force(spark, sf_dir):
+    import re
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("CAST(doc_id AS STRING) AS id", "text", "CASE WHEN doc_id % 3 = 0 THEN concat('Title ', doc_id) END AS title", "CASE WHEN doc_id % 6 = 0 THEN 'http://x' END AS url")
+    want = set()
+    for i, body, title, url in docs.collect():
+        if body is None or len(body.strip(" ")) < 50:
+            continue
+        rows = [(-1, f"{title} ({url})" if url else title, 0.9)] if title else []
+        seen, position = {}, 0
+        for sentence in (s.strip(" ") for s in re.split(r"(?<=[.!?])\s+|\n+", body, flags=re.ASCII)):
+            if not sentence:
+                continue
+            if position < 50 and 20 <= len(sentence) <= 500 and sentence not in seen:
+                entity = re.search(r"(?<=[a-zà-ÿ,;] )[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)*", sentence, re.ASCII)
+                if entity or re.search(r"[0-9]", sentence) or re.search(r"(?i)\b(is|are|was|were|means|refers to|defined as)\b", sentence, re.ASCII):
+                    seen[sentence] = (position, sentence, 0.7 if entity else 0.5)
+            position += 1
+        want |= {(i, *r) for r in (rows + list(seen.values()))[:10]}
+    assert {tuple(r) for r in memory.extract_memories(docs).select("id", "pos", "memory", "confidence").collect()} == want
+
+
+def test_ingest_takes_the_newest_and_replaces_chunks(spark, tmp_path):
+    schema, feed, out = "id string, text string, edited int", str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([("a", "old words here", 1), ("a", "new words here", 2), ("b", "stays", 1)], [("a", "newest words", 3)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        jobs.ingest(jobs.read_folder(spark, feed, schema), out, "edited")
+        now = {r["id"]: r["content"] for r in jobs.current_chunks(spark, out).collect()}
+        assert now == ({"a": "new words here", "b": "stays"} if len(rows) > 1 else {"a": "newest words", "b": "stays"})
+    jobs.replace_old_chunks(spark, out, str(tmp_path / "compact"))
+    assert {r["id"]: r["content"] for r in jobs.current_chunks(spark, str(tmp_path / "compact")).collect()} == now
+    assert spark.read.parquet(str(tmp_path / "compact" / "chunks")).count() == 2
+
+
+def test_ignored_names_and_sizes(spark):
+    paths = ["src/a.py", ".git/a.py", "x/node_modules/a.py", "pkg.egg-info/a.py", "a.bak", "logs/a.py", "my.cache", "catalogs/a.py", "Thumbs.db", "notes~"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r[0] for r in text.path_glob_filter(rows, "**").collect()] == ["src/a.py", "catalogs/a.py"]
+    files = spark.createDataFrame([("small", "hit"), ("large", "hit\n" + "x" * 100)], "path string, text string")
+    assert [r["path"] for r in text.regex_log_search(files, "hit", most_bytes=50).collect()] == ["small"]
+
+
+def test_version_chains_by_doubling(spark):
+    rows = [(f"{i}", f"{i - 1}" if i % 40 else None) for i in range(200)] + [("x", "y"), ("y", "x"), ("200", "5"), ("301", "gone"), ("302", "301")]
+    got = {(r["id"], r["root"], r["place"]) for r in graph.version_chain(spark.createDataFrame(rows, "id string, parent_memory_id string")).collect()}
+    assert got == {(f"{i}", f"{i - i % 40}", i % 40) for i in range(200)} | {("301", "301", 0), ("302", "301", 1)}
+
+
+def test_waves_stop_at_cycles(spark):
+    members = spark.createDataFrame([(e, x) for e in "EF" for x in "abcdefg"], "epic string, id string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "e"), ("e", "d"), ("f", "d"), ("f", "a"), ("g", "g")], "src string, dst string")
+    got = {(r["epic"], r["id"], r["wave"]) for r in graph.waves(members, edges).collect()}
+    assert got == {(e, x, w) for e in "EF" for x, w in (("a", 0), ("b", 1), ("c", 2))}

@@ -38,10 +38,3 @@ def test_components_over_all_edges(spark, sf_dir, duck):
             root[max(a, b)] = min(a, b)
     got = catalog.QUERIES["G14_components_all_edges"](spark, sf_dir).collect()
     assert len(got) == len(root) and {r["id"]: r["component"] for r in got} == {i: find(i) for i in root}
-
-
-def test_extractions_of_all_rows(spark, sf_dir, duck, same):
-    part = "WHERE l_orderkey % 50 = 0"
-    sql = catalog.SQL["M11_clean_extractions"]
-    assert sql.count(part) == 1
-    same(catalog.QUERIES["M11_clean_extractions_all"](spark, sf_dir), sql.replace(part, ""), duck)
