@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import Scratch, prepare
-from .components import components
 from .shingles import MinHash, jaccard, shingle_sets
 from .sieve import Sieve
 

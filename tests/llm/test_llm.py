@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import components, crf, decontaminate, exact_dedup, fm_index, golomb, language_id, licenses, mixing, near_dedup, quality, queries, secrets, token_counts, toxicity, words
+from quillgraph.llm import crf, decontaminate, exact_dedup, fm_index, golomb, language_id, licenses, mixing, near_dedup, quality, queries, secrets, token_counts, toxicity, words
+from quillgraph.operators import components
 from quillgraph.session import Scratch
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
