@@ -4,8 +4,8 @@ STAGES run in order; each takes (spark, docs, sf_dir) and works on all rows that
 kept. All but the last return the columns of documents. run() writes what a stage returns to the
 shared folder and reads it again, so that a lost executor never sets back more than one stage.
 
-Each stage takes the nulls, empty texts, ties, repeated rows, empty tables and extra columns that
-its operator's docstring defines.
+Each stage takes nulls, empty and very long texts, ties, repeated rows, empty tables and extra
+columns of any name, as its docstring and its operator's define.
 """
 
 from __future__ import annotations
@@ -20,13 +20,20 @@ QUALITY = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from labels of documents it is given."""
+    """Documents that the quality classifier does not reject; it learns from labels of documents it is given.
+
+    Null and empty texts are scored as texts without words; null doc_ids and null labels are not
+    learned from. Repeated rows stay or go together. Without labels everything stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, labels, ~quality.held_out(), QUALITY)
 
 
 def keep_one_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the largest doc_id of each group of equal texts."""
+    """The row with the largest doc_id of each group of equal texts.
+
+    A null text equals an empty one; null doc_ids rank last. Of rows that repeat doc_id and text one stays.
+    """
     return exact_dedup.without_copies(docs)
 
 
@@ -40,12 +47,18 @@ def keep_one_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no ten-word window of the benchmark; others go as a whole."""
+    """Documents that hold no ten-word window of the benchmark; others go as a whole.
+
+    Null and empty texts stay, and so does everything if the benchmark is empty.
+    """
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document, in training order."""
+    """How many words the mix takes of each document, in training order: a row a document.
+
+    Null and empty texts have no words and come last; null sources are one source.
+    """
     return mixing.mix(docs)
 
 
