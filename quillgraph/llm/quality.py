@@ -150,6 +150,8 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability, linear between bins; where it is level, the raw score keeps the order."""
+        if not self.weights.any():
+            return np.full(len(x), 0.5)
         raw = self.raw(x)
         level = np.interp(raw, self.at, self.levels)
         return np.clip(0.9998 * level + 1e-4 * (1 + np.tanh(raw - 0.5)), 0.0, 1.0)

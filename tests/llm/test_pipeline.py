@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 import corpus_pipeline
 from quillgraph.llm.mixing import curriculum
 from quillgraph.session import Scratch
@@ -75,3 +77,32 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert [len(s) for s in several] == [1, 1]
     rest = [r for r in got if r not in rows[:3] + rows[13:15]]
     assert sorted(rest, key=str) == sorted([rows[i] for i in (4, 5, 7, 8, 9, 12, 15, 16, 17, 18)], key=str)
+
+
+CLASH = ("leak", "x", "score", "kept", "id", "sha", "gone", "gone_text", "id_row", "c0", "size", "position", "sieve_page")
+
+
+@pytest.mark.parametrize("filled", [True, False])
+def test_run_over_odd_tables(spark, tmp_path, filled):
+    """Nulls in any column, empty and 10 MB texts, repeats, ties, empty tables and clashing names, from end to end."""
+
+    def text(name, n=60, **changed):
+        return " ".join(changed.get(f"w{i}", f"{name}{i}") for i in range(n))
+
+    long, flat = " ".join(f"long{i}" for i in range(1_000_000)), "z" * 10_000_000
+    leak = text("bench", 14)
+    rows = [
+        (1, None, "a"), (2, "", "a"), (3, " \n ", None), (None, None, None), (4, text("p"), "a"), (4, text("p"), "a"), (None, text("q"), None), (None, text("q"), None), (5, text("p"), None),
+        (6, text("p", w30="other"), "b"), (7, long, "b"), (8, flat, "b"), (9, flat, "c"), (10, "before " + leak + " after", "c"), (11, text("r"), "a"), (11, text("s"), "a"),
+    ]
+    docs = spark.createDataFrame(rows if filled else [], "doc_id bigint, text string, source string")
+    for name in CLASH:
+        docs = docs.withColumn(name, F.lit("clash"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, leak), (2, None), (None, ""), (3, leak)] if filled else [], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # one of the empty texts (the one of 2) and the blank one stay; 4 and 5 are one text, 6 is near to it; 10 holds a passage
+    want = [2, 3, 5, 7, 9, 11, 11, None] if filled else []
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted(want, key=str)
+    assert not filled or {r["doc_id"]: r["size"] for r in got}[7] == 1_000_000
