@@ -1,7 +1,8 @@
 """Exact vector retrieval, ranking, and consolidation of memories.
 
 Queries are sent to the corpus in blocks of at most QUERY_BLOCK, as a matrix; the corpus is scanned
-batch by batch where it lies, and only each partition's best rows are shuffled.
+batch by batch where it lies, and only each partition's best rows are shuffled. With several blocks,
+each block's rows are written before the next is read, so the driver holds one block at a time.
 """
 
 from __future__ import annotations
@@ -35,6 +36,21 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(flat, norms, out=np.zeros_like(flat), where=norms > 0), ok
 
 
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row, ties by name, so that the rows kept do not depend on their order."""
+    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+    q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    value, name = scores[q, c], names[q, c]
+    code = np.unique(name.astype(str), return_inverse=True)[1] if len(name) else np.zeros(0, int)
+    order = np.lexsort((code, -value, q))
+    q, value, name = q[order], value[order], name[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    keep = place < k
+    out_s, out_i = np.full((len(scores), k), -np.inf), np.empty((len(scores), k), dtype=object)
+    out_s[q[keep], place[keep]], out_i[q[keep], place[keep]] = value[keep], name[keep]
+    return out_s, out_i
+
+
 def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray, k: int | None, least: float | None):
     width = matrix.shape[1]
     scope_of = np.array([s if s is not None else "" for s in scopes], dtype=object) if scopes is not None else None
@@ -57,19 +73,7 @@ def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray
                     q, c = np.nonzero(scores >= least)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(names[c].tolist(), pa.string()), pa.array(scores[q, c], pa.float64())], ["query_id", "id", "score"])
                     continue
-                best_s = np.hstack([best_s, scores])
-                best_i = np.hstack([best_i, np.broadcast_to(names, scores.shape)])
-                # ties by id, so that the rows kept do not depend on their order
-                order = np.array([sorted(range(best_s.shape[1]), key=lambda j, r=r: (-best_s[r, j], best_i[r, j]))[:k] for r in range(len(ids))]) if best_s.shape[1] <= 4 * k else None
-                if order is None:
-                    cut = np.argpartition(-best_s, min(2 * k, best_s.shape[1] - 1), axis=1)[:, : 2 * k]
-                    edge = np.take_along_axis(best_s, cut, 1).min(axis=1)
-                    tied = (best_s == edge[:, None]).sum(axis=1) > (np.take_along_axis(best_s, cut, 1) == edge[:, None]).sum(axis=1)
-                    order = np.empty((len(ids), min(k, best_s.shape[1])), dtype=np.int64)
-                    for r in range(len(ids)):
-                        pool = range(best_s.shape[1]) if tied[r] and np.sort(-best_s[r])[k - 1] == -edge[r] else cut[r]
-                        order[r] = sorted(pool, key=lambda j: (-best_s[r, j], best_i[r, j]))[: order.shape[1]]  # noqa: B023
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
+                best_s, best_i = _best(np.hstack([best_s, scores]), np.hstack([best_i, np.broadcast_to(names, scores.shape)]), k)
         if k is not None and best_s.shape[1]:
             q, c = np.nonzero(np.isfinite(best_s))
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(best_i[q, c].tolist(), pa.string()), pa.array(best_s[q, c], pa.float64())], ["query_id", "id", "score"])
@@ -77,6 +81,16 @@ def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray
     return run
 
 
+def _scanned(queries: DataFrame, rows: DataFrame, scope: str | None, block: int, k: int | None, least: float | None) -> DataFrame:
+    """(query_id, id, score) of all blocks."""
+    scratch, found, several = Scratch(queries.sparkSession, "nearest"), None, queries.count() > block
+    for ids, scopes, matrix in _blocks(queries, scope, block):
+        some = rows.mapInArrow(_nearest(ids, scopes, matrix, k, least), "query_id string, id string, score double")
+        some = scratch.keep(some) if several else some
+        found = some if found is None else found.union(some)
+    return rows.sparkSession.createDataFrame([], "query_id string, id string, score double") if found is None else found
+
+
 def _blocks(queries: DataFrame, scope: str | None, block: int):
     n = queries.count()
     parts = max(1, -(-n // block))
@@ -98,12 +112,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None
     """
     prepare(queries.sparkSession)
     rows = corpus.select("id", "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    found = None
-    for ids, scopes, matrix in _blocks(queries, scope, block):
-        some = rows.mapInArrow(_nearest(ids, scopes, matrix, k, None), "query_id string, id string, score double")
-        found = some if found is None else found.union(some)
-    if found is None:
-        found = rows.sparkSession.createDataFrame([], "query_id string, id string, score double")
+    found = _scanned(queries, rows, scope, block, k, None)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -112,10 +121,7 @@ def similar(queries: DataFrame, corpus: DataFrame, least: float, scope: str | No
     """(query_id, id, score) of all rows at or above a similarity."""
     prepare(queries.sparkSession)
     rows = corpus.select("id", "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    found = rows.sparkSession.createDataFrame([], "query_id string, id string, score double")
-    for ids, scopes, matrix in _blocks(queries, scope, block):
-        found = found.union(rows.mapInArrow(_nearest(ids, scopes, matrix, None, least), "query_id string, id string, score double"))
-    return found
+    return _scanned(queries, rows, scope, block, None, least)
 
 
 LEVEL_BOOST = {"core": 1.3, "profile": 1.2, "preference": 1.1, "fact": 1.0, "episodic": 0.9}

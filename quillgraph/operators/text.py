@@ -18,23 +18,32 @@ from ..session import prepare
 TARGET, LEAST, MOST, OVERLAP = 500, 100, 1000, 150
 
 
+def pieces(text: str) -> int:
+    """Pieces around white space; an empty text has one."""
+    return len(re.split(r"\s+", text))
+
+
 def tokens(text: str) -> int:
-    """1.3 tokens a word; the pieces around white space count, so an empty text has one."""
-    return math.ceil(len(re.split(r"\s+", text)) * 1.3)
+    """1.3 tokens a piece."""
+    return math.ceil(pieces(text) * 1.3)
 
 
 def chunk_text(text: str | None) -> list[str]:
     """Paragraphs gathered to about TARGET tokens, long ones by sentences, each chunk beginning with the end of the one before."""
     chunks: list[str] = []
-    now = ""
+    now, count = "", 0
 
     def add(piece: str, glue: str) -> None:
-        nonlocal now
-        if now.strip() and tokens(now + glue + piece) > TARGET:
+        """count is pieces(now), carried along; white space at a seam is one with the glue."""
+        nonlocal now, count
+        joint = (count - now[-1:].isspace()) + (pieces(piece) - piece[:1].isspace()) if now else pieces(piece)
+        if now.strip() and math.ceil(joint * 1.3) > TARGET:
             chunks.append(now.strip())
             now = now[-OVERLAP:] + glue + piece
+            count = pieces(now)
         else:
             now += (glue if now else "") + piece
+            count = joint
 
     for paragraph in re.split(r"\n{2,}", text or ""):
         if not paragraph.strip():
@@ -44,7 +53,7 @@ def chunk_text(text: str | None) -> list[str]:
             continue
         if now.strip():
             chunks.append(now.strip())
-        now = ""
+        now, count = "", 0
         for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
             add(sentence, " ")
     if now.strip():
@@ -87,8 +96,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = Non
     pieces = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"), lambda w: F.octet_length(w) > 1)
     bags = rows.select("id", F.explode(pieces).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
     listed = bags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "c"))).alias("bag"))
-    classes = listed.groupBy("bag").agg(F.min("id").alias("rep"), F.collect_list("id").alias("ids"))
-    copies = classes.select("rep", F.explode("ids").alias("id")).filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    keyed = listed.withColumn("key", F.sha2(F.to_json("bag"), 256))
+    classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bag").alias("bag"))
+    copies = keyed.select("id", "key").join(classes.select("key", "rep"), "key").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     total = lambda bag: F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
     square = lambda bag: F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, x: s + x["c"] * x["c"])
     reps = classes.select("rep", "bag", total("bag").alias("n"), square("bag").alias("q"))

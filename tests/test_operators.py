@@ -298,3 +298,62 @@ def test_waves_stop_at_cycles(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "e"), ("e", "d"), ("f", "d"), ("f", "a"), ("g", "g")], "src string, dst string")
     got = {(r["epic"], r["id"], r["wave"]) for r in graph.waves(members, edges).collect()}
     assert got == {(e, x, w) for e in "EF" for x, w in (("a", 0), ("b", 1), ("c", 2))}
+
+
+def test_running_piece_count(monkeypatch):
+    """Chunks are as if every joined text was split anew."""
+
+    def plain(body):
+        chunks, now = [], ""
+
+        def add(piece, glue):
+            nonlocal now
+            if now.strip() and text.tokens(now + glue + piece) > text.TARGET:
+                chunks.append(now.strip())
+                now = now[-text.OVERLAP :] + glue + piece
+            else:
+                now += (glue if now else "") + piece
+
+        import re
+
+        for paragraph in re.split(r"\n{2,}", body):
+            if not paragraph.strip():
+                continue
+            if text.tokens(paragraph) <= text.MOST:
+                add(paragraph, "\n\n")
+                continue
+            if now.strip():
+                chunks.append(now.strip())
+            now = ""
+            for sentence in re.split(r"(?<=[.!?])\s+", paragraph):
+                add(sentence, " ")
+        if now.strip():
+            if chunks and text.tokens(now) < text.LEAST:
+                chunks[-1] += "\n\n" + now.strip()
+            else:
+                chunks.append(now.strip())
+        return chunks
+
+    rng = random.Random(3)
+    for name, value in (("TARGET", 12), ("LEAST", 4), ("MOST", 20), ("OVERLAP", 9)):
+        monkeypatch.setattr(text, name, value)
+    for _ in range(400):
+        body = "".join(rng.choices(["word", "a", " ", "  ", "\n", "\n\n", ". ", "! ", "\t", "ü"], k=rng.randint(0, 120)))
+        assert text.chunk_text(body) == plain(body), repr(body)
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(f"v{i}", [float(rng.randint(-2, 2)) for _ in range(3)], f"s{i % 3}") for i in range(300)]
+    corpus = spark.createDataFrame(rows, "id string, embedding array<double>, space string").repartition(3)
+    queries = corpus.filter("id LIKE 'v%7'")
+    for scope in (None, "space"):
+        got = [{(r["query_id"], r["id"], r["rank"]) for r in retrieval.vector_topk(queries, corpus, 5, scope, block).collect()} for block in (8192, 7)]
+        unit = {i: [x / (math.sqrt(sum(y * y for y in v)) or 1.0) for x in v] for i, v, _ in rows}
+        want = set()
+        for i, _, s in rows:
+            if i.endswith("7"):
+                scored = sorted((-round(sum(x * y for x, y in zip(unit[i], unit[j], strict=True)), 9) + 0.0, j) for j, _, t in rows if scope is None or s == t)[:5]
+                want |= {(i, j, n + 1) for n, (_, j) in enumerate(scored)}
+        assert got[0] == got[1]
+        assert len(got[0]) == len(want) and len(got[0] & want) >= 0.9 * len(want)
