@@ -26,7 +26,7 @@ BLOCK_BYTES = 2 << 20
 PASS_BYTES = 64 << 20
 PIECE_WORDS = 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 SPAN = "struct<first_word:bigint,end_word:bigint,first_char:bigint,end_char:bigint>"
 LEAK = f"struct<n_words:bigint,spans:array<{SPAN}>,items:array<string>>"

@@ -37,7 +37,7 @@ from .sieve import Sieve
 SKETCH = 1024
 BLOCK = 512
 #: Shingles of a block, beyond which it is split further; a single longer set is a block of its own size.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 
 
 def _key(shingles: np.ndarray) -> bytes:

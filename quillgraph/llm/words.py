@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Bytes that belong to words, after lower-casing.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -23,6 +23,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_KEPT = 1 << 21
 _powers: list[np.ndarray] = []
 
 
@@ -34,15 +35,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        tables = []
-        for base in (_BASE, _INVERSE):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+    """Powers of the base and of its inverse, at least n of each; those for one very long text are not kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = max(n, 2 * SLICE_BYTES)
+    tables = []
+    for base in (_BASE, _INVERSE):
+        t = np.full(size, base, dtype=np.uint64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    if size <= _KEPT:
         _powers[:] = tables
-    return _powers[0], _powers[1]
+    return tables[0], tables[1]
 
 
 class Slice:
@@ -93,7 +97,11 @@ class Words:
         """64-bit hash of each word's bytes, the same wherever the word stands."""
         power, inverse = _power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)], out=sums[1:])
+        values = self.data.astype(np.uint64)
+        values += np.uint64(1)
+        values *= power[: len(self.data)]
+        np.cumsum(values, out=sums[1:])
+        del values
         h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
         return mix(h + (self.ends - self.starts).astype(np.uint64))
 
