@@ -56,10 +56,25 @@ def ready_transitive(issues: DataFrame, deps: DataFrame, max_depth: int = 50) ->
 
 
 def would_create_cycle(candidates: DataFrame, edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(src, dst, cycle) for new edges: self edges, and those whose src the dst already reaches."""
-    starts = candidates.filter("src <> dst").select(F.col("dst").alias("origin"), F.col("dst").alias("id")).distinct()
-    reached = bfs(starts, edges, max_depth).select(F.col("origin").alias("dst"), F.col("id").alias("src"), F.lit(True).alias("hit"))
-    return candidates.join(reached, ["src", "dst"], "left").select("src", "dst", (F.col("hit").isNotNull() | (F.col("src") == F.col("dst"))).alias("cycle"))
+    """(src, dst, cycle) for new edges: self edges, and those whose src the dst already reaches.
+
+    A way from a dst to a src runs only over nodes that some dst reaches and from which some src is
+    reached. Two closures of plain ids find these; only edges among them, and only candidates with
+    both ends among them, enter the search that keeps its origin.
+    """
+    scratch = Scratch(prepare(candidates.sparkSession), "candidates")
+    new = scratch.keep(candidates.select("src", "dst"))
+    edges = scratch.keep(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
+    open_ends = new.filter("src <> dst").distinct()
+    ahead = closure(open_ends.select(F.col("dst").alias("id")), edges, max_depth).select("id")
+    known = scratch.keep(edges.join(ahead.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst"))
+    ends = open_ends.select(F.col("src").alias("id")).join(ahead, "id", "left_semi")
+    between = scratch.keep(closure(ends, known.select(F.col("dst").alias("src"), F.col("src").alias("dst")), max_depth).select("id"))
+    inside = known.join(between.withColumnRenamed("id", "src"), "src", "left_semi").join(between.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    asked = open_ends.join(between.withColumnRenamed("id", "src"), "src", "left_semi").join(between.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    starts = asked.select(F.col("dst").alias("origin"), F.col("dst").alias("id")).distinct()
+    reached = bfs(starts, inside, max_depth).select(F.col("origin").alias("dst"), F.col("id").alias("src"), F.lit(True).alias("hit"))
+    return new.join(reached, ["src", "dst"], "left").select("src", "dst", (F.col("hit").isNotNull() | (F.col("src") == F.col("dst"))).alias("cycle"))
 
 
 def _propagate(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -90,7 +90,9 @@ def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = Non
     Texts of the same tokens are one class, compared once; its members pair with their least id.
     A pair that reaches the threshold t has a cosine or a Jaccard of t, hence shares a token among
     the rarest of either side: with tokens from rare to frequent, the prefix of a text that holds
-    all but the part that may differ. Only prefixes are joined, so frequent tokens seldom meet. With max_df, tokens in more
+    all but the part that may differ. Only prefixes are joined, so frequent tokens seldom meet. What both
+    sides still have from a shared token on, and their lengths, bound the similarity of a pair whose first
+    shared token it is; pairs below the threshold by that bound are not compared. With max_df, tokens in more
     texts than that bring no pairs together (they still count), which may lose pairs.
     """
     pieces = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"), lambda w: F.octet_length(w) > 1)
@@ -108,10 +110,13 @@ def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = Non
     ranked = words.join(df, "w")
     before = Window.partitionBy("rep").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1)
     # what stands from a token on is all that can be shared once no rarer one is
-    left = 1 - F.coalesce(F.sum("c").over(before), F.lit(0)) / F.col("n")
-    left2 = 1 - F.coalesce(F.sum(F.col("c") * F.col("c")).over(before), F.lit(0)) / F.col("q")
-    prefix = ranked.withColumn("bound", (left + F.sqrt(F.greatest(left2, F.lit(0.0)))) / 2).filter((F.col("bound") >= least - 1e-9) & rare).select("w", "rep")
-    pairs = prefix.toDF("w", "a").join(prefix.toDF("w", "b"), "w").filter("a < b").select("a", "b").distinct()
+    ranked = ranked.withColumns({"m": F.col("n") - F.coalesce(F.sum("c").over(before), F.lit(0)), "p": F.col("q") - F.coalesce(F.sum(F.col("c") * F.col("c")).over(before), F.lit(0))})
+    alone = (F.col("m") / F.col("n") + F.sqrt(F.col("p") / F.col("q"))) / 2
+    prefix = ranked.filter((alone >= least - 1e-9) & rare).select("w", "rep", "n", "q", "m", "p")
+    met = prefix.toDF("w", "a", "n_a", "q_a", "m_a", "p_a").join(prefix.toDF("w", "b", "n_b", "q_b", "m_b", "p_b"), "w").filter("a < b")
+    most = F.least("m_a", "m_b")
+    bound = (most / (F.col("n_a") + F.col("n_b") - most) + F.sqrt(F.col("p_a") / F.col("q_a") * (F.col("p_b") / F.col("q_b")))) / 2
+    pairs = met.filter(bound >= least - 1e-9).select("a", "b").distinct()
     counted = words.select("rep", "w", "c")
     shared = pairs.join(counted.toDF("a", "w", "ca"), "a").join(counted.toDF("b", "w", "cb"), ["b", "w"])
     sums = shared.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("p"))

@@ -167,7 +167,14 @@ def _(t):
     return memory.apply_commands(t.memories, commands).select("id", "is_forgotten", "is_static", "memory_level", "confidence")
 
 
-@query("M9_extract_memories")
+@query("M9_extract_memories", r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, concat('Document ', doc_id) AS title, text FROM documents WHERE length(trim(text, ' ')) >= 50),
+p AS (SELECT id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: trim(s, ' ')), lambda s: s <> '')[1:50] AS parts FROM d),
+s AS (SELECT id, unnest(parts) AS memory, generate_subscripts(parts, 1) - 1 AS pos FROM p),
+k AS (SELECT id, pos, memory, regexp_matches(memory, '[a-zà-ÿ,;] [A-ZÀ-Þ][\w''-]') AS entity FROM s WHERE length(memory) BETWEEN 20 AND 500),
+u AS (SELECT id, min(pos) AS pos, memory, max(CASE WHEN entity THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END) AS confidence FROM k
+  WHERE entity OR regexp_matches(memory, '[0-9]') OR regexp_matches(memory, '(?i)(^|[^\p{L}\p{N}_])(is|are|was|were|means|refers to|defined as)($|[^\p{L}\p{N}_])') GROUP BY id, memory),
+a AS (SELECT id, -1 AS pos, title AS memory, 0.9::DOUBLE AS confidence FROM d UNION ALL SELECT id, pos, memory, confidence FROM u)
+SELECT id, CAST(pos AS INT) AS pos, memory, confidence FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) <= 10""")
 def _(t):
     docs = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.lit("").alias("url"), "text")
     return memory.extract_memories(docs)

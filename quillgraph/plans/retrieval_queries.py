@@ -92,7 +92,16 @@ def _(t):
     return retrieval.chunks_with_context(t.chunks, t.chunks.filter("CAST(id AS INT) % 7 = 0"))
 
 
-@query("M1_consolidate")
+@query("M1_consolidate", """WITH RECURSIVE x AS (SELECT id, CAST(id AS INT) AS n, space_id, CAST(embedding AS DOUBLE[]) AS v FROM memories),
+near AS (SELECT q.id, c.id AS target, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM x q JOIN x c ON q.space_id = c.space_id WHERE q.n % 2 = 0 AND c.n % 2 = 1),
+m AS (SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, target) AS place FROM near) WHERE place = 1 AND score >= 0.45),
+r AS (SELECT *, row_number() OVER (ORDER BY n) AS k FROM x WHERE n % 2 = 0 AND id NOT IN (SELECT id FROM m)),
+p AS (SELECT a.k, b.k AS j, b.id AS target, list_cosine_similarity(a.v, b.v) AS score FROM r a JOIN r b ON a.space_id = b.space_id AND b.k < a.k WHERE list_cosine_similarity(a.v, b.v) >= 0.45),
+l AS (SELECT r.k, coalesce(list(p.j) FILTER (p.j IS NOT NULL), []) AS js FROM r LEFT JOIN p ON p.k = r.k GROUP BY r.k),
+s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS made UNION ALL SELECT l.k, CASE WHEN list_has_any(s.made, l.js) THEN s.made ELSE list_append(s.made, l.k) END FROM s JOIN l ON l.k = s.k + 1),
+c AS (SELECT unnest(made) AS k FROM (SELECT made FROM s ORDER BY k DESC LIMIT 1))
+SELECT id, 'reinforce' AS action, target FROM m UNION ALL SELECT id, 'create', NULL FROM r WHERE k IN (SELECT k FROM c)
+UNION ALL SELECT r.id, 'reinforce', (SELECT p.target FROM p WHERE p.k = r.k AND p.j IN (SELECT k FROM c) ORDER BY p.score DESC, p.target DESC LIMIT 1) FROM r WHERE k NOT IN (SELECT k FROM c)""")
 def _(t):
     rows = t.memories.withColumn("n", F.col("id").cast("int"))
     return retrieval.consolidate(rows.filter("n % 2 = 0"), rows.filter("n % 2 = 1"), least=0.45, order=("n",))

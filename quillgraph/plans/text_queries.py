@@ -166,6 +166,27 @@ def _(t):
     return text.to_markdown_rows(t.nation)
 
 
-@query("S7_web_pages_to_markdown")
+def _replaced(column, *rules):
+    for pattern, by in rules:
+        column = f"regexp_replace({column}, '{pattern}', {by}, 'gs')"
+    return column
+
+
+#: The tags that pages have, one rule after the other; entities come last.
+MARKDOWN = _replaced(
+    "html", (r"[ \t\n\r\f\v]+", "' '"), ("<!--.*?-->|<![^>]*>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title>.*?</title>", "''"),
+    ("<a href=\"([^\"]*)\">([^<]*)</a>", r"'[\2](\1)'"), ("<h1[^>]*>", "chr(10) || chr(10) || '# '"), ("<li[^>]*>", "chr(10) || '- '"), ("<br[^>]*>", "chr(10)"), ("</?(b|strong)>", "'**'"),
+    ("</?(p|div|nav|article|footer|ul)( [^>]*)?>|</h1>", "chr(10) || chr(10)"), ("<[^>]*>", "''"),
+)
+
+
+def _unescaped(column):
+    for name, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        column = f"replace({column}, '{name}', '{sign}')"
+    return column
+
+
+@query("S7_web_pages_to_markdown", f"""SELECT page_id, trim({_unescaped("regexp_extract(html, '<title>(.*?)</title>', 1)")}, chr(10) || ' ') AS title,
+trim({_replaced(_unescaped(MARKDOWN), (r'\n[ \t]+', 'chr(10)'), (r'[ \t]+\n', 'chr(10)'), (r'\n{3,}', 'chr(10) || chr(10)'))}, chr(10) || ' ') AS markdown FROM pages""")
 def _(t):
     return text.pages_to_markdown(t.pages)
