@@ -6,13 +6,12 @@ plans stay short and a lost executor costs one round. Only counts reach the driv
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
 from .components import components
+from .folds import capped_fold
 
 
 def bfs(start: DataFrame, edges: DataFrame, max_depth: int, seed: str | None = None) -> DataFrame:
@@ -223,40 +222,10 @@ def memory_edges(memories: DataFrame, links: DataFrame) -> DataFrame:
     return derives.union(known.select("source", "target", F.when(F.col("relation").isin(*RELATIONS), F.col("relation")).otherwise("updates")))
 
 
-def capped_fold(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: str, keep: float, gain: float, add: float, chunk: Column, start: Column | None = None) -> DataFrame:
-    """Per key c <- min(1, keep * c + gain * value + add) in order: (key, confidence, n).
-
-    A step is min(m, a * c + b), and so is any run of steps. Rows of a chunk (a range of the order)
-    fold to one such step, and the chunks' steps fold in order, so that a popular key is not one
-    list. The first value starts the fold, unless start (a column over key) is given.
-    """
-    step = F.struct(*(F.col(o) for o in order), F.col(value).cast("double").alias("v"))
-    lists = rows.groupBy(*key, chunk.alias("chunk")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-
-    def then(s: Column, a: Column, b: Column, m: Column) -> Column:
-        return F.struct((a * s["a"]).alias("a"), (a * s["b"] + b).alias("b"), F.least(m, a * s["m"] + b).alias("m"))
-
-    nothing = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1e300).alias("m"))
-    one = lambda s, x: then(s, F.lit(keep), gain * x["v"] + F.lit(add), F.lit(1.0))
-    folded = lists.select(
-        *key, "chunk", F.size("steps").alias("n"), F.col("steps")[0]["v"].alias("first"), F.aggregate("steps", nothing, one).alias("all"),
-        F.aggregate(F.slice("steps", 2, 1 << 30), nothing, one).alias("rest"),
-    )
-    chunks = folded.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "first", "all", "rest"))).alias("c"))
-    run = lambda begin, skip: F.aggregate(F.slice("c", 2, 1 << 30) if skip else F.col("c"), begin, lambda c, s: F.least(s["all"]["m"], s["all"]["a"] * c + s["all"]["b"]))
-    if start is None:
-        head = F.col("c")[0]
-        confidence = run(F.least(head["rest"]["m"], head["rest"]["a"] * head["first"] + head["rest"]["b"]), True)
-    else:
-        confidence = run(start, False)
-    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda n, s: n + s["n"])
-    return chunks.select(*key, confidence.alias("confidence"), n.alias("n"))
-
-
 def upsert_nodes(mentions: DataFrame) -> DataFrame:
     """(name, type, org_id, mention_count, confidence) of node mentions (name, type, org_id, confidence, ts, seq)."""
     keyed = mentions.withColumn("name", F.lower(F.trim("name")))
-    return capped_fold(keyed, ["name", "type", "org_id"], ["ts", "seq"], "confidence", 0.8, 0.2, 0.05, F.date_trunc("day", "ts")).withColumnRenamed("n", "mention_count")
+    return capped_fold(keyed, ["name", "type", "org_id"], ["ts", "seq"], "confidence", 0.8, 0.2, 0.05).withColumnRenamed("n", "mention_count")
 
 
 def upsert_edges(mentions: DataFrame) -> DataFrame:

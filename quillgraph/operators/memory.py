@@ -12,6 +12,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch, prepare
+from . import folds
+
 #: Constants of the lifecycle (fixed values).
 FORGET_BELOW, DECAY_A_DAY, BOOST = 0.15, 0.005, 0.1
 DECAY_BY_LEVEL = {"profile": 0.25, "preference": 0.5, "fact": 1.0, "episodic": 1.5}
@@ -113,36 +116,28 @@ def promote_level(level: Column, sources: Column, confidence: Column) -> Column:
     return F.when(level.isin("fact", "preference") & core, "core").when((level == "fact") & (sources >= 3) & (confidence >= 0.6), "preference").otherwise(level)
 
 
-def reinforce(memories: DataFrame, hits: DataFrame) -> DataFrame:
+def reinforce(memories: DataFrame, hits: DataFrame, bits: int = folds.BITS) -> DataFrame:
     """Memories after hits (memory_id, confidence, ts, event_id) in order: confidence, sources, level, un-forgotten.
 
-    A hit makes c <- min(1, 0.7 c + 0.3 n + 0.1) and may promote. Hits of a day fold to one step
-    min(m, a c + b); the days' steps give the confidence that each day starts from, and then every
-    day runs its own hits. So a hot memory is many lists of a day each, and every hit counts in order.
+    A hit makes c <- min(1, 0.7 c + 0.3 n + 0.1) and may promote. Hits are cut into runs of bounded length
+    (folds), whose steps give the confidence that each run starts from; then every run goes through its
+    own hits. So a hot memory is many short lists, and every hit counts in order.
     """
-    step = F.struct("ts", "event_id", F.col("confidence").cast("double").alias("v"))
-    base = memories.select(F.col("id").alias("memory_id"), F.coalesce("confidence", F.lit(1.0)).alias("c0"), F.col("source_count").alias("s0"))
-    lists = hits.groupBy("memory_id", F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    nothing = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1e300).alias("m"))
-    more = lambda s, x: F.struct((0.7 * s["a"]).alias("a"), (0.7 * s["b"] + 0.3 * x["v"] + BOOST).alias("b"), F.least(F.lit(1.0), 0.7 * s["m"] + 0.3 * x["v"] + BOOST).alias("m"))
-    days = lists.select("memory_id", F.struct("day", F.size("steps").alias("n"), F.aggregate("steps", nothing, more).alias("f")).alias("d"))
-    per = days.groupBy("memory_id").agg(F.array_sort(F.collect_list("d")).alias("days")).join(base, "memory_id")
-    begin = F.struct(F.col("c0").alias("c"), F.col("s0").cast("int").alias("s"), F.array().cast("array<struct<day:timestamp,c:double,s:int>>").alias("out"))
-    walk = lambda x, d: F.struct(
-        F.least(d["f"]["m"], d["f"]["a"] * x["c"] + d["f"]["b"]).alias("c"), (x["s"] + d["n"]).alias("s"), F.concat(x["out"], F.array(F.struct(d["day"].alias("day"), x["c"].alias("c"), x["s"].alias("s")))).alias("out")
-    )
-    starts = per.select("memory_id", F.aggregate("days", begin, walk).alias("w")).select("memory_id", F.col("w.c").alias("after"), F.col("w.s").alias("sources"), F.explode("w.out").alias("o"))
-    run = starts.select("memory_id", "after", "sources", "o.day", F.col("o.c").alias("c"), F.col("o.s").alias("s")).join(lists, ["memory_id", "day"])
+    scratch, key = Scratch(prepare(memories.sparkSession), "reinforce"), ["memory_id"]
+    base = memories.select(F.col("id").alias("memory_id"), F.coalesce("confidence", F.lit(1.0)).alias("c"), F.col("source_count").alias("n"))
+    lists = folds.in_runs(hits, key, ["ts", "event_id"], "confidence", scratch, bits)
+    found = folds.levels(lists, key, 0.7, 0.3, BOOST, scratch, bits)
+    last, at = folds.starts(found, key, base, scratch, bits)
+    run = at.withColumnRenamed("n", "s").join(lists, ["memory_id", "piece"])
     zero = F.struct(F.col("c"), F.col("s"), F.lit(False).alias("core"), F.lit(False).alias("pref"))
 
     def hit(x: Column, h: Column) -> Column:
         c, s = F.least(F.lit(1.0), 0.7 * x["c"] + 0.3 * h["v"] + BOOST), x["s"] + 1
         return F.struct(c.alias("c"), s.alias("s"), (x["core"] | ((s >= 5) & (c >= 0.8))).alias("core"), (x["pref"] | ((s >= 3) & (c >= 0.6))).alias("pref"))
 
-    seen = run.select("memory_id", "after", "sources", F.aggregate("steps", zero, hit).alias("h")).groupBy("memory_id").agg(
-        F.first("after").alias("after"), F.first("sources").alias("sources"), F.max("h.core").alias("core"), F.max("h.pref").alias("pref")
-    )
-    rows = memories.join(seen.withColumnRenamed("memory_id", "id"), "id", "left")
+    signs = run.select("memory_id", F.aggregate("steps", zero, hit).alias("h")).groupBy("memory_id").agg(F.max("h.core").alias("core"), F.max("h.pref").alias("pref"))
+    seen = last.select(F.col("memory_id").alias("id"), F.col("c").alias("after"), F.col("n").cast("int").alias("sources")).join(signs.withColumnRenamed("memory_id", "id"), "id")
+    rows = memories.join(seen, "id", "left")
     was_hit, level = F.col("sources").isNotNull(), F.col("memory_level")
     promoted = F.when(level.isin("fact", "preference") & F.col("core"), "core").when((level == "fact") & F.col("pref"), "preference").otherwise(level)
     return rows.withColumns({

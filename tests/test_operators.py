@@ -66,11 +66,12 @@ def test_fold_equals_steps(spark):
     rng = random.Random(3)
     rows = [("k", dt.datetime(2024, 1, 1) + dt.timedelta(hours=7 * i), i, rng.random()) for i in range(40)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, seq int, v double")
-    got = graph.capped_fold(df, ["k"], ["ts", "seq"], "v", 0.8, 0.2, 0.05, F.date_trunc("day", "ts")).first()
     c = rows[0][3]
     for r in rows[1:]:
         c = min(1.0, 0.8 * c + 0.2 * r[3] + 0.05)
-    assert got["n"] == 40 and math.isclose(got["confidence"], c, abs_tol=1e-9)
+    for bits in (1, 2, 10):
+        got = graph.capped_fold(df, ["k"], ["ts", "seq"], "v", 0.8, 0.2, 0.05, bits).first()
+        assert got["n"] == 40 and math.isclose(got["confidence"], c, abs_tol=1e-9)
 
 
 MEMORY = "id string, confidence double, memory_level string, source_count int, is_static boolean, is_forgotten boolean, is_latest boolean, forget_after timestamp, updated_at timestamp"
@@ -92,6 +93,22 @@ def test_reinforce_batches_and_promotion(spark):
     assert whole["a"]["memory_level"] == "core" and not whole["a"]["is_forgotten"] and whole["b"]["source_count"] == 1
 
 
+def test_reinforce_cuts_a_hot_memory(spark):
+    """All hits of one minute and one memory, in runs of two or four, against a plain loop."""
+    m = spark.createDataFrame([("a", 0.1, "fact", 1, False, True, True, None, NOW), ("b", 0.4, "fact", 1, False, False, True, None, NOW)], MEMORY)
+    rng = random.Random(5)
+    hits = [("a", rng.random() / 3, NOW + dt.timedelta(seconds=i % 3), i) for i in range(37)] + [("b", 0.2, NOW, 1), ("b", 0.2, NOW, 1)]
+    rows = spark.createDataFrame(hits, "memory_id string, confidence double, ts timestamp, event_id int")
+    want = {"a": [0.1, 1], "b": [0.4, 1]}
+    for k, v, _, _ in sorted(hits, key=lambda x: (x[0], x[2], x[3])):
+        want[k] = [min(1.0, 0.7 * want[k][0] + 0.3 * v + 0.1), want[k][1] + 1]
+    for bits in (1, 2, 10):
+        got = {r["id"]: r for r in memory.reinforce(m, rows, bits).collect()}
+        for k, (c, s) in want.items():
+            assert math.isclose(got[k]["confidence"], c, abs_tol=1e-9) and got[k]["source_count"] == s and not got[k]["is_forgotten"]
+    assert memory.reinforce(m, rows.limit(0)).filter("confidence IS NOT NULL").count() == 2
+
+
 def test_decay_invariants(spark):
     rows = [(str(i), (i % 11) / 10, ["fact", "core", "profile", "preference", "episodic"][i % 5], 1, i % 7 == 0, False, True, NOW - dt.timedelta(days=3) if i % 4 == 0 else None, NOW - dt.timedelta(days=i * 5)) for i in range(60)]
     m = spark.createDataFrame(rows, MEMORY)
