@@ -53,7 +53,7 @@ def test_stages(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position"] and out.count() > 0
+    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "position", "positions"] and out.count() > 0
 
 
 def test_near_copies_with_null_and_repeated_ids(spark):
