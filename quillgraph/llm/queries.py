@@ -6,6 +6,7 @@ from .language_id import op8_language_id
 from .licenses import op3_licenses
 from .mixing import OP9_SQL, op9_mix_sources
 from .near_dedup import OP1_SQL, op1_near_dedup
+from .neighbours import OP12_SQL, op12_neighbours
 from .quality import op4_quality
 from .secrets import OP10_SQL, op10_secrets
 from .token_counts import op7_token_counts
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_secrets": op10_secrets,
+    "op12_neighbours": op12_neighbours,
 }
 
 SQL = {
@@ -30,4 +32,5 @@ SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_secrets": OP10_SQL,
+    "op12_neighbours": OP12_SQL,
 }
