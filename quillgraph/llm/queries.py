@@ -1,5 +1,6 @@
 """The numbered queries and, where SQL can express them, their SQL."""
 
+from .centroids import OP11_SQL, op11_centroids
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op8_language_id
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_mix_sources": op9_mix_sources,
     "op10_secrets": op10_secrets,
+    "op11_centroids": op11_centroids,
     "op12_neighbours": op12_neighbours,
 }
 
@@ -32,5 +34,6 @@ SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_secrets": OP10_SQL,
+    "op11_centroids": OP11_SQL,
     "op12_neighbours": OP12_SQL,
 }
