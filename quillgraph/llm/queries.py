@@ -1,6 +1,7 @@
 """The numbered queries and, where SQL can express them, their SQL."""
 
 from .centroids import OP11_SQL, op11_centroids
+from .conversation_repair import OP13_SQL, op13_conversations
 from .decontaminate import OP2_SQL, op2_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op8_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_centroids": op11_centroids,
     "op12_neighbours": op12_neighbours,
+    "op13_conversations": op13_conversations,
 }
 
 SQL = {
@@ -36,4 +38,5 @@ SQL = {
     "op10_secrets": OP10_SQL,
     "op11_centroids": OP11_SQL,
     "op12_neighbours": OP12_SQL,
+    "op13_conversations": OP13_SQL,
 }
