@@ -10,24 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
+from .chains import longest_paths, strong_components
 from .components import components
 from .folds import capped_fold
 
 
-def bfs(start: DataFrame, edges: DataFrame, max_depth: int, seed: str | None = None) -> DataFrame:
+def bfs(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(origin, id, depth, parent): what each origin reaches along edges (src, dst), at least depth; ties by least parent.
 
-    start: (origin, id) at depth 0.
+    start: (origin, id) at depth 0. What is known lies in tables of falling size: two of like size are
+    written as one, so a round reads few tables and a row is written again a logarithmic number of times.
     """
     scratch = Scratch(prepare(start.sparkSession), "bfs")
     edges = scratch.keep(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    seen = frontier = scratch.keep(start.select("origin", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
+    frontier = scratch.keep(start.select("origin", "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).distinct())
+    known = [(frontier, frontier.count())]
     for depth in range(1, max_depth + 1):
         step = frontier.select("origin", F.col("id").alias("src")).join(edges, "src").groupBy("origin", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        frontier = scratch.keep(step.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").select("origin", "id", F.lit(depth).alias("depth"), "parent"))
-        if frontier.isEmpty():
+        for part, _ in known:
+            step = step.join(part.select("origin", "id"), ["origin", "id"], "left_anti")
+        frontier = scratch.keep(step.select("origin", "id", F.lit(depth).alias("depth"), "parent"))
+        if not (new := frontier.count()):
             break
-        seen = seen.unionByName(frontier)
+        known.append((frontier, new))
+        while len(known) > 1 and known[-2][1] <= 2 * known[-1][1]:
+            (a, n), (b, m) = known[-2:]
+            known[-2:] = [(scratch.keep(a.unionByName(b)), n + m)]
+            for table in (a, b):
+                if table is not frontier:
+                    scratch.drop(table)
+    seen = known[0][0]
+    for part, _ in known[1:]:
+        seen = seen.unionByName(part)
     return seen
 
 
@@ -76,52 +90,12 @@ def would_create_cycle(candidates: DataFrame, edges: DataFrame, max_depth: int =
     return new.join(reached, ["src", "dst"], "left").select("src", "dst", (F.col("hit").isNotNull() | (F.col("src") == F.col("dst"))).alias("cycle"))
 
 
-def _propagate(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Least label of all that reach a node, itself included: (id, label)."""
-    labels = scratch.keep(labels)
-    while True:
-        into = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("other"))
-        before = labels
-        after = scratch.keep(labels.join(into, "id", "left").select("id", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
-        scratch.drop(before)
-        if after.filter("moved").isEmpty():
-            return after.select("id", "label")
-        labels = after.select("id", "label")
-
-
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes on cycles; component is the least id of the strongly connected set.
+    """(id, component) of nodes on cycles, loops included; component is the least id of the strongly connected set.
 
-    Nodes without incoming or outgoing edges are trimmed until none is left; then least labels are
-    propagated forward, and what reaches a label's node backward within the label is one component.
+    Null ends and repeated edges change nothing; no edges, no rows. Chains take a logarithmic number of rounds.
     """
-    scratch = Scratch(prepare(edges.sparkSession), "cycles")
-    rest = scratch.keep(edges.select("src", "dst").distinct())
-    loops = rest.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    rest, found = scratch.keep(rest.filter("src <> dst")), None
-    while True:
-        before = rest.count()
-        while before:
-            rest = scratch.keep(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            after = rest.count()
-            if after == before:
-                break
-            before = after
-        if not before:
-            break
-        nodes = rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct()
-        labels = _propagate(nodes.select("id", F.col("id").alias("label")), rest, scratch)
-        a, b = labels.toDF("src", "la"), labels.toDF("dst", "lb")
-        inside = scratch.keep(rest.join(a, "src").join(b, "dst").filter("la = lb").select("src", "dst", "la"))
-        roots = labels.filter("id = label").select(F.col("label").alias("origin"), "id")
-        back = inside.select(F.concat_ws("\1", "la", "dst").alias("src"), F.concat_ws("\1", "la", "src").alias("dst"))
-        reach = bfs(roots.select("origin", F.concat_ws("\1", "origin", "id").alias("id")), back, 1 << 30)
-        part = scratch.keep(reach.select(F.split("id", "\1")[1].alias("id"), F.col("origin").alias("component")))
-        several = part.join(part.groupBy("component").count().filter("count > 1"), "component", "left_semi").select("id", "component")
-        found = several if found is None else found.union(several)
-        gone = part.select("id")
-        rest = scratch.keep(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    return loops if found is None else found.union(loops.join(found.select("id"), "id", "left_anti"))
+    return strong_components(edges, Scratch(prepare(edges.sparkSession), "cycles"))
 
 
 def traverse(starts: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
@@ -135,24 +109,20 @@ def traverse(starts: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataF
 def waves(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(epic, id, wave): wave 0 has no dependency inside its epic, others come after their last; cyclic parts have none.
 
-    members: (epic, id); edges: (src, dst), src depends on dst. A round keeps the edges whose end
-    still has edges of its own, and writes these once; who has edges in the last n rounds is in wave n.
+    members: (epic, id); edges: (src, dst), src depends on dst. A wave is a longest path.
     """
     scratch = Scratch(prepare(members.sparkSession), "waves")
-    left = members.select("epic", "id").distinct()
-    inside = left.withColumnRenamed("id", "src").join(edges, "src").join(left.withColumnRenamed("id", "dst"), ["epic", "dst"], "left_semi").select("epic", "src", "dst").distinct()
-    inside, rounds, out = scratch.keep(inside), 0, left.select("epic", "id", F.lit(0).alias("wave"))
-    count = inside.count()
-    while count:
-        waiting = inside.select("epic", F.col("src").alias("id")).distinct()
-        rounds += 1
-        out = out.unionByName(waiting.withColumn("wave", F.lit(rounds)))
-        inside = scratch.keep(inside.join(waiting.withColumnRenamed("id", "dst"), ["epic", "dst"], "left_semi").select("epic", "src", "dst"))
-        before, count = count, inside.count()
-        if count == before:
-            break
-    last = out.groupBy("epic", "id").agg(F.max("wave").alias("wave"))
-    return last.join(inside.select("epic", F.col("src").alias("id")).distinct(), ["epic", "id"], "left_anti") if count else last
+    key = lambda c: F.concat("epic", F.lit("\1"), c)
+    all_members = members.select("epic", "id").distinct()
+    inside = all_members.withColumnRenamed("id", "src").join(edges, "src").join(all_members.withColumnRenamed("id", "dst"), ["epic", "dst"], "left_semi").select(key("src").alias("src"), key("dst").alias("dst"))
+    named = scratch.keep(all_members.select("epic", F.col("id").alias("own"), key("id").alias("id")))
+    lengths = longest_paths(named.select("id"), inside, scratch)
+    return named.join(lengths, "id").select("epic", F.col("own").alias("id"), F.col("length").cast("int").alias("wave"))
+
+
+def parallelism(found: DataFrame) -> DataFrame:
+    """(epic, max_parallelism): the size of each epic's widest wave."""
+    return found.groupBy("epic", "wave").agg(F.count("*").alias("n")).groupBy("epic").agg(F.max("n").alias("max_parallelism"))
 
 
 def layers(nodes: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:

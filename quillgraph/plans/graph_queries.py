@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..session import Scratch
 from .registry import query
 
 LINKS = "SELECT issue_id AS src, depends_on_id AS dst FROM deps WHERE type IN ('blocks', 'conditional-blocks')"
@@ -93,10 +94,13 @@ def members(t):
 
 
 @query("G12_waves", f"""WITH RECURSIVE m AS ({MEMBERS}), l AS ({LINKS}), e AS (SELECT a.epic, l.src, l.dst FROM l JOIN m a ON a.id = l.src JOIN m b ON b.epic = a.epic AND b.id = l.dst),
-r AS (SELECT epic, id, 0 AS wave FROM m UNION SELECT e.epic, e.src, r.wave + 1 FROM r JOIN e ON e.epic = r.epic AND e.dst = r.id)
-SELECT epic, id, max(wave) AS wave FROM r GROUP BY epic, id""")
+r AS (SELECT epic, id, 0 AS wave FROM m UNION SELECT e.epic, e.src, r.wave + 1 FROM r JOIN e ON e.epic = r.epic AND e.dst = r.id),
+w AS (SELECT epic, id, max(wave) AS wave FROM r GROUP BY epic, id),
+p AS (SELECT epic, max(n) AS max_parallelism FROM (SELECT epic, count(*) AS n FROM w GROUP BY epic, wave) GROUP BY epic)
+SELECT epic, id, wave, max_parallelism FROM w JOIN p USING (epic)""")
 def _(t):
-    return graph.waves(members(t), graph.edges_of(t.deps, "blocks", "conditional-blocks"))
+    found = Scratch(t.spark, "waves").keep(graph.waves(members(t), graph.edges_of(t.deps, "blocks", "conditional-blocks")))
+    return found.join(graph.parallelism(found), "epic")
 
 
 @query("G13_layers", """WITH RECURSIVE e AS (SELECT issue_id AS src, depends_on_id AS dst FROM deps WHERE type = 'blocks'),
