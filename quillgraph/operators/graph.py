@@ -193,9 +193,21 @@ def memory_edges(memories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(mentions: DataFrame) -> DataFrame:
-    """(name, type, org_id, mention_count, confidence) of node mentions (name, type, org_id, confidence, ts, seq)."""
+    """(name, type, org_id, mention_count, confidence) of node mentions (name, type, org_id, confidence, ts, seq).
+
+    With a map column properties in the mentions, also (properties): of each key the value of the last
+    mention that has it. A node's entries are reduced by key, so a popular node is no list of its mentions.
+    """
+    key = ["name", "type", "org_id"]
     keyed = mentions.withColumn("name", F.lower(F.trim("name")))
-    return capped_fold(keyed, ["name", "type", "org_id"], ["ts", "seq"], "confidence", 0.8, 0.2, 0.05).withColumnRenamed("n", "mention_count")
+    nodes = capped_fold(keyed, key, ["ts", "seq"], "confidence", 0.8, 0.2, 0.05).withColumnRenamed("n", "mention_count")
+    if "properties" not in mentions.columns:
+        return nodes
+    entries = keyed.select(*key, "ts", "seq", F.explode("properties").alias("k", "v"))
+    last = entries.groupBy(*key, "k").agg(F.max_by("v", F.struct("ts", "seq", "v")).alias("v"))
+    merged = last.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("properties"))
+    empty = F.create_map().cast(merged.schema["properties"].dataType)
+    return nodes.join(merged.alias("m"), [nodes[c].eqNullSafe(F.col(f"m.{c}")) for c in key], "left").select(*(nodes[c] for c in nodes.columns), F.coalesce("m.properties", empty).alias("properties"))
 
 
 def upsert_edges(mentions: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import all_of, glob_regex
+from ..session import Scratch, prepare
 
 INACTIVE = ("closed", "pinned")
 BLOCKING = ("blocks", "conditional-blocks")
@@ -454,6 +455,43 @@ def merge_duplicates(issues: DataFrame, deps: DataFrame, fields: Sequence[str])
     return issues.join(groups, same).filter("id <> target").select("id", "target")
 
 
+def _resolved(plan: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, target) with each target followed until it is no source itself; pointers double. A circle of sources has no target."""
+    now = scratch.keep(plan.select("id", "target").filter("id <> target").groupBy("id").agg(F.min("target").alias("target")))
+    going = before = None
+    while going is None or (going and going != before):
+        ahead = now.select(F.col("id").alias("target"), F.col("target").alias("further"))
+        after = scratch.keep(now.join(ahead, "target", "left").select("id", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")))
+        before, going = going, after.filter("moved").count()
+        now = after.select("id", "target")
+    return now if not going else now.join(now.select(F.col("id").alias("target")), "target", "left_anti").select("id", "target")
+
+
+def apply_merge(issues: DataFrame, deps: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A plan (id, target) carried out: issues, dependencies, and (child, source, target) of children with a new parent.
+
+    Children of a source go to its target; a target that was its source's child loses that link. Sources
+    are closed with the reason `Duplicate of <target>` and get a related link to the target. Of several
+    links between two issues the one that was there stays, then a new parent, then the related one.
+    """
+    scratch = Scratch(prepare(issues.sparkSession), "merge")
+    known = _resolved(plan, scratch).join(issues.select("id"), "id", "left_semi")
+    source = known.select(F.col("id").alias("depends_on_id"), "target")
+    rows = deps.join(source, "depends_on_id", "left")
+    moves = (F.col("type") == "parent-child") & F.col("target").isNotNull()
+    names = [c for c in deps.columns if c not in ("issue_id", "depends_on_id")]
+    stay = rows.filter(~F.coalesce(moves, F.lit(False))).select("issue_id", "depends_on_id", F.lit(0).alias("rank"), *names)
+    moved = rows.filter(moves & (F.col("issue_id") != F.col("target"))).select("issue_id", F.col("target").alias("depends_on_id"), F.lit(1), *names)
+    related = known.select(F.col("id").alias("issue_id"), F.col("target").alias("depends_on_id"), F.lit(2), *(F.lit("related" if c == "type" else None).cast(deps.schema[c].dataType).alias(c) for c in names))
+    links = stay.union(moved).union(related).groupBy("issue_id", "depends_on_id").agg(F.min(F.struct("rank", *names)).alias("one")).select("issue_id", "depends_on_id", *(F.col(f"one.{c}").alias(c) for c in names))
+    merged = issues.join(known, "id", "left")
+    gone = F.col("target").isNotNull()
+    reason = F.when(gone, F.concat(F.lit("Duplicate of "), "target")).otherwise(F.col("close_reason") if "close_reason" in issues.columns else F.lit(None).cast("string"))
+    closed = merged.withColumn("close_reason", reason).withColumn("status", F.when(gone, "closed").otherwise(F.col("status"))).drop("target")
+    children = rows.filter(moves & (F.col("issue_id") != F.col("target"))).select(F.col("issue_id").alias("child"), F.col("depends_on_id").alias("source"), "target")
+    return closed, links, children
+
+
 def text_reference_counts(issues: DataFrame) -> DataFrame:
     """(id, refs): how often each issue id stands in texts of all issues."""
     texts = F.concat_ws("\n", "title", "description")
@@ -562,9 +600,21 @@ def failure_close(reason: Column) -> Column:
 
 
 def live_state(events: DataFrame) -> DataFrame:
-    """(issue_id, status, n): the current status from an event log, ties by event id."""
-    rows = events.filter("event_type = 'status_changed'")
-    return rows.groupBy("issue_id").agg(F.max(F.struct("created_at", "id", "new_value"))["new_value"].alias("status"), F.count("*").alias("n"))
+    """(issue_id, status, n, labels) from an event log (id, issue_id, event_type, new_value, created_at), newest by time, then id.
+
+    n counts status changes. A label dimension:value replaces the one that its dimension had; other labels
+    stand for themselves. A label stands unless it was removed after it was added last.
+    """
+    events = events.filter("issue_id IS NOT NULL AND new_value IS NOT NULL").withColumn("at", F.struct("created_at", "id"))
+    of = lambda kind: F.col("event_type") == kind
+    status = events.groupBy("issue_id").agg(F.max(F.when(of("status_changed"), F.struct("at", "new_value")))["new_value"].alias("status"), F.count(F.when(of("status_changed"), 1)).alias("n"))
+    dimension = F.when(F.col("new_value").contains(":"), F.substring_index("new_value", ":", 1)).otherwise(F.col("new_value"))
+    added = events.filter(of("label_added")).groupBy("issue_id", dimension.alias("dimension")).agg(F.max(F.struct("at", "new_value")).alias("newest"))
+    removed = events.filter(of("label_removed")).groupBy("issue_id", F.col("new_value").alias("label")).agg(F.max("at").alias("gone"))
+    standing = added.select("issue_id", F.col("newest.new_value").alias("label"), F.col("newest.at").alias("at")).join(removed, ["issue_id", "label"], "left").filter("gone IS NULL OR gone < at")
+    labels = standing.groupBy("issue_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    none = F.array().cast("array<string>")
+    return status.join(labels, "issue_id", "left").select("issue_id", "status", "n", F.coalesce("labels", none).alias("labels"))
 
 
 def ephemeral_expired(rows: DataFrame, now: dt.datetime, default_hours: int = 1) -> DataFrame:

@@ -101,6 +101,13 @@ SELECT event_id AS id, concat('bd-', CAST(user_id AS STRING)) AS issue_id,
   CASE WHEN event_id % 4 = 0 THEN concat('state:', event_type) WHEN event_id % 4 = 1 THEN 'in_progress' WHEN event_id % 4 = 2 THEN 'closed' ELSE 'open' END AS new_value,
   event_id % 5 = 0 AS ephemeral, ts AS created_at
 FROM events
+""",
+    "issue_log": """
+SELECT event_id AS id, concat('bd-', CAST(user_id AS STRING)) AS issue_id,
+  CASE WHEN event_id % 4 <> 0 THEN 'status_changed' WHEN event_id % 20 = 8 THEN 'label_removed' ELSE 'label_added' END AS event_type,
+  CASE WHEN event_id % 4 = 1 THEN 'in_progress' WHEN event_id % 4 = 2 THEN 'closed' WHEN event_id % 4 = 3 THEN 'open'
+       WHEN event_id % 12 = 0 THEN concat('state:', event_type) WHEN event_id % 12 = 4 THEN concat('mode:', event_type) ELSE event_type END AS new_value, ts AS created_at
+FROM events
 """,
     "history": """
 SELECT concat('bd-', CAST(l_orderkey AS STRING)) AS id, l_shipdate AS commit_date, l_linenumber AS seq,

@@ -162,9 +162,17 @@ def nodes_edges(t):
     return graph.ingest_graph(entities(t), relationships(t))
 
 
-@query("G21_upsert_nodes", f"WITH n AS ({NODES}) SELECT name, type, org_id, len(l) AS mention_count, round(list_reduce(l, lambda c, e: least(1.0::DOUBLE, 0.8::DOUBLE * c + 0.2::DOUBLE * e + 0.05::DOUBLE)), 6) AS confidence FROM n")
+PROPERTIES = """SELECT name, type, org_id, string_agg(k || '=' || v, ',' ORDER BY k) AS properties FROM (
+  SELECT name, type, org_id, k, arg_max(v, (ts, seq, v)) AS v FROM (SELECT lower(trim(name)) AS name, type, org_id, ts, seq, concat('p', CAST(seq % 4 AS VARCHAR)) AS k, concat('v', CAST(seq % 1000 AS VARCHAR)) AS v FROM (
+    SELECT source AS name, 'part' AS type, org_id, ts, l_orderkey * 100 + l_linenumber * 10 AS seq FROM mentions UNION ALL SELECT target, 'supplier', org_id, ts, l_orderkey * 100 + l_linenumber * 10 + 1 FROM mentions)) GROUP BY ALL) GROUP BY ALL"""
+
+
+@query("G21_upsert_nodes", f"""WITH n AS ({NODES}), p AS ({PROPERTIES})
+SELECT name, type, org_id, len(l) AS mention_count, round(list_reduce(l, lambda c, e: least(1.0::DOUBLE, 0.8::DOUBLE * c + 0.2::DOUBLE * e + 0.05::DOUBLE)), 6) AS confidence, properties FROM n JOIN p USING (name, type, org_id)""")
 def _(t):
-    return graph.upsert_nodes(entities(t)).withColumn("confidence", F.round("confidence", 6))
+    of_mention = F.create_map(F.concat(F.lit("p"), (F.col("seq") % 4).cast("string")), F.concat(F.lit("v"), (F.col("seq") % 1000).cast("string")))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return graph.upsert_nodes(entities(t).withColumn("properties", of_mention)).withColumns({"confidence": F.round("confidence", 6), "properties": said})
 
 
 @query("G22_upsert_edges", f"WITH e AS ({EDGES}) SELECT source, target, relation, round(confidence, 6) AS confidence, weight FROM e")

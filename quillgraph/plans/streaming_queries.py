@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from ..streaming import jobs
 from .registry import query
+from .work_queries import LIVE
 
 
 def stream(t, name):
@@ -37,11 +38,26 @@ def _(t):
     return jobs.run_available(jobs.usage_windows(requests), "usage").withColumn("avg_duration", F.round("avg_duration", 6))
 
 
-@query("R4_loop_detector", """WITH w AS (SELECT thread_id, event_id, call_hash, list(call_hash) OVER (PARTITION BY thread_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM tool_calls)
-SELECT thread_id, event_id, CAST(len(list_filter(l, lambda h: h = call_hash)) AS INT) AS n FROM w""")
+@query("R4_loop_detector", """WITH w AS (SELECT thread_id, event_id, ts, call_hash, list(call_hash) OVER (PARTITION BY thread_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM tool_calls),
+c AS (SELECT thread_id, event_id, ts, call_hash, len(list_filter(l, lambda h: h = call_hash)) AS n FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY thread_id, call_hash, n IN (3, 4) ORDER BY ts, event_id) AS place FROM c)
+SELECT thread_id, event_id, CAST(n AS INT) AS n, CASE WHEN n >= 5 THEN 'stop' WHEN n >= 3 AND place = 1 THEN 'warn' ELSE 'ok' END AS verdict FROM r""")
 def _(t):
     calls = stream(t, "events").select(F.col("user_id").alias("thread_id"), "event_id", "ts", F.md5(F.concat("event_type", (F.col("event_id") % 3).cast("string"))).alias("call_hash"))
-    return jobs.run_available(jobs.loop_detector(calls), "loops").select("thread_id", "event_id", "n")
+    return jobs.run_available(jobs.loop_detector(calls, threads=1 << 20, idle="3650 days"), "loops")
+
+
+@query("R5_live_issue_stream", LIVE)
+def _(t):
+    e = stream(t, "events")
+    number, kind = F.col("event_id"), F.col("event_type")
+    log = e.select(
+        number.alias("id"), F.concat(F.lit("bd-"), F.col("user_id").cast("string")).alias("issue_id"),
+        F.when(number % 4 != 0, "status_changed").when(number % 20 == 8, "label_removed").otherwise("label_added").alias("event_type"),
+        F.when(number % 4 == 1, "in_progress").when(number % 4 == 2, "closed").when(number % 4 == 3, "open").when(number % 12 == 0, F.concat(F.lit("state:"), kind)).when(number % 12 == 4, F.concat(F.lit("mode:"), kind)).otherwise(kind).alias("new_value"),
+        F.col("ts").alias("created_at"),
+    )
+    return jobs.merge_updates(jobs.live_state(log), "live", "issue_id").withColumn("labels", F.array_join("labels", ","))
 
 
 @query("R6_first_seen_stream", "SELECT user_id, event_type FROM events GROUP BY 1, 2")

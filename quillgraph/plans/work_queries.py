@@ -105,6 +105,33 @@ def _(t):
     return work.merge_duplicates(t.issues, t.deps, ["title", "status", "priority"])
 
 
+MERGE = r"""d1 AS (SELECT issue_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1), d2 AS (SELECT depends_on_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1),
+refs AS (SELECT id, count(*) AS n FROM (SELECT unnest(regexp_extract_all(title || chr(10) || description, '\b[a-zA-Z][-a-zA-Z0-9]*-\d+\b')) AS id FROM issues) GROUP BY 1),
+plan AS (SELECT id, target FROM (SELECT i.id, first_value(i.id) OVER (PARTITION BY title, status, priority ORDER BY 3 * coalesce(d2.n, 0) + coalesce(d1.n, 0) DESC, coalesce(refs.n, 0) DESC, i.id) AS target
+  FROM issues i LEFT JOIN d1 USING (id) LEFT JOIN d2 USING (id) LEFT JOIN refs USING (id)) WHERE id <> target)"""
+
+
+def merged(t):
+    return work.apply_merge(t.issues, t.deps, work.merge_duplicates(t.issues, t.deps, ["title", "status", "priority"]))
+
+
+@query("G25_merged_dependencies", f"""WITH {MERGE}, x AS (SELECT d.issue_id, d.depends_on_id, d.type, 0 AS rank FROM deps d WHERE NOT (d.type = 'parent-child' AND d.depends_on_id IN (SELECT id FROM plan))
+  UNION ALL SELECT d.issue_id, p.target, d.type, 1 FROM deps d JOIN plan p ON d.depends_on_id = p.id WHERE d.type = 'parent-child' AND d.issue_id <> p.target UNION ALL SELECT id, target, 'related', 2 FROM plan)
+SELECT issue_id, depends_on_id, arg_min(type, rank) AS type FROM x GROUP BY 1, 2""")
+def _(t):
+    return merged(t)[1].select("issue_id", "depends_on_id", "type")
+
+
+@query("G25_merged_issues", f"WITH {MERGE} SELECT i.id, CASE WHEN target IS NULL THEN status ELSE 'closed' END AS status, 'Duplicate of ' || target AS close_reason FROM issues i LEFT JOIN plan USING (id)")
+def _(t):
+    return merged(t)[0].select("id", "status", "close_reason")
+
+
+@query("G25_reparented", f"WITH {MERGE} SELECT d.issue_id AS child, d.depends_on_id AS source, p.target FROM deps d JOIN plan p ON d.depends_on_id = p.id WHERE d.type = 'parent-child' AND d.issue_id <> p.target")
+def _(t):
+    return merged(t)[2]
+
+
 # filters and sorts
 
 
@@ -414,9 +441,16 @@ def _(t):
     return t.issues.filter((F.col("updated_at") >= F.lit(relative_time("-2w", NOW))) & (F.col("created_at") < F.lit(relative_time("2001-07-25", NOW)))).select("id")
 
 
-@query("R5_live_issue_state", "SELECT issue_id, new_value AS status, n FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY created_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY issue_id) AS n FROM issue_events WHERE event_type = 'status_changed') WHERE rn = 1")
+LIVE = """WITH s AS (SELECT issue_id, arg_max(new_value, (created_at, id)) FILTER (event_type = 'status_changed') AS status, count(*) FILTER (event_type = 'status_changed') AS n FROM issue_log GROUP BY 1),
+a AS (SELECT issue_id, arg_max(new_value, (created_at, id)) AS label, max((created_at, id)) AS added FROM issue_log WHERE event_type = 'label_added' GROUP BY issue_id, split_part(new_value, ':', 1)),
+g AS (SELECT issue_id, new_value AS label, max((created_at, id)) AS gone FROM issue_log WHERE event_type = 'label_removed' GROUP BY 1, 2),
+l AS (SELECT issue_id, string_agg(label, ',' ORDER BY label) AS labels FROM a LEFT JOIN g USING (issue_id, label) WHERE gone IS NULL OR gone < added GROUP BY 1)
+SELECT issue_id, status, n, coalesce(labels, '') AS labels FROM s LEFT JOIN l USING (issue_id)"""
+
+
+@query("R5_live_issue_state", LIVE)
 def _(t):
-    return work.live_state(t.issue_events)
+    return work.live_state(t.issue_log).withColumn("labels", F.array_join("labels", ","))
 
 
 @query("R6_ephemeral_expiry", "SELECT event_id, event_type FROM events WHERE (epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts))) / 3600 > CASE event_type WHEN 'error' THEN 168 ELSE 1 END")

@@ -7,12 +7,13 @@ that is there and ends, which makes each a batch job too.
 from __future__ import annotations
 
 import datetime as dt
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.text import chunk_documents
 from ..session import Scratch, prepare
@@ -73,34 +74,62 @@ def usage_windows(requests: DataFrame, width: str = "1 hour", late: str = "10 mi
     return rows.agg(F.count("*").alias("n"), F.avg("duration").alias("avg_duration")).select(F.col("w.start").alias("hour"), "n", "avg_duration")
 
 
-def loop_detector(calls: DataFrame, window: int = 20, warn: int = 3, stop: int = 5, idle: str = "1 hour") -> DataFrame:
-    """(thread_id, event_id, n, verdict) of each call (thread_id, event_id, ts, call_hash); a thread idle by event time is forgotten.
+#: Several values and lists a key need this store.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
-    A thread's state is its last `window` hashes and the hashes it was warned about.
-    """
-    out = "thread_id bigint, event_id bigint, n int, verdict string"
-    quiet = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent, warned = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        found = []
-        for event, call in zip(rows["event_id"], rows["call_hash"], strict=True):
-            recent = [*recent, call][-window:]
-            n = recent.count(call)
-            verdict = "stop" if n >= stop else "warn" if n >= warn and call not in warned else "ok"
+
+def _with_store(stream: DataFrame) -> DataFrame:
+    for key, value in STORE.items():
+        stream.sparkSession.conf.set(key, value)
+    return stream
+
+
+class Loops(StatefulProcessor):
+    """The threads of a shard, least recently used first: each its last hashes and those it was warned about."""
+
+    def __init__(self, window: int, warn: int, stop: int, threads: int, idle_ms: int, ttl_ms: int | None):
+        self.window, self.warn, self.stop, self.threads, self.idle_ms, self.ttl_ms = window, warn, stop, threads, idle_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tracked = handle.getListState("tracked", "thread_id bigint, used bigint, recent array<string>, warned array<string>", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        tracked = OrderedDict((t, [used, list(recent), list(warned)]) for t, used, recent, warned in self.tracked.get())
+        calls, found = pd.concat(list(rows)).sort_values(["ts", "event_id"]), []
+        for thread, event, at, call in zip(calls["thread_id"], calls["event_id"], calls["at"], calls["call_hash"], strict=True):
+            state = tracked.pop(thread, None)
+            if state is None or at - state[0] > self.idle_ms:
+                state = [at, [], []]
+            tracked[thread] = state
+            if len(tracked) > self.threads:
+                tracked.popitem(last=False)
+            state[0], state[1] = max(at, state[0]), [*state[1], call][-self.window :]
+            n = state[1].count(call)
+            verdict = "stop" if n >= self.stop else "warn" if n >= self.warn and call not in state[2] else "ok"
             if verdict == "warn":
-                warned.append(call)
-            found.append((key[0], event, n, verdict))
-        state.update((recent, [w for w in warned if w in recent]))
-        newest = int(rows["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + quiet)
+                state[2].append(call)
+            found.append((thread, event, n, verdict))
+        if tracked:
+            self.tracked.put([(int(t), int(used), recent, warned) for t, (used, recent, warned) in tracked.items()])
         yield pd.DataFrame(found, columns=["thread_id", "event_id", "n", "verdict"])
 
-    return calls.withWatermark("ts", "10 minutes").groupBy("thread_id").applyInPandasWithState(step, out, "recent array<string>, warned array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def loop_detector(calls: DataFrame, window: int = 20, warn: int = 3, stop: int = 5, threads: int = 100, shards: int = 200, idle: str = "1 hour", ttl: str | None = None) -> DataFrame:
+    """(thread_id, event_id, n, verdict) of each call (thread_id, event_id, ts, call_hash).
+
+    n counts a hash in the thread's last `window` calls; from `stop` on the verdict is stop, from `warn` on
+    warn, once a hash. A thread idle for longer by event time begins anew. Threads are dealt to shards, each
+    of which tracks its `threads` most recently used ones; a thread that was dropped begins anew. With `ttl`,
+    a shard's state also goes when no call has touched it for so long by the clock. That is for streams that
+    run on: Spark then keeps looking at the clock, and a run over what is there (run_available) never ends.
+    """
+    out = "thread_id bigint, event_id bigint, n int, verdict string"
+    ms = lambda span: int(pd.Timedelta(span).total_seconds() * 1000)
+    dealt = _with_store(calls).select(F.pmod(F.xxhash64("thread_id"), F.lit(shards)).alias("shard"), "thread_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "ts", "call_hash")
+    return dealt.groupBy("shard").transformWithStateInPandas(Loops(window, warn, stop, threads, ms(idle), ms(ttl) if ttl else None), out, "append", "processingTime" if ttl else "none")
 
 
 def first_seen(rows: DataFrame, key: str, ttl: str) -> DataFrame:
@@ -113,7 +142,62 @@ def new_events_since(events: DataFrame, cursor: dt.datetime) -> DataFrame:
     return events.filter(F.col("created_at") > F.lit(cursor))
 
 
-def live_status(events: DataFrame) -> DataFrame:
-    """(issue_id, status, n), for update or complete mode: the newest status of each issue."""
-    rows = events.filter("event_type = 'status_changed'")
-    return rows.groupBy("issue_id").agg(F.max_by("new_value", F.struct("created_at", "id")).alias("status"), F.count("*").alias("n"))
+class LiveIssue(StatefulProcessor):
+    """An issue's newest status, the newest label of each dimension, and the newest removal of each label."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", "status string, at bigint, id bigint, n bigint")
+        self.labels = handle.getMapState("labels", "dimension string", "label string, at bigint, id bigint")
+        self.removed = handle.getMapState("removed", "label string", "at bigint, id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status = self.status.get() or (None, -(1 << 62), 0, 0)
+        labels = {k[0]: tuple(v) for k, v in self.labels.iterator()}
+        removed = {k[0]: tuple(v) for k, v in self.removed.iterator()}
+        events = pd.concat(list(rows))
+        for kind, value, at, number in zip(events["event_type"], events["new_value"], events["at"], events["id"], strict=True):
+            at, number = int(at), int(number)
+            if kind == "status_changed":
+                newest = max((status[1], status[2], status[0]), (at, number, value))
+                status = (newest[2], newest[0], newest[1], status[3] + 1)
+            elif kind == "label_added":
+                dimension = value.split(":", 1)[0] if ":" in value else value
+                if dimension not in labels or labels[dimension][1:] < (at, number):
+                    labels[dimension] = (value, at, number)
+                    self.labels.updateValue((dimension,), labels[dimension])
+            elif kind == "label_removed" and removed.get(value, (-(1 << 62), 0)) < (at, number):
+                removed[value] = (at, number)
+                self.removed.updateValue((value,), removed[value])
+        self.status.update(status)
+        standing = sorted(label for label, at, number in labels.values() if removed.get(label, (-(1 << 62), 0)) < (at, number))
+        yield pd.DataFrame({"issue_id": [key[0]], "status": [status[0]], "n": [status[3]], "labels": [standing]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_state(events: DataFrame) -> DataFrame:
+    """(issue_id, status, n, labels) of an issue whenever events arrive for it, for update mode: work.live_state as a stream.
+
+    Events may arrive in any order: the newest by (created_at, id) counts.
+    """
+    rows = _with_store(events).select("issue_id", "id", "event_type", "new_value", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).filter("issue_id IS NOT NULL AND new_value IS NOT NULL")
+    return rows.groupBy("issue_id").transformWithStateInPandas(LiveIssue(), "issue_id string, status string, n bigint, labels array<string>", "update", "none")
+
+
+def merge_updates(stream: DataFrame, name: str, key: str) -> DataFrame:
+    """What a stream in update mode says last of each key, for all present input.
+
+    A batch's rows are a folder of its own, which a batch that runs again overwrites; the newest folder
+    that names a key holds its row.
+    """
+    spark = prepare(stream.sparkSession)
+    base = Scratch(spark, name).base
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+    last = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [key, "batch"], "left_semi").drop("batch")

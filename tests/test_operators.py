@@ -243,6 +243,58 @@ def test_loop_detector_thresholds(spark, tmp_path):
     assert [r["verdict"] for r in got] == ["ok", "ok", "ok", "warn", "ok", "ok", "stop", "stop", "ok"]
 
 
+def test_loop_detector_warns_once_and_evicts(spark, tmp_path):
+    """Warned once a hash even after it left the window; with room for three threads the least recently used one begins anew."""
+
+    def run(name, rows, **how):
+        df = spark.createDataFrame([(t, i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), h) for i, (t, h) in enumerate(rows)], "thread_id bigint, event_id bigint, ts timestamp, call_hash string")
+        for lo in range(0, len(rows), 4):  # a micro-batch for each four calls
+            df.filter(f"event_id BETWEEN {lo} AND {lo + 3}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+        found = jobs.run_available(jobs.loop_detector(jobs.read_folder(spark, f"{tmp_path}/{name}", df.schema, 1), **how), name)
+        return [(r["n"], r["verdict"]) for r in found.orderBy("event_id").collect()]
+
+    assert [v for _, v in run("once", [(1, h) for h in "aaabbbcdefaaa"], stop=10, window=5)] == ["ok", "ok", "warn", "ok", "ok", "warn", "ok", "ok", "ok", "ok", "ok", "ok", "ok"]
+    assert [v for _, v in run("hard", [(1, "a")] * 5, warn=2, stop=4)] == ["ok", "warn", "ok", "stop", "stop"]
+    evicted = run("lru", [(0, "a"), (1, "a"), (2, "a"), (3, "a"), (0, "a"), (2, "a"), (3, "a")], warn=2, threads=3, shards=1)
+    assert evicted == [(1, "ok"), (1, "ok"), (1, "ok"), (1, "ok"), (1, "ok"), (2, "warn"), (2, "warn")]
+    assert run("idle", [(0, "a"), *[(1, "b")] * 5, (0, "a")], idle="5 seconds", stop=9)[-1] == (1, "ok")
+
+
+def test_live_state_batch_and_stream_agree(spark, tmp_path):
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    rows = [
+        (1, "a", "label_added", "mode:normal", at(1)), (2, "a", "status_changed", "open", at(2)), (3, "a", "label_added", "plain", at(3)), (4, "b", "label_added", "mode:x", at(9)),
+        (5, "a", "label_added", "mode:degraded", at(5)), (6, "a", "label_removed", "mode:normal", at(6)), (7, "a", "status_changed", "closed", at(1)), (8, "b", "label_removed", "mode:x", at(8)),
+        (9, "a", "label_added", "health:ok", at(4)), (10, "a", "label_removed", "plain", at(7)), (11, "c", "label_removed", "never", at(1)), (12, None, "status_changed", "lost", at(1)), (13, "b", "status_changed", None, at(20)), (14, "a", "status_changed", "late", at(0)),
+    ]
+    df = spark.createDataFrame(rows, "id bigint, issue_id string, event_type string, new_value string, created_at timestamp")
+    for lo in range(1, 15, 4):
+        df.filter(f"id BETWEEN {lo} AND {lo + 3}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    want = {("a", "open", 3, ("health:ok", "mode:degraded")), ("b", None, 0, ("mode:x",)), ("c", None, 0, ())}
+    assert {(r["issue_id"], r["status"], r["n"], tuple(r["labels"])) for r in work.live_state(df).collect()} == want
+    live = jobs.merge_updates(jobs.live_state(jobs.read_folder(spark, f"{tmp_path}/in", df.schema, 1)), "live", "issue_id")
+    assert {(r["issue_id"], r["status"], r["n"], tuple(r["labels"])) for r in live.collect()} == want
+
+
+def test_apply_merge(spark):
+    issues = spark.createDataFrame([(i, "open", f"t-{i}") for i in ("a", "b", "c", "d", "kid", "e")], "id string, status string, title string")
+    deps = spark.createDataFrame([("kid", "b", "parent-child", 1), ("a", "b", "parent-child", 2), ("kid", "a", "related", 3), ("d", "c", "blocks", 4), ("e", "c", "parent-child", 5), ("e", "b", "parent-child", 6)], "issue_id string, depends_on_id string, type string, n int")
+    plan = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "a"), ("a", "a")], "id string, target string")
+    merged, links, children = work.apply_merge(issues, deps, plan)
+    assert {(r["id"], r["status"], r["close_reason"]) for r in merged.collect()} == {("a", "open", None), ("b", "closed", "Duplicate of a"), ("c", "closed", "Duplicate of a"), ("d", "open", None), ("kid", "open", None), ("e", "open", None)}
+    assert {(r["issue_id"], r["depends_on_id"], r["type"]) for r in links.collect()} == {("kid", "a", "related"), ("d", "c", "blocks"), ("e", "a", "parent-child"), ("b", "a", "related"), ("c", "a", "related")}
+    assert {tuple(r) for r in children.collect()} == {("kid", "b", "a"), ("e", "c", "a"), ("e", "b", "a")}
+    circle = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, target string")
+    assert work.apply_merge(issues, deps, circle)[0].filter("status = 'closed'").count() == 0
+
+
+def test_properties_of_a_hot_node(spark):
+    rows = spark.range(20_000).selectExpr("' Hot ' AS name", "'t' AS type", "CAST(NULL AS STRING) AS org_id", "0.5D AS confidence", "id AS ts", "0 AS seq", "map(concat('k', id % 3), id, 'all', -id) AS properties")
+    r = graph.upsert_nodes(rows.repartition(8)).first()
+    assert (r["name"], r["mention_count"], r["properties"]) == ("hot", 20_000, {"all": -19_999, "k0": 19_998, "k1": 19_999, "k2": 19_997})
+    assert graph.upsert_nodes(rows.limit(1).withColumn("properties", F.lit(None).cast("map<string,bigint>"))).first()["properties"] == {}
+
+
 def test_adaptive_length_and_ids(spark):
     import hashlib
 
