@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import prepare
@@ -30,7 +30,7 @@ def codewords(n: int, seed: int = 3) -> np.ndarray:
         return np.array(bits, dtype=float).T
     rng = np.random.default_rng(seed)
     best, gap = None, -1
-    for _ in range(200):
+    for _ in range(max(10, min(200, 100_000 // n))):
         code = rng.choice([-1.0, 1.0], size=(n, max(15, 10 * int(np.ceil(np.log2(n))))))
         apart = code.shape[1] - code @ code.T
         np.fill_diagonal(apart, np.inf)
@@ -66,8 +66,9 @@ class OutputCode:
     """The fitted code; x, the training rows, is centred in place to spare the driver a copy."""
 
     def __init__(self, languages: list[str], x: np.ndarray, y: np.ndarray, ridge: float = 0.05):
-        self.languages = languages
-        self.code = codewords(len(languages))
+        self.languages = languages if len(x) else []
+        self.code = codewords(max(1, len(self.languages)))
+        self.trust = np.full(self.code.shape[1], 1 / self.code.shape[1])
         self.mean = x.mean(axis=0, dtype=np.float64).astype(np.float32) if len(x) else np.zeros(BINS, np.float32)
         if not len(x):
             self.weights = np.zeros((BINS, self.code.shape[1]))
@@ -84,7 +85,9 @@ class OutputCode:
         self.trust = fits / fits.sum()
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language index, score, ambiguous) by loss-weighted distance from each codeword."""
+        """(language index, score, ambiguous) by loss-weighted distance from each codeword; nothing learned, nothing sure."""
+        if not self.languages:
+            return np.zeros(len(x), int), np.zeros(len(x)), np.ones(len(x), bool)
         margins = (x - self.mean) @ self.weights
         losses = np.stack([np.logaddexp(0, -4 * margins * row) @ self.trust for row in self.code], axis=1)
         if losses.shape[1] == 1:
@@ -112,7 +115,7 @@ def _predict(model: OutputCode):
                     return
                 which, score, doubt = model.predict(np.stack(block))
                 for w, s, d, letter in zip(which, score, doubt, letters, strict=True):
-                    names.append(model.languages[w] if letter else "und")
+                    names.append(model.languages[w] if letter and model.languages else "und")
                     scores.append(float(s) if letter else 0.0)
                     doubts.append(bool(d) or not letter)
                 block.clear()
@@ -120,7 +123,7 @@ def _predict(model: OutputCode):
 
             for x, letter in ngram_features(batch.column("text")):
                 block.append(x)
-                letters.append(letter and bool(model.languages))
+                letters.append(letter)
                 if len(block) == 256:
                     flush()
             flush()
@@ -132,20 +135,20 @@ def _predict(model: OutputCode):
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
-    """Fit on at most about `rows` texts (text, lang), the same number of each language, chosen by a hash of the text.
+    """Fit on at most about `rows` texts (text, lang), the same number of each language, one at least, by rank of a hash of the text.
 
-    Copies of a text in a language count once, and are put together before anything reaches the
-    driver. Null texts and null languages are not learned from; nothing labelled, nothing learned.
+    Copies of a text in a language count once, before the rank. A language with fewer texts gives all of
+    them. Null texts and null languages are not learned from; nothing labelled, nothing learned.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").count().collect()}
-    languages = sorted(counts)
-    each = rows // max(1, len(languages))
-    chosen = F.lit(False)
-    for lang in languages:
-        part = min(1.0, each / counts[lang])
-        chosen |= (F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000))
-    found = labelled.filter(chosen).filter("text IS NOT NULL").select("lang", "text").distinct().mapInArrow(_features, "lang string, x binary").toArrow()
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
+    texts = known.groupBy("lang", "hash").agg(F.count("*").alias("copies"))
+    each = max(1, rows // max(1, known.select("lang").distinct().count()))
+    ranked = texts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("place") <= each)
+    # at most `rows` hashes, or one a language
+    chosen = known.join(F.broadcast(ranked.select("lang", "hash")), ["lang", "hash"], "left_semi")
+    found = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).mapInArrow(_features, "lang string, x binary").toArrow()
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True))
+    languages = sorted({lang for lang, _ in pairs})
     index = {lang: i for i, lang in enumerate(languages)}
     y = np.array([index[lang] for lang, _ in pairs], dtype=int)
     x = np.empty((len(pairs), BINS), dtype=np.float32)
