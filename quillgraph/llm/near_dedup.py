@@ -259,9 +259,13 @@ def without_near_copies(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """near_duplicates of documents at 0.85: a row a document. Nulls, ties, repeats and empty tables as there."""
+    """near_duplicates of documents at 0.85: a row a document. Nulls, ties, repeats and empty tables as there.
+
+    kept is by doc_id alone, so rows that share the least doc_id of a component all have it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, percent=85).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+    found = near_duplicates(docs, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 #: The same components over all pairs of sets, without hashing.
