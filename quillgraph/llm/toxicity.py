@@ -80,7 +80,7 @@ def _sequences(lexicon: Lexicon):
                 for i in range(len(part)):
                     own = index[words.first[i] : words.first[i + 1]]
                     places = np.flatnonzero(own.any(axis=1))
-                    rows.append((batch.column("y")[part.lo + i].as_py(), len(own), places.astype(np.int32).tobytes(), own[places].astype(np.int16).tobytes()))
+                    rows.append((batch.column("y")[part.lo + i].as_py(), len(own), places.astype(np.int32).tobytes(), own[places].astype(np.int32).tobytes()))
             types = {"y": pa.int32(), "n": pa.int32(), "places": pa.binary(), "features": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types.values())], list(types))
 
@@ -115,7 +115,7 @@ def _explain(documents: list[tuple[np.ndarray, np.ndarray]], least: int) -> set[
 
 def _runs(found: list[tuple[int, int, np.ndarray, np.ndarray]], chosen: np.ndarray) -> Runs:
     """All documents as runs: their words with a feature, labelled, and how many words stand between."""
-    end = np.zeros((1, KINDS), dtype=np.int16)
+    end = np.zeros((1, KINDS), dtype=np.int32)
     gaps = np.concatenate([np.diff(np.r_[-1, places, n]) - 1 for _, n, places, _ in found])
     features = np.concatenate([part for _, _, _, own in found for part in (own, end)]).astype(np.int64)
     lengths = np.array([len(places) + 1 for _, _, places, _ in found])
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAI
     top = pure.orderBy(F.desc("bad"), "good", "feature").limit(features).collect()
     lexicon = Lexicon(np.array([r["feature"] for r in top], dtype=np.int64).view(np.uint64))
     found = [
-        (r["y"], r["n"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["features"], np.int16).reshape(-1, KINDS))
+        (r["y"], r["n"], np.frombuffer(r["places"], np.int32), np.frombuffer(r["features"], np.int32).reshape(-1, KINDS))
         for r in sample.select("y", "text").mapInArrow(_sequences(lexicon), "y int, n int, places binary, features binary").toLocalIterator()
     ]
     found.sort(key=lambda r: (r[1], r[2].tobytes(), r[3].tobytes()))
