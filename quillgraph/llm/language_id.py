@@ -19,6 +19,7 @@ from .words import slices
 
 BINS = 4096
 TRAIN_ROWS = 4000
+BUCKETS = 64
 
 
 def codewords(n: int, seed: int = 3) -> np.ndarray:
@@ -137,14 +138,17 @@ def _predict(model: OutputCode):
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> OutputCode:
     """Fit on at most about `rows` texts (text, lang), the same number of each language, one at least, by rank of a hash of the text.
 
-    Copies of a text in a language count once, before the rank. A language with fewer texts gives all of
-    them. Null texts and null languages are not learned from; nothing labelled, nothing learned.
+    A language's texts are dealt to buckets, each of which gives those with its least hashes, so a
+    language that is most of the rows is ranked in many tasks. Copies of a text in a language count once,
+    before the rank. Null texts and null languages are not learned from; nothing labelled, nothing learned.
     """
     known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").withColumn("hash", F.xxhash64("text"))
     texts = known.groupBy("lang", "hash").agg(F.count("*").alias("copies"))
     each = max(1, rows // max(1, known.select("lang").distinct().count()))
-    ranked = texts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("place") <= each)
-    # at most `rows` hashes, or one a language
+    buckets = min(BUCKETS, each)
+    w = Window.partitionBy("lang", F.pmod("hash", F.lit(buckets))).orderBy("hash")
+    ranked = texts.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= -(-each // buckets))
+    # about `rows` hashes at most, or one a language
     chosen = known.join(F.broadcast(ranked.select("lang", "hash")), ["lang", "hash"], "left_semi")
     found = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text")).mapInArrow(_features, "lang string, x binary").toArrow()
     pairs = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True))
