@@ -186,12 +186,23 @@ def maintenance_counts(after: DataFrame) -> DataFrame:
 
 
 def new_version(memories: DataFrame, edits: DataFrame) -> DataFrame:
-    """Memories with edits (id, new_id, memory): the old row is no longer latest, the new one points to it."""
+    """Memories with edits (id, new_id, memory, and reason if there is one): the old row is no longer latest, the new one points to it.
+
+    The maps memory_relations and metadata are added where they are missing. The new row's relations
+    gain old id -> updates, its metadata versionReason -> reason, null without a reason.
+    """
+    kind = "map<string,string>"
+    for c in ("memory_relations", "metadata"):
+        if c not in memories.columns:
+            memories = memories.withColumn(c, F.lit(None).cast(kind))
     old = memories.join(edits.select("id"), "id", "left_semi").withColumn("is_latest", F.lit(False))
     rest = memories.join(edits.select("id"), "id", "left_anti")
-    changed = memories.join(edits.select("id", "new_id", F.col("memory").alias("new_memory")), "id")
+    reason = (F.col("reason") if "reason" in edits.columns else F.lit(None)).cast("string").alias("new_reason")
+    changed = memories.join(edits.select("id", "new_id", F.col("memory").alias("new_memory"), reason), "id")
+    with_entry = lambda c, k, v: F.map_concat(F.map_filter(F.coalesce(c, F.create_map().cast(kind)), lambda x, _: x != k), F.create_map(k, v))
     fresh = changed.withColumns({
         "root_memory_id": F.coalesce("root_memory_id", "id"), "parent_memory_id": F.col("id"), "version": F.col("version") + 1, "is_latest": F.lit(True), "memory": F.col("new_memory"),
+        "memory_relations": with_entry(F.col("memory_relations"), F.col("id"), F.lit("updates")), "metadata": with_entry(F.col("metadata"), F.lit("versionReason"), F.col("new_reason")),
     }).withColumn("id", F.col("new_id"))
     return rest.unionByName(old).unionByName(fresh.select(*memories.columns))
 

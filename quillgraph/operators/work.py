@@ -138,6 +138,13 @@ def blocked_view(issues: DataFrame, deps: DataFrame, inactive: Sequence[str]) ->
 # filters
 
 
+PREDICATES = {
+    "text", "title_contains", "description_contains", "notes_contains", "status", "not_status", "types", "not_types", "assignee", "priority", "priority_min", "priority_max", "ids", "id_prefix",
+    "parent", "no_parent", "labels_all", "labels_any", "no_labels", "label_glob", "label_regex", "pinned", "ephemeral", "empty_description", "no_assignee", "deferred", "overdue", "has_metadata", "metadata",
+    *(f"{time}_{side}" for time in ("created", "updated", "closed", "defer", "due") for side in ("after", "before")),
+}
+
+
 def filter_issues(issues: DataFrame, deps: DataFrame, labels: DataFrame, **spec) -> DataFrame:
     """Predicates by name; all hold.
 
@@ -145,7 +152,10 @@ def filter_issues(issues: DataFrame, deps: DataFrame, labels: DataFrame, **spec)
     priority, priority_min, priority_max, ids, id_prefix, parent, no_parent, labels_all, labels_any,
     no_labels, label_glob, label_regex, pinned, ephemeral, empty_description, no_assignee,
     created/updated/closed/defer/due_after/_before, deferred, overdue (its now), has_metadata, metadata.
+    Another name raises an error.
     """
+    if unknown := [key for key in spec if key not in PREDICATES]:
+        raise ValueError(f"unknown predicates: {', '.join(unknown)}")
     tests: list[Column] = []
     for key, value in spec.items():
         match key:
@@ -513,11 +523,11 @@ def rename_prefix(df: DataFrame, old: str, new: str, *columns: str) -> DataFrame
     return df
 
 
-def gc_closed(issues: DataFrame, deps: DataFrame, now: dt.datetime, days: int = 90) -> tuple[DataFrame, DataFrame]:
-    """Issues and dependencies without those closed, unpinned and older than days."""
+def gc_closed(issues: DataFrame, deps: DataFrame, now: dt.datetime, days: int = 90, *of_issues: DataFrame) -> tuple[DataFrame, ...]:
+    """Issues and dependencies without those closed, unpinned and older than days; then each further table (issue_id), say labels and comments, without their rows."""
     gone = issues.filter((F.col("status") == "closed") & ~flag("pinned") & (F.col("closed_at") < F.lit(now - dt.timedelta(days=days)))).select("id")
-    kept = deps.join(gone.withColumnRenamed("id", "issue_id"), "issue_id", "left_anti").join(gone.withColumnRenamed("id", "depends_on_id"), "depends_on_id", "left_anti")
-    return issues.join(gone, "id", "left_anti"), kept
+    without = lambda df, *columns: reduce(lambda d, c: d.join(gone.select(F.col("id").alias(c)), c, "left_anti"), columns, df)
+    return without(issues, "id"), without(deps, "issue_id", "depends_on_id"), *(without(df, "issue_id") for df in of_issues)
 
 
 # quality of issues

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.filters import metadata_filter
-from ..operators import memory
+from ..operators import graph, memory
 from .registry import query
 
 NOW = dt.datetime(2024, 1, 31)
@@ -152,11 +152,25 @@ def _(t):
     return memory.maintenance_counts(memory.maintenance(t.memories, NOW))
 
 
-@query("M7_new_version", """SELECT id, version, parent_memory_id, root_memory_id, is_latest AND CAST(id AS INT) % 25 <> 0 AS is_latest FROM memories
-UNION ALL SELECT concat('new-', id), version + 1, id, coalesce(root_memory_id, id), true FROM memories WHERE CAST(id AS INT) % 25 = 0""")
+EDITED = """WITH e AS (SELECT id, version, parent_memory_id, root_memory_id, is_latest AND CAST(id AS INT) % 25 <> 0 AS is_latest, CASE WHEN version = 3 THEN parent_memory_id || '=extends' ELSE '' END AS relations, '' AS reason FROM memories
+UNION ALL SELECT concat('new-', id), version + 1, id, coalesce(root_memory_id, id), true, CASE WHEN version = 3 THEN id || '=updates,' || parent_memory_id || '=extends' ELSE id || '=updates' END, 'because of ' || id FROM memories WHERE CAST(id AS INT) % 25 = 0)"""
+
+
+def edited(t):
+    edits = t.memories.filter("CAST(id AS INT) % 25 = 0").select("id", F.concat(F.lit("new-"), "id").alias("new_id"), F.lit("edited").alias("memory"), F.concat(F.lit("because of "), "id").alias("reason"))
+    return memory.new_version(t.memories.withColumn("memory_relations", F.when(F.col("version") == 3, F.create_map("parent_memory_id", F.lit("extends")))), edits)
+
+
+@query("M7_new_version", f"{EDITED} SELECT * FROM e")
+def _(t):
+    said = F.coalesce(F.array_join(F.array_sort(F.transform(F.map_entries("memory_relations"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","), F.lit(""))
+    return edited(t).select("id", "version", "parent_memory_id", "root_memory_id", "is_latest", said.alias("relations"), F.coalesce(F.col("metadata")["versionReason"], F.lit("")).alias("reason"))
+
+
+@query("G20_edges_of_edits", f"{EDITED} SELECT parent_memory_id AS source, id AS target, 'updates' AS relation FROM e WHERE reason <> ''")
 def _(t):
-    edits = t.memories.filter("CAST(id AS INT) % 25 = 0").select("id", F.concat(F.lit("new-"), "id").alias("new_id"), F.lit("edited").alias("memory"))
-    return memory.new_version(t.memories, edits).select("id", "version", "parent_memory_id", "root_memory_id", "is_latest")
+    edges = graph.memory_edges(edited(t), t.memory_docs)
+    return edges.filter(F.col("target").startswith("new-") & (F.col("relation") == "updates"))
 
 
 @query("M8_forget_pin_patch", """SELECT id, is_forgotten OR CAST(id AS INT) % 4 = 0 AS is_forgotten, is_static OR CAST(id AS INT) % 4 = 1 AS is_static, CASE WHEN CAST(id AS INT) % 4 = 2 THEN 'core' ELSE memory_level END AS memory_level,

@@ -463,3 +463,25 @@ def _(t):
 SELECT issue_id, depends_on_id FROM deps WHERE issue_id NOT IN (SELECT id FROM gone) AND depends_on_id NOT IN (SELECT id FROM gone)""")
 def _(t):
     return work.gc_closed(t.issues, t.deps, NOW)[1].select("issue_id", "depends_on_id")
+
+
+GONE = f"gone AS (SELECT id FROM issues WHERE status = 'closed' AND NOT pinned AND closed_at < {T} - INTERVAL 90 DAY)"
+
+
+def collected(t):
+    return work.gc_closed(t.issues, t.deps, NOW, 90, t.issue_labels, t.comments)
+
+
+@query("R8_gc_issues", f"WITH {GONE} SELECT id, status FROM issues WHERE id NOT IN (SELECT id FROM gone)")
+def _(t):
+    return collected(t)[0].select("id", "status")
+
+
+@query("R8_gc_labels", f"WITH {GONE} SELECT issue_id, label FROM issue_labels WHERE issue_id NOT IN (SELECT id FROM gone)")
+def _(t):
+    return collected(t)[2]
+
+
+@query("R8_gc_comments", f"WITH {GONE} SELECT id, issue_id FROM comments WHERE issue_id NOT IN (SELECT id FROM gone)")
+def _(t):
+    return collected(t)[3].select("id", "issue_id")

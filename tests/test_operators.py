@@ -426,3 +426,9 @@ def test_nearest_in_blocks(spark):
                 want |= {(i, j, n + 1) for n, (_, j) in enumerate(scored)}
         assert got[0] == got[1]
         assert len(got[0]) == len(want) and len(got[0] & want) >= 0.9 * len(want)
+
+
+def test_unknown_predicates_raise(spark):
+    empty = spark.createDataFrame([], "id string")
+    with pytest.raises(ValueError, match="titel_contains"):
+        work.filter_issues(empty, empty, empty, titel_contains="x")
