@@ -68,15 +68,67 @@ def is_number(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
 
+#: Rank error of a sketch that brackets a quantile: one row in ACCURACY.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of numeric columns; None for a column without values, NaN is the largest value.
+
+    A sketch over the rows still open brackets each wanted rank; counts tell whether the rank lies on
+    an end of its bracket or between two ends, and the rows there are what the next round looks at.
+    A round leaves a few rows in `accuracy` open, so no task holds the values of a column; the driver
+    gets some numbers for each column and share.
+    """
+    value_of = lambda c: F.col(f"`{c}`").cast("double")
+    row = df.agg(F.lit(0), *(F.count(F.col(f"`{c}`")) for c in names)).first()[1:]
+    places = {(c, s): s * (n - 1) for c, n in zip(names, row) for s in shares if n}
+    #: (column, share) -> rank among its open rows, their number, the condition of being open
+    wanted = {(c, s): (int(places[c, s]), n, value_of(c).isNotNull()) for c, n in zip(names, row) for s in shares if n}
+    exact: dict[tuple[str, float], float] = {}
+    while wanted:
+        near = lambda rank, n, more: min(1.0, max(0.0, (rank + 0.5) / n + more / accuracy))
+        ends = df.agg(*(F.percentile_approx(F.when(still, value_of(c)), [near(rank, n, -2), near(rank, n, 2)], accuracy) for (c, _), (rank, n, still) in wanted.items())).first()
+        counts = df.agg(*(
+            F.array(*(F.count_if(still & test) for test in (value_of(c) < low, value_of(c) <= low, value_of(c) < high, value_of(c) <= high)))
+            for ((c, _), (_, _, still)), (low, high) in zip(wanted.items(), ([F.lit(x) for x in e] for e in ends))
+        )).first()
+        after = {}
+        for (key, (rank, n, still)), (low, high), (below, to_low, to_high, top) in zip(wanted.items(), ends, counts):
+            v = value_of(key[0])
+            if rank < below:
+                after[key] = rank, below, still & (v < F.lit(low))
+            elif rank < to_low:
+                exact[key] = low
+            elif rank < to_high:
+                after[key] = rank - to_low, to_high - to_low, still & (v > F.lit(low)) & (v < F.lit(high))
+            elif rank < top:
+                exact[key] = high
+            else:
+                after[key] = rank - top, n - top, still & (v > F.lit(high))
+        wanted = after
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in names}
+    if not exact:
+        return out
+    keys = list(exact)
+    following = df.agg(*(F.struct(F.count_if(value_of(c) <= exact[c, s]), F.min(F.when(value_of(c) > exact[c, s], value_of(c)))) for c, s in keys)).first()
+    for (c, s), (up_to, above) in zip(keys, following):
+        low, part = int(places[c, s]), places[c, s] % 1
+        high = exact[c, s] if not part or up_to > low + 1 else above
+        out[c][list(shares).index(s)] = exact[c, s] if high == exact[c, s] else (1 - part) * exact[c, s] + part * high
+    return out
+
+
 def numeric_summary(df: DataFrame) -> DataFrame:
-    """(column, n, mean, std, min, q25, median, q75, max, nulls) of numeric columns in one pass; quantiles are exact."""
+    """(column, n, mean, std, min, q25, median, q75, max, nulls) of numeric columns; quantiles are exact, by rounds of counts."""
     names = [f.name for f in df.schema.fields if is_number(f)]
-    one = lambda c: F.struct(
-        F.lit(c).alias("column"), F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.min(c).cast("double").alias("min"),
-        F.round(F.percentile(c, F.lit(0.25)), 6).alias("q25"), F.round(F.percentile(c, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(c, F.lit(0.75)), 6).alias("q75"),
-        F.max(c).cast("double").alias("max"), F.count_if(F.col(c).isNull()).alias("nulls"),
+    found = quantiles(df, names, (0.25, 0.5, 0.75))
+    share = lambda c, i, name: F.round(F.lit(found[c][i]).cast("double"), 6).alias(name)
+    one = lambda c, v: F.struct(
+        F.lit(c).alias("column"), F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).cast("double").alias("min"),
+        share(c, 0, "q25"), share(c, 1, "median"), share(c, 2, "q75"), F.max(v).cast("double").alias("max"), F.count_if(v.isNull()).alias("nulls"),
     )
-    return df.agg(F.array(*(one(c) for c in names)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
+    return df.agg(F.array(*(one(c, F.col(f"`{c}`")) for c in names)).alias("all")).select(F.explode("all").alias("s")).select("s.*")
 
 
 def value_counts(df: DataFrame) -> DataFrame:

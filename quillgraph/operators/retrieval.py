@@ -53,7 +53,21 @@ def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray, k: int | None, least: float | None):
     width = matrix.shape[1]
-    scope_of = np.array([s if s is not None else "" for s in scopes], dtype=object) if scopes is not None else None
+    of_scope: dict[str, list[int]] = {}
+    for i, name in enumerate(scopes or []):
+        if name is not None:
+            of_scope.setdefault(name, []).append(i)
+
+    def products(rows: np.ndarray, own: list[str | None]) -> np.ndarray:
+        """Scores inside each scope; what lies in other scopes is not multiplied."""
+        scores = np.full((len(ids), len(rows)), -np.inf)
+        places: dict[str, list[int]] = {}
+        for i, name in enumerate(own):
+            if name in of_scope:
+                places.setdefault(name, []).append(i)
+        for name, at in places.items():
+            scores[np.ix_(of_scope[name], at)] = matrix[of_scope[name]] @ rows[at].T
+        return scores
 
     def run(batches):
         best_s = np.full((len(ids), 0), -np.inf)
@@ -65,10 +79,7 @@ def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray
                 if not len(ok):
                     continue
                 names = np.array(part.column("id").to_pylist(), dtype=object)[ok]
-                scores = matrix @ rows.T
-                if scope_of is not None:
-                    own = np.array([s if s is not None else "\0" for s in part.column("scope").to_pylist()], dtype=object)[ok]
-                    scores = np.where(scope_of[:, None] == own[None, :], scores, -np.inf)
+                scores = matrix @ rows.T if scopes is None else products(rows, part.column("scope").take(pa.array(ok)).to_pylist())
                 if k is None:
                     q, c = np.nonzero(scores >= least)
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(names[c].tolist(), pa.string()), pa.array(scores[q, c], pa.float64())], ["query_id", "id", "score"])
@@ -117,13 +128,6 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None
     return found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def similar(queries: DataFrame, corpus: DataFrame, least: float, scope: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, id, score) of all rows at or above a similarity."""
-    prepare(queries.sparkSession)
-    rows = corpus.select("id", "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    return _scanned(queries, rows, scope, block, None, least)
-
-
 LEVEL_BOOST = {"core": 1.3, "profile": 1.2, "preference": 1.1, "fact": 1.0, "episodic": 0.9}
 
 
@@ -208,30 +212,106 @@ def chunks_with_context(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     return chunks.select("id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("next")).join(hits.select("id"), "id", "left_semi")
 
 
-def consolidate(new: DataFrame, existing: DataFrame, scope: str = "space_id", least: float = 0.85, order: Sequence[str] = ("id",)) -> DataFrame:
+LEADERS = 4096
+
+
+def _leaders(least: float):
+    """(id, scope, place, embedding) of the rows of a group that no earlier leader of it covers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place").combine_chunks()
+        column = table.column("embedding").chunk(0)
+        rows, _ = _matrix(column, len(column[0]))
+        covered, chosen = np.zeros(len(rows), bool), []
+        for i in range(len(rows)):
+            if not covered[i]:
+                chosen.append(i)
+                covered |= np.round(rows @ rows[i], 12) >= least
+        return table.take(pa.array(chosen, pa.int64()))
+
+    return run
+
+
+def _covered(ids: list[str], scopes: list[str], places: np.ndarray, matrix: np.ndarray, least: float):
+    """(id, near, score): the nearest of the leaders of its scope that come before a row, where it is near enough; ties to the larger id."""
+    width, of_scope = matrix.shape[1], {}
+    for i in sorted(range(len(ids)), key=lambda i: ids[i], reverse=True):
+        of_scope.setdefault(scopes[i], []).append(i)
+    of_scope = {name: np.array(at) for name, at in of_scope.items()}
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                rows, ok = _matrix(part.column("embedding"), width)
+                names, own = part.column("id").to_pylist(), part.column("scope").to_pylist()
+                place = part.column("place").to_numpy()[ok]
+                inside: dict[str, list[int]] = {}
+                for i, at in enumerate(ok):
+                    if own[at] in of_scope:
+                        inside.setdefault(own[at], []).append(i)
+                out = []
+                for name, at in inside.items():
+                    lead = of_scope[name]
+                    scores = np.round(rows[at] @ matrix[lead].T, 12)
+                    scores[places[lead][None, :] >= place[at][:, None]] = -np.inf
+                    best = scores.argmax(axis=1)
+                    top = scores[np.arange(len(at)), best]
+                    out += [(names[ok[i]], ids[lead[j]], s) for i, j, s in zip(at, best, top) if s >= least]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64())], ["id", "near", "score"])
+
+    return run
+
+
+def consolidate(new: DataFrame, existing: DataFrame, scope: str = "space_id", least: float = 0.85, order: Sequence[str] = ("id",), block: int = LEADERS) -> DataFrame:
     """(id, action, target) for new memories: reinforce the best of the three nearest existing ones in the space, or an earlier
     new one that was created, or create.
 
-    Among new ones the earliest leads: it is created unless an earlier created one is similar
-    enough. Rounds settle all whose earlier neighbours are settled; there are as many as the
-    longest chain of neighbours that lead and follow in turn.
+    Among new ones the earliest leads: it is created unless an earlier created one of its space is similar
+    enough, else it reinforces the most similar of these (ties to the larger id). A round takes the first
+    `block` undecided rows of each space, finds the leaders among them in one task, and compares all rows
+    with these leaders where they lie; what they cover is decided. A row gives at most one link a round, so
+    equal memories give a link each; rounds are as many as the leaders of a space fill blocks.
+
+    Null ids are left out. Rows without a vector, with a zero vector or without a space are like no other one and are
+    created (`least` is above 0). Rows of one id are one memory, its first. All vectors have one length.
     """
-    scratch = Scratch(prepare(new.sparkSession), "consolidate")
+    spark = prepare(new.sparkSession)
+    scratch = Scratch(spark, "consolidate")
     best = vector_topk(new, existing, 3, scope).filter((F.col("rank") == 1) & (F.col("score") >= least)).select(F.col("query_id").alias("id"), F.col("id").alias("target"))
     matched = scratch.keep(best.select("id", F.lit("reinforce").alias("action"), "target"))
-    rest = new.join(matched, "id", "left_anti")
-    turn = rest.select("id", F.struct(*order).alias("turn"))
-    pairs = similar(rest, rest, least, scope).filter("query_id <> id").select(F.col("query_id").alias("id"), F.col("id").alias("near"), "score")
-    pairs = pairs.join(turn, "id").join(turn.toDF("near", "near_turn"), "near").filter("near_turn < turn")
-    pairs = scratch.keep(pairs.select("id", "near", "score"))
-    done = None
-    waiting = scratch.keep(rest.select("id"))
+    rest = new.filter("id IS NOT NULL").join(matched, "id", "left_anti").groupBy("id").agg(
+        *(F.min_by(c, F.struct(*order)).alias(n) for c, n in ((F.col(scope).cast("string"), "scope"), (F.col("embedding"), "embedding"))), F.min(F.struct(*order)).alias("turn")
+    )
+    sorted_rows = rest.repartitionByRange("scope", "turn", "id").sortWithinPartitions("scope", "turn", "id")
+    placed = scratch.keep(sorted_rows.select("id", "scope", "embedding", F.monotonically_increasing_id().alias("place")))
+    made = lambda ids: ids.select("id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("target"))
+    comparable = F.coalesce(F.col("scope").isNotNull() & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    alone, rows = placed.filter(~comparable), placed.filter(comparable)
+    out, waiting, links, old = matched.unionByName(made(alone)), rows, None, None
+    first = Window.partitionBy("scope").orderBy("place")
     while not waiting.isEmpty():
-        leads = waiting.join(pairs.select("id"), "id", "left_anti").select("id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("target"))
-        follow = pairs.join(leads.select(F.col("id").alias("near")), "near").groupBy("id").agg(F.max(F.struct("score", "near"))["near"].alias("target")).select("id", F.lit("reinforce").alias("action"), "target")
-        now = scratch.keep(leads.unionByName(follow))
-        done = now if done is None else done.unionByName(now)
-        waiting = scratch.keep(waiting.join(now, "id", "left_anti"))
-        settled = now.filter("action = 'reinforce'").select(F.col("id").alias("near"))
-        pairs = scratch.keep(pairs.join(now.select("id"), "id", "left_anti").join(settled, "near", "left_anti"))
-    return matched if done is None else matched.unionByName(done)
+        head = waiting.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= block).drop("n")
+        leaders = scratch.keep(head.groupBy("scope").applyInArrow(_leaders(least), waiting.schema))
+        out = out.unionByName(made(leaders))
+        found = None
+        parts = max(1, -(-leaders.count() // QUERY_BLOCK))
+        for part in range(parts):
+            few = leaders.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).toArrow()
+            if not few.num_rows:
+                continue
+            vectors = few.column("embedding").combine_chunks()
+            vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+            matrix, _ = _matrix(vectors, len(vectors[0]))
+            task = _covered(few.column("id").to_pylist(), few.column("scope").to_pylist(), few.column("place").to_numpy(), matrix, least)
+            some = scratch.keep(rows.select("id", "scope", "place", "embedding").mapInArrow(task, "id string, near string, score double"))
+            found = some if found is None else found.unionByName(some)
+        links = found if links is None else links.unionByName(found)
+        after = scratch.keep(waiting.join(found.select("id"), "id", "left_anti").join(leaders.select("id"), "id", "left_anti"))
+        if old is not None:
+            scratch.drop(old)
+        waiting = old = after
+    if links is None:
+        return out
+    target = links.groupBy("id").agg(F.max(F.struct("score", "near"))["near"].alias("target"))
+    return out.unionByName(target.select("id", F.lit("reinforce").alias("action"), "target"))

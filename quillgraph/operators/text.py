@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import glob_regex
-from ..session import prepare
+from ..session import Scratch, prepare
 
 #: Sizes of chunks in tokens and the overlap in characters (fixed values).
 TARGET, LEAST, MOST, OVERLAP = 500, 100, 1000, 150
@@ -173,10 +173,22 @@ def search_notes(notes: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, holdout: float, seed: int) -> DataFrame:
-    """rows with is_test: in each class max(1, floor(n * holdout)) rows, chosen by a hash of key and seed."""
-    w = Window.partitionBy(label)
-    n = F.row_number().over(w.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key))
-    return rows.withColumn("is_test", n <= F.greatest(F.lit(1), F.floor(F.count("*").over(w) * holdout)))
+    """rows with is_test: in each class max(1, floor(n * holdout)) rows, chosen by a hash of key and seed.
+
+    Rows are sorted over ranges of class and hash; a row's rank is its place in its range and what the
+    ranges before hold of its class. So a class of all rows is spread over tasks. A null class is one class.
+    """
+    scratch = Scratch(prepare(rows.sparkSession), "split")
+    names, order = rows.columns, ["_class", "_hash", "_key"]
+    hashed = rows.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{label}`").alias("_class"), F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{seed}"))).alias("_hash"), F.col(f"`{key}`").alias("_key"))
+    placed = scratch.keep(hashed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_class", "_range").agg(F.count("*").alias("_n"))
+    of_class = Window.partitionBy("_class")
+    earlier = F.coalesce(F.sum("_n").over(of_class.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(F.col("_class").alias("_c"), F.col("_range").alias("_r"), earlier.alias("_before"), F.greatest(F.lit(1), F.floor(F.sum("_n").over(of_class) * holdout)).alias("_quota"))
+    ranked = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_class", "_range").orderBy("_hash", "_key")))
+    both = ranked.join(before, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_r")))
+    return both.select("_row.*", (F.col("_before") + F.col("_place") <= F.col("_quota")).alias("is_test"))
 
 
 def markdown_cell(column: Column) -> Column:

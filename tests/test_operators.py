@@ -1,14 +1,16 @@
 """Hand tables, limits and invariants of the operators."""
 
 import datetime as dt
+import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.filters import glob_regex, metadata_filter, relative_time
-from quillgraph.operators import conversation, graph, memory, retrieval, text, work
+from quillgraph.operators import analytics, conversation, graph, memory, retrieval, text, work
 from quillgraph.sources import tables
 from quillgraph.streaming import jobs
 
@@ -201,6 +203,55 @@ def test_consolidate_is_greedy(spark):
     assert got == {"n1": ("create", None), "n2": ("reinforce", "n1"), "n3": ("create", None), "n4": ("reinforce", "e")}
 
 
+def test_consolidate_against_one_after_the_other(spark):
+    """Blocks of any size give what a walk in order gives, in spaces of several sizes, with rows that are like no other."""
+    rng = random.Random(3)
+    rows = [(f"m{i:03d}", "big" if i % 3 else f"s{i % 5}", [rng.choice([-1.0, 0.0, 1.0]) + rng.random() / 3 for _ in range(4)]) for i in range(240)]
+    rows += [(f"m{i}", "big", [1.0, 1.0, 0.0, 0.0]) for i in range(300, 340)] + [("null1", "big", None), ("null2", "big", None), ("zero", "big", [0.0] * 4), ("alone", None, [1.0, 1.0, 0.0, 0.0])]
+    schema = "id string, space_id string, embedding array<float>"
+    new, none = spark.createDataFrame(rows, schema).repartition(5), spark.createDataFrame([], schema)
+    single = {i: np.array(v, dtype=np.float32).astype(float) for i, _, v in rows if v and any(v)}
+    unit = {i: v / np.linalg.norm(v) for i, v in single.items()}
+    want, leaders = {}, []
+    for i, space, _ in sorted(rows, key=lambda r: r[0]):
+        near = [(round(float(unit[i] @ unit[j]), 12), j) for j, s in leaders if s == space and i in unit and j in unit and space]
+        score, target = max(near, default=(-1.0, None))
+        want[i] = ("reinforce", target) if score >= 0.9 else ("create", None)
+        if score < 0.9:
+            leaders.append((i, space))
+    for block in (4096, 7):
+        got = {r["id"]: (r["action"], r["target"]) for r in retrieval.consolidate(new, none, least=0.9, block=block).collect()}
+        assert got == want
+
+
+def test_quantiles_by_rounds_of_counts(spark):
+    """Coarse sketches, ties, nulls, NaN and columns without values give the sorted column's quantiles."""
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1e6), rng.randrange(4), None, i, float("nan") if i % 2 else 1.0) for i in range(3001)] + [(None, None, None, None, None)] * 7
+    df = spark.createDataFrame(rows, "`a.b` double, few int, none double, all long, nan double").repartition(6)
+    shares = (0.0, 0.25, 0.5, 0.731, 1.0)
+    for accuracy in (10, 10_000):
+        got = analytics.quantiles(df, df.columns, shares, accuracy)
+        assert got["none"] == [None] * 5
+        for i, c in ((0, "a.b"), (1, "few"), (3, "all")):
+            assert np.allclose(got[c], np.quantile([r[i] for r in rows if r[i] is not None], shares), rtol=1e-12)
+        assert got["nan"][:2] == [1.0, 1.0] and math.isnan(got["nan"][4])
+    assert analytics.quantiles(df.limit(0), ["few"], shares) == {"few": [None] * 5}
+
+
+def test_split_of_one_class(spark):
+    """One class of all rows, a null class, a class of one row, and a table without rows."""
+    rows = [(i, "all") for i in range(2000)] + [(5000, "one")] + [(i, None) for i in range(6000, 6010)]
+    df = spark.createDataFrame(rows, "id long, label string").repartition(3)
+    out = text.stratified_split(df, "label", "id", 0.3, 7)
+    assert out.columns == ["id", "label", "is_test"]
+    rank = lambda label: [i for _, i in sorted((hashlib.md5(f"{i}:7".encode()).hexdigest(), i) for i, c in rows if c == label)]
+    want = set(rank("all")[:600] + rank("one")[:1] + rank(None)[:3])
+    got = out.collect()
+    assert len(got) == len(rows) and {r["id"] for r in got if r["is_test"]} == want
+    assert text.stratified_split(df.limit(0), "label", "id", 0.3, 7).count() == 0
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, '{"a":"x","n":"7","t":["p","q"]}'), (2, '{"a":"Yx"}'), (3, None)], "id int, metadata string")
     run = lambda tree: sorted(r["id"] for r in df.filter(metadata_filter(tree)).collect())
