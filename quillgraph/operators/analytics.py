@@ -81,41 +81,41 @@ def quantiles(df: DataFrame, names: Sequence[str], shares: Sequence[float], accu
     gets some numbers for each column and share.
     """
     value_of = lambda c: F.col(f"`{c}`").cast("double")
-    row = df.agg(F.lit(0), *(F.count(F.col(f"`{c}`")) for c in names)).first()[1:]
-    places = {(c, s): s * (n - 1) for c, n in zip(names, row) for s in shares if n}
-    #: (column, share) -> rank among its open rows, their number, the condition of being open
-    wanted = {(c, s): (int(places[c, s]), n, value_of(c).isNotNull()) for c, n in zip(names, row) for s in shares if n}
-    exact: dict[tuple[str, float], float] = {}
+    around = lambda share: [min(1.0, max(0.0, share + d / accuracy)) for d in (-2, 2)]
+    sketch = lambda v, share: F.percentile_approx(v, around(share), accuracy)
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in names}
+    sizes, *ends = df.agg(F.array(*(F.count(F.col(f"`{c}`")) for c in names)), *(sketch(value_of(c), s) for c in names for s in shares)).first()
+    keys = [(c, i) for c in names for i in range(len(shares))]
+    #: (column, number of the share) -> rank among its open rows, their number, the condition of being open
+    wanted = {(c, i): (int(shares[i] * (n - 1)), n, value_of(c).isNotNull()) for c, n in zip(names, sizes) for i in range(len(shares)) if n}
+    part = {(c, i): shares[i] * (n - 1) % 1 for c, n in zip(names, sizes) for i in range(len(shares)) if n}
+    bracket = {k: e for k, e in zip(keys, ends) if k in wanted}
+
+    def counted(key: tuple[str, int]) -> Column:
+        v, still, (low, high) = value_of(key[0]), wanted[key][2], (F.lit(x) for x in bracket[key])
+        above = lambda end: F.min(F.when(v > end, v))
+        return F.struct(*(F.count_if(still & test) for test in (v < low, v <= low, v < high, v <= high)), above(low), above(high))
+
     while wanted:
-        near = lambda rank, n, more: min(1.0, max(0.0, (rank + 0.5) / n + more / accuracy))
-        ends = df.agg(*(F.percentile_approx(F.when(still, value_of(c)), [near(rank, n, -2), near(rank, n, 2)], accuracy) for (c, _), (rank, n, still) in wanted.items())).first()
-        counts = df.agg(*(
-            F.array(*(F.count_if(still & test) for test in (value_of(c) < low, value_of(c) <= low, value_of(c) < high, value_of(c) <= high)))
-            for ((c, _), (_, _, still)), (low, high) in zip(wanted.items(), ([F.lit(x) for x in e] for e in ends))
-        )).first()
+        found = df.agg(*(counted(k) for k in wanted)).first()
         after = {}
-        for (key, (rank, n, still)), (low, high), (below, to_low, to_high, top) in zip(wanted.items(), ends, counts):
-            v = value_of(key[0])
+        for (key, (rank, n, still)), (below, to_low, to_high, top, above_low, above_high) in zip(wanted.items(), found):
+            (low, high), v = bracket[key], value_of(key[0])
+            # the value at the rank, or the next one for its share of the way there
+            here = lambda x, up_to, above: x if not part[key] or rank + 1 < up_to or x == above else (1 - part[key]) * x + part[key] * above  # noqa: B023, E731
             if rank < below:
                 after[key] = rank, below, still & (v < F.lit(low))
             elif rank < to_low:
-                exact[key] = low
+                out[key[0]][key[1]] = here(low, to_low, above_low)
             elif rank < to_high:
                 after[key] = rank - to_low, to_high - to_low, still & (v > F.lit(low)) & (v < F.lit(high))
             elif rank < top:
-                exact[key] = high
+                out[key[0]][key[1]] = here(high, top, above_high)
             else:
                 after[key] = rank - top, n - top, still & (v > F.lit(high))
         wanted = after
-    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in names}
-    if not exact:
-        return out
-    keys = list(exact)
-    following = df.agg(*(F.struct(F.count_if(value_of(c) <= exact[c, s]), F.min(F.when(value_of(c) > exact[c, s], value_of(c)))) for c, s in keys)).first()
-    for (c, s), (up_to, above) in zip(keys, following):
-        low, part = int(places[c, s]), places[c, s] % 1
-        high = exact[c, s] if not part or up_to > low + 1 else above
-        out[c][list(shares).index(s)] = exact[c, s] if high == exact[c, s] else (1 - part) * exact[c, s] + part * high
+        if wanted:
+            bracket = dict(zip(wanted, df.agg(*(sketch(F.when(still, value_of(c)), (rank + 0.5) / n) for (c, _), (rank, n, still) in wanted.items())).first()))
     return out
 
 
