@@ -227,6 +227,14 @@ def space_delete(documents: DataFrame, links: DataFrame, space: str) -> DataFram
     return documents.join(links.filter(F.col("space_id") == space).select(F.col("document_id").alias("id")), "id", "left_anti")
 
 
+def delete_space(documents: DataFrame, memories: DataFrame, links: DataFrame, space: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, memories and links without a space: its documents go with all their links, its memories go."""
+    kept = space_delete(documents, links, space)
+    gone = links.filter(F.col("space_id") == space).select("document_id")
+    rest = links.filter(~F.col("space_id").eqNullSafe(F.lit(space))).join(gone, "document_id", "left_anti")
+    return kept, memories.filter(~F.col("space_id").eqNullSafe(F.lit(space))), rest
+
+
 def bulk_delete(documents: DataFrame, links: DataFrame, ids: DataFrame | None = None, tags: list[str] | None = None) -> DataFrame:
     gone = ids.select("id") if ids is not None else links.filter(F.col("container_tag").isin(*(tags or []))).select(F.col("document_id").alias("id"))
     return documents.join(gone.distinct(), "id", "left_anti")

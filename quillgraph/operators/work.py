@@ -63,8 +63,11 @@ def children_of(deps: DataFrame, parents: DataFrame) -> DataFrame:
     return deps.filter("type = 'parent-child'").join(parents.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi").select(F.col("issue_id").alias("id")).distinct()
 
 
-def blocked_issues(issues: DataFrame, deps: DataFrame) -> DataFrame:
-    """(id, priority, created_at, blocked_by): blocked issues with active targets, and their active children with their parent."""
+def blocked_issues(issues: DataFrame, deps: DataFrame, parent: str | None = None) -> DataFrame:
+    """(id, priority, created_at, blocked_by): blocked issues with active targets, and their active children with their parent.
+
+    With a parent, only its direct children; what blocks them may lie elsewhere.
+    """
     on = active(issues)
     targets = deps.filter(F.col("type").isin(*BLOCKING, "waits-for")).select("issue_id", "depends_on_id")
     targets = targets.join(on.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi")
@@ -73,6 +76,8 @@ def blocked_issues(issues: DataFrame, deps: DataFrame) -> DataFrame:
     below = deps.filter("type = 'parent-child'").select("issue_id", "depends_on_id")
     below = below.join(blocked.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi").join(blocked.select(F.col("id").alias("issue_id")), "issue_id", "left_anti")
     by = own.union(below.select("issue_id", "depends_on_id")).groupBy("issue_id").agg(F.array_sort(F.collect_set("depends_on_id")).alias("blocked_by"))
+    if parent is not None:
+        on = on.join(deps.filter((F.col("type") == "parent-child") & (F.col("depends_on_id") == parent)).select(F.col("issue_id").alias("id")), "id", "left_semi")
     return on.join(by.withColumnRenamed("issue_id", "id"), "id").select("id", "priority", "created_at", "blocked_by").orderBy("priority", F.desc("created_at"), "id")
 
 
@@ -128,6 +133,32 @@ def ready_explanation(issues: DataFrame, deps: DataFrame, now: dt.datetime) -> D
     return out.select("id", flag("ready").alias("ready"), resolved.cast("bigint").alias("n_resolved"), blockers.cast("bigint").alias("n_blockers"), reason.alias("reason"), "parent")
 
 
+def ready_items(issues: DataFrame, deps: DataFrame, now: dt.datetime) -> DataFrame:
+    """(id, reason, resolved_blockers, dependencies, dependents, parent) of ready work: what it once waited for, and its counts of blocks edges."""
+    waited = deps.filter(F.col("type").isin(*BLOCKING, "waits-for")).groupBy(F.col("issue_id").alias("id")).agg(F.array_sort(F.collect_set("depends_on_id")).alias("resolved"))
+    parents = deps.filter("type = 'parent-child'").groupBy(F.col("issue_id").alias("id")).agg(F.min("depends_on_id").alias("parent"))
+    rows = ready_work(issues, deps, now).select("id").join(waited, "id", "left").join(dependency_counts(deps), "id", "left").join(parents, "id", "left")
+    resolved = F.coalesce("resolved", F.array().cast("array<string>"))
+    reason = F.when(F.size(resolved) > 0, F.concat(F.size(resolved).cast("string"), F.lit(" blocker(s) resolved"))).otherwise("no blocking dependencies")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("id", reason.alias("reason"), resolved.alias("resolved_blockers"), count("dependencies"), count("dependents"), "parent")
+
+
+def blocked_items(issues: DataFrame, deps: DataFrame) -> DataFrame:
+    """(id, n_blockers, blockers) of blocked issues, blockers as (id, title, status, priority) by id; null details of an unknown one."""
+    by = blocked_issues(issues, deps).select("id", F.explode("blocked_by").alias("by"))
+    details = issues.select(F.col("id").alias("by"), "title", "status", "priority")
+    one = F.struct(F.col("by").alias("id"), "title", "status", "priority")
+    return by.join(details, "by", "left").groupBy("id").agg(F.count("*").alias("n_blockers"), F.array_sort(F.collect_list(one)).alias("blockers"))
+
+
+def explanation_summary(ready: DataFrame, blocked: DataFrame, cycles: DataFrame) -> DataFrame:
+    """One row (total_ready, total_blocked, n_cycles) of ready and blocked items and of cycles (id, component)."""
+    part = lambda df, name, column: df.select(F.lit(name).alias("part"), F.col(column).alias("key"))
+    rows = part(ready, "ready", "id").union(part(blocked, "blocked", "id")).union(part(cycles.select("component").distinct(), "cycle", "component"))
+    return rows.agg(*(F.count_if(F.col("part") == p).alias(n) for p, n in (("ready", "total_ready"), ("blocked", "total_blocked"), ("cycle", "n_cycles"))))
+
+
 def blocked_view(issues: DataFrame, deps: DataFrame, inactive: Sequence[str]) -> DataFrame:
     """(id, blocked_by_count) by blocks edges, with custom statuses of category done or frozen as inactive."""
     on = issues.filter(~F.col("status").isin(*INACTIVE, *inactive)).select("id")
@@ -445,11 +476,18 @@ def swarm_status(issues: DataFrame, deps: DataFrame) -> DataFrame:
     )
 
 
-def stale_molecules(issues: DataFrame, deps: DataFrame) -> DataFrame:
-    """(id, blocking): epics that could be closed, with the issues that they block."""
-    closable = epic_status(issues, deps).filter("eligible").select("id")
+def stale_molecules(issues: DataFrame, deps: DataFrame, blocking_only: bool = False, unassigned_only: bool = False) -> DataFrame:
+    """(id, title, assignee, total, closed, blocking, n_blocking): epics that could be closed, with the issues that they block.
+
+    blocking_only leaves those that block something, unassigned_only those with a null or empty assignee.
+    """
+    closable = epic_status(issues, deps).filter("eligible").join(issues.select("id", "title", "assignee"), "id")
+    if unassigned_only:
+        closable = closable.filter(F.coalesce("assignee", F.lit("")) == "")
     held = blocked_issues(issues, deps).select(F.col("id").alias("held"), F.explode("blocked_by").alias("id"))
-    return closable.join(held, "id", "left").groupBy("id").agg(F.array_sort(F.collect_set("held")).alias("blocking"))
+    blocking = held.groupBy("id").agg(F.array_sort(F.collect_set("held")).alias("blocking"))
+    rows = closable.join(blocking, "id", "inner" if blocking_only else "left").withColumn("blocking", F.coalesce("blocking", F.array().cast("array<string>")))
+    return rows.select("id", "title", "assignee", "total", "closed", "blocking", F.size("blocking").cast("bigint").alias("n_blocking"))
 
 
 def merge_duplicates(issues: DataFrame, deps: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -517,6 +555,33 @@ def promote_ephemeral(issues: DataFrame, ids: DataFrame) -> DataFrame:
     return issues.join(ids.select("id", F.lit(True).alias("promoted")), "id", "left").withColumn("ephemeral", F.when(F.col("promoted"), False).otherwise(F.col("ephemeral"))).drop("promoted")
 
 
+#: What moves with a promoted issue: the column that names the issue, and the columns that tell rows apart.
+MOVING = {
+    "issues": ("id", ("id",)), "labels": ("issue_id", ("issue_id", "label")), "dependencies": ("issue_id", ("issue_id", "depends_on_id")),
+    "events": ("issue_id", ("id",)), "comments": ("issue_id", ("id",)),
+}
+
+
+def promote(ids: DataFrame, permanent: dict[str, DataFrame], ephemeral: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Both sides, by names of MOVING, after the given ephemeral issues (id) and what belongs to them moved to the permanent side.
+
+    A row that the permanent side has already, by its key, is left as it is there; the ephemeral one goes all the same.
+    Ids that are no ephemeral issue move nothing.
+    """
+    known = ids.select("id").join(ephemeral["issues"].select("id"), "id", "left_semi").distinct()
+    after, left = {}, {}
+    for name, (owner, key) in MOVING.items():
+        if name not in ephemeral:
+            continue
+        of_them = known.select(F.col("id").alias(owner))
+        moved = ephemeral[name].join(of_them, owner, "left_semi").dropDuplicates(list(key)).join(permanent[name].select(*key), list(key), "left_anti")
+        if name == "issues":
+            moved = moved.withColumn("ephemeral", F.lit(False))
+        after[name] = permanent[name].unionByName(moved)
+        left[name] = ephemeral[name].join(of_them, owner, "left_anti")
+    return after, left
+
+
 def rename_prefix(df: DataFrame, old: str, new: str, *columns: str) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, F.when(F.col(c).startswith(f"{old}-"), F.concat(F.lit(f"{new}-"), F.substring(c, len(old) + 2, 1 << 30))).otherwise(F.col(c)))

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, work
 from ..session import Scratch
 from .registry import query
+from .work_queries import HOLDING, NOW, READY
 
 LINKS = "SELECT issue_id AS src, depends_on_id AS dst FROM deps WHERE type IN ('blocks', 'conditional-blocks')"
 CYCLIC = f"SELECT src, dst FROM ({LINKS}) UNION SELECT depends_on_id, issue_id FROM deps WHERE type = 'blocks' AND CAST(substring(issue_id, 4) AS INT) % 40 = 0"
@@ -22,16 +23,24 @@ def _(t):
     return graph.ready_transitive(t.issues, t.deps)
 
 
-@query("G7_find_cycles", f"""WITH RECURSIVE e AS ({CYCLIC}), back AS (SELECT depends_on_id AS u, issue_id AS v FROM deps WHERE type = 'blocks' AND CAST(substring(issue_id, 4) AS INT) % 40 = 0),
+CYCLES = f"""WITH RECURSIVE e AS ({CYCLIC}), back AS (SELECT depends_on_id AS u, issue_id AS v FROM deps WHERE type = 'blocks' AND CAST(substring(issue_id, 4) AS INT) % 40 = 0),
 f AS (SELECT v AS origin, v AS id FROM back UNION SELECT f.origin, e.dst FROM f JOIN e ON f.id = e.src),
 near AS (SELECT DISTINCT id FROM f), sub AS (SELECT e.src, e.dst FROM e WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)),
 r AS (SELECT src AS a, dst AS b FROM sub UNION SELECT r.a, s.dst FROM r JOIN sub s ON r.b = s.src),
-pair AS (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a)
-SELECT a AS id, min(b) AS component FROM pair GROUP BY a""")
+pair AS (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a)"""
+
+
+@query("G7_find_cycles", f"{CYCLES} SELECT a AS id, min(b) AS component FROM pair GROUP BY a")
 def _(t):
     return graph.cycle_nodes(cyclic(t))
 
 
+@query("G6_explanation_summary", f"""{CYCLES}, {READY}, {HOLDING}, cycles AS (SELECT a, min(b) AS component FROM pair GROUP BY a)
+SELECT (SELECT count(*) FROM ready) AS total_ready, (SELECT count(DISTINCT id) FROM holding) AS total_blocked, (SELECT count(DISTINCT component) FROM cycles) AS n_cycles""")
+def _(t):
+    return work.explanation_summary(work.ready_items(t.issues, t.deps, NOW), work.blocked_items(t.issues, t.deps), graph.cycle_nodes(cyclic(t)))
+
+
 @query("G8_would_create_cycle", f"""WITH RECURSIVE e AS ({LINKS}), c AS (SELECT depends_on_id AS src, issue_id AS dst FROM deps WHERE type = 'related' AND CAST(substring(issue_id, 4) AS INT) % 30 = 0
   UNION SELECT issue_id, issue_id FROM deps WHERE CAST(substring(issue_id, 4) AS INT) % 500 = 0 UNION SELECT e.dst, e.src FROM e WHERE CAST(substring(src, 4) AS INT) % 300 = 0),
 r AS (SELECT DISTINCT dst AS o, dst AS id FROM c UNION SELECT r.o, e.dst FROM r JOIN e ON r.id = e.src)

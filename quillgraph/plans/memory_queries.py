@@ -253,6 +253,27 @@ def _(t):
     return memory.space_delete(t.docs, t.doc_spaces.withColumn("document_id", F.col("document_id").cast("string")), "src1").select("id")
 
 
+def without_space(t):
+    links = t.doc_spaces.withColumn("document_id", F.col("document_id").cast("string"))
+    moved = memory.space_move(links, "src1", "src2", "sm_project_src2")
+    return memory.delete_space(t.docs, t.memories.withColumn("space_id", F.concat(F.lit("src"), F.substring("space_id", 6, 9))), moved, "src2")
+
+
+@query("M13_deleted_space_documents", "SELECT id FROM docs WHERE space_id NOT IN ('src1', 'src2')")
+def _(t):
+    return without_space(t)[0].select("id")
+
+
+@query("M13_deleted_space_memories", "SELECT id, 'src' || substring(space_id, 6) AS space_id FROM memories WHERE space_id <> 'space2'")
+def _(t):
+    return without_space(t)[1].select("id", "space_id")
+
+
+@query("M13_deleted_space_links", "SELECT CAST(document_id AS VARCHAR) AS document_id, space_id, container_tag FROM doc_spaces WHERE space_id NOT IN ('src1', 'src2')")
+def _(t):
+    return without_space(t)[2]
+
+
 @query("M14_bulk_delete", "SELECT id FROM docs WHERE container_tag NOT IN ('sm_project_src0', 'sm_project_src4')")
 def _(t):
     return memory.bulk_delete(t.docs, t.doc_spaces.withColumn("document_id", F.col("document_id").cast("string")), tags=["sm_project_src0", "sm_project_src4"]).select("id")

@@ -48,6 +48,17 @@ def _(t):
     return work.blocked_issues(t.issues, t.deps).select("id", "priority", joined("blocked_by").alias("blocked_by"))
 
 
+HOLDING = """own AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.issue_id = b.id JOIN act a ON d.depends_on_id = a.id WHERE d.type IN ('blocks', 'conditional-blocks', 'waits-for')),
+below AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.depends_on_id = b.id JOIN act a ON d.issue_id = a.id WHERE d.type = 'parent-child' AND d.issue_id NOT IN (SELECT id FROM blocked)),
+holding AS (SELECT DISTINCT x.id, x.by AS blocker FROM (SELECT * FROM own UNION ALL SELECT * FROM below) x JOIN act ON act.id = x.id)"""
+HELD = f"{BLOCKED}, {HOLDING}"
+
+
+@query("G2_blocked_issues_of_parent", f"WITH {HELD} SELECT id, string_agg(blocker, ',' ORDER BY blocker) AS blocked_by FROM holding WHERE id IN (SELECT issue_id FROM deps WHERE type = 'parent-child' AND depends_on_id = 'bd-10') GROUP BY 1")
+def _(t):
+    return work.blocked_issues(t.issues, t.deps, parent="bd-10").select("id", joined("blocked_by").alias("blocked_by"))
+
+
 @query("G3_ready_work", f"WITH {READY} SELECT id, title, priority, status FROM ready")
 def _(t):
     return work.ready_work(t.issues, t.deps, NOW).orderBy(*work.ready_order("hybrid", NOW)).select("id", "title", "priority", "status")
@@ -69,6 +80,22 @@ def _(t):
     return work.ready_explanation(t.issues, t.deps, NOW)
 
 
+@query("G6_ready_items", f"""WITH {READY},
+waited AS (SELECT issue_id AS id, count(DISTINCT depends_on_id) AS n, string_agg(DISTINCT depends_on_id, ',' ORDER BY depends_on_id) AS resolved FROM deps WHERE type IN ('blocks', 'conditional-blocks', 'waits-for') GROUP BY 1),
+parents AS (SELECT issue_id AS id, min(depends_on_id) AS parent FROM deps WHERE type = 'parent-child' GROUP BY 1)
+SELECT r.id, CASE WHEN n > 0 THEN n || ' blocker(s) resolved' ELSE 'no blocking dependencies' END AS reason, coalesce(resolved, '') AS resolved_blockers,
+  (SELECT count(*) FROM deps d WHERE d.type = 'blocks' AND d.issue_id = r.id) AS dependencies, (SELECT count(*) FROM deps d WHERE d.type = 'blocks' AND d.depends_on_id = r.id) AS dependents, parent
+FROM ready r LEFT JOIN waited USING (id) LEFT JOIN parents USING (id)""")
+def _(t):
+    return work.ready_items(t.issues, t.deps, NOW).withColumn("resolved_blockers", joined("resolved_blockers"))
+
+
+@query("G6_blocked_items", f"""WITH {HELD} SELECT h.id, count(*) AS n_blockers, string_agg(concat_ws('|', h.blocker, i.title, i.status, CAST(i.priority AS VARCHAR)), chr(10) ORDER BY h.blocker) AS blockers FROM holding h LEFT JOIN issues i ON i.id = h.blocker GROUP BY 1""")
+def _(t):
+    line = lambda b: F.concat_ws("|", b["id"], b["title"], b["status"], b["priority"].cast("string"))
+    return work.blocked_items(t.issues, t.deps).withColumn("blockers", F.array_join(F.transform("blockers", line), "\n"))
+
+
 @query("G15_swarm_status", """WITH ch AS (SELECT d.depends_on_id AS epic, i.id, i.status FROM deps d JOIN issues e ON d.depends_on_id = e.id AND e.issue_type = 'epic' JOIN issues i ON d.issue_id = i.id WHERE d.type = 'parent-child'),
 w AS (SELECT DISTINCT a.epic, a.id FROM ch a JOIN deps d ON d.issue_id = a.id AND d.type IN ('blocks', 'conditional-blocks') JOIN ch b ON b.epic = a.epic AND b.id = d.depends_on_id AND b.status <> 'closed')
 SELECT epic, count(*) AS total, count(*) FILTER (status = 'closed') AS completed, count(*) FILTER (status = 'in_progress') AS active,
@@ -88,12 +115,22 @@ def _(t):
     return work.epic_status(t.issues, t.deps)
 
 
-@query("G24_stale_molecules", f"""WITH {BLOCKED}, e AS ({EPICS}),
-own AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.issue_id = b.id JOIN act a ON d.depends_on_id = a.id WHERE d.type IN ('blocks', 'conditional-blocks', 'waits-for')),
-below AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.depends_on_id = b.id JOIN act a ON d.issue_id = a.id WHERE d.type = 'parent-child' AND d.issue_id NOT IN (SELECT id FROM blocked))
-SELECT e.id, coalesce(string_agg(DISTINCT x.id, ',' ORDER BY x.id), '') AS blocking FROM e LEFT JOIN (SELECT * FROM own UNION ALL SELECT * FROM below) x ON x.by = e.id WHERE e.eligible GROUP BY e.id""")
+STALE = """SELECT e.id, i.title, i.assignee, e.total, e.closed, coalesce(string_agg(h.id, ',' ORDER BY h.id), '') AS blocking, count(h.id) AS n_blocking FROM e JOIN issues i USING (id) LEFT JOIN holding h ON h.blocker = e.id WHERE e.eligible GROUP BY ALL"""
+
+
+@query("G24_stale_molecules", f"WITH {HELD}, e AS ({EPICS}) {STALE}")
+def _(t):
+    return work.stale_molecules(t.issues, t.deps).withColumn("blocking", joined("blocking"))
+
+
+@query("G24_stale_unassigned", f"WITH {HELD}, e AS ({EPICS}) SELECT * FROM ({STALE}) WHERE assignee = ''")
+def _(t):
+    return work.stale_molecules(t.issues, t.deps, unassigned_only=True).withColumn("blocking", joined("blocking"))
+
+
+@query("G24_stale_blocking", f"WITH {HELD}, e AS ({EPICS}) SELECT * FROM ({STALE}) WHERE n_blocking > 0")
 def _(t):
-    return work.stale_molecules(t.issues, t.deps).select("id", joined("blocking").alias("blocking"))
+    return work.stale_molecules(t.issues, t.deps, blocking_only=True).withColumn("blocking", joined("blocking"))
 
 
 @query("G25_merge_duplicates", r"""WITH d1 AS (SELECT issue_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1), d2 AS (SELECT depends_on_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1),
@@ -394,6 +431,29 @@ def _(t):
     return work.promote_ephemeral(t.issues, t.issues.filter("ephemeral AND priority = 2")).select("id", "ephemeral")
 
 
+PROMOTED = {
+    "issues": ("id", "SELECT id, ephemeral AND priority <> 2 AS ephemeral FROM issues"),
+    "labels": ("issue_id, label", "SELECT issue_id, label FROM issue_labels"), "dependencies": ("issue_id, depends_on_id, type", "SELECT issue_id, depends_on_id, type FROM deps"),
+    "events": ("id, issue_id, event_type", "SELECT id, issue_id, event_type FROM issue_events"), "comments": ("id, issue_id, text", "SELECT id, issue_id, text FROM comments"),
+}
+
+
+def promoted(t, name):
+    """The permanent side of a table after the ephemeral issues of priority 2 were promoted."""
+    wisps = t.issues.filter("ephemeral").select(F.col("id").alias("issue_id"))
+    of = {"labels": t.issue_labels, "dependencies": t.deps, "events": t.issue_events.drop("ephemeral"), "comments": t.comments}
+    sides = [{"issues": t.issues.filter(test)} | {n: df.join(wisps, "issue_id", how) for n, df in of.items()} for test, how in (("NOT ephemeral", "left_anti"), ("ephemeral", "left_semi"))]
+    return work.promote(t.issues.filter("priority = 2"), *sides)[0][name]
+
+
+for _name, (_columns, _sql) in PROMOTED.items():
+    _owner = "id" if _name == "issues" else "issue_id"
+
+    @query(f"M15_promoted_{_name}", f"SELECT * FROM ({_sql}) WHERE {_owner} NOT IN (SELECT id FROM issues WHERE ephemeral AND priority <> 2)")
+    def _(t, name=_name, columns=_columns):
+        return promoted(t, name).select(*columns.split(", "), *(["ephemeral"] if name == "issues" else []))
+
+
 @query("M16_rename_prefix", "SELECT concat('qg-', substring(issue_id, 4)) AS issue_id, concat('qg-', substring(depends_on_id, 4)) AS depends_on_id, type FROM deps")
 def _(t):
     return work.rename_prefix(t.deps, "bd", "qg", "issue_id", "depends_on_id").select("issue_id", "depends_on_id", "type")

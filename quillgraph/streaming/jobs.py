@@ -7,6 +7,7 @@ that is there and ends, which makes each a batch job too.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -32,31 +33,104 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, make = _files(spark, path)
+    return files.exists(make(path))
+
+
+def _switch(manifest: DataFrame, path: str, name: str) -> None:
+    """Write a manifest aside and rename it into place; readers see all of it or nothing."""
+    spark = manifest.sparkSession
+    files, make = _files(spark, path)
+    aside = f"{path}/pending/{uuid.uuid4().hex}"
+    manifest.write.parquet(aside)
+    files.mkdirs(make(f"{path}/manifest"))
+    if not files.rename(make(aside), make(f"{path}/manifest/{name}")):
+        raise OSError(f"{name} could not be put in place under {path}/manifest")
+
+
+def _manifests(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The manifests that count, and the number of the last batch: the newest compaction and the batches after it."""
+    files, make = _files(spark, path)
+    if not files.exists(make(f"{path}/manifest")):
+        return [], -1
+    names = [s.getPath().getName() for s in files.listStatus(make(f"{path}/manifest"))]
+    batches, upto = ({int(n.split("=")[1]) for n in names if n.startswith(k)} for k in ("batch=", "upto="))
+    base = max(upto, default=-1)
+    return [f"{path}/manifest/upto={base}"] * bool(upto) + [f"{path}/manifest/batch={n}" for n in sorted(batches) if n > base], max(batches | upto, default=-1)
+
+
 def ingest(documents: DataFrame, path: str, version: str | None = None) -> None:
-    """Chunk arriving documents (id, text) and append them under path, a folder for each batch; a batch that runs again overwrites its own.
+    """Chunk arriving documents (id, text) under path. A batch writes its chunks to a folder of its own, then a manifest
+    (id, batch, part) of its documents that is renamed into place: until then the chunks from before are what readers see,
+    afterwards the new ones are, also for a document that has no chunks any more. A batch that has its manifest is not done again.
 
     Of documents that repeat an id in a batch, the one with the largest `version` (a column, say the
-    time of the edit) is chunked; without one, or of equal ones, that of the last text in order.
+    time of the edit) is chunked; without one, or of equal ones, that of the last text in order. Null ids are left out.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if any(_exists(spark, f"{path}/manifest/{kind}={number}") for kind in ("batch", "upto")):
+            return
+        part = f"{number}-{uuid.uuid4().hex}"
         order = F.struct(*([version] if version else []), "text")
-        newest = batch.groupBy("id").agg(F.max_by("text", order).alias("text"))
-        chunk_documents(newest).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        newest = batch.filter("id IS NOT NULL").groupBy("id").agg(F.max_by("text", order).alias("text")).persist()
+        chunk_documents(newest).write.parquet(f"{path}/chunks/part={part}")
+        _switch(newest.select(F.col("id").cast("string").alias("id"), F.lit(number).cast("bigint").alias("batch"), F.lit(part).alias("part")), path, f"batch={number}")
+        newest.unpersist()
 
     documents.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
+def _current(spark: SparkSession, path: str, manifests: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The newest manifest row of each document, and its chunks."""
+    rows = spark.read.schema("id string, batch long, part string").parquet(*manifests)
+    last = rows.groupBy("id").agg(F.max_by("part", "batch").alias("part"), F.max("batch").alias("batch"))
+    parts = [f"{path}/chunks/part={r['part']}" for r in rows.select("part").distinct().collect()]
+    chunks = spark.read.option("basePath", f"{path}/chunks").schema("id string, position int, content string, part string").parquet(*parts)
+    return last, chunks.join(last, ["id", "part"])
+
+
 def current_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of each document's last batch."""
-    rows = spark.read.schema("id string, position int, content string, batch long").parquet(f"{path}/chunks")
-    last = rows.groupBy("id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["id", "batch"], "left_semi")
+    """(id, batch, position, content): the chunks of each document's last batch, as the manifests tell."""
+    manifests, _ = _manifests(spark, path)
+    if not manifests:
+        return spark.createDataFrame([], "id string, batch long, position int, content string")
+    return _current(spark, path, manifests)[1].select("id", "batch", "position", "content")
+
 
+def compact(spark: SparkSession, path: str) -> None:
+    """Bring the current chunks together in place: one folder and one manifest up to the last batch stand for all before.
 
-def replace_old_chunks(spark: SparkSession, path: str, into: str) -> None:
-    """Write the current chunks under another path, from which ingest can go on: chunks that a later batch replaced go."""
-    current_chunks(spark, path).write.mode("overwrite").partitionBy("batch").parquet(f"{into}/chunks")
+    Readers that began earlier can go on; vacuum() deletes what no reader needs. Not to be run beside another one or an ingestion.
+    """
+    manifests, number = _manifests(spark, path)
+    if not manifests or manifests == [f"{path}/manifest/upto={number}"]:
+        return
+    last, chunks = _current(spark, path, manifests)
+    part = f"upto-{number}-{uuid.uuid4().hex}"
+    chunks.select("id", "position", "content").write.parquet(f"{path}/chunks/part={part}")
+    _switch(last.select("id", "batch", F.lit(part).alias("part")), path, f"upto={number}")
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Delete chunks and manifests that the newest manifests don't name, and what failed batches left. No reader or ingestion may run."""
+    manifests, _ = _manifests(spark, path)
+    named = {f"part={r['part']}" for r in spark.read.schema("id string, batch long, part string").parquet(*manifests).select("part").distinct().collect()} if manifests else set()
+    keep = {"manifest": {m.rsplit("/", 1)[1] for m in manifests}, "chunks": named, "pending": set()}
+    files, make = _files(spark, path)
+    for folder, names in keep.items():
+        if files.exists(make(f"{path}/{folder}")):
+            for status in files.listStatus(make(f"{path}/{folder}")):
+                if status.getPath().getName() not in names:
+                    files.delete(status.getPath(), True)
 
 
 def debounce(updates: DataFrame, silence: str = "30 seconds", late: str = "1 minute") -> DataFrame:

@@ -252,6 +252,22 @@ def test_split_of_one_class(spark):
     assert text.stratified_split(df.limit(0), "label", "id", 0.3, 7).count() == 0
 
 
+def test_promotion_moves_rows_once(spark):
+    """What the permanent side has stays as it is there; rows of other ephemeral issues stay behind; unknown ids move nothing."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    sides = []
+    for issue_rows, labels, events in (([("p", False), ("x", False)], [("x", "a")], [(1, "x", "there")]), ([("x", True), ("y", True)], [("x", "a"), ("x", "b"), ("y", "a")], [(1, "x", "here"), (2, "x", "new"), (3, "y", "new")])):
+        sides.append({
+            "issues": table(issue_rows, "id string, ephemeral boolean"), "labels": table(labels, "issue_id string, label string"),
+            "events": table(events, "id int, issue_id string, text string"),
+        })
+    after, left = work.promote(table([("x",), ("gone",), ("p",)], "id string"), *sides)
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert read(after["issues"]) == [("p", False), ("x", False)] and read(left["issues"]) == [("y", True)]
+    assert read(after["labels"].select("issue_id", "label")) == [("x", "a"), ("x", "b")] and read(left["labels"].select("issue_id", "label")) == [("y", "a")]
+    assert read(after["events"].select("id", "issue_id", "text")) == [(1, "x", "there"), (2, "x", "new")] and [r["id"] for r in left["events"].collect()] == [3]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, '{"a":"x","n":"7","t":["p","q"]}'), (2, '{"a":"Yx"}'), (3, None)], "id int, metadata string")
     run = lambda tree: sorted(r["id"] for r in df.filter(metadata_filter(tree)).collect())
@@ -394,9 +410,38 @@ def test_ingest_takes_the_newest_and_replaces_chunks(spark, tmp_path):
         jobs.ingest(jobs.read_folder(spark, feed, schema), out, "edited")
         now = {r["id"]: r["content"] for r in jobs.current_chunks(spark, out).collect()}
         assert now == ({"a": "new words here", "b": "stays"} if len(rows) > 1 else {"a": "newest words", "b": "stays"})
-    jobs.replace_old_chunks(spark, out, str(tmp_path / "compact"))
-    assert {r["id"]: r["content"] for r in jobs.current_chunks(spark, str(tmp_path / "compact")).collect()} == now
-    assert spark.read.parquet(str(tmp_path / "compact" / "chunks")).count() == 2
+    parts = lambda: {p.name for p in (tmp_path / "out" / "chunks").glob("part=*")}
+    before = jobs.current_chunks(spark, out)
+    jobs.compact(spark, out)
+    assert {r["id"]: r["content"] for r in before.collect()} == now and len(parts()) == 3
+    jobs.vacuum(spark, out)
+    assert {r["id"]: r["content"] for r in jobs.current_chunks(spark, out).collect()} == now and len(parts()) == 1
+    spark.createDataFrame([("b", "", 2), ("c", "after compaction", 1), (None, "no id", 1)], schema).coalesce(1).write.mode("append").parquet(feed)
+    jobs.ingest(jobs.read_folder(spark, feed, schema), out, "edited")
+    assert {r["id"]: r["content"] for r in jobs.current_chunks(spark, out).collect()} == {"a": "newest words", "c": "after compaction"}
+
+
+def test_a_batch_that_fails_leaves_the_old_chunks(spark, tmp_path, monkeypatch):
+    """Chunks without their manifest are not seen; the batch runs again and is seen once."""
+    schema, feed, out = "id string, text string", str(tmp_path / "in"), str(tmp_path / "out")
+    assert jobs.current_chunks(spark, out).count() == 0
+    spark.createDataFrame([("a", "old words"), ("b", "stays")], schema).coalesce(1).write.mode("append").parquet(feed)
+    jobs.ingest(jobs.read_folder(spark, feed, schema), out)
+    spark.createDataFrame([("a", "new words")], schema).coalesce(1).write.mode("append").parquet(feed)
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "_switch", fails)
+        with pytest.raises(Exception, match="lost"):
+            jobs.ingest(jobs.read_folder(spark, feed, schema), out)
+    read = lambda: sorted((r["id"], r["content"]) for r in jobs.current_chunks(spark, out).collect())
+    assert read() == [("a", "old words"), ("b", "stays")] and len(list((tmp_path / "out" / "chunks").glob("part=*"))) == 2
+    jobs.ingest(jobs.read_folder(spark, feed, schema), out)
+    assert read() == [("a", "new words"), ("b", "stays")]
+    jobs.vacuum(spark, out)
+    assert read() == [("a", "new words"), ("b", "stays")] and len(list((tmp_path / "out" / "chunks").glob("part=*"))) == 2
 
 
 def test_ignored_names_and_sizes(spark):
