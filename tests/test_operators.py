@@ -268,6 +268,17 @@ def test_promotion_moves_rows_once(spark):
     assert read(after["events"].select("id", "issue_id", "text")) == [(1, "x", "there"), (2, "x", "new")] and [r["id"] for r in left["events"].collect()] == [3]
 
 
+def test_explanation_summary_counts_items_and_cycles(spark):
+    i = issues(spark, [("a", "open"), ("b", "open"), ("c", "closed"), ("d", "open"), ("e", "open")])
+    d = deps(spark, [("a", "b", "blocks"), ("d", "c", "blocks")])
+    ready, blocked = work.ready_items(i, d, NOW), work.blocked_items(i, d)
+    cycles = spark.createDataFrame([("x", "x"), ("y", "x"), ("z", "z")], "id string, component string")
+    assert {(r["id"], r["reason"], *r["resolved_blockers"]) for r in ready.collect()} == {("b", "no blocking dependencies"), ("d", "1 blocker(s) resolved", "c"), ("e", "no blocking dependencies")}
+    assert [(r["id"], [b["id"] for b in r["blockers"]]) for r in blocked.collect()] == [("a", ["b"])]
+    assert tuple(work.explanation_summary(ready, blocked, cycles).first()) == (3, 1, 2)
+    assert tuple(work.explanation_summary(ready.limit(0), blocked.limit(0), cycles.limit(0)).first()) == (0, 0, 0)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, '{"a":"x","n":"7","t":["p","q"]}'), (2, '{"a":"Yx"}'), (3, None)], "id int, metadata string")
     run = lambda tree: sorted(r["id"] for r in df.filter(metadata_filter(tree)).collect())
