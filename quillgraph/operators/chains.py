@@ -4,16 +4,22 @@ longest_paths: a node with one open way points to where it leads, and each point
 v -> max(base, length + v) from the value there to its own. Two such maps make one of the same kind, so
 pointers double. strong_components: nodes with one way in and one way out become edges between the
 nodes around them, and are put back when the components of the rest are known. Either way a path of n
-nodes takes about log2(n) rounds, each a join. Only counts reach the driver.
+nodes takes about log2(n) rounds, each a join. Only counts reach the driver. What contraction leaves of a
+graph's components is tangled and often small; up to FINISH edges of it are searched in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: What is left of a graph once chains were contracted is searched in one task when it has at most this many edges (some MB).
+FINISH = 20_000
 #: Levels are peeled one by one while each takes at least this share of the rows; else chains are contracted.
 WORTH = 0.2
 
@@ -150,13 +156,46 @@ def _spread(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = after.select("id", "label")
 
 
-def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of more than one node, by a search along edges and one against them in the order of its returns."""
+    edges = pd.concat(batches)
+    ahead, behind = edges.groupby("src")["dst"].agg(list).to_dict(), edges.groupby("dst")["src"].agg(list).to_dict()
+    seen, returns = set(), []
+    for start in ahead:
+        path = [] if start in seen else [(start, iter(ahead[start]))]
+        seen.add(start)
+        while path:
+            at, ways = path[-1]
+            new = next((x for x in ways if x not in seen), None)
+            if new is None:
+                returns.append(path.pop()[0])
+            else:
+                seen.add(new)
+                path.append((new, iter(ahead.get(new, ()))))
+    out, taken = [], set()
+    for start in reversed(returns):
+        part = [] if start in taken else [start]
+        taken.add(start)
+        for at in part:
+            for x in behind.get(at, ()):
+                if x not in taken:
+                    taken.add(x)
+                    part.append(x)
+        if len(part) > 1:
+            least = min(part)
+            out += [(x, least) for x in part]
+    yield pd.DataFrame(out, columns=["id", "component"])
+
+
+def strong_components(edges: DataFrame, scratch: Scratch, finish: int = FINISH) -> DataFrame:
     """(id, component) of the nodes of edges (src, dst) that lie on a cycle, a loop included; component is the least id.
 
-    Edges are trimmed and chains contracted until neither takes anything. Then every node is a
-    pivot at once: the least id that reaches a node is its label, and what reaches the pivot backward
-    inside its label is a component. These go, and the rest follows in the same way.
+    Edges are trimmed and chains contracted until neither takes anything, or no more than `finish` edges
+    are left, which one task searches. Of more, every node is a pivot at once: the least id that reaches
+    a node is its label, and what reaches the pivot backward inside its label is a component. These go,
+    and the rest follows in the same way. Edges without an end are left out; no edges, no rows.
     """
+    named = f"id {edges.schema['src'].dataType.simpleString()}"
     rest = scratch.keep(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
     loops, found, levels = rest.filter("src = dst").select(F.col("src").alias("id")), [], []
     rest = scratch.keep(rest.filter("src <> dst"))
@@ -170,11 +209,14 @@ def strong_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             loops = loops.union(rest.filter("src = dst").select(F.col("src").alias("id")))
             rest = scratch.keep(rest.filter("src <> dst"))
             before, count = count, rest.count()
-            if whole and before == count:
+            if count <= finish or whole and before == count:
                 break
             whole = before - count <= WORTH * before
         if not count:
             break
+        if count <= finish:
+            found.append(scratch.keep(rest.coalesce(1).mapInPandas(_searched, f"{named}, {named.replace('id', 'component', 1)}")))
+            break
         nodes = rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct()
         labels = _spread(nodes.select("id", F.col("id").alias("label")), rest, scratch)
         a, b = labels.toDF("src", "la"), labels.toDF("dst", "lb")

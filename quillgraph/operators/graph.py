@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Scratch, prepare
-from .chains import longest_paths
+from .chains import longest_paths, strong_components
 from .components import components
 from .folds import capped_fold
 
@@ -90,52 +90,9 @@ def would_create_cycle(candidates: DataFrame, edges: DataFrame, max_depth: int =
     return new.join(reached, ["src", "dst"], "left").select("src", "dst", (F.col("hit").isNotNull() | (F.col("src") == F.col("dst"))).alias("cycle"))
 
 
-def _propagate(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Least label of all that reach a node, itself included: (id, label)."""
-    labels = scratch.keep(labels)
-    while True:
-        into = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("other"))
-        before = labels
-        after = scratch.keep(labels.join(into, "id", "left").select("id", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
-        scratch.drop(before)
-        if after.filter("moved").isEmpty():
-            return after.select("id", "label")
-        labels = after.select("id", "label")
-
-
 def cycle_nodes(edges: DataFrame) -> DataFrame:
-    """(id, component) of nodes on cycles; component is the least id of the strongly connected set.
-
-    Nodes without incoming or outgoing edges are trimmed until none is left; then least labels are
-    propagated forward, and what reaches a label's node backward within the label is one component.
-    """
-    scratch = Scratch(prepare(edges.sparkSession), "cycles")
-    rest = scratch.keep(edges.select("src", "dst").distinct())
-    loops = rest.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
-    rest, found = scratch.keep(rest.filter("src <> dst")), None
-    while True:
-        before = rest.count()
-        while before:
-            rest = scratch.keep(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            after = rest.count()
-            if after == before:
-                break
-            before = after
-        if not before:
-            break
-        nodes = rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct()
-        labels = _propagate(nodes.select("id", F.col("id").alias("label")), rest, scratch)
-        a, b = labels.toDF("src", "la"), labels.toDF("dst", "lb")
-        inside = scratch.keep(rest.join(a, "src").join(b, "dst").filter("la = lb").select("src", "dst", "la"))
-        roots = labels.filter("id = label").select(F.col("label").alias("origin"), "id")
-        back = inside.select(F.concat_ws("\1", "la", "dst").alias("src"), F.concat_ws("\1", "la", "src").alias("dst"))
-        reach = bfs(roots.select("origin", F.concat_ws("\1", "origin", "id").alias("id")), back, 1 << 30)
-        part = scratch.keep(reach.select(F.split("id", "\1")[1].alias("id"), F.col("origin").alias("component")))
-        several = part.join(part.groupBy("component").count().filter("count > 1"), "component", "left_semi").select("id", "component")
-        found = several if found is None else found.union(several)
-        gone = part.select("id")
-        rest = scratch.keep(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    return loops if found is None else found.union(loops.join(found.select("id"), "id", "left_anti"))
+    """(id, component) of nodes on cycles; component is the least id of the strongly connected set."""
+    return strong_components(edges, Scratch(prepare(edges.sparkSession), "cycles"))
 
 
 def traverse(starts: DataFrame, edges: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ GROUP BY src, dst
     "issue_labels": """
 SELECT DISTINCT concat('bd-', CAST(l_orderkey AS STRING)) AS issue_id,
   CASE WHEN l_linenumber <= 3 THEN concat('area-', l_returnflag) ELSE concat('state:', l_linestatus) END AS label
-FROM lineitem WHERE l_linenumber <= 5
+FROM lineitem
 """,
     "memories": """
 SELECT CAST(vec_id AS STRING) AS id, concat('org', CAST(label % 2 AS STRING)) AS org_id,
@@ -58,13 +58,13 @@ FROM embeddings
     "memory_hits": """
 SELECT CAST(user_id AS STRING) AS memory_id, CAST(event_id % 100 AS DOUBLE) / 100 AS confidence,
   concat('doc', CAST(event_id % 300 AS STRING)) AS document_id, ts, event_id
-FROM events WHERE event_type IN ('click', 'view')
+FROM events
 """,
     "mentions": """
 SELECT concat('Part ', CAST(l_partkey % 300 AS STRING)) AS source, concat('Supplier ', CAST(l_suppkey AS STRING)) AS target,
   'supplied_by' AS relation, concat('org', CAST(l_suppkey % 2 AS STRING)) AS org_id,
   CAST(l_quantity AS DOUBLE) / 100 AS confidence, l_shipdate AS ts, l_orderkey, l_linenumber
-FROM lineitem WHERE l_returnflag = 'R'
+FROM lineitem
 """,
     "api_requests": """
 SELECT event_id AS id, event_type AS type, concat('key', CAST(user_id % 10 AS STRING)) AS key_id,
@@ -119,11 +119,11 @@ SELECT md5(CAST(event_id AS STRING)) AS hash, concat('fix (bd-', CAST(user_id *
 FROM events
 """,
     "external_issues": """
-SELECT concat('EXT-', CAST(o_orderkey AS STRING)) AS external_ref, concat('bd-', CAST(o_orderkey AS STRING)) AS id,
+SELECT concat('EXT-', CAST(o_orderkey AS STRING)) AS external_ref, concat(CASE WHEN o_orderkey % 4 = 1 THEN 'new-' ELSE 'bd-' END, CAST(o_orderkey AS STRING)) AS id,
   concat('Order ', CAST(o_orderkey % 500 AS STRING), ' for customer ', CAST((o_custkey + o_orderkey % 2) % 50 AS STRING)) AS title,
   CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'open' END AS status, CAST(o_orderkey % 5 AS INT) AS priority,
   o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 70 AS INT) AS updated_at
-FROM orders WHERE o_orderkey % 4 <> 1
+FROM orders
 """,
     "docs": """
 SELECT CAST(doc_id AS STRING) AS id, concat('org', CAST(doc_id % 2 AS STRING)) AS org_id, concat('custom-', CAST(doc_id % 500 AS STRING)) AS custom_id,

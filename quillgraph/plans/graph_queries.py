@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, work
 from ..session import Scratch
 from .registry import query
+from .work_queries import HOLDING, NOW, READY
 
 LINKS = "SELECT issue_id AS src, depends_on_id AS dst FROM deps WHERE type IN ('blocks', 'conditional-blocks')"
 CYCLIC = f"SELECT src, dst FROM ({LINKS}) UNION SELECT depends_on_id, issue_id FROM deps WHERE type = 'blocks' AND CAST(substring(issue_id, 4) AS INT) % 40 = 0"
@@ -34,16 +35,22 @@ def _(t):
     return graph.cycle_nodes(cyclic(t))
 
 
-@query("G8_would_create_cycle", f"""WITH RECURSIVE e AS ({LINKS}), c AS (SELECT depends_on_id AS src, issue_id AS dst FROM deps WHERE type = 'related' AND CAST(substring(issue_id, 4) AS INT) % 30 = 0
-  UNION SELECT issue_id, issue_id FROM deps WHERE CAST(substring(issue_id, 4) AS INT) % 500 = 0 UNION SELECT e.dst, e.src FROM e WHERE CAST(substring(src, 4) AS INT) % 300 = 0),
+@query("G6_explanation_summary", f"""{CYCLES}, {READY}, {HOLDING}, cycles AS (SELECT a, min(b) AS component FROM pair GROUP BY a)
+SELECT (SELECT count(*) FROM ready) AS total_ready, (SELECT count(DISTINCT id) FROM holding) AS total_blocked, (SELECT count(DISTINCT component) FROM cycles) AS n_cycles""")
+def _(t):
+    return work.explanation_summary(work.ready_items(t.issues, t.deps, NOW), work.blocked_items(t.issues, t.deps), graph.cycle_nodes(cyclic(t)))
+
+
+@query("G8_would_create_cycle", f"""WITH RECURSIVE e AS ({LINKS}), c AS (SELECT depends_on_id AS src, issue_id AS dst FROM deps WHERE type = 'related' AND CAST(substring(issue_id, 4) AS INT) % 100 = 0
+  UNION SELECT issue_id, issue_id FROM deps WHERE CAST(substring(issue_id, 4) AS INT) % 100 = 0 UNION SELECT e.dst, e.src FROM e WHERE CAST(substring(src, 4) AS INT) % 100 = 0),
 r AS (SELECT DISTINCT dst AS o, dst AS id FROM c UNION SELECT r.o, e.dst FROM r JOIN e ON r.id = e.src)
 SELECT c.src, c.dst, c.src = c.dst OR r.id IS NOT NULL AS cycle FROM c LEFT JOIN r ON r.o = c.dst AND r.id = c.src""")
 def _(t):
     number = F.substring("issue_id", 4, 20).cast("int")
-    new = t.deps.filter((F.col("type") == "related") & (number % 30 == 0)).select(F.col("depends_on_id").alias("src"), F.col("issue_id").alias("dst"))
-    own = t.deps.filter(number % 500 == 0).select(F.col("issue_id").alias("src"), F.col("issue_id").alias("dst"))
+    new = t.deps.filter((F.col("type") == "related") & (number % 100 == 0)).select(F.col("depends_on_id").alias("src"), F.col("issue_id").alias("dst"))
+    own = t.deps.filter(number % 100 == 0).select(F.col("issue_id").alias("src"), F.col("issue_id").alias("dst"))
     links = graph.edges_of(t.deps, "blocks", "conditional-blocks")
-    back = links.filter(F.substring("src", 4, 20).cast("int") % 300 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = links.filter(F.substring("src", 4, 20).cast("int") % 100 == 0).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.would_create_cycle(new.union(own).union(back).distinct(), links)
 
 
@@ -53,11 +60,11 @@ SELECT id, min(depth) AS depth FROM r GROUP BY id"""
 
 
 ALL_DOWN = "SELECT DISTINCT issue_id AS src, depends_on_id AS dst FROM deps"
-HIGH = "SELECT id FROM issues WHERE CAST(substring(id, 4) AS INT) % 3000 = 2999"
+HIGH = "SELECT id FROM issues WHERE CAST(substring(id, 4) AS INT) % 100 = 0"
 
 
 def high(t):
-    return t.issues.filter("CAST(substring(id, 4) AS INT) % 3000 = 2999").select("id")
+    return t.issues.filter("CAST(substring(id, 4) AS INT) % 100 = 0").select("id")
 
 
 @query("G9_dependency_tree", f"""WITH RECURSIVE w AS ({HIGH}), e AS ({ALL_DOWN}), r AS (SELECT id, 0 AS depth FROM w UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src WHERE r.depth < 3),
@@ -78,11 +85,11 @@ def _(t):
 
 
 @query("G18_message_thread", """WITH RECURSIVE e AS (SELECT issue_id AS src, depends_on_id AS dst FROM deps WHERE type = 'replies-to'),
-m AS (SELECT id FROM issues WHERE CAST(substring(id, 4) AS INT) % 1000 = 7), up AS (SELECT id FROM m UNION SELECT e.dst FROM up JOIN e ON up.id = e.src),
+m AS (SELECT id FROM issues WHERE CAST(substring(id, 4) AS INT) % 100 = 0), up AS (SELECT id FROM m UNION SELECT e.dst FROM up JOIN e ON up.id = e.src),
 roots AS (SELECT id FROM up WHERE id NOT IN (SELECT src FROM e)), down AS (SELECT id, 0 AS depth FROM roots UNION SELECT e.src, down.depth + 1 FROM down JOIN e ON down.id = e.dst)
 SELECT id, min(depth) AS depth FROM down GROUP BY id""")
 def _(t):
-    return graph.message_thread(t.issues.filter("CAST(substring(id, 4) AS INT) % 1000 = 7").select("id"), t.deps)
+    return graph.message_thread(t.issues.filter("CAST(substring(id, 4) AS INT) % 100 = 0").select("id"), t.deps)
 
 
 MEMBERS = "SELECT d.depends_on_id AS epic, d.issue_id AS id FROM deps d JOIN issues e ON d.depends_on_id = e.id AND e.issue_type = 'epic' WHERE d.type = 'parent-child' UNION SELECT concat('bucket-', CAST(CAST(substring(id, 4) AS INT) % 100 AS STRING)), id FROM issues"

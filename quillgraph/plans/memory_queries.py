@@ -100,10 +100,10 @@ def _(t):
 
 
 @query("U3_dedupe_memories", """WITH a AS (SELECT 0 AS rank, 'static' AS list, CAST(id AS INT) AS pos, trim(memory) AS memory FROM memories WHERE is_static UNION ALL SELECT 1, 'dynamic', CAST(id AS INT), trim(memory) FROM memories WHERE NOT is_static AND is_latest
-  UNION ALL SELECT 2, 'search', CAST(id AS INT), trim(memory) FROM memories WHERE CAST(id AS INT) % 3 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY memory ORDER BY rank, pos) AS n FROM a) SELECT list, pos, memory FROM w WHERE n = 1 OR rank = 0""")
+  UNION ALL SELECT 2, 'search', CAST(id AS INT), trim(memory) FROM memories), w AS (SELECT *, row_number() OVER (PARTITION BY memory ORDER BY rank, pos) AS n FROM a) SELECT list, pos, memory FROM w WHERE n = 1 OR rank = 0""")
 def _(t):
     rows = t.memories.withColumn("pos", F.col("id").cast("int"))
-    return memory.dedupe_memories(rows.filter("is_static"), rows.filter("NOT is_static AND is_latest"), rows.filter("pos % 3 = 0"))
+    return memory.dedupe_memories(rows.filter("is_static"), rows.filter("NOT is_static AND is_latest"), rows)
 
 
 FOLD = """WITH RECURSIVE h AS (SELECT memory_id, confidence AS v, row_number() OVER (PARTITION BY memory_id ORDER BY ts, event_id) AS k FROM memory_hits),

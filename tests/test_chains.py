@@ -49,7 +49,10 @@ def test_random_graphs(spark):
     """All side by side, as one graph."""
     edges = [(f"g{i}-{a}", f"g{i}-{b}") for i, part in enumerate(graphs()) for a, b in part]
     df = spark.createDataFrame([*edges, edges[0], (None, "g0-n001"), ("g0-n001", None)], EDGES)
-    assert {r["id"]: r["component"] for r in graph.cycle_nodes(df).collect()} == plain_components(edges)
+    want = plain_components(edges)
+    assert {r["id"]: r["component"] for r in graph.cycle_nodes(df).collect()} == want
+    # no part of it in one task
+    assert {r["id"]: r["component"] for r in chains.strong_components(df, Scratch(spark, "t"), finish=0).collect()} == want
     nodes = sorted({x for e in edges for x in e} | {"alone"})
     got = chains.longest_paths(spark.createDataFrame([(n,) for n in nodes], "id string"), df, Scratch(spark, "t")).collect()
     assert {r["id"]: r["length"] for r in got} == plain_lengths(nodes, edges) and len(got) == len({r["id"] for r in got})
