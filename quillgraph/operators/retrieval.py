@@ -1,13 +1,14 @@
 """Exact vector retrieval, ranking, and consolidation of memories.
 
 Queries are sent to the corpus in blocks of at most QUERY_BLOCK, as a matrix; the corpus is scanned
-batch by batch where it lies, and only each partition's best rows are shuffled. With several blocks,
+batch by batch where it lies, and only each partition's best rows are shuffled; rows that can't be among
+them by their angle to a pivot are not multiplied. With several blocks,
 each block's rows are written before the next is read, so the driver holds one block at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from ..session import Scratch, prepare
 
 QUERY_BLOCK = 8192
 ROWS = 1024
+#: Pivots a block of queries, and scores held at once (16 MB).
+PIVOTS, CELLS = 32, 1 << 21
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,67 +39,124 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(flat, norms, out=np.zeros_like(flat), where=norms > 0), ok
 
 
-def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of each row, ties by name, so that the rows kept do not depend on their order."""
-    least = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else np.full(len(scores), -np.inf)
-    q, c = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
-    value, name = scores[q, c], names[q, c]
-    code = np.unique(name.astype(str), return_inverse=True)[1] if len(name) else np.zeros(0, int)
-    order = np.lexsort((code, -value, q))
-    q, value, name = q[order], value[order], name[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < k
-    out_s, out_i = np.full((len(scores), k), -np.inf), np.empty((len(scores), k), dtype=object)
-    out_s[q[keep], place[keep]], out_i[q[keep], place[keep]] = value[keep], name[keep]
-    return out_s, out_i
-
-
-def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray, k: int | None, least: float | None):
+def _spread(matrix: np.ndarray, n: int) -> np.ndarray:
+    """Up to n unit rows, each the one least like those before it."""
+    few = matrix[np.linalg.norm(matrix, axis=1) > 0.5][: 64 * n]
+    chosen, nearest = [], np.full(len(few), -np.inf)
+    while len(chosen) < min(n, len(few)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, few @ few[chosen[-1]])
+    return few[chosen]
+
+
+class _Best:
+    """The k best rows of each query so far, by score of 9 decimals, ties by name."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.names = k, np.full((n, k), -np.inf), np.empty((n, k), dtype=object)
+
+    def least(self) -> np.ndarray:
+        """What a row must reach for each query; what rounding may still change is let through."""
+        return self.scores[:, -1] - 2e-9
+
+    def add(self, live: np.ndarray, scores: np.ndarray, names: np.ndarray) -> None:
+        """scores: a row for each of the queries in `live`, a column for each name."""
+        least = self.least()[live]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1] - 2e-9)
+        q, c = np.nonzero(scores >= least[:, None])
+        if not len(q):
+            return
+        value, name = np.round(scores[q, c], 9), names[c]
+        touched = np.unique(q)
+        old = self.scores[live[touched]]
+        i, j = np.nonzero(np.isfinite(old))
+        q, value, name = np.concatenate([q, touched[i]]), np.concatenate([value, old[i, j]]), np.concatenate([name, self.names[live[touched]][i, j]])
+        order = np.lexsort((-value, q))
+        q, value, name = q[order], value[order], name[order]
+        same = (q[1:] == q[:-1]) & (value[1:] == value[:-1])
+        if same.any():
+            tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+            name[tied] = name[tied][np.lexsort((np.unique(name[tied].astype(str), return_inverse=True)[1], -value[tied], q[tied]))]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < self.k
+        self.scores[live[q[keep]], place[keep]], self.names[live[q[keep]], place[keep]] = value[keep], name[keep]
+
+
+def _nearest(ids: list[str], scopes: list[str | None] | None, matrix: np.ndarray, k: int, multiplied: Callable[[int], None] | None = None):
+    """The k nearest rows of a partition to each query; rows whose angle to a pivot rules them out are not multiplied.
+
+    Pivots are some of the queries. Rows lie with their nearest pivot; a query whose angle to the pivot is
+    a, and rows whose angles to it are between low and high, are at least max(low - a, a - high) apart.
+    `multiplied` is told how many pairs were compared.
+    """
     width = matrix.shape[1]
+    everyone = np.arange(len(ids))
+    pivots = _spread(matrix, PIVOTS)
+    turned = np.arccos(np.clip(matrix @ pivots.T, -1, 1))
+    turned[np.linalg.norm(matrix, axis=1) < 0.5] = np.nan
     of_scope: dict[str, list[int]] = {}
     for i, name in enumerate(scopes or []):
         if name is not None:
             of_scope.setdefault(name, []).append(i)
 
-    def products(rows: np.ndarray, own: list[str | None]) -> np.ndarray:
-        """Scores inside each scope; what lies in other scopes is not multiplied."""
-        scores = np.full((len(ids), len(rows)), -np.inf)
-        places: dict[str, list[int]] = {}
-        for i, name in enumerate(own):
-            if name in of_scope:
-                places.setdefault(name, []).append(i)
-        for name, at in places.items():
-            scores[np.ix_(of_scope[name], at)] = matrix[of_scope[name]] @ rows[at].T
-        return scores
+    def groups(rows: np.ndarray, own: list[str | None] | None, best: _Best):
+        """(queries, rows) that may meet; what lies in other scopes never does."""
+        if own is not None:
+            places: dict[str, list[int]] = {}
+            for i, name in enumerate(own):
+                if name in of_scope:
+                    places.setdefault(name, []).append(i)
+            yield from ((np.array(of_scope[name]), np.array(at)) for name, at in places.items())
+            return
+        zero = np.linalg.norm(rows, axis=1) < 0.5
+        if not len(pivots):
+            zero[:] = True
+        if zero.any():
+            yield everyone, np.flatnonzero(zero)
+        if zero.all():
+            return
+        some = np.flatnonzero(~zero)
+        angles = np.arccos(np.clip(rows[some] @ pivots.T, -1, 1))
+        nearest = angles.argmin(axis=1)
+        angle = angles[np.arange(len(some)), nearest]
+        for p in np.unique(nearest):
+            mine = nearest == p
+            gap = np.maximum(angle[mine].min() - turned[:, p], turned[:, p] - angle[mine].max()) - 1e-6
+            far = np.cos(np.clip(gap, 0, np.pi)) < best.least()
+            live = np.flatnonzero(~far)
+            if len(live):
+                yield live, some[mine]
 
     def run(batches):
-        best_s = np.full((len(ids), 0), -np.inf)
-        best_i = np.empty((len(ids), 0), dtype=object)
+        best = _Best(len(ids), k)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                rows, ok = _matrix(part.column("embedding"), width)
-                if not len(ok):
-                    continue
-                names = np.array(part.column("id").to_pylist(), dtype=object)[ok]
-                scores = matrix @ rows.T if scopes is None else products(rows, part.column("scope").take(pa.array(ok)).to_pylist())
-                if k is None:
-                    q, c = np.nonzero(scores >= least)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(names[c].tolist(), pa.string()), pa.array(scores[q, c], pa.float64())], ["query_id", "id", "score"])
-                    continue
-                best_s, best_i = _best(np.hstack([best_s, scores]), np.hstack([best_i, np.broadcast_to(names, scores.shape)]), k)
-        if k is not None and best_s.shape[1]:
-            q, c = np.nonzero(np.isfinite(best_s))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(best_i[q, c].tolist(), pa.string()), pa.array(best_s[q, c], pa.float64())], ["query_id", "id", "score"])
+            rows, ok = _matrix(batch.column("embedding"), width)
+            finite = np.isfinite(rows).all(axis=1)
+            rows, ok = rows[finite], ok[finite]
+            if not len(ok):
+                continue
+            names = np.array(batch.column("id").to_pylist(), dtype=object)[ok]
+            own = None if scopes is None else batch.column("scope").take(pa.array(ok)).to_pylist()
+            for live, at in groups(rows, own, best):
+                step = max(1, CELLS // len(live))
+                for start in range(0, len(at), step):
+                    part = at[start : start + step]
+                    best.add(live, matrix[live] @ rows[part].T, names[part])
+                if multiplied:
+                    multiplied(len(live) * len(at))
+        q, c = np.nonzero(np.isfinite(best.scores))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(best.names[q, c].tolist(), pa.string()), pa.array(best.scores[q, c], pa.float64())], ["query_id", "id", "score"])
 
     return run
 
 
-def _scanned(queries: DataFrame, rows: DataFrame, scope: str | None, block: int, k: int | None, least: float | None) -> DataFrame:
+def _scanned(queries: DataFrame, rows: DataFrame, scope: str | None, block: int, k: int) -> DataFrame:
     """(query_id, id, score) of all blocks."""
     scratch, found, several = Scratch(queries.sparkSession, "nearest"), None, queries.count() > block
     for ids, scopes, matrix in _blocks(queries, scope, block):
-        some = rows.mapInArrow(_nearest(ids, scopes, matrix, k, least), "query_id string, id string, score double")
+        some = rows.mapInArrow(_nearest(ids, scopes, matrix, k), "query_id string, id string, score double")
         some = scratch.keep(some) if several else some
         found = some if found is None else found.union(some)
     return rows.sparkSession.createDataFrame([], "query_id string, id string, score double") if found is None else found
@@ -105,25 +165,29 @@ def _scanned(queries: DataFrame, rows: DataFrame, scope: str | None, block: int,
 def _blocks(queries: DataFrame, scope: str | None, block: int):
     n = queries.count()
     parts = max(1, -(-n // block))
-    columns = ["id", "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else [])]
+    columns = [F.col("id").cast("string").alias("id"), "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else [])]
     for b in range(parts):
-        rows = queries.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == b).select(*columns).collect()
-        rows = [r for r in rows if r["embedding"]]
-        if rows:
-            m = np.array([r["embedding"] for r in rows], dtype=np.float64)
-            norms = np.linalg.norm(m, axis=1, keepdims=True)
-            yield [r["id"] for r in rows], [r["scope"] for r in rows] if scope else None, np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+        table = queries.filter((F.pmod(F.xxhash64("id"), F.lit(parts)) == b) & (F.size("embedding") > 0)).select(*columns).toArrow()
+        if not table.num_rows:
+            continue
+        batch = table.combine_chunks().to_batches()[0]
+        vectors = batch.column("embedding")
+        matrix, ok = _matrix(vectors, len(vectors[0]))
+        if len(ok) < len(vectors):
+            raise ValueError("all queries must have vectors of one length")
+        yield batch.column("id").to_pylist(), batch.column("scope").to_pylist() if scope else None, matrix
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, scope: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): each query's k nearest rows by cosine, ties by id.
 
     Both sides have id and embedding; with scope, only rows with the same value there. Vectors of
-    other lengths are not compared; all queries have one length.
+    other lengths are not compared; all queries have one length. Without a scope, angles to pivots tell
+    which rows can't be among a query's k nearest. Rows with components that are not finite are left out.
     """
     prepare(queries.sparkSession)
     rows = corpus.select("id", "embedding", *([F.col(scope).cast("string").alias("scope")] if scope else []))
-    found = _scanned(queries, rows, scope, block, k, None)
+    found = _scanned(queries, rows, scope, block, k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -518,6 +519,35 @@ def test_running_piece_count(monkeypatch):
         assert text.chunk_text(body) == plain(body), repr(body)
 
 
+def test_pivots_skip_rows_and_lose_none():
+    """Against the full product: bunches of vectors, copies, zero and broken ones, in batches; and how much is skipped."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16))
+    rows = np.concatenate([middle[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 16)), rng.normal(size=(500, 16)), np.zeros((3, 16)), np.full((30, 16), 0.5)])
+    rows[17, 3], rows[18, 4] = np.nan, np.inf
+    rows = rows[rng.permutation(len(rows))]
+    names = np.array([f"v{i}" for i in range(len(rows))], dtype=object)
+    ids = [*range(0, len(rows), 37), int(np.flatnonzero(~rows.any(axis=1))[0])]
+    with np.errstate(invalid="ignore"):
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        unit = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+    ids = [i for i in ids if np.isfinite(unit[i]).all()]
+    for k, n in ((1, len(rows)), (7, len(rows)), (300, 200)):
+        batch = pa.RecordBatch.from_arrays([pa.array(names[:n].tolist()), pa.array(rows[:n].tolist(), pa.list_(pa.float64()))], ["id", "embedding"])
+        pairs, got = [], {}
+        run = retrieval._nearest([names[i] for i in ids], None, unit[ids], k, pairs.append)
+        for part in run(iter([batch.slice(at, 500) for at in range(0, n, 500)])):
+            for q, i, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                got.setdefault(q, []).append((-s, i))
+        finite = np.flatnonzero(np.isfinite(unit[:n]).all(axis=1))
+        for i in ids:
+            want = sorted((-round(float(s), 9) + 0.0, names[j]) for s, j in zip(unit[finite] @ unit[i], finite, strict=True))[:k]
+            have = sorted(got[names[i]])
+            assert len(have) == len(want) and all(abs(a - b) < 3e-9 for (a, _), (b, _) in zip(have, want, strict=True))
+            assert {name for s, name in want if s < want[-1][0] - 3e-9} <= {name for _, name in have}
+        assert sum(pairs) <= len(ids) * n * (0.5 if k < n else 1)
+
+
 def test_nearest_in_blocks(spark):
     rng = random.Random(9)
     rows = [(f"v{i}", [float(rng.randint(-2, 2)) for _ in range(3)], f"s{i % 3}") for i in range(300)]
