@@ -197,16 +197,16 @@ def strong_components(edges: DataFrame, scratch: Scratch, finish: int = FINISH)
     """
     named = f"id {edges.schema['src'].dataType.simpleString()}"
     rest = scratch.keep(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    loops, found, levels = rest.filter("src = dst").select(F.col("src").alias("id")), [], []
+    own = lambda df: df.filter("src = dst").select(F.col("src").alias("id"), F.col("src").alias("component"))
+    loops, found, levels = own(rest), [], []
     rest = scratch.keep(rest.filter("src <> dst"))
     while True:
         count, whole = rest.count(), False
         while count:
             rest = _trimmed(rest, scratch, whole)
             rest, members, circles = _contracted(rest, scratch)
-            levels.append(members)
+            levels.append((members, own(rest)))
             found.append(circles)
-            loops = loops.union(rest.filter("src = dst").select(F.col("src").alias("id")))
             rest = scratch.keep(rest.filter("src <> dst"))
             before, count = count, rest.count()
             if count <= finish or whole and before == count:
@@ -231,15 +231,15 @@ def strong_components(edges: DataFrame, scratch: Scratch, finish: int = FINISH)
         found.append(several.select("id", F.col("label").alias("component")))
         gone = reach.select("id")
         rest = scratch.keep(rest.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    known = loops.distinct().select("id", F.col("id").alias("component"))
-    if found:
-        named = found[0]
-        for part in found[1:]:
-            named = named.union(part)
-        known = scratch.keep(named.union(known.join(named.select("id"), "id", "left_anti")))
-    for members in reversed(levels):
+    known = found[0] if found else loops.limit(0)
+    for part in found[1:]:
+        known = known.union(part)
+    # a node with a loop stands alone only if no later level puts it into a larger component
+    for members, alone in reversed(levels):
+        known = scratch.keep(known.union(alone.join(known.select("id"), "id", "left_anti")))
         a, b = known.toDF("before", "component"), known.toDF("after", "other")
         back = members.join(a, "before").join(b, "after").filter("component = other").select("id", "component")
         known = scratch.keep(known.union(back.join(known.select("id"), "id", "left_anti")))
+    known = scratch.keep(known.union(loops.join(known.select("id"), "id", "left_anti")))
     least = known.groupBy("component").agg(F.min("id").alias("least"))
     return known.join(least, "component").select("id", F.col("least").alias("component"))

@@ -82,6 +82,13 @@ def test_chain_of_5000(spark):
     assert {r["id"]: r["length"] for r in got.collect()} == {f"n{i}": 5000 - i for i in range(5001)} and scratch.count < 40
 
 
+def test_loop_of_a_chain_inside_a_component(spark):
+    """a gets a loop when x is contracted, and is itself contracted between b and c afterwards."""
+    edges = [("a", "x"), ("x", "a"), ("b", "a"), ("a", "c"), ("c", "b"), ("b", "d"), ("d", "c"), ("e", "e"), ("e", "a"), ("f", "f"), ("f", "g"), ("g", "f")]
+    got = chains.strong_components(spark.createDataFrame(edges, EDGES), Scratch(spark, "t"), finish=0).collect()
+    assert len(got) == 8 and {r["id"]: r["component"] for r in got} == plain_components(edges)
+
+
 def test_parallelism(spark):
     members = spark.createDataFrame([("e", x) for x in "abcd"] + [("f", "a")], "epic string, id string")
     found = graph.waves(members, spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "c")], EDGES))
