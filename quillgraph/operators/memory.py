@@ -259,7 +259,8 @@ ENTITY = r"(?<=[a-zà-ÿ,;] )[A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)*"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    # F.trim itself as the function would get the place of a sentence as the signs to trim
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def extract_memories(docs: DataFrame, limit: int = 10) -> DataFrame:

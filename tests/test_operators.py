@@ -393,6 +393,12 @@ def test_adaptive_length_and_ids(spark):
             assert got == "bd-" + out.rjust(k, "0")[-k:]
 
 
+def test_sentences_keep_their_digits(spark):
+    """The place of a sentence is not a set of signs to trim."""
+    row = spark.createDataFrame([("0123 parts were here. 1900 others came.  11 more are at 21",)], "text string")
+    assert row.select(memory.sentences(row["text"])).first()[0] == ["0123 parts were here.", "1900 others came.", "11 more are at 21"]
+
+
 def test_extract_memories_brute_force(spark, sf_dir):
     import re
 
