@@ -282,8 +282,9 @@ class _Page(HTMLParser):
 
 
 def html_to_markdown(html: str | None) -> tuple[str, str]:
+    """A page's title and its body as Markdown; a character reference ends with a semicolon, else it is text as it stands."""
     page = _Page()
-    page.feed(html or "")
+    page.feed(re.sub(r"&(?!#?\w+;)", "&amp;", html or ""))
     page.close()
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n[ \t]+", "\n", "".join(page.out)))
     return page.title.strip(), re.sub(r"\n{3,}", "\n\n", text).strip()

@@ -161,6 +161,11 @@ def test_markdown():
     assert title == "T" and md == "## Head\n\nSee [here](/x) or mail\nnext\n\n- one\n- two"
 
 
+def test_markdown_references_end_with_a_semicolon():
+    title, md = text.html_to_markdown('<title>a&amp;b &amp</title><h1>c&amp</h1><p>&lt;d&gt; &copy 1 &#65; &#66 &nosuch; <a href="/x?a=1&amp;copy=2">e</a>')
+    assert title == "a&b &amp" and md == "# c&amp\n\n<d> &copy 1 A &#66 &nosuch; [e](/x?a=1&copy=2)"
+
+
 def test_near_duplicate_texts(spark):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(12)]
