@@ -87,9 +87,9 @@ def _(t):
     return retrieval.similarity_or_relevance(links, some, t.memories)
 
 
-@query("W15_chunks_with_context", """WITH w AS (SELECT id, lag(id) OVER (PARTITION BY document_id ORDER BY position, id) AS previous, lead(id) OVER (PARTITION BY document_id ORDER BY position, id) AS next FROM chunks) SELECT * FROM w WHERE CAST(id AS INT) % 100 = 0""")
+@query("W15_chunks_with_context", """WITH w AS (SELECT id, lag(id) OVER (PARTITION BY document_id ORDER BY position, id) AS previous, lead(id) OVER (PARTITION BY document_id ORDER BY position, id) AS next FROM chunks) SELECT * FROM w""")
 def _(t):
-    return retrieval.chunks_with_context(t.chunks, t.chunks.filter("CAST(id AS INT) % 100 = 0"))
+    return retrieval.chunks_with_context(t.chunks, t.chunks)
 
 
 @query("M1_consolidate", """WITH RECURSIVE x AS (SELECT id, CAST(id AS INT) AS n, space_id, CAST(embedding AS DOUBLE[]) AS v FROM memories),

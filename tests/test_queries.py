@@ -38,3 +38,8 @@ def test_components_over_all_edges(spark, sf_dir, duck):
             root[max(a, b)] = min(a, b)
     got = catalog.QUERIES["G14_components_all_edges"](spark, sf_dir).collect()
     assert len(got) == len(root) and {r["id"]: r["component"] for r in got} == {i: find(i) for i in root}
+
+
+def test_chunks_with_context_gives_every_chunk(spark, sf_dir):
+    got = catalog.QUERIES["W15_chunks_with_context"](spark, sf_dir).select("id").collect()
+    assert len(got) == len(set(got)) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
