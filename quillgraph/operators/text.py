@@ -7,7 +7,10 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,46 +87,83 @@ def document_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("id", "words", "tokens", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.floor(F.col("chars") / F.col("n_chunks") + 0.5).cast("bigint").alias("mean_chunk"))
 
 
-def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = None, max_df: int | None = None) -> DataFrame:
+#: Texts, and their different tokens together, that a block holds on average; a task compares two blocks.
+BLOCK_TEXTS, BLOCK_TOKENS = 2048, 500_000
+
+
+def _compared(least: float):
+    """(a, b, similarity) of the texts of block i with those of block j, from rows (i, j, block, rep, n, q, tokens, counts, rare)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block = table.column("block").to_numpy()
+        n, q = (table.column(c).to_numpy().astype(float) for c in ("n", "q"))
+        tokens, counts, rare = (table.column(c).chunk(0) for c in ("tokens", "counts", "rare"))
+        ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+        starts = np.concatenate([[0], ends[:-1]])
+        owner = np.repeat(np.arange(len(block)), ends - starts)
+        codes = tokens.flatten().dictionary_encode().indices.to_numpy()
+        counts, rare = counts.flatten().to_numpy().astype(float), rare.flatten().to_numpy(zero_copy_only=False)
+        # the texts of block j by token
+        theirs = np.flatnonzero(block[owner] == j)
+        theirs = theirs[np.argsort(codes[theirs], kind="stable")]
+        first = np.searchsorted(codes[theirs], np.arange(codes.max(initial=-1) + 2))
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for row in np.flatnonzero(block == i):
+            mine = slice(starts[row], ends[row])
+            begin = first[codes[mine]]
+            many = first[codes[mine] + 1] - begin
+            at = theirs[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            other, here, there = owner[at], np.repeat(counts[mine], many), counts[at]
+            m, p, met = (np.bincount(other, w, len(block)) for w in (np.minimum(here, there), here * there, rare[at]))
+            to = np.flatnonzero(met)
+            to = to[to > row] if i == j else to
+            score = (m[to] / (n[row] + n[to] - m[to]) + p[to] / np.sqrt(q[row] * q[to])) / 2
+            near = score >= least
+            out.append((np.full(near.sum(), row), to[near], score[near]))
+        rows, others, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        rep = table.column("rep")
+        return pa.table({"a": rep.take(pa.array(rows)), "b": rep.take(pa.array(others)), "similarity": pa.array(scores)})
+
+    return run
+
+
+def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = None, max_df: int | None = None, texts: int = BLOCK_TEXTS, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(a, b, similarity): pairs of texts (id, text) whose mean of multiset Jaccard and count cosine is at least `least`.
 
-    Texts of the same tokens are one class, compared once; its members pair with their least id.
-    A pair that reaches the threshold t has a cosine or a Jaccard of t, hence shares a token among
-    the rarest of either side: with tokens from rare to frequent, the prefix of a text that holds
-    all but the part that may differ. Only prefixes are joined, so frequent tokens seldom meet. What both
-    sides still have from a shared token on, and their lengths, bound the similarity of a pair whose first
-    shared token it is; pairs below the threshold by that bound are not compared. With max_df, tokens in more
-    texts than that bring no pairs together (they still count), which may lose pairs.
+    Texts of the same tokens are one class, compared once; its members pair with their least id. At low
+    thresholds nearly every pair that shares a frequent token could be near, so no pair is filtered
+    beforehand: texts fall into blocks, and a task has two of them, one indexed by token, and sums up what
+    each text of the other shares with it. Work is quadratic in the number of texts, a task's memory is
+    that of two blocks and their near pairs. With max_df, tokens in more texts than that bring no pairs
+    together (they still count), which may lose pairs.
     """
+    scratch = Scratch(prepare(rows.sparkSession), "near")
     pieces = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"), lambda w: F.octet_length(w) > 1)
     bags = rows.select("id", F.explode(pieces).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
     listed = bags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "c"))).alias("bag"))
-    keyed = listed.withColumn("key", F.sha2(F.to_json("bag"), 256))
-    classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bag").alias("bag"))
+    keyed = scratch.keep(listed.withColumn("key", F.sha2(F.to_json("bag"), 256)))
+    classes = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bag").alias("bag")))
     copies = keyed.select("id", "key").join(classes.select("key", "rep"), "key").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    total = lambda bag: F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
-    square = lambda bag: F.aggregate(bag, F.lit(0).cast("bigint"), lambda s, x: s + x["c"] * x["c"])
-    reps = classes.select("rep", "bag", total("bag").alias("n"), square("bag").alias("q"))
-    words = reps.select("rep", "n", "q", F.explode("bag").alias("x")).select("rep", "n", "q", "x.w", "x.c")
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    rare = F.lit(True) if max_df is None else F.col("df") <= max_df
-    ranked = words.join(df, "w")
-    before = Window.partitionBy("rep").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1)
-    # what stands from a token on is all that can be shared once no rarer one is
-    ranked = ranked.withColumns({"m": F.col("n") - F.coalesce(F.sum("c").over(before), F.lit(0)), "p": F.col("q") - F.coalesce(F.sum(F.col("c") * F.col("c")).over(before), F.lit(0))})
-    alone = (F.col("m") / F.col("n") + F.sqrt(F.col("p") / F.col("q"))) / 2
-    prefix = ranked.filter((alone >= least - 1e-9) & rare).select("w", "rep", "n", "q", "m", "p")
-    met = prefix.toDF("w", "a", "n_a", "q_a", "m_a", "p_a").join(prefix.toDF("w", "b", "n_b", "q_b", "m_b", "p_b"), "w").filter("a < b")
-    most = F.least("m_a", "m_b")
-    bound = (most / (F.col("n_a") + F.col("n_b") - most) + F.sqrt(F.col("p_a") / F.col("q_a") * (F.col("p_b") / F.col("q_b")))) / 2
-    pairs = met.filter(bound >= least - 1e-9).select("a", "b").distinct()
-    counted = words.select("rep", "w", "c")
-    shared = pairs.join(counted.toDF("a", "w", "ca"), "a").join(counted.toDF("b", "w", "cb"), ["b", "w"])
-    sums = shared.groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("m"), F.sum(F.col("ca") * F.col("cb")).alias("p"))
-    sizes = reps.select("rep", "n", "q")
-    both = sums.join(sizes.toDF("a", "n_a", "q_a"), "a").join(sizes.toDF("b", "n_b", "q_b"), "b")
-    scored = both.select("a", "b", ((F.col("m") / (F.col("n_a") + F.col("n_b") - F.col("m")) + F.col("p") / F.sqrt(F.col("q_a").cast("double") * F.col("q_b"))) / 2).alias("similarity"))
-    out = scored.filter(F.col("similarity") >= least).union(copies).withColumn("similarity", F.round("similarity", 6))
+    bag = F.col("bag")
+    if max_df is None:
+        bag = F.transform(bag, lambda x: F.struct(x["w"], x["c"], F.lit(True).alias("rare")))
+        flagged = classes.select("rep", bag.alias("bag"))
+    else:
+        words = classes.select("rep", F.explode("bag").alias("x")).select("rep", "x.w", "x.c")
+        df = words.groupBy("w").agg((F.count("*") <= max_df).alias("rare"))
+        flagged = words.join(df, "w").groupBy("rep").agg(F.collect_list(F.struct("w", "c", "rare")).alias("bag"))
+    total = lambda f: F.aggregate("bag", F.lit(0).cast("bigint"), lambda s, x: s + f(x["c"]))
+    reps = flagged.filter("rep IS NOT NULL").select("rep", total(lambda c: c).alias("n"), total(lambda c: c * c).alias("q"), F.col("bag.w").alias("tokens"), F.col("bag.c").alias("counts"), F.col("bag.rare").alias("rare"))
+    size = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / texts), math.ceil(size[1] / tokens))
+    placed = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    spread = placed.select("*", F.explode(met).alias("x")).select("x.i", "x.j", *placed.columns)
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = spread.groupBy("i", "j").applyInArrow(_compared(least), f"a {kind}, b {kind}, similarity double")
+    out = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").union(copies).withColumn("similarity", F.round("similarity", 6))
     return out if limit is None else out.orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 

@@ -186,6 +186,19 @@ def test_near_duplicate_texts(spark):
                 assert ((a, b) in got) == (s >= 0.5 - 1e-12), (a, b, s)
 
 
+def test_near_duplicates_in_blocks(spark):
+    """The same pairs from one block and from many; at a low threshold no pair is lost in between."""
+    rng = random.Random(4)
+    rows = [(f"t{i}", " ".join(rng.choices([f"w{k}" for k in range(9)] + ["the"] * 6, k=rng.randint(1, 20)))) for i in range(90)] + [("t", None), (None, "w1 the")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    one = sorted(text.near_duplicates(df, 0.1).collect())
+    assert one == sorted(text.near_duplicates(df, 0.1, texts=13).collect()) == sorted(text.near_duplicates(df, 0.1, tokens=50).collect())
+    assert len(one) > 3000 and all(r["a"] < r["b"] for r in one) and len({r[:2] for r in one}) == len(one)
+    few = text.near_duplicates(df, 0.1, max_df=5)
+    assert 0 < few.count() < len(one)
+    assert text.near_duplicates(df.limit(0), 0.1).collect() == []
+
+
 def test_vectors(spark):
     rng = random.Random(1)
     rows = [(str(i), [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [("zero", [0.0] * 8), ("short", [1.0]), ("none", None)] + [(f"same{i}", [1.0] * 8) for i in range(40)]
