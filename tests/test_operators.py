@@ -593,3 +593,27 @@ def test_unknown_predicates_raise(spark):
     empty = spark.createDataFrame([], "id string")
     with pytest.raises(ValueError, match="titel_contains"):
         work.filter_issues(empty, empty, empty, titel_contains="x")
+
+
+def test_closures_collect_no_large_frontier(spark, monkeypatch):
+    """Frontiers over SMALL rows are shuffled: the plans of a search broadcast none, and its rows are the same."""
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(150)], "src string, dst string")
+    start = spark.createDataFrame([("", "n1"), ("", "n2"), ("o", "n3")], "origin string, id string")
+    small = sorted(graph.bfs(start, edges, 50).collect())
+    plans, keep = [], graph.Scratch.keep
+
+    def noted(self, df, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, **options)
+
+    monkeypatch.setattr(graph, "SMALL", 0)
+    monkeypatch.setattr(graph.Scratch, "keep", noted)
+    assert sorted(graph.bfs(start, edges, 50).collect()) == small
+    assert len(plans) > 4 and not any("Broadcast" in plan for plan in plans)
+    plans.clear()
+    deps = edges.select(F.col("src").alias("issue_id"), F.col("dst").alias("depends_on_id"), F.lit("replies-to").alias("type"))
+    graph.message_thread(start.select("id"), deps).collect()
+    assert not any("Broadcast" in plan for plan in plans if "LeftAnti" not in plan)
+    # one anti-join for the roots, not one for each table of the closure
+    assert max(plan.count("LeftAnti") for plan in plans) <= 2
