@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..session import Scratch
 
@@ -23,13 +24,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b")
 
 
+def _numbered(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The edges over numbers, and (id, number) of their vertices; numbers rise with the ids."""
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    # sorted over ranges and within them; written, as the numbers hold for one placement of rows
+    named = scratch.keep(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("number", F.monotonically_increasing_id()))
+    for c in ("a", "b"):
+        edges = edges.join(named.toDF(c, f"n{c}").hint("merge"), c)
+    return edges.select(F.col("na").alias("a"), F.col("nb").alias("b")), named
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every vertex of an edge table (a, b); component is its least vertex.
 
     Rounds end when no edge changes, about the logarithm of the longest path. Only counts and
     checksums reach the driver. Self edges and repeated edges change nothing; no edges, no rows.
+    Vertices that are no numbers are numbered in their order first, so that rounds move and reduce numbers.
     """
-    now = scratch.keep(edges.select("a", "b").filter("a <> b").distinct())
+    now, named = edges.select("a", "b").filter("a <> b"), None
+    if edges.schema["a"].dataType != LongType():
+        now, named = _numbered(scratch.keep(now), scratch)
+    now = scratch.keep(now.distinct())
     said = None
     while True:
         after = scratch.keep(_small_star(_large_star(now).distinct()).distinct())
@@ -40,4 +55,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         said = seen
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    found = now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    if named is None:
+        return found
+    return found.join(named.toDF("name", "id").hint("merge"), "id").join(named.toDF("least", "component").hint("merge"), "component").select(F.col("name").alias("id"), F.col("least").alias("component"))

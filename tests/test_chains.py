@@ -2,7 +2,7 @@
 
 import random
 
-from quillgraph.operators import chains, graph
+from quillgraph.operators import chains, components, graph
 from quillgraph.session import Scratch
 
 EDGES = "src string, dst string"
@@ -89,6 +89,16 @@ def test_loop_of_a_chain_inside_a_component(spark):
     assert len(got) == 8 and {r["id"]: r["component"] for r in got} == plain_components(edges)
 
 
+def test_components_reduce_numbers(spark, monkeypatch):
+    """Rounds see numbers only, and the least id is that of the strings."""
+    seen, round_ = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: seen.append(edges.schema["a"].dataType.simpleString()) or round_(edges))
+    edges = [("n9", "n10"), ("n10", "n2"), ("n2", "n9"), ("b", "a"), ("a", "b"), ("c", "c"), ("z", "n9")]
+    got = components.components(spark.createDataFrame(edges, "a string, b string").repartition(3), Scratch(spark, "t")).collect()
+    assert sorted(map(tuple, got)) == [("a", "a"), ("b", "a"), ("n10", "n10"), ("n2", "n10"), ("n9", "n10"), ("z", "n10")]
+    assert set(seen) == {"bigint"}
+
+
 def test_parallelism(spark):
     members = spark.createDataFrame([("e", x) for x in "abcd"] + [("f", "a")], "epic string, id string")
     found = graph.waves(members, spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "c")], EDGES))
