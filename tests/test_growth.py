@@ -54,3 +54,19 @@ def test_closure_rounds_neither_sort_nor_shuffle_edges(spark, monkeypatch):
         assert sorted(graph.closure(start, edges, cap).collect()) == sorted((i, d) for i, d in depth.items() if d <= cap)
         assert len(plans) > cap % 50 and not any("SortMergeJoin" in plan or "Sort [" in plan for plan in plans)
     assert max(depth.values()) > 3
+
+
+def test_graph_queries_without_confidence_put_no_mention_in_order(spark, sf_dir, monkeypatch):
+    mentions = spark.createDataFrame([(n, t, o, i / 10, i, i) for i, (n, t, o) in enumerate([(" A", "x", "o"), ("a", "x", "o"), ("a", "y", "o"), (None, "x", None), ("b ", "x", None)])], "name string, type string, org_id string, confidence double, ts bigint, seq bigint")
+    want = sorted(graph.upsert_nodes(mentions).select("name", "type", "org_id", "mention_count").collect(), key=str)
+    links = spark.createDataFrame([("A", "B", "r", 0.5, 1, 1), ("a", "c", "r", 0.5, 1, 1), ("b", " a", "r", 0.5, 2, 2)], "source string, target string, relation string, confidence double, ts bigint, seq bigint")
+    edges = sorted(graph.ingest_graph(mentions, links)[1].collect())
+
+    def refuse(*_, **__):
+        raise AssertionError("a fold")
+
+    monkeypatch.setattr(graph, "capped_fold", refuse)
+    nodes, same = graph.ingest_graph(mentions, links, confidence=False)
+    assert sorted(nodes.collect(), key=str) == want and sorted(same.collect()) == edges and len(edges) == 2
+    for name in ("G10_traverse_graph", "G11_graph_context"):
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0
