@@ -71,11 +71,11 @@ def blocked_issues(issues: DataFrame, deps: DataFrame, parent: str | None = None
     on = active(issues)
     targets = deps.filter(F.col("type").isin(*BLOCKING, "waits-for")).select("issue_id", "depends_on_id")
     targets = targets.join(on.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi")
-    blocked = blocked_ids(issues, deps)
+    blocked = Scratch(prepare(issues.sparkSession), "blocked").keep(blocked_ids(issues, deps))
     own = targets.join(blocked.withColumnRenamed("id", "issue_id"), "issue_id", "left_semi").select("issue_id", "depends_on_id")
     below = deps.filter("type = 'parent-child'").select("issue_id", "depends_on_id")
     below = below.join(blocked.select(F.col("id").alias("depends_on_id")), "depends_on_id", "left_semi").join(blocked.select(F.col("id").alias("issue_id")), "issue_id", "left_anti")
-    by = own.union(below.select("issue_id", "depends_on_id")).groupBy("issue_id").agg(F.array_sort(F.collect_set("depends_on_id")).alias("blocked_by"))
+    by = own.union(below.select("issue_id", "depends_on_id")).groupBy("issue_id").agg(F.sort_array(F.collect_set("depends_on_id")).alias("blocked_by"))
     if parent is not None:
         on = on.join(deps.filter((F.col("type") == "parent-child") & (F.col("depends_on_id") == parent)).select(F.col("issue_id").alias("id")), "id", "left_semi")
     return on.join(by.withColumnRenamed("issue_id", "id"), "id").select("id", "priority", "created_at", "blocked_by").orderBy("priority", F.desc("created_at"), "id")
@@ -85,7 +85,8 @@ def ready_work(issues: DataFrame, deps: DataFrame, now: dt.datetime, where: Colu
     """Open work that nothing blocks or defers, one level of parents included."""
     later = F.coalesce(F.col("defer_until") > F.lit(now), F.lit(False))
     open_work = issues.filter(F.col("status").isin("open", "in_progress") & ~flag("pinned") & ~flag("ephemeral") & ~F.col("issue_type").isin(*NOT_WORK) & ~later)
-    blocked, deferred = blocked_ids(issues, deps), issues.filter(later).select("id")
+    blocked = Scratch(prepare(issues.sparkSession), "blocked").keep(blocked_ids(issues, deps))
+    deferred = issues.filter(later).select("id")
     held = blocked.union(children_of(deps, blocked.union(deferred))).distinct()
     out = open_work.join(held, "id", "left_anti")
     return out.filter(where) if where is not None else out
@@ -135,9 +136,14 @@ def ready_explanation(issues: DataFrame, deps: DataFrame, now: dt.datetime) -> D
 
 def ready_items(issues: DataFrame, deps: DataFrame, now: dt.datetime) -> DataFrame:
     """(id, reason, resolved_blockers, dependencies, dependents, parent) of ready work: what it once waited for, and its counts of blocks edges."""
-    waited = deps.filter(F.col("type").isin(*BLOCKING, "waits-for")).groupBy(F.col("issue_id").alias("id")).agg(F.array_sort(F.collect_set("depends_on_id")).alias("resolved"))
-    parents = deps.filter("type = 'parent-child'").groupBy(F.col("issue_id").alias("id")).agg(F.min("depends_on_id").alias("parent"))
-    rows = ready_work(issues, deps, now).select("id").join(waited, "id", "left").join(dependency_counts(deps), "id", "left").join(parents, "id", "left")
+    kind = F.col("type")
+    # one pass by issue and one by target, not one for each column
+    own = deps.filter(kind.isin(*BLOCKING, "waits-for", "parent-child")).groupBy(F.col("issue_id").alias("id")).agg(
+        F.sort_array(F.collect_set(F.when(kind.isin(*BLOCKING, "waits-for"), F.col("depends_on_id")))).alias("resolved"),
+        F.count_if(kind == "blocks").alias("dependencies"), F.min(F.when(kind == "parent-child", F.col("depends_on_id"))).alias("parent"),
+    )
+    into = deps.filter("type = 'blocks'").groupBy(F.col("depends_on_id").alias("id")).agg(F.count("*").alias("dependents"))
+    rows = ready_work(issues, deps, now).select("id").join(own, "id", "left").join(into, "id", "left")
     resolved = F.coalesce("resolved", F.array().cast("array<string>"))
     reason = F.when(F.size(resolved) > 0, F.concat(F.size(resolved).cast("string"), F.lit(" blocker(s) resolved"))).otherwise("no blocking dependencies")
     count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -149,7 +155,7 @@ def blocked_items(issues: DataFrame, deps: DataFrame) -> DataFrame:
     by = blocked_issues(issues, deps).select("id", F.explode("blocked_by").alias("by"))
     details = issues.select(F.col("id").alias("by"), "title", "status", "priority")
     one = F.struct(F.col("by").alias("id"), "title", "status", "priority")
-    return by.join(details, "by", "left").groupBy("id").agg(F.count("*").alias("n_blockers"), F.array_sort(F.collect_list(one)).alias("blockers"))
+    return by.join(details, "by", "left").groupBy("id").agg(F.count("*").alias("n_blockers"), F.sort_array(F.collect_list(one)).alias("blockers"))
 
 
 def explanation_summary(ready: DataFrame, blocked: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -276,8 +282,8 @@ def blocking_info(issues: DataFrame, deps: DataFrame) -> DataFrame:
     on = issues.filter("status <> 'closed'").select("id")
     edges = deps.filter("type = 'blocks'").select("issue_id", "depends_on_id")
     edges = edges.join(on.withColumnRenamed("id", "depends_on_id"), "depends_on_id", "left_semi")
-    by = edges.groupBy(F.col("issue_id").alias("id")).agg(F.array_sort(F.collect_set("depends_on_id")).alias("blocked_by"))
-    to = edges.groupBy(F.col("depends_on_id").alias("id")).agg(F.array_sort(F.collect_set("issue_id")).alias("blocks"))
+    by = edges.groupBy(F.col("issue_id").alias("id")).agg(F.sort_array(F.collect_set("depends_on_id")).alias("blocked_by"))
+    to = edges.groupBy(F.col("depends_on_id").alias("id")).agg(F.sort_array(F.collect_set("issue_id")).alias("blocks"))
     parent = deps.filter("type = 'parent-child'").groupBy(F.col("issue_id").alias("id")).agg(F.min("depends_on_id").alias("parent"))
     return by.join(to, "id", "full").join(parent, "id", "full")
 
@@ -485,7 +491,7 @@ def stale_molecules(issues: DataFrame, deps: DataFrame, blocking_only: bool = Fa
     if unassigned_only:
         closable = closable.filter(F.coalesce("assignee", F.lit("")) == "")
     held = blocked_issues(issues, deps).select(F.col("id").alias("held"), F.explode("blocked_by").alias("id"))
-    blocking = held.groupBy("id").agg(F.array_sort(F.collect_set("held")).alias("blocking"))
+    blocking = held.groupBy("id").agg(F.sort_array(F.collect_set("held")).alias("blocking"))
     rows = closable.join(blocking, "id", "inner" if blocking_only else "left").withColumn("blocking", F.coalesce("blocking", F.array().cast("array<string>")))
     return rows.select("id", "title", "assignee", "total", "closed", "blocking", F.size("blocking").cast("bigint").alias("n_blocking"))
 
@@ -498,7 +504,8 @@ def merge_duplicates(issues: DataFrame, deps: DataFrame, fields: Sequence[str])
     weight = 3 * F.coalesce("dependents", F.lit(0)) + F.coalesce("dependencies", F.lit(0))
     # one row a group, by partial aggregation; nulls are equal
     best = F.min(F.struct((-weight).alias("w"), (-F.coalesce("refs", F.lit(0))).alias("r"), "id"))["id"]
-    groups = rows.groupBy(*(F.col(f).alias(f"_{f}") for f in fields)).agg(best.alias("target"), F.count("*").alias("n")).filter("n > 1")
+    # and a number first, as long texts compare slowly in the sort that a least struct takes
+    groups = rows.groupBy(F.xxhash64(*fields).alias("_place"), *(F.col(f).alias(f"_{f}") for f in fields)).agg(best.alias("target"), F.count("*").alias("n")).filter("n > 1")
     same = reduce(and_, (F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields))
     return issues.join(groups, same).filter("id <> target").select("id", "target")
 
@@ -531,7 +538,8 @@ def apply_merge(issues: DataFrame, deps: DataFrame, plan: DataFrame) -> tuple[Da
     stay = rows.filter(~F.coalesce(moves, F.lit(False))).select("issue_id", "depends_on_id", F.lit(0).alias("rank"), *names)
     moved = rows.filter(moves & (F.col("issue_id") != F.col("target"))).select("issue_id", F.col("target").alias("depends_on_id"), F.lit(1), *names)
     related = known.select(F.col("id").alias("issue_id"), F.col("target").alias("depends_on_id"), F.lit(2), *(F.lit("related" if c == "type" else None).cast(deps.schema[c].dataType).alias(c) for c in names))
-    links = stay.union(moved).union(related).groupBy("issue_id", "depends_on_id").agg(F.min(F.struct("rank", *names)).alias("one")).select("issue_id", "depends_on_id", *(F.col(f"one.{c}").alias(c) for c in names))
+    # shuffled as they are and sorted once: links hardly ever meet, so reducing them before would sort all of them for nothing
+    links = stay.union(moved).union(related).repartition("issue_id", "depends_on_id").groupBy("issue_id", "depends_on_id").agg(F.min(F.struct("rank", *names)).alias("one")).select("issue_id", "depends_on_id", *(F.col(f"one.{c}").alias(c) for c in names))
     merged = issues.join(known, "id", "left")
     gone = F.col("target").isNotNull()
     reason = F.when(gone, F.concat(F.lit("Duplicate of "), "target")).otherwise(F.col("close_reason") if "close_reason" in issues.columns else F.lit(None).cast("string"))
@@ -687,7 +695,7 @@ def live_state(events: DataFrame) -> DataFrame:
     added = events.filter(of("label_added")).groupBy("issue_id", dimension.alias("dimension")).agg(F.max(F.struct("at", "new_value")).alias("newest"))
     removed = events.filter(of("label_removed")).groupBy("issue_id", F.col("new_value").alias("label")).agg(F.max("at").alias("gone"))
     standing = added.select("issue_id", F.col("newest.new_value").alias("label"), F.col("newest.at").alias("at")).join(removed, ["issue_id", "label"], "left").filter("gone IS NULL OR gone < at")
-    labels = standing.groupBy("issue_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+    labels = standing.groupBy("issue_id").agg(F.sort_array(F.collect_list("label")).alias("labels"))
     none = F.array().cast("array<string>")
     return status.join(labels, "issue_id", "left").select("issue_id", "status", "n", F.coalesce("labels", none).alias("labels"))
 

@@ -37,7 +37,7 @@ def joined(column):
 
 @query("G1_blocked_ids", f"WITH {BLOCKED} SELECT id FROM blocked")
 def _(t):
-    return work.blocked_ids(t.issues, t.deps)
+    return work.blocked_ids(t.issues, t.kept("deps"))
 
 
 @query("G2_blocked_issues", f"""WITH {BLOCKED},
@@ -45,7 +45,7 @@ own AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked
 below AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.depends_on_id = b.id WHERE d.type = 'parent-child' AND d.issue_id NOT IN (SELECT id FROM blocked))
 SELECT a.id, a.priority, string_agg(DISTINCT x.by, ',' ORDER BY x.by) AS blocked_by FROM (SELECT * FROM own UNION ALL SELECT * FROM below) x JOIN act a USING (id) GROUP BY a.id, a.priority""")
 def _(t):
-    return work.blocked_issues(t.issues, t.deps).select("id", "priority", joined("blocked_by").alias("blocked_by"))
+    return work.blocked_issues(t.issues, t.kept("deps")).select("id", "priority", joined("blocked_by").alias("blocked_by"))
 
 
 HOLDING = """own AS (SELECT d.issue_id AS id, d.depends_on_id AS by FROM deps d JOIN blocked b ON d.issue_id = b.id JOIN act a ON d.depends_on_id = a.id WHERE d.type IN ('blocks', 'conditional-blocks', 'waits-for')),
@@ -56,12 +56,12 @@ HELD = f"{BLOCKED}, {HOLDING}"
 
 @query("G2_blocked_issues_of_parent", f"WITH {HELD} SELECT id, string_agg(blocker, ',' ORDER BY blocker) AS blocked_by FROM holding WHERE id IN (SELECT issue_id FROM deps WHERE type = 'parent-child' AND depends_on_id = 'bd-10') GROUP BY 1")
 def _(t):
-    return work.blocked_issues(t.issues, t.deps, parent="bd-10").select("id", joined("blocked_by").alias("blocked_by"))
+    return work.blocked_issues(t.issues, t.kept("deps"), parent="bd-10").select("id", joined("blocked_by").alias("blocked_by"))
 
 
 @query("G3_ready_work", f"WITH {READY} SELECT id, title, priority, status FROM ready")
 def _(t):
-    return work.ready_work(t.issues, t.deps, NOW).orderBy(*work.ready_order("hybrid", NOW)).select("id", "title", "priority", "status")
+    return work.ready_work(t.issues, t.kept("deps"), NOW).orderBy(*work.ready_order("hybrid", NOW)).select("id", "title", "priority", "status")
 
 
 @query("G5_blocked_view", f"""WITH act AS (SELECT id FROM issues WHERE status NOT IN ('closed', 'pinned', 'deferred'))
@@ -77,7 +77,7 @@ SELECT i.id, i.id IN (SELECT id FROM ready) AS ready, coalesce(r, 0) AS n_resolv
   CASE WHEN i.id NOT IN (SELECT id FROM ready) THEN 'blocked by ' || coalesce(b, 0) || ' issue(s)' WHEN coalesce(r, 0) > 0 THEN r || ' blocker(s) resolved' ELSE 'no blocking dependencies' END AS reason, parent
 FROM issues i LEFT JOIN counts USING (id) LEFT JOIN parents USING (id) WHERE status IN ('open', 'in_progress')""")
 def _(t):
-    return work.ready_explanation(t.issues, t.deps, NOW)
+    return work.ready_explanation(t.issues, t.kept("deps"), NOW)
 
 
 @query("G6_ready_items", f"""WITH {READY},
@@ -87,13 +87,13 @@ SELECT r.id, CASE WHEN n > 0 THEN n || ' blocker(s) resolved' ELSE 'no blocking
   (SELECT count(*) FROM deps d WHERE d.type = 'blocks' AND d.issue_id = r.id) AS dependencies, (SELECT count(*) FROM deps d WHERE d.type = 'blocks' AND d.depends_on_id = r.id) AS dependents, parent
 FROM ready r LEFT JOIN waited USING (id) LEFT JOIN parents USING (id)""")
 def _(t):
-    return work.ready_items(t.issues, t.deps, NOW).withColumn("resolved_blockers", joined("resolved_blockers"))
+    return work.ready_items(t.issues, t.kept("deps"), NOW).withColumn("resolved_blockers", joined("resolved_blockers"))
 
 
 @query("G6_blocked_items", f"""WITH {HELD} SELECT h.id, count(*) AS n_blockers, string_agg(concat_ws('|', h.blocker, i.title, i.status, CAST(i.priority AS VARCHAR)), chr(10) ORDER BY h.blocker) AS blockers FROM holding h LEFT JOIN issues i ON i.id = h.blocker GROUP BY 1""")
 def _(t):
     line = lambda b: F.concat_ws("|", b["id"], b["title"], b["status"], b["priority"].cast("string"))
-    return work.blocked_items(t.issues, t.deps).withColumn("blockers", F.array_join(F.transform("blockers", line), "\n"))
+    return work.blocked_items(t.issues, t.kept("deps")).withColumn("blockers", F.array_join(F.transform("blockers", line), "\n"))
 
 
 @query("G15_swarm_status", """WITH ch AS (SELECT d.depends_on_id AS epic, i.id, i.status FROM deps d JOIN issues e ON d.depends_on_id = e.id AND e.issue_type = 'epic' JOIN issues i ON d.issue_id = i.id WHERE d.type = 'parent-child'),
@@ -103,7 +103,7 @@ SELECT epic, count(*) AS total, count(*) FILTER (status = 'closed') AS completed
   round(100.0::DOUBLE * count(*) FILTER (status = 'closed') / count(*), 6) AS percent
 FROM ch LEFT JOIN w USING (epic, id) GROUP BY epic""")
 def _(t):
-    return work.swarm_status(t.issues, t.deps)
+    return work.swarm_status(t.issues, t.kept("deps"))
 
 
 EPICS = """SELECT d.depends_on_id AS id, count(*) AS total, count(*) FILTER (i.status = 'closed') AS closed, count(*) = count(*) FILTER (i.status = 'closed') AS eligible
@@ -120,17 +120,17 @@ STALE = """SELECT e.id, i.title, i.assignee, e.total, e.closed, coalesce(string_
 
 @query("G24_stale_molecules", f"WITH {HELD}, e AS ({EPICS}) {STALE}")
 def _(t):
-    return work.stale_molecules(t.issues, t.deps).withColumn("blocking", joined("blocking"))
+    return work.stale_molecules(t.issues, t.kept("deps")).withColumn("blocking", joined("blocking"))
 
 
 @query("G24_stale_unassigned", f"WITH {HELD}, e AS ({EPICS}) SELECT * FROM ({STALE}) WHERE assignee = ''")
 def _(t):
-    return work.stale_molecules(t.issues, t.deps, unassigned_only=True).withColumn("blocking", joined("blocking"))
+    return work.stale_molecules(t.issues, t.kept("deps"), unassigned_only=True).withColumn("blocking", joined("blocking"))
 
 
 @query("G24_stale_blocking", f"WITH {HELD}, e AS ({EPICS}) SELECT * FROM ({STALE}) WHERE n_blocking > 0")
 def _(t):
-    return work.stale_molecules(t.issues, t.deps, blocking_only=True).withColumn("blocking", joined("blocking"))
+    return work.stale_molecules(t.issues, t.kept("deps"), blocking_only=True).withColumn("blocking", joined("blocking"))
 
 
 @query("G25_merge_duplicates", r"""WITH d1 AS (SELECT issue_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1), d2 AS (SELECT depends_on_id AS id, count(*) AS n FROM deps WHERE type = 'blocks' GROUP BY 1),
@@ -149,7 +149,7 @@ plan AS (SELECT id, target FROM (SELECT i.id, first_value(i.id) OVER (PARTITION
 
 
 def merged(t):
-    return work.apply_merge(t.issues, t.deps, work.merge_duplicates(t.issues, t.deps, ["title", "status", "priority"]))
+    return work.apply_merge(t.issues, t.kept("deps"), work.merge_duplicates(t.issues, t.kept("deps"), ["title", "status", "priority"]))
 
 
 @query("G25_merged_dependencies", f"""WITH {MERGE}, x AS (SELECT d.issue_id, d.depends_on_id, d.type, 0 AS rank FROM deps d WHERE NOT (d.type = 'parent-child' AND d.depends_on_id IN (SELECT id FROM plan))
@@ -214,7 +214,7 @@ def _(t):
 
 @query("W4_ready_order", f"WITH {READY} SELECT id, created_at FROM ready ORDER BY created_at, id")
 def _(t):
-    return work.ready_work(t.issues, t.deps, NOW).orderBy(*work.ready_order("oldest", NOW)).select("id", "created_at")
+    return work.ready_work(t.issues, t.kept("deps"), NOW).orderBy(*work.ready_order("oldest", NOW)).select("id", "created_at")
 
 
 @query("W5_sort_issues", "SELECT id, closed_at FROM issues ORDER BY closed_at DESC NULLS LAST, id LIMIT 500")
@@ -295,7 +295,7 @@ def _(t):
 @query("J13_children_of_blocked", f"WITH {BLOCKED} SELECT DISTINCT issue_id AS id FROM deps WHERE type = 'parent-child' AND depends_on_id IN (SELECT id FROM blocked UNION SELECT id FROM issues WHERE defer_until > {T})")
 def _(t):
     deferred = t.issues.filter(F.col("defer_until") > F.lit(NOW)).select("id")
-    return work.children_of(t.deps, work.blocked_ids(t.issues, t.deps).union(deferred))
+    return work.children_of(t.kept("deps"), work.blocked_ids(t.issues, t.kept("deps")).union(deferred))
 
 
 AS_OF = "SELECT id, commit_date, title, status, priority, description FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY commit_date DESC, seq DESC, title DESC, status DESC, priority DESC, description DESC) AS rn FROM history WHERE commit_date <= TIMESTAMP '{} 00:00:00') WHERE rn = 1"
@@ -343,12 +343,12 @@ STATS = """count(*) AS total, count(*) FILTER (status = 'open') AS open, count(*
 
 @query("A3_issue_statistics", f"WITH {BLOCKED}, e AS ({EPICS}) SELECT {STATS} FROM issues i LEFT JOIN blocked b ON i.id = b.id LEFT JOIN e ON e.id = i.id AND e.eligible")
 def _(t):
-    return work.issue_statistics(t.issues, t.deps)
+    return work.issue_statistics(t.issues, t.kept("deps"))
 
 
 @query("A4_assignee_statistics", f"WITH {BLOCKED}, e AS ({EPICS}) SELECT assignee, {STATS} FROM issues i LEFT JOIN blocked b ON i.id = b.id LEFT JOIN e ON e.id = i.id AND e.eligible GROUP BY assignee")
 def _(t):
-    return work.issue_statistics(t.issues, t.deps, "assignee")
+    return work.issue_statistics(t.issues, t.kept("deps"), "assignee")
 
 
 for dim, expr in {"status": "status", "priority": "concat('P', CAST(priority AS STRING))", "type": "issue_type", "assignee": "CASE WHEN assignee = '' THEN '(unassigned)' ELSE assignee END"}.items():
@@ -422,8 +422,8 @@ def _(t):
 
 @query("U5_ready_ids", f"WITH {BLOCKED}, kids2 AS (SELECT issue_id FROM deps WHERE type = 'parent-child' AND depends_on_id IN (SELECT id FROM blocked)) SELECT id FROM issues WHERE status = 'open' AND id NOT IN (SELECT id FROM blocked) AND id NOT IN (SELECT issue_id FROM kids2)")
 def _(t):
-    blocked = work.blocked_ids(t.issues, t.deps)
-    return t.issues.filter("status = 'open'").select("id").join(blocked, "id", "left_anti").join(work.children_of(t.deps, blocked), "id", "left_anti")
+    blocked = work.blocked_ids(t.issues, t.kept("deps"))
+    return t.issues.filter("status = 'open'").select("id").join(blocked, "id", "left_anti").join(work.children_of(t.kept("deps"), blocked), "id", "left_anti")
 
 
 @query("M15_promote_ephemeral", "SELECT id, CASE WHEN ephemeral AND priority = 2 THEN false ELSE ephemeral END AS ephemeral FROM issues")
