@@ -582,7 +582,9 @@ def promote(ids: DataFrame, permanent: dict[str, DataFrame], ephemeral: dict[str
         if name not in ephemeral:
             continue
         of_them = known.select(F.col("id").alias(owner))
-        moved = ephemeral[name].join(of_them, owner, "left_semi").dropDuplicates(list(key)).join(permanent[name].select(*key), list(key), "left_anti")
+        # only rows of the issues that move can be there already; all others need not be sorted by the whole key
+        there = permanent[name].join(of_them, owner, "left_semi").select(*key)
+        moved = ephemeral[name].join(of_them, owner, "left_semi").dropDuplicates(list(key)).join(there, list(key), "left_anti")
         if name == "issues":
             moved = moved.withColumn("ephemeral", F.lit(False))
         after[name] = permanent[name].unionByName(moved)

@@ -441,7 +441,8 @@ PROMOTED = {
 def promoted(t, name):
     """The permanent side of a table after the ephemeral issues of priority 2 were promoted."""
     wisps = t.issues.filter("ephemeral").select(F.col("id").alias("issue_id"))
-    of = {"labels": t.issue_labels, "dependencies": t.deps, "events": t.issue_events.drop("ephemeral"), "comments": t.comments}
+    source = {"labels": "issue_labels", "dependencies": "deps", "events": "issue_events", "comments": "comments"}
+    of = {name: t.kept(source[name]).drop("ephemeral")} if name in source else {}
     sides = [{"issues": t.issues.filter(test)} | {n: df.join(wisps, "issue_id", how) for n, df in of.items()} for test, how in (("NOT ephemeral", "left_anti"), ("ephemeral", "left_semi"))]
     return work.promote(t.issues.filter("priority = 2"), *sides)[0][name]
 

@@ -1,13 +1,16 @@
 """Plans that must not grow faster than the input, and the rows they must give all the same."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph
+from quillgraph.operators import folds, graph, work
 from quillgraph.plans import catalog, fixtures
 from quillgraph.plans.registry import Tables
 from quillgraph.session import Scratch
+from quillgraph.sources import tables
 
 
 def plan_of(df) -> str:
@@ -26,15 +29,17 @@ def noted_plans(monkeypatch) -> list[str]:
     return plans
 
 
-def test_deps_group_numbers_and_give_the_rows_of_the_view(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("name", ["deps", "issue_labels"])
+def test_fixtures_group_numbers_and_give_the_rows_of_their_view(name, spark, sf_dir):
     t = Tables(spark, sf_dir)
-    assert "SortAggregate" not in plan_of(t.deps)
+    plan = plan_of(getattr(t, name))
+    assert "SortAggregate" not in plan and "HashAggregate(keys=[issue_id" not in plan
     odd = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(500)
-    for c in ("l_partkey", "l_suppkey", "l_linenumber"):
+    for c in ("l_partkey", "l_suppkey", "l_linenumber", "l_orderkey", "l_returnflag", "l_linestatus"):
         odd = odd.union(odd.limit(40).withColumn(c, F.lit(None).cast(odd.schema[c].dataType)))
     t.lineitem = t.lineitem.union(odd.withColumn("l_suppkey", F.col("l_suppkey") + 1)).localCheckpoint()
-    got = sorted(t.deps.collect(), key=str)
-    text = fixtures.VIEWS["deps"].replace("FROM lineitem", "FROM {lineitem}").replace("'{\"", "'{{\"").replace("}'", "}}'")
+    got = sorted(getattr(t, name).collect(), key=str)
+    text = fixtures.VIEWS[name].replace("FROM lineitem", "FROM {lineitem}").replace("'{\"", "'{{\"").replace("}'", "}}'")
     assert got == sorted(spark.sql(text, lineitem=t.lineitem).collect(), key=str)
 
 
@@ -70,3 +75,46 @@ def test_graph_queries_without_confidence_put_no_mention_in_order(spark, sf_dir,
     assert sorted(nodes.collect(), key=str) == want and sorted(same.collect()) == edges and len(edges) == 2
     for name in ("G10_traverse_graph", "G11_graph_context"):
         assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("name", ["G12_waves", "G13_layers", "G25_merged_dependencies", "G6_ready_items", "G6_blocked_items", "M15_promoted_labels", "M15_promoted_dependencies"])
+def test_dependencies_are_derived_once_a_query(name, spark, sf_dir, monkeypatch):
+    plans = noted_plans(monkeypatch)
+    plans.append(plan_of(catalog.QUERIES[name](spark, sf_dir)))
+    assert sum(len(re.findall(r"FileScan parquet \[l_", plan)) for plan in plans) == 1
+
+
+def test_merged_links_are_sorted_once(spark):
+    issues = spark.createDataFrame([(i, "t", "open", 1, "") for i in "abc"], "id string, title string, status string, priority int, description string")
+    deps = spark.createDataFrame([("c", "b", "blocks", ""), ("c", "b", "related", ""), ("a", "c", "parent-child", "")], "issue_id string, depends_on_id string, type string, metadata string")
+    plan = spark.createDataFrame([("b", "a"), ("c", "a")], "id string, target string")
+    links = work.apply_merge(issues, deps, plan)[1]
+    assert "REPARTITION_BY_COL" in plan_of(links)
+    assert sorted(links.select("issue_id", "depends_on_id", "type").collect()) == [("b", "a", "related"), ("c", "a", "related"), ("c", "b", "blocks")]
+
+
+def test_export_reads_dependencies_from_one_table(spark, sf_dir, monkeypatch):
+    plans, export = [], tables.export_issues
+    monkeypatch.setattr(tables, "export_issues", lambda rows, path: (plans.append(plan_of(rows)), export(rows, path))[1])
+    read = []
+    monkeypatch.setattr(type(spark.read), "schema", lambda self, s, was=type(spark.read).schema: (read.append(s), was(self, s))[1])
+    found = catalog.QUERIES["S5_export_issues_jsonl"](spark, sf_dir)
+    # labels alone are derived in the export; what was written is not read to find its columns
+    assert len(re.findall(r"FileScan parquet \[l_", plans[0])) == 1 and any("labels array<string>" in str(s) for s in read)
+    assert dict(found.dtypes)["dependency_count"] == "bigint"
+
+
+def test_fold_sorts_by_a_number_and_stands_shared_numbers(spark, monkeypatch):
+    rng = random.Random(16)
+    rows = [(rng.choice(["a", "b", None]), i, rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "name string, ts bigint, c double").repartition(5)
+    want = {}
+    for name, _, c in rows:
+        n, at = want.get(name, (0, None))
+        want[name] = (n + 1, c if at is None else min(1.0, 0.8 * at + 0.2 * c + 0.05))
+    plans = noted_plans(monkeypatch)
+    for number in (F.xxhash64, lambda *_: F.lit(7)):
+        monkeypatch.setattr(folds.F, "xxhash64", number)
+        got = {r["name"]: (r["n"], r["confidence"]) for r in folds.capped_fold(df, ["name"], ["ts"], "c", 0.8, 0.2, 0.05, bits=2).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - at) < 1e-9 for k, (n, at) in want.items())
+        assert any("Sort [place" in plan or "Sort [7" in plan for plan in plans)
