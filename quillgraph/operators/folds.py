@@ -21,11 +21,13 @@ def in_runs(rows: DataFrame, key: Sequence[str], order: Sequence[str], value: st
     """(key, piece, steps): rows in order in runs of at most 2 ** bits; pieces rise with the order.
 
     Rows of equal order go by value. The table is written, as the numbers hold for one placement of rows.
+    Rows are sorted by a number that stands for the key, as long texts compare slowly; should two keys share
+    one, their rows lie among each other, each key's own still in order.
     """
-    sort = [*key, *order, "v"]
-    flat = rows.select(*key, *order, F.col(value).cast("double").alias("v"))
+    sort = ["place", *order, "v"]
+    flat = rows.select(*key, *order, F.col(value).cast("double").alias("v"), F.xxhash64(*key).alias("place"))
     placed = flat.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("piece", F.shiftright(F.monotonically_increasing_id(), bits))
-    return scratch.keep(placed.groupBy(*key, "piece").agg(F.array_sort(F.collect_list(F.struct(*order, "v"))).alias("steps")))
+    return scratch.keep(placed.groupBy(*key, "piece").agg(F.sort_array(F.collect_list(F.struct(*order, "v"))).alias("steps")))
 
 
 def after(s: Column, a: Column, b: Column, m: Column) -> Column:
@@ -44,7 +46,7 @@ def _nothing() -> Column:
 def pieces_of(level: DataFrame, key: Sequence[str], up: Column | None = None) -> DataFrame:
     """(key, up, pieces): the pieces of a level in order, in one list for each value of up."""
     groups = [*key] if up is None else [*key, up.alias("up")]
-    return level.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("piece", "n", "first", "all", "rest"))).alias("pieces"))
+    return level.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("piece", "n", "first", "all", "rest"))).alias("pieces"))
 
 
 def parent(bits: int = BITS) -> Column:
