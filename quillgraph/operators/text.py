@@ -117,7 +117,8 @@ def _compared(least: float):
             at = theirs[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
             other, here, there = owner[at], np.repeat(counts[mine], many), counts[at]
             m, p, met = (np.bincount(other, w, len(block)) for w in (np.minimum(here, there), here * there, rare[at]))
-            to = np.flatnonzero(met)
+            # texts of the same tokens pair whether or not one of these is rare
+            to = np.flatnonzero((met > 0) | (m == n[row]) & (n == n[row]))
             to = to[to > row] if i == j else to
             score = (m[to] / (n[row] + n[to] - m[to]) + p[to] / np.sqrt(q[row] * q[to])) / 2
             near = score >= least
@@ -132,38 +133,32 @@ def _compared(least: float):
 def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = None, max_df: int | None = None, texts: int = BLOCK_TEXTS, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(a, b, similarity): pairs of texts (id, text) whose mean of multiset Jaccard and count cosine is at least `least`.
 
-    Texts of the same tokens are one class, compared once; its members pair with their least id. At low
-    thresholds nearly every pair that shares a frequent token could be near, so no pair is filtered
-    beforehand: texts fall into blocks, and a task has two of them, one indexed by token, and sums up what
-    each text of the other shares with it. Work is quadratic in the number of texts, a task's memory is
-    that of two blocks and their near pairs. With max_df, tokens in more texts than that bring no pairs
-    together (they still count), which may lose pairs.
+    Every pair counts, those of texts with the same tokens too. At low thresholds nearly every pair that
+    shares a frequent token could be near, so no pair is filtered beforehand: texts fall into blocks, and
+    a task has two of them, one indexed by token, and sums up what each text of the other shares with it.
+    Work is quadratic in the number of texts, a task's memory is that of two blocks and their near pairs.
+    With max_df, tokens in more texts than that bring no different texts together (they still count),
+    which may lose pairs.
     """
     scratch = Scratch(prepare(rows.sparkSession), "near")
     pieces = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"), lambda w: F.octet_length(w) > 1)
-    bags = rows.select("id", F.explode(pieces).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
-    listed = bags.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "c"))).alias("bag"))
-    keyed = scratch.keep(listed.withColumn("key", F.sha2(F.to_json("bag"), 256)))
-    classes = scratch.keep(keyed.groupBy("key").agg(F.min("id").alias("rep"), F.any_value("bag").alias("bag")))
-    copies = keyed.select("id", "key").join(classes.select("key", "rep"), "key").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    bag = F.col("bag")
+    bags = rows.filter("id IS NOT NULL").select("id", F.explode(pieces).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
     if max_df is None:
-        bag = F.transform(bag, lambda x: F.struct(x["w"], x["c"], F.lit(True).alias("rare")))
-        flagged = classes.select("rep", bag.alias("bag"))
+        flagged = bags.withColumn("rare", F.lit(True))
     else:
-        words = classes.select("rep", F.explode("bag").alias("x")).select("rep", "x.w", "x.c")
-        df = words.groupBy("w").agg((F.count("*") <= max_df).alias("rare"))
-        flagged = words.join(df, "w").groupBy("rep").agg(F.collect_list(F.struct("w", "c", "rare")).alias("bag"))
+        bags = scratch.keep(bags)
+        flagged = bags.join(bags.groupBy("w").agg((F.count("*") <= max_df).alias("rare")), "w")
+    listed = scratch.keep(flagged.groupBy("id").agg(F.collect_list(F.struct("w", "c", "rare")).alias("bag")))
     total = lambda f: F.aggregate("bag", F.lit(0).cast("bigint"), lambda s, x: s + f(x["c"]))
-    reps = flagged.filter("rep IS NOT NULL").select("rep", total(lambda c: c).alias("n"), total(lambda c: c * c).alias("q"), F.col("bag.w").alias("tokens"), F.col("bag.c").alias("counts"), F.col("bag.rare").alias("rare"))
-    size = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
+    reps = listed.select(F.col("id").alias("rep"), total(lambda c: c).alias("n"), total(lambda c: c * c).alias("q"), F.col("bag.w").alias("tokens"), F.col("bag.c").alias("counts"), F.col("bag.rare").alias("rare"))
+    size = listed.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
     blocks = max(1, math.ceil(size[0] / texts), math.ceil(size[1] / tokens))
     placed = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     spread = placed.select("*", F.explode(met).alias("x")).select("x.i", "x.j", *placed.columns)
     kind = rows.schema["id"].dataType.simpleString()
     scored = spread.groupBy("i", "j").applyInArrow(_compared(least), f"a {kind}, b {kind}, similarity double")
-    out = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").union(copies).withColumn("similarity", F.round("similarity", 6))
+    out = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 6).alias("similarity"))
     return out if limit is None else out.orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 

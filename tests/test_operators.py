@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.filters import glob_regex, metadata_filter, relative_time
 from quillgraph.operators import analytics, conversation, graph, memory, retrieval, text, work
+from quillgraph.plans import text_queries
 from quillgraph.sources import tables
 from quillgraph.streaming import jobs
 
@@ -199,6 +200,21 @@ def test_near_duplicates_in_blocks(spark):
     assert text.near_duplicates(df.limit(0), 0.1).collect() == []
 
 
+def test_near_duplicates_pair_all_copies(spark, duck):
+    """Copies pair with each other and with all that is near, as in the SQL of the query."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(14)], k=rng.randint(1, 12))) for _ in range(25)]
+    rows = [(i, rng.choice([str.upper, str.lower])(rng.choice(texts))) for i in range(120)] + [(200, None), (None, texts[0]), (201, "..."), (7, "w1 more of it"), (202, "w3 " * 40), (203, "w3, " * 40), (204, "W3 " * 40)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(5)
+    duck.sql("CREATE OR REPLACE TEMP TABLE near_rows (vec_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO near_rows VALUES (?, ?)", rows)
+    want = {(a, b): s for a, b, s in duck.sql(f"WITH x AS (SELECT * FROM near_rows), {text_queries.NEAR}").fetchall()}
+    for blocks in ({}, {"texts": 17}, {"tokens": 60}):
+        got = text.near_duplicates(df, 0.4, **blocks).collect()
+        assert {(r["a"], r["b"]): r["similarity"] for r in got} == want and len(got) == len(want) > 1000
+    assert want[(202, 204)] == want[(203, 204)] == 1
+
+
 def test_vectors(spark):
     rng = random.Random(1)
     rows = [(str(i), [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [("zero", [0.0] * 8), ("short", [1.0]), ("none", None)] + [(f"same{i}", [1.0] * 8) for i in range(40)]
