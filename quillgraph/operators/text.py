@@ -87,45 +87,152 @@ def document_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("id", "words", "tokens", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.floor(F.col("chars") / F.col("n_chunks") + 0.5).cast("bigint").alias("mean_chunk"))
 
 
-#: Texts, and their different tokens together, that a block holds on average; a task compares two blocks.
+#: Texts, and their tokens together, that a block holds on average; a task compares two blocks.
 BLOCK_TEXTS, BLOCK_TOKENS = 2048, 500_000
-
-
-def _compared(least: float):
-    """(a, b, similarity) of the texts of block i with those of block j, from rows (i, j, block, rep, n, q, tokens, counts, rare)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block = table.column("block").to_numpy()
-        n, q = (table.column(c).to_numpy().astype(float) for c in ("n", "q"))
-        tokens, counts, rare = (table.column(c).chunk(0) for c in ("tokens", "counts", "rare"))
-        ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
-        starts = np.concatenate([[0], ends[:-1]])
-        owner = np.repeat(np.arange(len(block)), ends - starts)
-        codes = tokens.flatten().dictionary_encode().indices.to_numpy()
-        counts, rare = counts.flatten().to_numpy().astype(float), rare.flatten().to_numpy(zero_copy_only=False)
-        # the texts of block j by token
-        theirs = np.flatnonzero(block[owner] == j)
-        theirs = theirs[np.argsort(codes[theirs], kind="stable")]
-        first = np.searchsorted(codes[theirs], np.arange(codes.max(initial=-1) + 2))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for row in np.flatnonzero(block == i):
-            mine = slice(starts[row], ends[row])
-            begin = first[codes[mine]]
-            many = first[codes[mine] + 1] - begin
-            at = theirs[np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())]
-            other, here, there = owner[at], np.repeat(counts[mine], many), counts[at]
-            m, p, met = (np.bincount(other, w, len(block)) for w in (np.minimum(here, there), here * there, rare[at]))
-            # texts of the same tokens pair whether or not one of these is rare
-            to = np.flatnonzero((met > 0) | (m == n[row]) & (n == n[row]))
-            to = to[to > row] if i == j else to
-            score = (m[to] / (n[row] + n[to] - m[to]) + p[to] / np.sqrt(q[row] * q[to])) / 2
-            near = score >= least
-            out.append((np.full(near.sum(), row), to[near], score[near]))
-        rows, others, scores = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        rep = table.column("rep")
-        return pa.table({"a": rep.take(pa.array(rows)), "b": rep.take(pa.array(others)), "similarity": pa.array(scores)})
+#: Texts of a block that are compared at once with those of another; copies that stand together; pairs in a batch.
+SLICE, COPIES, PAIRS = 256, 512, 250_000
+#: Products of single postings that cost as much as a column of a matrix product, as a share of all pairs.
+SPARSE = 0.005
+#: Whole numbers below this are exact in single precision, sums of them too.
+SINGLE = 1 << 24
+
+#: Columns of a block: its words and whether they are rare; features (a word's k-th occurrence in a text, by k) with the bags that have them;
+#: counts of the first ones; of each bag its size, sum of squares and number of texts; their ids.
+PACKED = {"words": "string", "rare": "boolean", "word": "int", "level": "int", "df": "int", "bags": "int", "counts": "int", "n": "bigint", "q": "bigint", "texts": "int"}
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """One row of a block from its rows (block, id, w, c, rare); texts of the same tokens are one bag, of at most COPIES texts."""
+    table = table.combine_chunks()
+    ids, words = (table.column(c).chunk(0).dictionary_encode() for c in ("id", "w"))
+    text, code, count = ids.indices.to_numpy(), words.indices.to_numpy(), table.column("c").to_numpy()
+    order = np.lexsort((code, text))
+    text, code, count = text[order], code[order], count[order]
+    ends = np.searchsorted(text, np.arange(len(ids.dictionary)), side="right")
+    bag, first, seen = np.empty(len(ends), int), [], {}
+    for k, (start, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+        key = code[start:end].tobytes() + count[start:end].tobytes()
+        at, size = seen.get(key, (0, COPIES))
+        if size == COPIES:
+            at, size = len(first), 0
+            first.append(k)
+        bag[k], seen[key] = at, (at, size + 1)
+    mine = np.isin(text, first)
+    owner, code, count = bag[text[mine]], code[mine], count[mine]
+    n, q = (np.bincount(owner, w, len(first)).astype(np.int64) for w in (count, count * count))
+    level = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    owners, codes, counts = (np.repeat(x, count) for x in (owner, code, count))
+    order = np.lexsort((owners, codes, level))
+    owners, codes, level, counts = owners[order], codes[order], level[order], counts[order]
+    begin = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (level[1:] != level[:-1])]))
+    rare = np.empty(len(words.dictionary), bool)
+    rare[words.indices.to_numpy()] = table.column("rare").to_numpy()
+    found = [words.dictionary, rare, codes[begin], level[begin], np.diff(begin, append=len(codes)), owners, counts[level == 0], n, q, np.bincount(bag)]
+    found = [pa.array(x).cast(pa.int32()) if PACKED[c] == "int" else pa.array(x) if isinstance(x, np.ndarray) else x for c, x in zip(PACKED, found, strict=True)]
+    found.append(ids.dictionary.take(pa.array(np.argsort(bag, kind="stable"))))
+    return pa.table({"block": table.column("block")[:1]} | {c: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for c, x in zip([*PACKED, "ids"], found, strict=True)})
+
+
+class _Block:
+    """A block as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int, side: str):
+        self.block = batch.column(f"{side}block")[row].as_py()
+        self.words, self.ids = (batch.column(f"{side}{c}")[row].values for c in ("words", "ids"))
+        self.rare, self.word, self.level, self.df, self.bags, self.counts, self.n, self.q, self.texts = (batch.column(f"{side}{c}")[row].values.to_numpy(zero_copy_only=False) for c in list(PACKED)[1:])
+        self.ends, self.first = np.cumsum(self.df), np.cumsum(self.texts) - self.texts
+
+
+def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, one after the other."""
+    return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def _products(x: _Block, y: _Block, f: np.ndarray, g: np.ndarray, weighted: bool, most: int):
+    """A function from a slice of the bags of x to sums over the features f of x and g of y, the same ones, of products of counts or of ones.
+
+    Features of many pairs are columns of a matrix product, the others give one product at a time. No sum exceeds most.
+    """
+    kind = np.float32 if most < SINGLE else np.float64
+    dense = x.df[f].astype(np.int64) * y.df[g] > SPARSE * len(x.n) * len(y.n)
+
+    def matrix(b: _Block, at: np.ndarray) -> np.ndarray:
+        out, places = np.zeros((len(b.n), len(at)), kind), _spans(b.ends[at] - b.df[at], b.df[at])
+        out[b.bags[places], np.repeat(np.arange(len(at)), b.df[at])] = b.counts[places] if weighted else 1
+        return out
+
+    left, right = matrix(x, f[dense]), matrix(y, g[dense]).T
+    f, g = f[~dense], g[~dense]
+    places, feature = _spans(x.ends[f] - x.df[f], x.df[f]), np.repeat(g, x.df[f])
+    order = np.argsort(x.bags[places], kind="stable")
+    places, feature = places[order], feature[order]
+    bags = x.bags[places]
+
+    def sums(rows: slice) -> np.ndarray:
+        some = slice(*np.searchsorted(bags, [rows.start, rows.stop]))
+        many = y.df[feature[some]]
+        there = _spans(y.ends[feature[some]] - many, many)
+        at = np.repeat((bags[some] - rows.start).astype(np.int64) * len(y.n), many) + y.bags[there]
+        out = left[rows] @ right
+        weights = np.repeat(x.counts[places[some]], many) * y.counts[there].astype(float) if weighted else None
+        out += np.bincount(at, weights, out.size).reshape(out.shape).astype(kind)
+        return out
+
+    return sums
+
+
+def _compared(least: float, rare: bool):
+    """(a, b, similarity) of the texts of a block with those of another or the same, from rows of both; rare: of different bags only such as share a rare word."""
+
+    def near(x: _Block, y: _Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bags of x and y that are near."""
+        word = pc.index_in(y.words, x.words).fill_null(-1).to_numpy()[y.word]
+        known = np.flatnonzero(word >= 0)
+        number = lambda level, word: level.astype(np.int64) << 32 | word
+        _, f, g = np.intersect1d(number(x.level, x.word), number(y.level[known], word[known]), assume_unique=True, return_indices=True)
+        g = known[g]
+        ones = x.level[f] == 0
+        shared = _products(x, y, f, g, False, max(x.n.max(), y.n.max()))
+        product = _products(x, y, f[ones], g[ones], True, max(x.q.max(), y.q.max()))
+        ones &= x.rare[x.word[f]]
+        met = _products(x, y, f[ones], g[ones], False, SINGLE - 1) if rare else None
+        nx, ny, qx, qy = (z.astype(float) for z in (x.n, y.n, x.q, y.q))
+        ny32, qy32 = ny.astype(np.float32), (1 / np.sqrt(qy)).astype(np.float32)
+        for start in range(0, len(nx), SLICE):
+            rows = slice(start, start + SLICE)
+            m, p = shared(rows), product(rows)
+            # a rough sum first, so that few pairs are looked at closely
+            about = m / (nx[rows, None].astype(np.float32) + ny32 - m)
+            about += p * ((1 / np.sqrt(qx[rows, None])).astype(np.float32) * qy32)
+            near = (about >= 2 * least - 1e-4) & (p > 0)
+            if rare:
+                near &= (met(rows) > 0) | (m == nx[rows, None]) & (m == ny)
+            a, b = np.nonzero(near)
+            m, p, a = m[a, b].astype(float), p[a, b].astype(float), a + start
+            score = (m / (nx[a] + ny[b] - m) + p / np.sqrt(qx[a] * qy[b])) / 2
+            fine = (score >= least) & (a <= b) if x.block == y.block else score >= least
+            yield a[fine], b[fine], score[fine]
+
+    def texts(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of texts that bags stand for."""
+        many = x.texts[a].astype(np.int64) * y.texts[b]
+        part = np.cumsum(many) // PAIRS
+        for k in np.unique(part):
+            at = slice(*np.searchsorted(part, [k, k + 1]))
+            which, place = np.repeat(np.arange(at.start, at.stop), many[at]), _spans(np.zeros(at.stop - at.start, int), many[at])
+            mine, theirs = np.divmod(place, y.texts[b[which]])
+            mine, theirs = mine + x.first[a[which]], theirs + y.first[b[which]]
+            if x.block == y.block:
+                once = mine < theirs
+                mine, theirs, which = mine[once], theirs[once], which[once]
+            yield pa.RecordBatch.from_pydict({"a": x.ids.take(pa.array(mine)), "b": y.ids.take(pa.array(theirs)), "similarity": pa.array(np.floor(score[which] * 1e6 + 0.5) / 1e6)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = _Block(batch, row, ""), _Block(batch, row, "other_")
+                for found in near(x, y):
+                    yield from texts(x, y, *found)
 
     return run
 
@@ -134,31 +241,31 @@ def near_duplicates(rows: DataFrame, least: float = 0.5, limit: int | None = Non
     """(a, b, similarity): pairs of texts (id, text) whose mean of multiset Jaccard and count cosine is at least `least`.
 
     Every pair counts, those of texts with the same tokens too. At low thresholds nearly every pair that
-    shares a frequent token could be near, so no pair is filtered beforehand: texts fall into blocks, and
-    a task has two of them, one indexed by token, and sums up what each text of the other shares with it.
-    Work is quadratic in the number of texts, a task's memory is that of two blocks and their near pairs.
-    With max_df, tokens in more texts than that bring no different texts together (they still count),
-    which may lose pairs.
+    shares a frequent token could be near, so no pair is filtered beforehand: texts fall into blocks, each
+    block is written as one row, and a task reads rows of some blocks and some others from that table and
+    sums up what their texts share. Nothing is shuffled but the texts, once. Work and pairs are quadratic
+    in the number of texts, the disk beside the result holds the texts twice or so, and a task's memory is
+    that of two blocks and a slice of their pairs. With max_df, tokens in more texts than that bring no
+    different texts together (they still count), which may lose pairs.
     """
     scratch = Scratch(prepare(rows.sparkSession), "near")
     pieces = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}-]+"), lambda w: F.octet_length(w) > 1)
-    bags = rows.filter("id IS NOT NULL").select("id", F.explode(pieces).alias("w")).groupBy("id", "w").agg(F.count("*").alias("c"))
+    known = rows.filter("id IS NOT NULL")
+    size = known.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size(pieces), F.lit(0))), F.lit(0))).first()
+    blocks = max(1, math.ceil(size[0] / texts), math.ceil(size[1] / tokens))
+    placed = known.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    bags = placed.select("block", "id", F.explode(pieces).alias("w")).groupBy("block", "id", "w").agg(F.count("*").alias("c"))
     if max_df is None:
         flagged = bags.withColumn("rare", F.lit(True))
     else:
         bags = scratch.keep(bags)
-        flagged = bags.join(bags.groupBy("w").agg((F.count("*") <= max_df).alias("rare")), "w")
-    listed = scratch.keep(flagged.groupBy("id").agg(F.collect_list(F.struct("w", "c", "rare")).alias("bag")))
-    total = lambda f: F.aggregate("bag", F.lit(0).cast("bigint"), lambda s, x: s + f(x["c"]))
-    reps = listed.select(F.col("id").alias("rep"), total(lambda c: c).alias("n"), total(lambda c: c * c).alias("q"), F.col("bag.w").alias("tokens"), F.col("bag.c").alias("counts"), F.col("bag.rare").alias("rare"))
-    size = listed.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
-    blocks = max(1, math.ceil(size[0] / texts), math.ceil(size[1] / tokens))
-    placed = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    spread = placed.select("*", F.explode(met).alias("x")).select("x.i", "x.j", *placed.columns)
+        flagged = bags.join(bags.groupBy("w").agg((F.count("*") <= max_df).alias("rare")), "w").select(*bags.columns, "rare")
     kind = rows.schema["id"].dataType.simpleString()
-    scored = spread.groupBy("i", "j").applyInArrow(_compared(least), f"a {kind}, b {kind}, similarity double")
-    out = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("similarity", 6).alias("similarity"))
+    packed = scratch.keep(flagged.groupBy("block").applyInArrow(_packed, ", ".join(["block int", *(f"{c} array<{t}>" for c, t in PACKED.items()), f"ids array<{kind}>"])))
+    others = packed.toDF(*(f"other_{c}" for c in packed.columns))
+    met = packed.join(others.hint("shuffle_replicate_nl"), F.col("block") <= F.col("other_block"))
+    scored = met.mapInArrow(_compared(least, max_df is not None), f"a {kind}, b {kind}, similarity double")
+    out = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
     return out if limit is None else out.orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 

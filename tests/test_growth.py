@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import folds, graph, work
-from quillgraph.plans import catalog, fixtures
+from quillgraph.operators import folds, graph, text, work
+from quillgraph.plans import catalog, fixtures, text_queries
 from quillgraph.plans.registry import Tables
 from quillgraph.session import Scratch
 from quillgraph.sources import tables
@@ -118,3 +118,30 @@ def test_fold_sorts_by_a_number_and_stands_shared_numbers(spark, monkeypatch):
         got = {r["name"]: (r["n"], r["confidence"]) for r in folds.capped_fold(df, ["name"], ["ts"], "c", 0.8, 0.2, 0.05, bits=2).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - at) < 1e-9 for k, (n, at) in want.items())
         assert any("Sort [place" in plan or "Sort [7" in plan for plan in plans)
+
+
+def test_near_duplicates_shuffle_texts_once_whatever_the_blocks(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))).replace(" ", "x ")) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(3).localCheckpoint()
+    plans, found = noted_plans(monkeypatch), []
+    for texts in (100, 4):
+        plans.clear()
+        near = text.near_duplicates(df, 0.3, texts=texts)
+        assert "Exchange" not in plan_of(near) and sum(plan.count("Exchange") for plan in plans) == 1
+        found.append(sorted(near.collect()))
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_near_duplicates_of_many_copies_and_large_counts(spark, duck):
+    """More copies than stand together, sums that single precision doesn't hold, words that only few texts have."""
+    rng = random.Random(22)
+    rows = [(i, "the same words here") for i in range(600)] + [(600 + i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=60))) for i in range(300)]
+    rows += [(2000 + i, "many " * 5000 + "more " * (4990 + i) + f"w{i} ") for i in range(4)] + [(3000, "many words"), (3001, "w1 w1 w1 w2"), (3002, "the same words")]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(4)
+    duck.sql("CREATE OR REPLACE TEMP TABLE near_rows (vec_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO near_rows VALUES (?, ?)", rows)
+    want = sorted(duck.sql(f"WITH x AS (SELECT * FROM near_rows), {text_queries.NEAR}").fetchall())
+    for blocks in ({}, {"texts": 300}):
+        assert sorted(map(tuple, text.near_duplicates(df, 0.4, **blocks).collect())) == want
+    assert len(want) > 180_000 and {b for _, b, _ in want} >= {2003, 3002}
