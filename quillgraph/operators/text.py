@@ -90,9 +90,9 @@ def document_stats(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 #: Texts, and their tokens together, that a block holds on average; a task compares two blocks.
 BLOCK_TEXTS, BLOCK_TOKENS = 2048, 500_000
 #: Texts of a block that are compared at once with those of another; copies that stand together; pairs in a batch.
-SLICE, COPIES, PAIRS = 256, 512, 250_000
+SLICE, COPIES, PAIRS = 128, 512, 250_000
 #: Products of single postings that cost as much as a column of a matrix product, as a share of all pairs.
-SPARSE = 0.005
+SPARSE = 0.003
 #: Whole numbers below this are exact in single precision, sums of them too.
 SINGLE = 1 << 24
 
@@ -148,35 +148,37 @@ def _spans(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-def _products(x: _Block, y: _Block, f: np.ndarray, g: np.ndarray, weighted: bool, most: int):
-    """A function from a slice of the bags of x to sums over the features f of x and g of y, the same ones, of products of counts or of ones.
+def _products(x: _Block, y: _Block, f: np.ndarray, g: np.ndarray, weighted: int, most: int):
+    """A function from a slice of the bags of x to two matrices, sums over the features f of x and g of y, the same ones: of ones, and of products of counts over the first `weighted` features.
 
     Features of many pairs are columns of a matrix product, the others give one product at a time. No sum exceeds most.
     """
     kind = np.float32 if most < SINGLE else np.float64
     dense = x.df[f].astype(np.int64) * y.df[g] > SPARSE * len(x.n) * len(y.n)
 
-    def matrix(b: _Block, at: np.ndarray) -> np.ndarray:
+    def matrix(b: _Block, at: np.ndarray, counted: bool) -> np.ndarray:
         out, places = np.zeros((len(b.n), len(at)), kind), _spans(b.ends[at] - b.df[at], b.df[at])
-        out[b.bags[places], np.repeat(np.arange(len(at)), b.df[at])] = b.counts[places] if weighted else 1
+        out[b.bags[places], np.repeat(np.arange(len(at)), b.df[at])] = b.counts[places] if counted else 1
         return out
 
-    left, right = matrix(x, f[dense]), matrix(y, g[dense]).T
+    first = np.flatnonzero(dense[:weighted])
+    factors = [(matrix(x, f[at], counted), matrix(y, g[at], counted).T) for at, counted in ((dense, False), (first, True))]
+    weighted -= len(first)
     f, g = f[~dense], g[~dense]
-    places, feature = _spans(x.ends[f] - x.df[f], x.df[f]), np.repeat(g, x.df[f])
-    order = np.argsort(x.bags[places], kind="stable")
+    places, feature = _spans(x.ends[f] - x.df[f], x.df[f]), np.repeat(np.arange(len(f)), x.df[f])
+    order = np.lexsort((feature >= weighted, x.bags[places]))
     places, feature = places[order], feature[order]
-    bags = x.bags[places]
+    bags, counts = x.bags[places], np.where(feature < weighted, x.counts[np.minimum(places, len(x.counts) - 1)], 0).astype(kind)
+    begin, many, own, theirs = (y.ends[g] - y.df[g])[feature], y.df[g][feature], bags.astype(np.int64) * len(y.n), y.counts.astype(kind)
 
-    def sums(rows: slice) -> np.ndarray:
+    def sums(rows: slice) -> tuple[np.ndarray, np.ndarray]:
         some = slice(*np.searchsorted(bags, [rows.start, rows.stop]))
-        many = y.df[feature[some]]
-        there = _spans(y.ends[feature[some]] - many, many)
-        at = np.repeat((bags[some] - rows.start).astype(np.int64) * len(y.n), many) + y.bags[there]
-        out = left[rows] @ right
-        weights = np.repeat(x.counts[places[some]], many) * y.counts[there].astype(float) if weighted else None
-        out += np.bincount(at, weights, out.size).reshape(out.shape).astype(kind)
-        return out
+        there = _spans(begin[some], many[some])
+        at = y.bags[there] + np.repeat(own[some] - rows.start * len(y.n), many[some])
+        ones, product = (left[rows] @ right for left, right in factors)
+        np.add.at(ones.reshape(-1), at, kind(1))
+        np.add.at(product.reshape(-1), at, np.repeat(counts[some], many[some]) * theirs[np.minimum(there, len(theirs) - 1)])
+        return ones, product
 
     return sums
 
@@ -189,28 +191,32 @@ def _compared(least: float, rare: bool):
         word = pc.index_in(y.words, x.words).fill_null(-1).to_numpy()[y.word]
         known = np.flatnonzero(word >= 0)
         number = lambda level, word: level.astype(np.int64) << 32 | word
+        # by level, so that words come before their further occurrences
         _, f, g = np.intersect1d(number(x.level, x.word), number(y.level[known], word[known]), assume_unique=True, return_indices=True)
         g = known[g]
-        ones = x.level[f] == 0
-        shared = _products(x, y, f, g, False, max(x.n.max(), y.n.max()))
-        product = _products(x, y, f[ones], g[ones], True, max(x.q.max(), y.q.max()))
-        ones &= x.rare[x.word[f]]
-        met = _products(x, y, f[ones], g[ones], False, SINGLE - 1) if rare else None
+        ones = np.count_nonzero(x.level[f] == 0)
+        shared = _products(x, y, f, g, ones, max(x.q.max(), y.q.max()))
+        few = np.flatnonzero(x.rare[x.word[f[:ones]]])
+        met = _products(x, y, f[few], g[few], 0, SINGLE - 1) if rare else None
         nx, ny, qx, qy = (z.astype(float) for z in (x.n, y.n, x.q, y.q))
-        ny32, qy32 = ny.astype(np.float32), (1 / np.sqrt(qy)).astype(np.float32)
+        rough = [z.astype(np.float32) for z in (nx[:, None], ny, 1 / np.sqrt(qx[:, None]), 1 / np.sqrt(qy))]
         for start in range(0, len(nx), SLICE):
             rows = slice(start, start + SLICE)
-            m, p = shared(rows), product(rows)
+            m, p = shared(rows)
             # a rough sum first, so that few pairs are looked at closely
-            about = m / (nx[rows, None].astype(np.float32) + ny32 - m)
-            about += p * ((1 / np.sqrt(qx[rows, None])).astype(np.float32) * qy32)
-            near = (about >= 2 * least - 1e-4) & (p > 0)
-            if rare:
-                near &= (met(rows) > 0) | (m == nx[rows, None]) & (m == ny)
-            a, b = np.nonzero(near)
-            m, p, a = m[a, b].astype(float), p[a, b].astype(float), a + start
+            about, cosine = rough[0][rows] + rough[1], p * rough[3]
+            about = np.divide(m, about - m, out=about)
+            cosine *= rough[2][rows]
+            about += cosine
+            at = np.flatnonzero(about >= 2 * least - 1e-4)
+            a, b = np.divmod(at, len(ny))
+            m, p, a = m.reshape(-1)[at].astype(float), p.reshape(-1)[at].astype(float), a + start
             score = (m / (nx[a] + ny[b] - m) + p / np.sqrt(qx[a] * qy[b])) / 2
-            fine = (score >= least) & (a <= b) if x.block == y.block else score >= least
+            fine = (score >= least) & (p > 0)
+            if x.block == y.block:
+                fine &= a <= b
+            if rare:
+                fine &= (met(rows)[0].reshape(-1)[at] > 0) | (m == nx[a]) & (m == ny[b])
             yield a[fine], b[fine], score[fine]
 
     def texts(x: _Block, y: _Block, a: np.ndarray, b: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
